@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE = "__slice"
+# More slices than shuffle partitions: slices are hashed to tasks, and many small ones even out.
+SLICES_PER_PARTITION = 4
 
 
 def sliced(histogram: DataFrame, *ordering: str) -> DataFrame:
@@ -20,7 +22,9 @@ def sliced(histogram: DataFrame, *ordering: str) -> DataFrame:
     The histogram holds each value once, so a hot value is one row. The range bounds are drawn once,
     when the exchange runs, and every consumer reads the tag of that single exchange.
     """
-    return histogram.repartitionByRange(*ordering).withColumn(SLICE, F.spark_partition_id())
+    partitions = int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = histogram.repartitionByRange(SLICES_PER_PARTITION * partitions, *ordering)
+    return ranges.withColumn(SLICE, F.spark_partition_id())
 
 
 def range_bounds(df: DataFrame, column: str, slices: int) -> list[object]:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("dq", "mq")
+FAMILIES = ("dq", "mq", "bias", "shadow", "explain")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
