@@ -100,13 +100,19 @@ def gate(manifests: DataFrame, config: DataFrame) -> DataFrame:
 def check_results(versions: DataFrame, results: DataFrame, required: Sequence[str]) -> DataFrame:
     """Approve each version whose required analysers all ended ``ok`` or ``succeeded``.
 
-    ``results`` holds ``(project, model_version, analyser, outcome)``. One conditional aggregate per
-    required analyser combines map-side; nothing is collected into lists.
+    ``results`` holds ``(project, model_version, analyser, outcome)``; of repeated results of one analyser
+    a rejected one counts. Conditional aggregates per required analyser combine map-side; nothing is
+    collected into lists.
     """
-    latest = [
-        F.max(F.when(F.col("analyser") == name, F.col("outcome"))).alias(f"outcome_{i}") for i, name in enumerate(required)
+    outcome, accepted = F.col("outcome"), F.col("outcome").isin(*ACCEPTED_RESULTS)
+    worst = [
+        F.coalesce(
+            F.max(F.when((F.col("analyser") == name) & ~accepted, outcome)),
+            F.max(F.when((F.col("analyser") == name) & accepted, outcome)),
+        ).alias(f"outcome_{i}")
+        for i, name in enumerate(required)
     ]
-    pivoted = results.groupBy(*VERSION).agg(*latest)
+    pivoted = results.groupBy(*VERSION).agg(*worst)
     joined = versions.select(*VERSION).join(pivoted, VERSION, "left")
     problems = [
         F.when(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("dq", "mq", "bias", "shadow", "explain")
+FAMILIES = ("dq", "mq", "bias", "shadow", "explain", "registry", "rollup")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import explain, prep
 from tidewatch.plans.runs import Explain
-from tidewatch.queries.common import r, table, tidy
+from tidewatch.queries.common import r, scratch, table, tidy
 from tidewatch.spec import ExplainSpec
 
 FEATURES = ["size", "price", "brand"]
@@ -86,8 +86,20 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(moved, *columns)
 
 
+def local_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-row attributions written as a table and read back."""
+    local, _ = _explained(spark, sf_dir)
+    path = scratch(spark, "local_attributions")
+    local.write.parquet(path)
+    return tidy(spark.read.parquet(path), "row_id", "feature", "phi")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Explain(scorer()).compute({"features": parts(spark, sf_dir)}, BASE).outcome
+    """Metrics of the run beside its outcome, which is clean whatever they are."""
+    analysis = Explain(scorer()).compute({"features": parts(spark, sf_dir)}, BASE)
+    outcome = analysis.outcome.select(F.struct("outcome", "severity", "violation_count")).scalar()
+    rows = tidy(analysis.metrics, "name", "value").withColumn("o", outcome)
+    return rows.select("name", "value", "o.outcome", "o.severity", "o.violation_count")
 
 
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +171,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "explain_sample": sample,
     "explain_shapley": shapley,
-    "explain_local": shapley,
+    "explain_local": local_saved,
     "explain_efficiency": efficiency,
     "explain_global": importance,
     "explain_topk": top,
@@ -230,6 +242,6 @@ ORACLES = {
         s AS (SELECT *, row_number() OVER (ORDER BY abs(importance) DESC, feature)::INTEGER AS rk FROM stored)
         SELECT feature, {r('l.importance')} AS current, {r('s.importance')} AS baseline, {r('l.importance - s.importance')} AS delta,
           l.rk AS current_rank, s.rk AS baseline_rank, l.rk - s.rk AS rank_change FROM l FULL JOIN s USING (feature)""",
-    "explain_run": """SELECT 'explain' AS analyser, 'succeeded' AS outcome, 'info' AS severity, 0::BIGINT AS violation_count
-        FROM (SELECT count(*) AS n FROM part) WHERE n > 0""",
+    "explain_run": f"""WITH {_phi_sql()}, g AS ({_IMPORTANCE}) SELECT 'shap/' || feature AS name, {r('importance')} AS value,
+        'succeeded' AS outcome, 'info' AS severity, 0::BIGINT AS violation_count FROM g""",
 }
