@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("dq", "mq", "bias", "shadow", "explain", "registry", "rollup")
+FAMILIES = ("dq", "mq", "bias", "shadow", "explain", "registry", "rollup", "prep", "store", "stream")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

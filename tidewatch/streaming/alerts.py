@@ -30,24 +30,21 @@ def notify_once(
     """Call ``notify(new_alerts, batch_id)`` with alerts never announced before.
 
     The ledger row is written before the notification, so a crash between both loses a notification
-    rather than repeating it. A retried batch overwrites its own ledger folder and compares only with the
-    other batches. The ledger is laid out by day of the run; a batch reads only the days it touches.
+    rather than repeating it, and a retried batch finds its own marks. The ledger is laid out by day of the
+    run; a batch reads only the days it touches.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = alerts_of(batch).withColumn("dt", F.to_date("started_at"))
-        schema = fresh.select("dt", *KEY).schema
-        seen = spark.createDataFrame([], schema)
+        keys = fresh.select("dt", *KEY)
+        seen = keys.limit(0)
         if exists(spark, ledger):
-            days = [row["dt"] for row in fresh.select("dt").distinct().collect()]  # a handful of dates
-            stored = spark.read.schema(schema.add("batch", "bigint")).parquet(ledger)
-            seen = stored.where(F.col("dt").isin(days) & (F.col("batch") != batch_id)).select("dt", *KEY)
+            days = [row["dt"] for row in keys.select("dt").distinct().collect()]  # a handful of dates
+            seen = spark.read.schema(keys.schema).parquet(ledger).where(F.col("dt").isin(days))
         fresh = unseen(fresh, seen).persist()
         try:
-            marks = fresh.select("dt", *KEY, F.lit(batch_id).cast("bigint").alias("batch"))
-            writer = marks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            writer.partitionBy("batch", "dt").parquet(ledger)
+            fresh.select("dt", *KEY).write.mode("append").partitionBy("dt").parquet(ledger)
             notify(fresh.drop("dt"), batch_id)
         finally:
             fresh.unpersist()
