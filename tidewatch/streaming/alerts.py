@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -29,25 +30,28 @@ def notify_once(
 ) -> StreamingQuery:
     """Call ``notify(new_alerts, batch_id)`` with alerts never announced before.
 
-    The ledger row is written before the notification, so a crash between both loses a notification
-    rather than repeating it, and a retried batch finds its own marks. The ledger is laid out by day of the
-    run; a batch reads only the days it touches.
+    New alerts are written to the ledger first and handed to ``notify`` from there. A crash between both
+    loses a notification rather than repeating it, a retried batch finds its own rows, and a lost executor
+    cannot change what is announced. The ledger is laid out by day of the run; a batch compares itself only
+    with the days it touches.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = alerts_of(batch).withColumn("dt", F.to_date("started_at"))
-        keys = fresh.select("dt", *KEY)
+        mark = uuid.uuid4().hex
+        found = alerts_of(batch).withColumn("dt", F.to_date("started_at"))
+        keys = found.select("dt", *KEY)
+        days = [row["dt"] for row in keys.select("dt").distinct().collect()]  # a handful of dates
+        if not days:
+            return
+        schema = found.withColumn("mark", F.lit(mark)).schema
         seen = keys.limit(0)
         if exists(spark, ledger):
-            days = [row["dt"] for row in keys.select("dt").distinct().collect()]  # a handful of dates
-            seen = spark.read.schema(keys.schema).parquet(ledger).where(F.col("dt").isin(days))
-        fresh = unseen(fresh, seen).persist()
-        try:
-            fresh.select("dt", *KEY).write.mode("append").partitionBy("dt").parquet(ledger)
-            notify(fresh.drop("dt"), batch_id)
-        finally:
-            fresh.unpersist()
+            seen = spark.read.schema(schema).parquet(ledger).where(F.col("dt").isin(days)).select("dt", *KEY)
+        fresh = unseen(found, seen).withColumn("mark", F.lit(mark))
+        fresh.write.mode("append").partitionBy("dt", "mark").parquet(ledger)
+        written = spark.read.schema(schema).parquet(ledger).where(F.col("dt").isin(days) & (F.col("mark") == mark))
+        notify(written.drop("dt", "mark"), batch_id)
 
     return start(outcomes.writeStream.foreachBatch(process), checkpoint, once)
 
