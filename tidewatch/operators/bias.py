@@ -145,9 +145,15 @@ def _divergence(p_a: Column, p_d: Column) -> dict[str, Column]:
 
 def label_divergence(cells: DataFrame) -> DataFrame:
     """KL, JS, LP, TVD and KS between the label distributions of both sides, per facet."""
-    known = cells.where("label IS NOT NULL")
-    values = known.groupBy("facet", "label").agg(
-        tally(~F.col("in_facet"), F.col("n")).alias("v_a"), tally(F.col("in_facet"), F.col("n")).alias("v_d")
+    # a filter on the label itself would be pushed below the shared aggregation and split it in two
+    known = F.col("label").isNotNull()
+    values = (
+        cells.groupBy("facet", "label")
+        .agg(
+            tally(~F.col("in_facet") & known, F.col("n")).alias("v_a"),
+            tally(F.col("in_facet") & known, F.col("n")).alias("v_d"),
+        )
+        .where("v_a + v_d > 0")
     )
     totals = values.groupBy("facet").agg(F.sum("v_a").alias("t_a"), F.sum("v_d").alias("t_d"))
     shares = values.join(F.broadcast(totals), "facet")  # one row per configured facet

@@ -164,15 +164,17 @@ def attributions(
     if cells > CELL_BUDGET:
         raise ValueError(f"{cells} model calls exceed the budget of {CELL_BUDGET}; lower num_samples or background_size")
 
-    packed = background.select(F.struct(*[F.col(quoted(f)) for f in features]).alias("b"))
+    # flat columns rather than nested fields: generators and Python models then see plain attributes
+    numbered = list(enumerate(features))
+    packed = background.select(F.struct(*[F.col(quoted(f)).alias(f"__b{i}") for i, f in numbered]).alias("b"))
     pool = packed.agg(F.collect_list("b")).scalar()
-    own = rows.select(ROW, F.struct(*[F.col(quoted(f)) for f in features]).alias("x"))
+    own = rows.select(ROW, *[F.col(quoted(f)).alias(f"__x{i}") for i, f in numbered])
     mixed = own.repartition(ROW).withColumn("pool", pool).withColumn("pool_size", F.size("pool"))
     for name, generator in generators:
         mixed = mixed.withColumn(name, generator)
-    mixed = mixed.withColumn("b", F.explode("pool")).select(
+    mixed = mixed.select("*", F.inline("pool")).select(
         ROW,
-        *[F.when(member[f], F.col(f"x.{quoted(f)}")).otherwise(F.col(f"b.{quoted(f)}")).alias(f) for f in features],
+        *[F.when(member[f], F.col(f"__x{i}")).otherwise(F.col(f"__b{i}")).alias(f) for i, f in numbered],
         F.array(*[weight[f] / F.col("pool_size") for f in features]).alias("__weights"),
     )
     scored = scorer.score(mixed).select(ROW, "__weights", F.posexplode("probabilities").alias("class", "p"))

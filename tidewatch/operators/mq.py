@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,41 +44,59 @@ def confusion_matrix(cells: DataFrame) -> DataFrame:
 
 
 def class_counts(cells: DataFrame) -> DataFrame:
-    """Per class: ``actual``, ``predicted``, ``hits``; one aggregation over the cells, no self-join."""
-    zero = F.lit(0).cast("bigint")
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(zero)
-    sides = F.array(
-        F.struct(
-            F.col("label").alias("class"), F.col("n").alias("actual"), zero.alias("predicted"), hit.alias("hits")
-        ),
-        F.struct(
-            F.col("prediction").alias("class"), zero.alias("actual"), F.col("n").alias("predicted"), zero.alias("hits")
-        ),
-    )
-    spread = _complete(cells).select(F.inline(sides))
-    return spread.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("actual", "predicted", "hits")])
+    """Per class: ``actual``, ``predicted``, ``hits``; one aggregation over the cells, no self-join.
+
+    Pairs with a null are gathered in a row without class, under ``dropped``.
+    """
+    zero, n = F.lit(0).cast("bigint"), F.col("n")
+    label, prediction = F.col("label"), F.col("prediction")
+
+    def role(name: Column, actual: Column, predicted: Column, hits: Column, dropped: Column) -> Column:
+        return F.struct(
+            name.alias("class"), actual.alias("actual"), predicted.alias("predicted"), hits.alias("hits"), dropped.alias("dropped")
+        )
+
+    hit = F.when(label == prediction, n).otherwise(zero)
+    complete = F.array(role(label, n, zero, hit, zero), role(prediction, zero, n, zero, zero))
+    incomplete = F.array(role(F.lit(None).cast("string"), zero, zero, zero, n))
+    roles = F.when(label.isNotNull() & prediction.isNotNull(), complete).otherwise(incomplete)
+    spread = cells.select(F.inline(roles))
+    return spread.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("actual", "predicted", "hits", "dropped")])
 
 
 def class_scores(counts: DataFrame) -> DataFrame:
-    """Per-class precision, recall and F1; 0 over a zero denominator."""
+    """Per-class precision, recall and F1; 0 over a zero denominator, null on the row without class."""
+
+    def score(numerator: Column, denominator: Column) -> Column:
+        return F.when(F.col("class").isNotNull(), ratio(numerator, denominator, 0.0))
+
     return counts.select(
         "class",
         "actual",
         "hits",
-        ratio(F.col("hits"), F.col("predicted"), 0.0).alias("precision"),
-        ratio(F.col("hits"), F.col("actual"), 0.0).alias("recall"),
-        ratio(2 * F.col("hits"), F.col("actual") + F.col("predicted"), 0.0).alias("f1"),
+        "dropped",
+        score(F.col("hits"), F.col("predicted")).alias("precision"),
+        score(F.col("hits"), F.col("actual")).alias("recall"),
+        score(2 * F.col("hits"), F.col("actual") + F.col("predicted")).alias("f1"),
     )
 
 
-def summary_scores(scores: DataFrame) -> DataFrame:
-    """One row: accuracy and the unweighted class means."""
-    return scores.agg(
+SUMMARY = ("accuracy", "precision_macro", "recall_macro", "f1_macro")
+
+
+def _summary() -> list[Column]:
+    """Accuracy and the unweighted class means; averages skip the row without class."""
+    return [
         ratio(F.sum("hits"), F.sum("actual")).alias("accuracy"),
         F.avg("precision").alias("precision_macro"),
         F.avg("recall").alias("recall_macro"),
         F.avg("f1").alias("f1_macro"),
-    )
+    ]
+
+
+def summary_scores(scores: DataFrame) -> DataFrame:
+    """One row with the four summary scores."""
+    return scores.agg(*_summary())
 
 
 def _positive(df: DataFrame, spec: ModelQualitySpec) -> Column:
@@ -136,27 +152,37 @@ def auc_of(rows: DataFrame) -> DataFrame:
 
 
 def measure(df: DataFrame, spec: ModelQualitySpec) -> DataFrame:
-    """All model-quality metrics as tidy rows ``mq/<metric>`` and ``mq/<metric>_per_class/<class>``."""
-    cells = confusion_counts(df, spec.label_column, spec.prediction_column)
-    scores = class_scores(class_counts(cells))
-    incomplete = F.col("label").isNull() | F.col("prediction").isNull()
-    dropped = cells.agg(tally(incomplete, F.col("n")).cast("double").alias("rows_dropped"))
-    parts = [summary_scores(scores), dropped]
-    auc = roc_auc(df, spec)
-    if auc is not None:
-        parts.append(auc.where("auc IS NOT NULL"))
-    rows = []
-    for part in parts:
-        tidy = part.unpivot([], part.columns, "statistic", "value")
-        name = F.concat(F.lit(PREFIX), "statistic")
-        rows.append(metric_rows(tidy, ANALYSER, F.lit("all"), F.col("statistic"), name, F.col("value")))
+    """All model-quality metrics as tidy rows ``mq/<metric>`` and ``mq/<metric>_per_class/<class>``.
+
+    One rollup over the class scores gives the class rows and their means together, so the predictions
+    are read once for all confusion-based metrics; the AUC needs its own pass over the scores.
+    """
+    scores = class_scores(class_counts(confusion_counts(df, spec.label_column, spec.prediction_column)))
+    levels = scores.rollup("class").agg(
+        F.grouping_id().alias("level"), *_summary(), F.sum("dropped").cast("double").alias("rows_dropped")
+    )
+
+    def entry(subject: Column, statistic: str, name: Column, value: str) -> Column:
+        parts = (subject.alias("subject"), F.lit(statistic).alias("statistic"), name.alias("name"), F.col(value).alias("value"))
+        return F.struct(*parts)
+
+    total = F.array(*[entry(F.lit("all"), m, F.lit(PREFIX + m), m) for m in (*SUMMARY, "rows_dropped")])
+    wanted = F.when(F.col("level") == 1, total)
     if spec.problem_type == "multiclass":
-        tidy = scores.select("class", "precision", "recall", "f1").unpivot(
-            ["class"], ["precision", "recall", "f1"], "statistic", "value"
-        )
-        name = F.concat(F.lit(PREFIX), "statistic", F.lit("_per_class/"), "class")
-        rows.append(metric_rows(tidy, ANALYSER, F.col("class"), F.col("statistic"), name, F.col("value")))
-    return reduce(DataFrame.unionByName, rows)
+        label = F.col("class")
+        per_class = [
+            entry(label, m, F.concat(F.lit(f"{PREFIX}{m}_per_class/"), label), f"{m}_macro") for m in ("precision", "recall", "f1")
+        ]
+        wanted = wanted.when(label.isNotNull(), F.array(*per_class))
+    columns = [F.col(c) for c in ("subject", "statistic", "name", "value")]
+    metrics = metric_rows(levels.select(F.inline(wanted)).where("value IS NOT NULL"), ANALYSER, *columns)
+    auc = roc_auc(df, spec)
+    if auc is None:
+        return metrics
+    found = auc.where("auc IS NOT NULL")
+    return metrics.unionByName(
+        metric_rows(found, ANALYSER, F.lit("all"), F.lit("auc"), F.lit(f"{PREFIX}auc"), F.col("auc"))
+    )
 
 
 def baseline_table(df: DataFrame, metrics: dict[str, float], thresholds: dict[str, float]) -> DataFrame:

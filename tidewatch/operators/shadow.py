@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,28 +164,45 @@ def label_distribution(cells: DataFrame) -> DataFrame:
 
 
 def measure(cells: DataFrame) -> DataFrame:
-    """``shadow/agreement``, ``shadow/js_divergence`` and ``shadow/disagreement_per_class/<class>``."""
-    scalars = summary(cells).unpivot([], ["agreement", "js_divergence"], "statistic", "value")
-    classes = class_disagreement(cells)
-    parts = [
-        metric_rows(
-            scalars,
-            ANALYSER,
-            F.lit("all"),
-            F.col("statistic"),
-            F.concat(F.lit("shadow/"), "statistic"),
-            F.col("value"),
-        ),
-        metric_rows(
-            classes,
-            ANALYSER,
-            F.col("class"),
-            F.lit("disagreement"),
-            F.concat(F.lit("shadow/disagreement_per_class/"), "class"),
-            F.col("disagreement"),
-        ),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """``shadow/agreement``, ``shadow/js_divergence`` and ``shadow/disagreement_per_class/<class>``.
+
+    One rollup over the cells gives the class rows and the total together, so the pairs are joined once.
+    An empty extra cell keeps the total row in place when nothing was paired, which then fails the job.
+    """
+    nothing = cells.sparkSession.range(1).select(
+        *[F.lit(None).cast("string").alias(f"{side}_prediction") for side in ("serving", "shadow")],
+        F.lit(0).cast("bigint").alias("n"),
+        F.lit(0.0).alias("js_sum"),
+    )
+    levels = cells.unionByName(nothing).rollup("serving_prediction").agg(
+        F.grouping_id().alias("level"),
+        F.sum("n").alias("n"),
+        F.sum(F.when(agrees(), F.col("n")).otherwise(F.lit(0))).alias("agreed"),
+        F.sum("js_sum").alias("js_sum"),
+    )
+    rows = F.when(F.col("n") > 0, F.col("n")).otherwise(
+        F.raise_error(F.lit("serving and shadow predictions share no rows")).cast("bigint")
+    )
+
+    def entry(subject: Column, statistic: str, name: Column, value: Column) -> Column:
+        parts = (subject.alias("subject"), F.lit(statistic).alias("statistic"), name.alias("name"), value.alias("value"))
+        return F.struct(*parts)
+
+    label, everything = F.col("serving_prediction"), F.lit("all")
+    total = F.array(
+        entry(everything, "agreement", F.lit("shadow/agreement"), F.col("agreed") / rows),
+        entry(everything, "js_divergence", F.lit("shadow/js_divergence"), F.col("js_sum") / rows),
+    )
+    per_class = F.array(
+        entry(
+            label,
+            "disagreement",
+            F.concat(F.lit("shadow/disagreement_per_class/"), label),
+            F.try_divide(F.col("n") - F.col("agreed"), F.col("n")),
+        )
+    )
+    entries = levels.select(F.inline(F.when(F.col("level") == 1, total).when(label.isNotNull(), per_class)))
+    return metric_rows(entries, ANALYSER, *[F.col(c) for c in ("subject", "statistic", "name", "value")])
 
 
 def judge(metrics: DataFrame, spec: ShadowSpec) -> DataFrame:
