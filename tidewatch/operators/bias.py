@@ -211,19 +211,23 @@ def report(df: DataFrame, spec: BiasSpec) -> DataFrame:
 
 
 def _wide(cells: DataFrame, spec: BiasSpec, methods: list[str]) -> DataFrame:
-    """One row per facet with a column per metric."""
-    pairs = pair_metrics()
-    wide = side_counts(cells).select("facet", *[c.alias(m) for m, c in pairs.items() if m in methods])
-    if any(m in DISTRIBUTION_METRICS for m in methods):
-        picked = [m for m in DISTRIBUTION_METRICS if m in methods]
-        wide = wide.join(label_divergence(cells).select("facet", *picked), "facet", "left")
+    """One row per facet with a column per metric; only the aggregations the methods need are planned."""
     groups = [f"group_{i}" for i in range(len(spec.group_columns))]
-    for name, positive in (("CDDL", "label_positive"), ("CDDPL", "predicted_positive")):
-        if name in methods and groups:
-            wide = wide.join(conditional_disparity(cells, groups, positive, name), "facet", "left")
-        elif name in methods:
-            wide = wide.withColumn(name, F.lit(None).cast("double"))
-    return wide
+    frames = []
+    pairs = {m: c for m, c in pair_metrics().items() if m in methods}
+    if pairs:
+        frames.append(side_counts(cells).select("facet", *[c.alias(m) for m, c in pairs.items()]))
+    distances = [m for m in DISTRIBUTION_METRICS if m in methods]
+    if distances:
+        frames.append(label_divergence(cells).select("facet", *distances))
+    conditional = {"CDDL": "label_positive", "CDDPL": "predicted_positive"}
+    if groups:
+        frames += [conditional_disparity(cells, groups, flag, m) for m, flag in conditional.items() if m in methods]
+    if not frames:
+        frames.append(cells.select("facet").distinct())
+    wide = reduce(lambda left, right: left.join(right, "facet", "full_outer"), frames)  # one row per facet each
+    undefined = [m for m in conditional if m in methods and not groups]
+    return wide.select("*", *[F.lit(None).cast("double").alias(m) for m in undefined])
 
 
 def _tidy(wide: DataFrame, keys: list[str], wanted: list[tuple[str, str]]) -> DataFrame:

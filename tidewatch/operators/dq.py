@@ -60,6 +60,13 @@ def value_histogram(current: DataFrame, baseline: DataFrame, columns: Sequence[s
     )
 
 
+def baseline_numbers(baseline: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Value counts ``(column, number, m)`` to keep with a baseline, for KS against later windows."""
+    picked = baseline.select(*[as_number(baseline, c).alias(c) for c in columns])
+    melted = picked.unpivot([], [quoted(c) for c in columns], "column", "number").where("number IS NOT NULL")
+    return melted.groupBy("column", "number").agg(F.count(F.lit(1)).alias("m"))
+
+
 def ks_statistic(current: DataFrame, baseline: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Largest gap between the two empirical distributions, per column: ``(column, ks_stat, n, m)``.
 

@@ -29,10 +29,6 @@ RESULTS_PASSED = "All required analysers passed"
 NOT_FOUND = "Model version %s not found in baseline registry for project %s"
 REJECTED = "Baseline rejected"
 
-MANIFEST_SCHEMA = (
-    "schema_version string, project string, model_version string, produced_at timestamp, "
-    "provenance struct<git_sha string, pipeline_run_id string>, artifacts map<string,string>"
-)
 _MANIFEST_FIELDS = ("schema_version", "project", "model_version", "produced_at", "provenance", "artifacts")
 _PROVENANCE_FIELDS = ("git_sha", "pipeline_run_id")
 
@@ -175,46 +171,71 @@ def latest_versions(objects: DataFrame, key: str = "key") -> DataFrame:
 def check_manifests(documents: DataFrame, column: str = "document") -> DataFrame:
     """Parse manifest JSON: ``(document, manifest, problem)`` with a null problem for a valid one.
 
-    Nothing may be unknown, empty or of another type than text; ``schema_version`` may be left out.
+    Nothing may be unknown, empty or of another type than text; ``schema_version`` may be left out. Each
+    document is parsed once into a variant and once into its field map; the tests look at those.
     """
     text = F.col(column)
-    tree = F.try_parse_json(text)
-
-    def kind(path: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(tree, path, "variant"))
+    fields = ["schema_version", "project", "model_version", "produced_at"]
+    members = "map<string,variant>"
+    parsed = documents.withColumn("__tree", F.try_parse_json(text))
+    opened = parsed.withColumn("__top", F.try_variant_get("__tree", "$", members))
+    top = F.col("__top")
+    opened = opened.select(
+        *documents.columns,
+        F.map_keys(top).alias("__keys"),
+        F.struct(*[_text_of(F.try_element_at(top, F.lit(f))).alias(f) for f in fields]).alias("__text"),
+        F.try_element_at(top, F.lit("schema_version")).isNotNull().alias("__versioned"),
+        F.try_variant_get(F.try_element_at(top, F.lit("provenance")), "$", members).alias("__provenance"),
+        F.try_variant_get(F.try_element_at(top, F.lit("artifacts")), "$", members).alias("__artifacts"),
+    )
+    provenance = F.col("__provenance")
+    typed = opened.withColumn(
+        "__manifest",
+        F.struct(
+            F.when(F.col("__versioned"), F.col("__text.schema_version")).otherwise(MANIFEST_VERSION).alias("schema_version"),
+            F.col("__text.project").alias("project"),
+            F.col("__text.model_version").alias("model_version"),
+            F.col("__text.produced_at").try_cast("timestamp").alias("produced_at"),
+            F.struct(
+                *[_text_of(F.try_element_at(provenance, F.lit(f))).alias(f) for f in _PROVENANCE_FIELDS]
+            ).alias("provenance"),
+            F.transform_values("__artifacts", lambda _, v: _text_of(v)).alias("artifacts"),
+        ),
+    )
 
-    def filled(path: str) -> Column:
-        value = F.try_variant_get(tree, path, "string")
-        return F.coalesce((kind(path) == "STRING") & (F.length(value) > 0), F.lit(False))
+    def unknown(keys: Column, allowed: Sequence[str]) -> Column:
+        return F.coalesce(F.size(F.array_except(keys, _texts(allowed))) > 0, F.lit(False))
 
-    def unknown(path: str, allowed: Sequence[str]) -> Column:
-        return F.size(F.array_except(F.json_object_keys(F.get_json_object(text, path)), _texts(allowed))) > 0
+    def empty(path: str) -> Column:
+        return F.coalesce(F.length(F.col(f"__manifest.{path}")) == 0, F.lit(True))
 
-    manifest = F.from_json(text, MANIFEST_SCHEMA)
-    artifacts = F.try_variant_get(tree, "$.artifacts", "map<string,variant>")
-    plain = F.forall(F.map_values(artifacts), lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
-    stated = F.coalesce(F.try_variant_get(tree, "$.schema_version", "string"), F.lit(MANIFEST_VERSION))
+    artifacts = F.col("__manifest.artifacts")
     tests = [
-        ("not a JSON object", ~F.coalesce(kind("$").startswith("OBJECT"), F.lit(False))),
-        ("unknown field", F.coalesce(unknown("$", _MANIFEST_FIELDS), F.lit(False))),
-        ("unsupported schema_version", stated != MANIFEST_VERSION),
-        *[(f"{name} is missing or empty", ~filled(f"$.{name}")) for name in ("project", "model_version")],
-        ("produced_at is no timestamp", F.try_variant_get(tree, "$.produced_at", "timestamp").isNull()),
-        ("unknown provenance field", F.coalesce(unknown("$.provenance", _PROVENANCE_FIELDS), F.lit(False))),
-        *[(f"provenance.{name} is missing or empty", ~filled(f"$.provenance.{name}")) for name in _PROVENANCE_FIELDS],
+        ("not a JSON object", F.col("__keys").isNull()),
+        ("unknown field", unknown(F.col("__keys"), _MANIFEST_FIELDS)),
+        ("unsupported schema_version", ~F.col("__manifest.schema_version").eqNullSafe(MANIFEST_VERSION)),
+        *[(f"{name} is missing or empty", empty(name)) for name in ("project", "model_version")],
+        ("produced_at is no timestamp", F.col("__manifest.produced_at").isNull()),
+        ("unknown provenance field", unknown(F.map_keys("__provenance"), _PROVENANCE_FIELDS)),
+        *[(f"provenance.{name} is missing or empty", empty(f"provenance.{name}")) for name in _PROVENANCE_FIELDS],
         ("artifacts are missing or empty", ~F.coalesce(F.size(artifacts) > 0, F.lit(False))),
-        ("artifacts hold a value that is no text", ~F.coalesce(plain, F.lit(False))),
+        ("artifacts hold a value that is no text", F.exists(F.map_values(artifacts), lambda v: v.isNull())),
     ]
     problem = reduce(
         lambda found, test: F.coalesce(found, F.when(test[1], F.lit(test[0]))), tests, F.lit(None).cast("string")
     )
-    checked = documents.withColumn("problem", problem)
-    return checked.withColumn("manifest", F.when(F.col("problem").isNull(), manifest))
+    checked = typed.withColumn("problem", problem)
+    manifest = F.when(F.col("problem").isNull(), F.col("__manifest"))
+    return checked.select(*documents.columns, "problem", manifest.alias("manifest"))
+
+
+def _text_of(value: Column) -> Column:
+    """The text of a variant that holds text, null for any other kind."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def read_manifests(documents: DataFrame, column: str = "document") -> tuple[DataFrame, DataFrame]:
     """``(manifests, rejects)``: valid manifests as typed rows, the others with their problem."""
     checked = check_manifests(documents, column)
     valid = checked.where("problem IS NULL").select("manifest.*")
-    valid = valid.withColumn("schema_version", F.coalesce("schema_version", F.lit(MANIFEST_VERSION)))
     return valid, checked.where("problem IS NOT NULL").select(column, "problem")

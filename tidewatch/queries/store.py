@@ -69,10 +69,17 @@ def _monitors(spark: SparkSession, sf_dir: str) -> list[Monitor]:
     ]
 
 
+_STORES: dict[tuple[str, str], MonitorStore] = {}
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> MonitorStore:
-    store = MonitorStore(scratch(spark, "store"))
-    run_all(spark, store, _monitors(spark, sf_dir), parallel=4)
-    return store
+    """The store of one job run; the reports below read the same run."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        store = MonitorStore(scratch(spark, "store"))
+        run_all(spark, store, _monitors(spark, sf_dir), parallel=4)
+        _STORES[key] = store
+    return _STORES[key]
 
 
 def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,8 +92,8 @@ def window_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KS of the value of each day's events against all views."""
     live = _drained(spark, windows.live_numbers(_captures(spark, sf_dir), ["value"], "1 day"), "window_ks")
     views = table(spark, sf_dir, "events").where("event_type = 'view'")
-    baseline = views.groupBy(F.lit("value").alias("column"), F.col("value").alias("number")).agg(F.count(F.lit(1)).alias("m"))
-    rows = windows.window_ks(live, baseline).withColumn("window_start", text_time("window_start"))
+    rows = windows.window_ks(live, dq.baseline_numbers(views, ["value"]))
+    rows = rows.withColumn("window_start", text_time("window_start"))
     return tidy(rows, "window_start", "column", "ks_stat", "n", "m")
 
 
