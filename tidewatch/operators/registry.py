@@ -37,13 +37,8 @@ def _texts(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def needed_artifacts(monitor: Column) -> Column:
-    """Artifacts a monitor needs; an unknown monitor needs none and always passes."""
-    found = F.lit(None).cast("array<string>")
-    for name, artifacts in NEEDED_ARTIFACTS.items():
-        names = [name] + [alias for alias, target in ALIASES.items() if target == name]
-        found = F.coalesce(found, F.when(monitor.isin(names), _texts(artifacts)))
-    return F.coalesce(found, _texts([]))
+def _names(monitor: str) -> list[str]:
+    return [monitor] + [alias for alias, target in ALIASES.items() if target == monitor]
 
 
 def gate(manifests: DataFrame, config: DataFrame) -> DataFrame:
@@ -51,45 +46,62 @@ def gate(manifests: DataFrame, config: DataFrame) -> DataFrame:
 
     Returns status, message, warnings and the monitors to run. ``config`` holds one row
     ``(project, monitor, enabled, required)`` per monitor; a project's monitors are folded into one
-    short array, so a manifest meets one config row and the rest is evaluated in place.
+    short array, so a manifest meets one config row. Which kinds of monitor lack artifacts depends on the
+    manifest alone and is worked out once per manifest. An unknown monitor needs nothing and passes.
     """
-    monitors = config.groupBy("project").agg(
-        F.sort_array(F.collect_list(F.struct("monitor", "enabled", "required"))).alias("monitors")
+    monitors = config.where("enabled").groupBy("project").agg(
+        F.sort_array(F.collect_list(F.struct("monitor", "required"))).alias("monitors")
     )
-    joined = manifests.join(monitors, "project", "left").withColumn("present", F.map_keys("artifacts"))
-    checks = F.transform(
-        F.filter("monitors", lambda m: m["enabled"]),
-        lambda m: F.struct(
-            m["monitor"].alias("monitor"),
-            m["required"].alias("required"),
-            (F.size(F.array_except(needed_artifacts(m["monitor"]), F.col("present"))) > 0).alias("missing"),
-        ),
+    no_monitors = F.array().cast("array<struct<monitor:string,required:boolean>>")
+    lacking = F.array_compact(
+        F.array(
+            *[
+                F.when(reduce(lambda x, y: x | y, [~F.map_contains_key("artifacts", n) for n in needed]), F.lit(name))
+                for kind, needed in NEEDED_ARTIFACTS.items()
+                if needed
+                for name in _names(kind)
+            ]
+        )
+    )
+    joined = manifests.join(monitors, "project", "left").select(
+        *VERSION,
+        F.map_keys("artifacts").alias("present"),
+        F.coalesce("monitors", no_monitors).alias("monitors"),
+        lacking.alias("lacking"),
     )
-    checked = joined.select(
+    split = joined.select(
         *VERSION,
         "present",
-        F.coalesce(checks, F.array().cast("array<struct<monitor:string,required:boolean,missing:boolean>>")).alias("checks"),
+        F.filter("monitors", lambda m: F.array_contains(F.col("lacking"), m["monitor"])).alias("missing"),
+        F.filter("monitors", lambda m: ~F.array_contains(F.col("lacking"), m["monitor"])).alias("runnable"),
+    ).withColumn("failed", F.exists("missing", lambda m: m["required"]))
+    expected = F.create_map(
+        *[
+            F.lit(text)
+            for kind, needed in NEEDED_ARTIFACTS.items()
+            for name in _names(kind)
+            for text in (name, ", ".join(needed))
+        ]
     )
     warnings = F.transform(
-        F.filter("checks", lambda c: c["missing"]),
-        lambda c: F.concat(
-            F.when(c["required"], "Required").otherwise("Optional"),
+        "missing",
+        lambda m: F.concat(
+            F.when(m["required"], "Required").otherwise("Optional"),
             F.lit(" monitor "),
-            c["monitor"],
+            m["monitor"],
             F.lit(" missing artifacts: expected "),
-            F.array_join(needed_artifacts(c["monitor"]), ", "),
+            F.try_element_at(expected, m["monitor"]),
             F.lit("; present "),
             F.array_join("present", ", "),
         ),
     )
-    failed = F.exists("checks", lambda c: c["missing"] & c["required"])
-    plan = F.transform(F.filter("checks", lambda c: ~c["missing"]), lambda c: c["monitor"])
-    return checked.select(
+    count = F.size("missing")
+    return split.select(
         *VERSION,
-        F.when(failed, "rejected").when(F.size(warnings) > 0, "approved_with_warnings").otherwise("approved").alias("status"),
-        F.when(failed, F.format_string(GATE_FAILED, F.size(warnings))).otherwise(GATE_PASSED).alias("message"),
+        F.when(F.col("failed"), "rejected").when(count > 0, "approved_with_warnings").otherwise("approved").alias("status"),
+        F.when(F.col("failed"), F.format_string(GATE_FAILED, count)).otherwise(GATE_PASSED).alias("message"),
         warnings.alias("warnings"),
-        F.when(failed, _texts([])).otherwise(plan).alias("monitors_to_run"),
+        F.when(F.col("failed"), _texts([])).otherwise(F.col("runnable.monitor")).alias("monitors_to_run"),
     )
 
 
