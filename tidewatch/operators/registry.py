@@ -49,31 +49,28 @@ def gate(manifests: DataFrame, config: DataFrame) -> DataFrame:
     short array, so a manifest meets one config row. Which kinds of monitor lack artifacts depends on the
     manifest alone and is worked out once per manifest. An unknown monitor needs nothing and passes.
     """
+    bit = F.lit(0)  # each kind of monitor is one bit, unknown kinds are none
+    mask = F.lit(0)
+    for i, (kind, needed) in enumerate(NEEDED_ARTIFACTS.items()):
+        bit = F.when(F.col("monitor").isin(_names(kind)), F.lit(1 << i)).otherwise(bit)
+        absent = reduce(lambda x, y: x | y, [~F.array_contains("present", n) for n in needed], F.lit(False))
+        mask = mask.bitwiseOR(F.when(absent, F.lit(1 << i)).otherwise(F.lit(0)))
     monitors = config.where("enabled").groupBy("project").agg(
-        F.sort_array(F.collect_list(F.struct("monitor", "required"))).alias("monitors")
+        F.sort_array(F.collect_list(F.struct("monitor", "required", bit.alias("bit")))).alias("monitors")
     )
-    no_monitors = F.array().cast("array<struct<monitor:string,required:boolean>>")
-    lacking = F.array_compact(
-        F.array(
-            *[
-                F.when(reduce(lambda x, y: x | y, [~F.map_contains_key("artifacts", n) for n in needed]), F.lit(name))
-                for kind, needed in NEEDED_ARTIFACTS.items()
-                if needed
-                for name in _names(kind)
-            ]
-        )
-    )
-    joined = manifests.join(monitors, "project", "left").select(
-        *VERSION,
-        F.map_keys("artifacts").alias("present"),
-        F.coalesce("monitors", no_monitors).alias("monitors"),
-        lacking.alias("lacking"),
+    no_monitors = F.array().cast("array<struct<monitor:string,required:boolean,bit:int>>")
+    joined = (
+        manifests.withColumn("present", F.map_keys("artifacts"))
+        .withColumn("lacking", mask)
+        .join(monitors, "project", "left")
+        .withColumn("monitors", F.coalesce("monitors", no_monitors))
     )
+    lacks = F.col("lacking")
     split = joined.select(
         *VERSION,
         "present",
-        F.filter("monitors", lambda m: F.array_contains(F.col("lacking"), m["monitor"])).alias("missing"),
-        F.filter("monitors", lambda m: ~F.array_contains(F.col("lacking"), m["monitor"])).alias("runnable"),
+        F.filter("monitors", lambda m: m["bit"].bitwiseAND(lacks) != 0).alias("missing"),
+        F.filter("monitors", lambda m: m["bit"].bitwiseAND(lacks) == 0).alias("runnable"),
     ).withColumn("failed", F.exists("missing", lambda m: m["required"]))
     expected = F.create_map(
         *[
