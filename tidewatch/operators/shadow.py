@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.divergence import js_bits, normalised_probabilities
 from tidewatch.functions.values import quoted, without_nan
-from tidewatch.operators.slices import bound_index, range_bounds
+from tidewatch.operators.slices import SLICE, SLICES_PER_PARTITION, with_slice
 from tidewatch.result import metric_rows, violation_rows
 from tidewatch.spec import ShadowSpec
 
@@ -59,24 +59,23 @@ def align_by_key(serving: DataFrame, shadow: DataFrame, spec: ShadowSpec) -> Dat
 def ranked(df: DataFrame, order_by: str, slices: int | None = None) -> DataFrame:
     """Adds ``position``, the 1-based rank of each row by ``order_by``, without a global sort task.
 
-    Cut points are drawn once and become literals, so a row's slice depends on its value alone: a task
-    that is retried or a branch that is planned twice numbers the rows the same way.
+    Rows are numbered within slices of the ordering and shifted by the sizes of the earlier slices.
     """
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    column = F.col(quoted(order_by))
-    cut = df.withColumn("__slice", bound_index(column, range_bounds(df, order_by, slices)))
-    before = Window.partitionBy(F.lit(1)).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    if slices is None:
+        slices = SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = with_slice(df, order_by, slices)
+    before = Window.partitionBy(F.lit(1)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy("__slice")
+        cut.groupBy(SLICE)
         .agg(F.count(F.lit(1)).alias("size"))
-        .select("__slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+        .select(SLICE, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     )
-    local = F.row_number().over(Window.partitionBy("__slice").orderBy(column))
+    local = F.row_number().over(Window.partitionBy(SLICE).orderBy(F.col(quoted(order_by))))
     return (
         cut.withColumn("__local", local)
-        .join(F.broadcast(offsets), "__slice")  # at most one row per slice
+        .join(F.broadcast(offsets), SLICE)  # at most one row per slice
         .withColumn("position", F.col("__local") + F.col("offset"))
-        .drop("__slice", "__local", "offset")
+        .drop(SLICE, "__local", "offset")
     )
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions.values import quoted
+
 SLICE = "__slice"
 # More slices than shuffle partitions: slices are hashed to tasks, and many small ones even out.
 SLICES_PER_PARTITION = 4
@@ -27,29 +29,50 @@ def sliced(histogram: DataFrame, *ordering: str) -> DataFrame:
     return ranges.withColumn(SLICE, F.spark_partition_id())
 
 
-def range_bounds(df: DataFrame, column: str, slices: int) -> list[object]:
-    """At most ``slices - 1`` ascending cut points of about equal row counts, as driver-side literals."""
-    steps = [i / slices for i in range(1, slices)]
-    if not steps:
-        return []
+def _position(df: DataFrame, column: str) -> Column | None:
+    """A double that orders like the column, or null for types without one."""
     dtype = df.schema[column].dataType
-    if isinstance(dtype, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
-        accuracy = max(10_000, 20 * slices)
-        cuts = df.agg(F.percentile_approx(column, steps, accuracy).alias("cuts")).first()["cuts"] or []
-    else:
-        lows = (
-            df.select(column)
-            .where(F.col(column).isNotNull())
-            .repartitionByRange(slices, column)
-            .groupBy(F.spark_partition_id())
-            .agg(F.min(column).alias("low"))
-        )
-        cuts = sorted(row["low"] for row in lows.collect())[1:]
-    return sorted(set(cuts))
-
-
-def bound_index(column: Column, bounds: list[object]) -> Column:
-    """Number of bounds at or below the value, as a balanced CASE tree (log depth, code-generated)."""
+    if isinstance(dtype, T.NumericType):
+        return F.col(quoted(column)).cast("double")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(F.col(quoted(column)).cast("timestamp")).cast("double")
+    return None
+
+
+def with_slice(df: DataFrame, column: str, slices: int) -> DataFrame:
+    """Tags each row with a slice that orders like ``column``, about equally many rows in each.
+
+    The cut points are drawn once, on the driver, and become constants, so a row's slice depends on its
+    value alone: a retried task or a second branch of the plan tags the rows the same way. Numbers and
+    times are cut at approximate quantiles and bucketed by binary search; other types are cut at the
+    starts of a range partitioning and searched by a CASE tree, which is kept to 256 leaves.
+    """
+    position = _position(df, column)
+    if position is None:
+        return df.withColumn(SLICE, _leaf(F.col(quoted(column)), _starts(df, column, min(slices, 256))))
+    steps = [i / slices for i in range(1, slices)]
+    cuts = df.agg(F.percentile_approx(position, steps, max(10_000, 20 * slices)).alias("cuts")).first()["cuts"] if steps else []
+    splits = sorted(set(cuts or []))
+    if not splits:
+        return df.withColumn(SLICE, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    bucketizer = Bucketizer(
+        splits=[float("-inf"), *splits, float("inf")], inputCol="__position", outputCol=SLICE, handleInvalid="keep"
+    )
+    return bucketizer.transform(df.withColumn("__position", position)).drop("__position")
+
+
+def _starts(df: DataFrame, column: str, slices: int) -> list[object]:
+    """First value of each range of a range partitioning, but for the lowest: at most ``slices - 1`` values."""
+    name = quoted(column)
+    ranges = df.select(F.col(name).alias("v")).where("v IS NOT NULL").repartitionByRange(slices, "v")
+    lows = ranges.groupBy(F.spark_partition_id()).agg(F.min("v").alias("low")).collect()
+    return sorted(row["low"] for row in lows)[1:]
+
+
+def _leaf(column: Column, bounds: list[object]) -> Column:
+    """Number of bounds at or below the value, as a balanced CASE tree."""
 
     def search(low: int, high: int) -> Column:
         if low == high:

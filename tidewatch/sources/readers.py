@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,16 @@ def read_inputs(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Data
     return {name: spark.read.parquet(path) for name, path in paths.items()}
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A Parquet table, empty while nothing has been written to its folder."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A JSON-lines snapshot. The schema is given, so no inference pass reads the data twice."""
     return spark.read.schema(schema).json(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.registry import new_registry_rows
 from tidewatch.operators.rollup import standard_metrics
+from tidewatch.sources.readers import read_or_empty
 
 if TYPE_CHECKING:
     from tidewatch.plans.job import RunContext, RunResult
@@ -146,10 +147,7 @@ class MonitorStore:
 
     def read(self, spark: SparkSession, table: str, schema: str) -> DataFrame:
         """A table of the store, empty while nothing has been written."""
-        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(self.path(table))
+        return read_or_empty(spark, self.path(table), schema)
 
     def outcomes(self, spark: SparkSession) -> DataFrame:
         """One row per (run_id, analyser_type): the latest write of a repeated run wins."""

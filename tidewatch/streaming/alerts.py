@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewatch.streaming.sinks import exists, start
+from tidewatch.sources.readers import read_or_empty
+from tidewatch.streaming.sinks import start
 
 KEY = ["run_id", "analyser_type"]
 
@@ -45,9 +46,7 @@ def notify_once(
         if not days:
             return
         schema = found.withColumn("mark", F.lit(mark)).schema
-        seen = keys.limit(0)
-        if exists(spark, ledger):
-            seen = spark.read.schema(schema).parquet(ledger).where(F.col("dt").isin(days)).select("dt", *KEY)
+        seen = read_or_empty(spark, ledger, schema).where(F.col("dt").isin(days)).select("dt", *KEY)
         fresh = unseen(found, seen).withColumn("mark", F.lit(mark))
         fresh.write.mode("append").partitionBy("dt", "mark").parquet(ledger)
         written = spark.read.schema(schema).parquet(ledger).where(F.col("dt").isin(days) & (F.col("mark") == mark))
