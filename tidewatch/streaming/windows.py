@@ -45,9 +45,10 @@ def window_stability(live: DataFrame, baseline: DataFrame) -> DataFrame:
     """
     size = baseline.groupBy("column").agg(F.greatest(F.sum("count"), F.lit(1)).alias("total_baseline"))
     known = baseline.join(F.broadcast(size), "column")  # one row per configured column
-    totals = live.groupBy("window_start", "column").agg(F.greatest(F.sum("n"), F.lit(1)).alias("total"))
+    # one row per closed window and configured column; a shuffle by column would gather whole columns
+    totals = F.broadcast(live.groupBy("window_start", "column").agg(F.greatest(F.sum("n"), F.lit(1)).alias("total")))
     zero = F.lit(0).cast("bigint")
-    expected = totals.join(known, "column").select(
+    expected = known.join(totals, "column").select(
         "window_start", "column", "category", "total", "total_baseline", zero.alias("n"), F.col("count").alias("n_baseline")
     )
     observed = live.join(totals, ["window_start", "column"]).join(F.broadcast(size), "column").select(
@@ -118,8 +119,8 @@ def window_ks(live: DataFrame, baseline: DataFrame) -> DataFrame:
     """
     zero = F.lit(0).cast("bigint")
     observed = live.select("window_start", "column", "number", F.col("n").alias("n_current"), zero.alias("n_baseline"))
-    windows = live.select("window_start", "column").distinct()
-    expected = windows.join(baseline, "column").select(
+    windows = F.broadcast(live.select("window_start", "column").distinct())  # closed windows by configured columns
+    expected = baseline.join(windows, "column").select(
         "window_start", "column", "number", zero.alias("n_current"), F.col("m").alias("n_baseline")
     )
     keys = ["window_start", "column"]
