@@ -103,8 +103,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result document with saved local attributions, opened again: its importances as rows."""
     config = {**BASE, "save_local_shap_values": True}
-    return Explain(scorer()).compute({"features": parts(spark, sf_dir)}, config).payload(spark)
+    document = Explain(scorer()).compute({"features": parts(spark, sf_dir)}, config).payload(spark)
+    local = F.json_array_length(F.get_json_object("document", "$.local_shap_values")).cast("bigint")
+    scores = F.from_json(F.get_json_object("document", "$.kernel_shap"), "array<struct<feature:string,importance:double>>")
+    return tidy(document.select(local.alias("local_values"), F.inline(scores)), "local_values", "feature", "importance")
 
 
 def efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +238,8 @@ ORACLES = {
     "explain_topk": f"""WITH {_phi_sql()}, g AS ({_IMPORTANCE})
         SELECT feature, {r('importance')} AS importance FROM g ORDER BY abs(g.importance) DESC, feature LIMIT 2""",
     "top10_importance": f"WITH {_phi_sql()}, g AS ({_IMPORTANCE}) SELECT 'shap/' || feature AS name, {r('importance')} AS value FROM g",
+    "explain_payload": f"""WITH {_phi_sql()} SELECT (SELECT count(*) FROM phi)::BIGINT AS local_values, feature,
+        {r('avg(abs(phi))')} AS importance FROM phi GROUP BY feature""",
     "explain_multiclass": f"""WITH {_MULTI}, local AS (
           SELECT id, feature, avg(abs(phi)) AS phi FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2) GROUP BY id, feature)
         SELECT feature, {r('avg(abs(phi))')} AS importance FROM local GROUP BY feature""",

@@ -98,8 +98,21 @@ def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result document, opened again: its outcome and the sizes of its parts."""
     predictions = {"predictions": multi(spark, sf_dir)}
-    return ModelQuality().compute(predictions, MULTI).payload(spark)
+    document = ModelQuality().compute(predictions, MULTI).payload(spark)
+    return document.select(
+        F.get_json_object("document", "$.monitor_type").alias("monitor_type"),
+        F.get_json_object("document", "$.problem_type").alias("problem_type"),
+        F.get_json_object("document", "$.outcome.outcome").alias("outcome"),
+        F.json_array_length(F.get_json_object("document", "$.metrics")).cast("bigint").alias("metrics"),
+        F.json_array_length(F.get_json_object("document", "$.confusion_matrix")).cast("bigint").alias("cells"),
+        F.aggregate(
+            F.from_json(F.get_json_object("document", "$.confusion_matrix"), "array<struct<n:bigint>>"),
+            F.lit(0).cast("bigint"),
+            lambda acc, cell: acc + cell["n"],
+        ).alias("pairs"),
+    )
 
 
 def metric_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,6 +251,9 @@ ORACLES = {
         CASE WHEN count(*) > 0 THEN 'succeeded_with_violations' ELSE 'succeeded' END AS outcome,
         CASE WHEN count(*) = 0 THEN 'info' WHEN count(*) >= 2 THEN 'alert' ELSE 'warn' END AS severity,
         count(*)::BIGINT AS violation_count FROM bad""",
+    "mq_payload": f"""{_MULTI} {_SCORES} SELECT 'MQ' AS monitor_type, 'multiclass' AS problem_type, 'succeeded' AS outcome,
+        (5 + 3 * (SELECT count(*) FROM classes))::BIGINT AS metrics, ((SELECT count(*) FROM classes) * (SELECT count(*) FROM classes))::BIGINT AS cells,
+        sum(n)::BIGINT AS pairs FROM cells""",
     "mq_metric_view": f"""{_MULTI} {_SCORES}, pc AS ({_PER_CLASS})
         SELECT 'scalar' AS section, NULL::VARCHAR AS class, metric, {r('value')} AS value FROM scalars
         UNION ALL SELECT 'scalar', NULL, 'rows_dropped', {r("count(*) FILTER (label IS NULL OR prediction IS NULL)::DOUBLE")} FROM pred
