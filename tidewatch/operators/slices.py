@@ -14,19 +14,21 @@ from pyspark.sql import types as T
 from tidewatch.functions.values import quoted
 
 SLICE = "__slice"
-# More slices than shuffle partitions: slices are hashed to tasks, and many small ones even out.
+# Slices of a ranking per shuffle partition: slices are hashed to tasks, and many small ones even out.
 SLICES_PER_PARTITION = 4
 
 
 def sliced(histogram: DataFrame, *ordering: str) -> DataFrame:
-    """Range-partition a pre-aggregated histogram and tag each row with its range.
+    """Range-partition a pre-aggregated histogram, tag each row with its range, one range per task.
 
     The histogram holds each value once, so a hot value is one row. The range bounds are drawn once,
-    when the exchange runs, and every consumer reads the tag of that single exchange.
+    when the exchange runs, and adaptive execution merges small ranges. The tag is also the partition
+    the row is sent to next, which windows and aggregates by tag then find in place; hashing the tags
+    instead would leave some tasks with several ranges and others with none.
     """
     partitions = int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = histogram.repartitionByRange(SLICES_PER_PARTITION * partitions, *ordering)
-    return ranges.withColumn(SLICE, F.spark_partition_id())
+    tagged = histogram.repartitionByRange(*ordering).withColumn(SLICE, F.spark_partition_id())
+    return tagged.repartitionById(partitions, F.col(SLICE))
 
 
 def _position(df: DataFrame, column: str) -> Column | None:
