@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 
 from pyspark.sql import SparkSession
 
@@ -34,12 +34,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder, a temporary one in local runs."""
+    """Folder every executor can reach: the checkpoint folder of the session, else one beside its tables."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tidewatch-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidewatch-scratch"
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package in sessions that were started without it on their path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
