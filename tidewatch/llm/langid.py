@@ -122,12 +122,14 @@ def fit(labelled: DataFrame, buckets: int = 1 << 14, alpha: float = 0.1, most_la
     rows = labelled.where(F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
     sums = rows.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # At most (buckets + 1) rows per language come to the driver.
-    rows = sums.toPandas()
-    languages = sorted(rows["lang"].unique())
+    rows = sums.toArrow()
+    names = rows["lang"].to_pylist()
+    languages = sorted(set(names))
     if len(languages) > most_languages:
         raise ValueError(f"{len(languages)} languages; the broadcast matrix is bounded to {most_languages}")
     table = np.zeros((len(languages), buckets + 1))
-    table[rows["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(int), rows["bucket"].to_numpy(int)] = rows["n"]
+    row = {x: k for k, x in enumerate(languages)}
+    table[np.array([row[x] for x in names], np.int64), rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return Model(languages, table[:, :buckets], table[:, buckets], alpha)
 
 
