@@ -62,12 +62,12 @@ def grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(found), np.concatenate(owner), has
 
 
-def pieces(texts: list[str]) -> list[tuple[int, int]]:
-    """Ranges of texts of together about STEP characters, so a batch of long texts needs no more memory."""
+def pieces(texts: list[str], step: int = STEP) -> list[tuple[int, int]]:
+    """Ranges of texts of together about ``step`` characters, so a batch of long texts needs no more memory."""
     out, begin, size = [], 0, 0
     for k, t in enumerate(texts):
         size += len(t)
-        if size >= STEP:
+        if size >= step:
             out.append((begin, k + 1))
             begin, size = k + 1, 0
     return [*out, (begin, len(texts))] if begin < len(texts) else out

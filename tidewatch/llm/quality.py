@@ -138,5 +138,6 @@ def verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.05, level: floa
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05) -> DataFrame:
     """The documents that base rules and certified cutoffs let pass, with their columns."""
-    limits = thresholds(measured(docs.select("doc_id", "text", "lang")), labels, risk, level)
-    return judged(measured(docs), limits).where(q("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Measured once and written: a filter pushed into the measuring would repeat it for every count it looks at.
+    rows = cut(measured(docs), "measured")
+    return judged(rows, thresholds(rows, labels, risk, level)).where(q("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
