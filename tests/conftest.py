@@ -9,7 +9,7 @@ from tidewatch.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8", partitions=8, memory="6g")
+def spark(tmp_path_factory):
+    session = local_session("8", partitions=8, memory="6g", folder=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()

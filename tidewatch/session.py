@@ -13,11 +13,13 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Streams keep days of captures and a row per distinct value: their state must not live on the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
-def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and benches; on a cluster the submitter supplies master and sizes."""
+def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", folder: str | None = None) -> SparkSession:
+    """A session for tests and benches; on a cluster the submitter supplies master, sizes and the shared folder."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tidewatch")
@@ -26,10 +28,11 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
-    for key, value in DEFAULTS.items():
+    for key, value in {**DEFAULTS, **({"spark.checkpoint.dir": folder} if folder else {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    importable(spark)
     return spark
 
 
