@@ -53,24 +53,25 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, kind: st
 
 
 def best_knapsack(values: np.ndarray, weights: np.ndarray, rooms: int) -> np.ndarray:
-    """How often each kind is in the most valuable multiset of kinds of at most ``rooms`` (weights ascending)."""
-    best, pick = np.zeros(rooms + 1), np.full(rooms + 1, -1)
-    fits = np.searchsorted(weights, np.arange(rooms + 1), "right")
-    for room in range(1, rooms + 1):
-        best[room] = best[room - 1]
-        if n := fits[room]:
-            gains = values[:n] + best[room - weights[:n]]
-            k = int(gains.argmax())
-            if gains[k] > best[room]:
-                best[room], pick[room] = gains[k], k
-    times, room = np.zeros(len(values), np.int64), rooms
-    while room > 0:
-        if pick[room] >= 0:
-            times[pick[room]] += 1
-            room -= weights[pick[room]]
-        else:
-            room -= 1
-    return times
+    """How often each kind is in the most valuable multiset of kinds of total weight at most ``rooms``.
+
+    A kind is offered once, twice, four times and so on, each offer taken or left, so any number of it can be had.
+    """
+    best, offers = np.zeros(rooms + 1), []
+    for kind in np.flatnonzero(values > 0):
+        times = 1
+        while (weight := int(weights[kind]) * times) <= rooms:
+            gain = best[: rooms + 1 - weight] + values[kind] * times
+            better = gain > best[weight:]
+            best[weight:] = np.maximum(best[weight:], gain)
+            offers.append((kind, times, weight, better))
+            times *= 2
+    chosen, room = np.zeros(len(values), np.int64), rooms
+    for kind, times, weight, better in reversed(offers):
+        if room >= weight and better[room - weight]:
+            chosen[kind] += times
+            room -= weight
+    return chosen
 
 
 def configuration_program(need: np.ndarray, weights: np.ndarray, rooms: int, steps: int, rate: float, spread: float = 0.3) -> list[tuple[np.ndarray, float]]:
@@ -167,20 +168,19 @@ def best_fit(left: np.ndarray, groups: list[list]) -> list[list]:
 def plan(counts: np.ndarray, size: int, steps: int = 600, kinds: int = 64, rate: float = 0.05) -> list[tuple[int, dict[int, int]]]:
     """Groups of sequences alike: how many, and how often each length is in one.
 
-    The program is solved over ``kinds`` ranges of lengths, each counted as its longest, in 512ths of ``size``; the
+    The program is solved over ``kinds`` ranges of lengths, each counted as its longest; the
     pieces that then take the places keep their own lengths. Lengths over the program's room are left to best fit.
     """
     left, groups = counts.copy(), []
     ranges_of = kinds_of(counts, size, kinds)
     if ranges_of:
-        unit = max(1, size // 512)
-        weights = np.array([-(-last // unit) for _, last in ranges_of])
+        weights = np.array([last for _, last in ranges_of])
         need = np.array([counts[a : b + 1].sum() for a, b in ranges_of])
         stock = need.copy()
         # Every sequence keeps room for its share of the filling.
         tokens = counts * np.arange(size + 1)
         share = tokens[: ranges_of[0][0]].sum() / tokens.sum()
-        rooms = int((1 - share) * size) // unit
+        rooms = int((1 - share) * size)
         for times, amount in configuration_program(need.astype(float), weights, rooms, steps, rate):
             inside = np.flatnonzero(times)
             many = min(int(amount), int((stock[inside] // times[inside]).min()))
