@@ -50,14 +50,13 @@ def test_exact_attributions(spark, table):
             assert got[(r["row_id"], f)] == pytest.approx(expected, abs=1e-12)
 
 
-def test_permutations_converge_and_keep_the_sum(spark, table, monkeypatch):
+def test_permutations_converge_and_keep_the_sum(spark, table):
     rows = explain.sample_rows(table, "id", 4, 1, FEATURES)
     background = explain.sample_rows(table, "id", 6, 2, FEATURES)
     exact = {(r["row_id"], r["feature"]): r["phi"] for r in explain.local_attributions(
         explain.attributions(rows, background, FEATURES, scorer()), True).collect()}
-    monkeypatch.setattr(explain, "EXACT_FEATURES", 2)
     sampled = {(r["row_id"], r["feature"]): r["phi"] for r in explain.local_attributions(
-        explain.attributions(rows, background, FEATURES, scorer(), permutations=200), True).collect()}
+        explain.attributions(rows, background, FEATURES, scorer(), permutations=200, method="permutation"), True).collect()}
     for row_id in {k[0] for k in exact}:
         assert sum(sampled[(row_id, f)] for f in FEATURES) == pytest.approx(sum(exact[(row_id, f)] for f in FEATURES))
     assert all(sampled[k] == pytest.approx(exact[k], abs=0.02) for k in exact)
@@ -104,10 +103,11 @@ def test_python_model(spark, table):
     assert left == {k: pytest.approx(v) for k, v in right.items()}
 
 
-def test_budget(spark, table, monkeypatch):
-    monkeypatch.setattr(explain, "CELL_BUDGET", 100)
-    with pytest.raises(ValueError, match="budget"):
-        explain.attributions(table, table, FEATURES, scorer())
+def test_many_rows_use_many_tasks(spark):
+    rows = spark.range(1500).select(F.col("id").alias("row_id"), *[(F.col("id") % (7 + k)).cast("double").alias(f) for k, f in enumerate(FEATURES)])
+    phi = explain.attributions(rows, rows.limit(3), FEATURES, scorer(), max_rows=1500, max_background=3)
+    tasks = phi.select(explain.ROW, F.spark_partition_id().alias("p")).distinct().groupBy("p").count()
+    assert tasks.count() >= 8 and tasks.agg(F.max("count")).first()[0] < 1500 / 3
 
 
 def test_drift_lists_new_and_lost_features(spark):

@@ -48,6 +48,20 @@ def test_alerts_are_announced_once(spark, tmp_path):
     assert len(sent) == 4
 
 
+def test_a_rerun_on_another_day_and_a_run_without_start(spark, tmp_path):
+    sent = []
+
+    def drain(rows):
+        put(spark, tmp_path / "in", rows, OUTCOME)
+        notify = lambda fresh, batch_id: sent.extend(r["run_id"] for r in fresh.collect())
+        alerts.notify_once(stream(spark, tmp_path / "in", OUTCOME), str(tmp_path / "ledger"), str(tmp_path / "cp"), notify).awaitTermination()
+
+    late, early = datetime(2024, 1, 1, 23), datetime(2024, 1, 2, 1)
+    drain([("r1", "dq", "x", "alert", 0, late), ("r2", "dq", "x", "alert", 0, None)])
+    drain([("r1", "dq", "x", "alert", 0, early), ("r2", "dq", "x", "alert", 0, None), ("r2", "mq", "x", "alert", 0, None)])
+    assert sorted(sent) == ["r1", "r2", "r2"]
+
+
 def test_a_failed_notification_is_not_repeated(spark, tmp_path):
     put(spark, tmp_path / "in", outcome_rows([1]), OUTCOME)
     calls = []

@@ -14,8 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Largest sample for which the exact law is used, number of series terms.
-EXACT_LIMIT = 10_000
+# Fixed value: number of series terms.
 SERIES_TERMS = 20
 
 _PI2 = math.pi**2

@@ -206,8 +206,11 @@ def report(df: DataFrame, spec: BiasSpec) -> DataFrame:
     """
     post = spec.post_methods if spec.predicted_label_column else []
     wanted = [("pre", m) for m in spec.pre_methods] + [("post", m) for m in post]
-    cells = facet_cells(df, spec)
-    return _tidy(_wide(cells, spec, [m for _, m in wanted]), ["facet"], wanted)
+    wide = _wide(facet_cells(df, spec), spec, [m for _, m in wanted])
+    # Every facet of the spec is reported, also on a table that has no rows to count.
+    names = F.array(*[F.lit(name) for name in dict.fromkeys(f.name for f in spec.facets)])
+    asked = df.sparkSession.range(1).select(F.explode(names).alias("facet"))
+    return _tidy(asked.join(wide, "facet", "left"), ["facet"], wanted)
 
 
 def _wide(cells: DataFrame, spec: BiasSpec, methods: list[str]) -> DataFrame:

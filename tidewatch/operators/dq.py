@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.divergence import psi_term
-from tidewatch.functions.kolmogorov import EXACT_LIMIT, asymptotic_pvalue, exact_pvalue
+from tidewatch.functions.kolmogorov import asymptotic_pvalue, exact_pvalue
 from tidewatch.functions.values import as_category, as_number, data_type, is_numeric, quoted, ratio, tally, without_nan
 from tidewatch.operators.slices import SLICE, sliced
 from tidewatch.result import METRIC_SCHEMA, metric_rows, violation_rows
@@ -111,19 +111,10 @@ def ks_of(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def ks_pvalue(statistics: DataFrame, method: str = "auto") -> DataFrame:
-    """Adds ``ks_p``. ``auto`` is exact while both samples hold at most 10,000 values."""
-    args = (F.col("ks_stat"), F.col("n"), F.col("m"))
-    if method == "asymptotic":
-        return statistics.withColumn("ks_p", asymptotic_pvalue(*args))
-    if method == "exact":
-        return statistics.withColumn("ks_p", exact_pvalue(*args))
-    small = F.greatest("n", "m") <= EXACT_LIMIT
-    return (
-        statistics.withColumn("__exact", exact_pvalue(F.when(small, F.col("ks_stat")), F.col("n"), F.col("m")))
-        .withColumn("ks_p", F.when(small, F.col("__exact")).otherwise(asymptotic_pvalue(*args)))
-        .drop("__exact")
-    )
+def ks_pvalue(statistics: DataFrame, method: str = "asymptotic") -> DataFrame:
+    """Adds ``ks_p`` by one law for every size; ``exact`` counts paths in time and memory that grow with both samples."""
+    law = exact_pvalue if method == "exact" else asymptotic_pvalue
+    return statistics.withColumn("ks_p", law(F.col("ks_stat"), F.col("n"), F.col("m")))
 
 
 def category_histogram(current: DataFrame, baseline: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -161,6 +152,9 @@ def baseline_histogram(baseline: DataFrame, columns: Sequence[str]) -> DataFrame
 
 def psi_from_histogram(current: DataFrame, histogram: DataFrame, columns: Sequence[str]) -> DataFrame:
     """PSI of a live window against a stored baseline histogram."""
+    columns = [c for c in columns if c in current.columns]
+    if not columns:
+        return current.sparkSession.createDataFrame([], "column string, psi double")
     live = baseline_histogram(current, columns).select(
         "column", "category", F.col("count").alias("n_current"), F.lit(0).cast("bigint").alias("n_baseline")
     )
@@ -170,7 +164,10 @@ def psi_from_histogram(current: DataFrame, histogram: DataFrame, columns: Sequen
     merged = live.unionByName(stored).groupBy("column", "category").agg(
         F.sum("n_current").alias("n_current"), F.sum("n_baseline").alias("n_baseline")
     )
-    return psi_of(merged)
+    # A column that only one side knows has no drift to state.
+    sides = merged.groupBy("column").agg((F.max("n_current") > 0).alias("live"), (F.max("n_baseline") > 0).alias("stored"))
+    known = sides.where("live AND stored").select("column")
+    return psi_of(merged.join(F.broadcast(known), "column", "left_semi"))  # one row per configured column
 
 
 def profile(df: DataFrame, columns: Sequence[str], exact_distinct: bool = False) -> DataFrame:

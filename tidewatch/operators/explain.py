@@ -7,8 +7,8 @@ features
 
     phi_f = sum over (coalition c, background b) of weight(c, f) * score(mix(c, row, b)) / |B|
 
-Up to ``EXACT_FEATURES`` features every coalition is enumerated; beyond that the coalitions are the
-prefixes of random permutations and their reverses.
+By the method asked for, either every coalition is enumerated, or the coalitions are the prefixes of random
+permutations and their reverses.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.values import quoted
 from tidewatch.result import metric_rows
+from tidewatch.session import written
 from tidewatch.spec import ExplainSpec
 
 ANALYSER = "explain"
-EXACT_FEATURES = 10
-CELL_BUDGET = 20_000_000_000
 ROW = "row_id"
+#: Mixed rows that one task makes; more are spread over more tasks.
+CELLS_PER_TASK = 2_000_000
 
 
 class Scorer(Protocol):
@@ -101,6 +102,17 @@ def sample_rows(df: DataFrame, key: str, size: int, seed: int, columns: Sequence
     return picked.orderBy("__order", ROW).limit(size).drop("__order")
 
 
+def sample_pair(df: DataFrame, spec: ExplainSpec, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows to explain and the background: the first of one sample, which is drawn once and written."""
+    larger = max(spec.num_samples, spec.background_size)
+    sample = sample_rows(df, spec.row_key, larger, spec.seed, columns)
+    # at most 10,000 rows by the spec
+    place = F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.col(ROW).cast("string"), F.lit(str(spec.seed)))), ROW))
+    drawn = written(sample.withColumn("__place", place), "sample")
+    picked = lambda size: drawn.where(F.col("__place") <= size).drop("__place")
+    return picked(spec.num_samples), picked(spec.background_size)
+
+
 def _exact_coalitions(features: Sequence[str]) -> tuple[list[tuple[str, Column]], dict[str, Column], dict[str, Column]]:
     m = len(features)
     weights = [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
@@ -115,16 +127,22 @@ def _exact_coalitions(features: Sequence[str]) -> tuple[list[tuple[str, Column]]
     return generators, member, weight
 
 
-def _sampled_coalitions(
-    features: Sequence[str], permutations: int, seed: int
-) -> tuple[list[tuple[str, Column]], dict[str, Column], dict[str, Column]]:
-    m = len(features)
+def permutation_orders(m: int, permutations: int, seed: int) -> list[list[int]]:
+    """Random orders of the features, each followed by its reverse."""
     source = random.Random(seed)
     orders = []
     for _ in range((permutations + 1) // 2):
         order = list(range(m))
         source.shuffle(order)
         orders += [order, order[::-1]]  # antithetic pair
+    return orders
+
+
+def _sampled_coalitions(
+    features: Sequence[str], permutations: int, seed: int
+) -> tuple[list[tuple[str, Column]], dict[str, Column], dict[str, Column]]:
+    m = len(features)
+    orders = permutation_orders(m, permutations, seed)
     ranks = F.array(*[F.array(*[F.lit(order.index(i)) for i in range(m)]) for order in orders])
     generators = [("ranks", F.explode(ranks)), ("prefix", F.explode(F.sequence(F.lit(0), F.lit(m))))]
     rank = {f: F.col("ranks")[i] for i, f in enumerate(features)}
@@ -147,29 +165,32 @@ def attributions(
     seed: int = 0,
     max_rows: int = 10_000,
     max_background: int = 500,
+    method: str = "exact",
 ) -> DataFrame:
     """``(row_id, class, feature, phi)`` for each row of ``rows`` (``row_id`` plus the features).
 
     ``background`` becomes one array that rides along with every row: callers bound it by the spec
-    (at most 500 rows). The explained rows are spread over all tasks by ``row_id``; a row's cells never
-    leave their task until they are summed, so the final aggregation reuses that partitioning.
+    (at most 500 rows). The explained rows are spread by ``row_id`` over a fixed number of tasks, one for every
+    ``CELLS_PER_TASK`` mixed rows and at least one for each core; a row's cells never leave their task until they
+    are summed, so the final aggregation reuses that partitioning. ``method`` is ``exact`` (two to the number of
+    features coalitions) or ``permutation``.
     """
-    if len(features) <= EXACT_FEATURES:
+    if method == "exact":
         generators, member, weight = _exact_coalitions(features)
         coalitions = 2 ** len(features)
     else:
         generators, member, weight = _sampled_coalitions(features, permutations, seed)
         coalitions = 2 * ((permutations + 1) // 2) * (len(features) + 1)
     cells = max_rows * coalitions * max_background
-    if cells > CELL_BUDGET:
-        raise ValueError(f"{cells} model calls exceed the budget of {CELL_BUDGET}; lower num_samples or background_size")
+    # A number of its own: adaptive execution would merge the few small rows into one task before they multiply.
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(cells / CELLS_PER_TASK))
 
     # flat columns rather than nested fields: generators and Python models then see plain attributes
     numbered = list(enumerate(features))
     packed = background.select(F.struct(*[F.col(quoted(f)).alias(f"__b{i}") for i, f in numbered]).alias("b"))
     pool = packed.agg(F.collect_list("b")).scalar()
     own = rows.select(ROW, *[F.col(quoted(f)).alias(f"__x{i}") for i, f in numbered])
-    mixed = own.repartition(ROW).withColumn("pool", pool).withColumn("pool_size", F.size("pool"))
+    mixed = own.repartition(min(tasks, max_rows), ROW).withColumn("pool", pool).withColumn("pool_size", F.size("pool"))
     for name, generator in generators:
         mixed = mixed.withColumn(name, generator)
     mixed = mixed.select("*", F.inline("pool")).select(
@@ -232,10 +253,17 @@ def importance_drift(live: DataFrame, stored: DataFrame) -> DataFrame:
 def explain(df: DataFrame, spec: ExplainSpec, scorer: Scorer, binary: bool) -> tuple[DataFrame, DataFrame]:
     """``(local attributions, global importance)`` of the sampled rows."""
     features = feature_columns(df, spec)
-    rows = sample_rows(df, spec.row_key, spec.num_samples, spec.seed, features)
-    background = sample_rows(df, spec.row_key, spec.background_size, spec.seed, features)
+    rows, background = sample_pair(df, spec, features)
     phi = attributions(
-        rows, background, features, scorer, spec.permutations, spec.seed, spec.num_samples, spec.background_size
+        rows,
+        background,
+        features,
+        scorer,
+        spec.permutations,
+        spec.seed,
+        spec.num_samples,
+        spec.background_size,
+        spec.method,
     )
     local = local_attributions(phi, binary)
     return local, global_importance(local, spec.agg_method)

@@ -68,11 +68,13 @@ class ModelQuality:
         deltas = mq.baseline_delta(metrics, baseline)
         violations = mq.degradation(deltas)
         cells = mq.confusion_counts(df, spec.label_column, spec.prediction_column)
+        nothing = cells.agg((F.count(F.lit(1)) == 0).alias("nothing")).scalar()
+        outcome = count_outcome(violations, mq.ANALYSER, spec.severity_threshold)
         return Analysis(
             mq.ANALYSER,
             metrics,
             violations,
-            count_outcome(violations, mq.ANALYSER, spec.severity_threshold),
+            outcome.withColumn("outcome", F.when(nothing, "skipped_no_input").otherwise(F.col("outcome"))),
             {
                 "metric_view": mq.payload_view(metrics),
                 "confusion_matrix": mq.confusion_matrix(cells),

@@ -67,6 +67,13 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bias.errors(rows).select("facet", "stage", "metric")
 
 
+def empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On no rows every metric asked for is an error, once per facet."""
+    spec = BiasSpec.from_dict({**BASE, "methods": ["CI", "DPL", "KL", "AD"]})
+    rows = bias.report(dataset(spark, sf_dir).where("discount < 0"), spec)
+    return bias.errors(rows).select("facet", "stage", "metric")
+
+
 def _analysis(spark: SparkSession, sf_dir: str):
     config = {
         **BASE,
@@ -108,6 +115,7 @@ QUERIES = {
     "bias_posttraining": posttraining,
     "bias_cddpl": cddpl,
     "bias_errors": errors,
+    "bias_empty": empty,
     "bias_violations": violations,
     "bias_outcome": outcome,
     "bias_one_vs_rest": one_vs_rest,
@@ -224,6 +232,9 @@ ORACLES = {
     "bias_errors": f"""WITH {_cells_sql(0, _ERROR_FACETS)}, {_COUNTS}, rep AS ({_metrics_sql([*DISTRIBUTION, 'DI', 'RD'])}
         UNION ALL SELECT facet, 'pre', 'CDDL', NULL FROM cnt)
         SELECT facet, stage, metric FROM rep WHERE value IS NULL""",
+    "bias_empty": f"""SELECT facet, stage, metric FROM (SELECT unnest([{", ".join(repr(f["name"]) for f in BASE["facets"])}]) AS facet),
+        (SELECT unnest(['pre', 'pre', 'pre', 'post']) AS stage, unnest(['CI', 'DPL', 'KL', 'AD']) AS metric),
+        (SELECT count(*) AS n FROM lineitem WHERE l_discount < 0) WHERE n = 0""",
     "bias_violations": f"""{_SCORED} SELECT 'bias' AS type, subject, {r('value')} AS value, {r('threshold')} AS threshold FROM bad""",
     "bias_outcome": f"""{_SCORED}, hot AS (SELECT count(*) AS n FROM rep WHERE metric = 'DPL' AND abs(value) > 0.15)
         SELECT 'bias' AS analyser,

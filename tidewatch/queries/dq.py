@@ -65,12 +65,20 @@ def ks_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(dq.ks_pvalue(statistics, "asymptotic"), "column", "ks_p")
 
 
-def ks_pvalue_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders before and after the median date: exact law while both halves are small."""
-    orders = table(spark, sf_dir, "orders")
-    recent = F.col("o_orderdate") >= F.lit("1998-04-25").cast("timestamp_ntz")
-    statistics = dq.ks_statistic(orders.where(recent), orders.where(~recent), ["o_totalprice"])
-    return tidy(dq.ks_pvalue(statistics), "column", "ks_stat", "ks_p")
+def ks_pvalue_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances of suppliers with even and odd keys, by the exact law."""
+    suppliers = table(spark, sf_dir, "supplier")
+    even = F.col("s_suppkey") % 2 == 0
+    statistics = dq.ks_statistic(suppliers.where(even), suppliers.where(~even), ["s_acctbal"])
+    return tidy(dq.ks_pvalue(statistics, "exact"), "column", "ks_stat", "ks_p")
+
+
+def psi_missing_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that the stored histogram lacks, and one that the live table lacks, are skipped."""
+    current, baseline = windows(spark, sf_dir)
+    stored = dq.baseline_histogram(baseline, CATEGORICAL[:1])
+    gone = stored.withColumn("column", F.lit("gone"))
+    return tidy(dq.psi_from_histogram(current, stored.unionByName(gone), [*CATEGORICAL, "gone"]), "column", "psi")
 
 
 def psi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +124,10 @@ QUERIES = {
     "dq_completeness": completeness,
     "dq_ks_stat": ks_stat,
     "dq_ks_pvalue": ks_pvalue,
-    "dq_ks_pvalue_auto": ks_pvalue_auto,
+    "dq_ks_pvalue_exact": ks_pvalue_exact,
     "dq_psi": psi,
     "dq_psi_from_histogram": psi_from_histogram,
+    "dq_psi_missing_column": psi_missing_column,
     "dq_metrics": metrics,
     "dq_violations": violations,
     "dq_outcome": outcome,
@@ -235,6 +244,19 @@ ORACLES = {
     "dq_ks_pvalue": f'{_WINDOWS}, {_KS}, {_PVALUE} SELECT col AS "column", {r("p")} AS ks_p FROM pval',
     "dq_psi": f'{_WINDOWS}, {_PSI} SELECT col AS "column", {r("psi")} AS psi FROM psi',
     "dq_psi_from_histogram": f'{_WINDOWS}, {_PSI} SELECT col AS "column", {r("psi")} AS psi FROM psi',
+    "dq_psi_missing_column": f"""{_WINDOWS}, {_PSI} SELECT col AS "column", {r("psi")} AS psi FROM psi WHERE col = 'flag'""",
+    "dq_ks_pvalue_exact": f"""WITH RECURSIVE v AS (SELECT s_acctbal AS x, s_suppkey % 2 = 0 AS even FROM supplier),
+        s AS (SELECT count(*) FILTER (even) AS n, count(*) FILTER (NOT even) AS m FROM v),
+        steps AS (SELECT DISTINCT sum(CASE WHEN even THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN even THEN 0 ELSE 1 END) OVER w AS j
+          FROM v WINDOW w AS (ORDER BY x RANGE UNBOUNDED PRECEDING)),
+        d AS (SELECT max(abs(i * m - j * n))::BIGINT AS bound, any_value(n)::BIGINT AS n, any_value(m)::BIGINT AS m FROM steps, s),
+        -- paths[i + 1]: share of the lattice paths to (i, t - i) that stayed strictly inside the bound
+        grid AS (SELECT 0::BIGINT AS t, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS paths, bound, n, m FROM d
+          UNION ALL
+          SELECT t + 1, list_transform(range(0, n + 1), lambda i: CASE WHEN i > t + 1 OR t + 1 - i > m OR abs(i * m - (t + 1 - i) * n) >= bound THEN 0.0::DOUBLE
+            ELSE (CASE WHEN i > 0 THEN paths[i] * i ELSE 0 END + CASE WHEN t + 1 - i > 0 THEN paths[i + 1] * (t + 1 - i) ELSE 0 END) / (t + 1) END), bound, n, m
+          FROM grid WHERE t < n + m)
+        SELECT 's_acctbal' AS "column", {r('bound / (n * m)::DOUBLE')} AS ks_stat, {r('1 - paths[n + 1]')} AS ks_p FROM grid WHERE t = n + m""",
     "dq_metrics": f"{_METRICS} SELECT 'dq/' || subject || '/' || statistic AS name, {r('value')} AS value FROM metrics",
     "dq_violations": f"{_METRICS} SELECT type, subject, {r('value')} AS value, {r('threshold')} AS threshold FROM violations",
     "dq_outcome": f"""{_METRICS} SELECT 'dq' AS analyser,

@@ -12,6 +12,7 @@ from tidewatch.queries.common import r, scratch, table, tidy
 from tidewatch.spec import ExplainSpec
 
 FEATURES = ["size", "price", "brand"]
+PERMUTATIONS = 4
 BASE = {"row_key": "part_id", "feature_columns": FEATURES, "num_samples": 100, "background_size": 50}
 
 
@@ -49,6 +50,12 @@ def shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(local, "row_id", "feature", "phi")
 
 
+def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sample by four random orders of the features and their reverses."""
+    local, _ = _explained(spark, sf_dir, method="permutation", permutations=PERMUTATIONS)
+    return tidy(local, "row_id", "feature", "phi")
+
+
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     local, _ = _explained(spark, sf_dir)
     methods = {m: explain.global_importance(local, m) for m in ("mean_abs", "mean", "max_abs", "median")}
@@ -154,6 +161,17 @@ def scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(parts_[0].unionByName(parts_[1]).unionByName(parts_[2]), "scorer", "feature", "importance")
 
 
+def python_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample explained through a Python function on Arrow batches."""
+
+    def model(size: pd.Series, price: pd.Series, brand: pd.Series) -> pd.Series:
+        z = size * 0.08 - 2.0 + (price - 950.0) * 0.02 - brand * 0.1 + size * brand * 0.002
+        return 1.0 / (1.0 + (-z).map(__import__("math").exp))
+
+    local, _ = explain.explain(parts(spark, sf_dir), ExplainSpec.from_dict(BASE), explain.VectorisedScorer(FEATURES, model), binary=True)
+    return tidy(local, "row_id", "feature", "phi")
+
+
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributions of a fitted boosted-tree pipeline: interventional, on the probability scale."""
     from pyspark.ml import Pipeline
@@ -175,6 +193,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "explain_sample": sample,
     "explain_shapley": shapley,
+    "explain_permutation": permutation,
     "explain_local": local_saved,
     "explain_efficiency": efficiency,
     "explain_global": importance,
@@ -184,6 +203,7 @@ QUERIES = {
     "explain_run": run,
     "explain_payload": payload,
     "explain_scorers": scorers,
+    "explain_python_scorer": python_scorer,
     "explain_tree": tree,
     "top10_importance": top10,
 }
@@ -219,6 +239,19 @@ def _phi_sql(weight: float = 0.1, link: str = "p") -> str:
     return f"{_PICK}, {_value_sql(weight, link)}, phi AS ({parts_})"
 
 
+def _permuted_sql() -> str:
+    """Mean gain of each feature when it joins those before it, over the orders the sampler draws."""
+    gains = []
+    for order in explain.permutation_orders(len(FEATURES), PERMUTATIONS, 0):
+        masks = [sum(1 << i for i in order[:k]) for k in range(len(order) + 1)]
+        gains += [
+            f"SELECT hi.id, '{FEATURES[i]}' AS feature, hi.v - lo.v AS gain FROM val hi JOIN val lo ON hi.id = lo.id AND hi.mask = {masks[k + 1]} AND lo.mask = {masks[k]}"
+            for k, i in enumerate(order)
+        ]
+    return f"""WITH {_PICK}, {_value_sql(0.1, 'p')}, gains AS ({' UNION ALL '.join(gains)})
+      SELECT id AS row_id, feature, {r('avg(gain)')} AS phi FROM gains GROUP BY id, feature"""
+
+
 _CLASS_LINKS = ("p * p", "2 * p * (1 - p)", "(1 - p) * (1 - p)")
 _MULTI = ", ".join(
     f"c{i} AS (WITH {_phi_sql(0.1, link)} SELECT * FROM phi)" for i, link in enumerate(_CLASS_LINKS)
@@ -229,7 +262,9 @@ _LOCAL = f"WITH {_phi_sql()} SELECT id AS row_id, feature, {r('phi')} AS phi FRO
 ORACLES = {
     "explain_sample": f"WITH {_PICK} SELECT id AS row_id, {r('size')} AS size, {r('price')} AS price, {r('brand')} AS brand FROM x",
     "explain_shapley": _LOCAL,
+    "explain_permutation": _permuted_sql(),
     "explain_local": _LOCAL,
+    "explain_python_scorer": _LOCAL,
     "explain_efficiency": f"""WITH {_PICK}, m AS (SELECT avg({_score_sql('size', 'price', 'brand')}) AS e FROM b)
         SELECT id AS row_id, {r(_score_sql('size', 'price', 'brand') + ' - e')} AS total,
         {r(_score_sql('size', 'price', 'brand') + ' - e')} AS expected FROM x, m""",

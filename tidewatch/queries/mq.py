@@ -97,6 +97,12 @@ def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysis(spark, sf_dir).outcome
 
 
+def empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No line item has a negative quantity: a run without predictions is skipped, not a success."""
+    nothing = binary(spark, sf_dir).join(table(spark, sf_dir, "lineitem").where("l_quantity < 0").select(F.lit(1).alias("none")), F.lit(True), "left_semi")
+    return ModelQuality().compute({"predictions": nothing}, BINARY).outcome
+
+
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result document, opened again: its outcome and the sizes of its parts."""
     predictions = {"predictions": multi(spark, sf_dir)}
@@ -160,6 +166,7 @@ QUERIES = {
     "mq_baseline_delta": baseline_delta,
     "mq_degradation": degradation,
     "mq_outcome": outcome,
+    "mq_empty": empty,
     "mq_payload": payload,
     "mq_metric_view": metric_view,
     "mq_constraints": constraints,
@@ -251,6 +258,8 @@ ORACLES = {
         CASE WHEN count(*) > 0 THEN 'succeeded_with_violations' ELSE 'succeeded' END AS outcome,
         CASE WHEN count(*) = 0 THEN 'info' WHEN count(*) >= 2 THEN 'alert' ELSE 'warn' END AS severity,
         count(*)::BIGINT AS violation_count FROM bad""",
+    "mq_empty": """SELECT 'mq' AS analyser, CASE WHEN count(*) = 0 THEN 'skipped_no_input' ELSE 'succeeded' END AS outcome,
+        'info' AS severity, 0::BIGINT AS violation_count FROM lineitem WHERE l_quantity < 0""",
     "mq_payload": f"""{_MULTI} {_SCORES} SELECT 'MQ' AS monitor_type, 'multiclass' AS problem_type, 'succeeded' AS outcome,
         (5 + 3 * (SELECT count(*) FROM classes))::BIGINT AS metrics, ((SELECT count(*) FROM classes) * (SELECT count(*) FROM classes))::BIGINT AS cells,
         sum(n)::BIGINT AS pairs FROM cells""",

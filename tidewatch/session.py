@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution picks partition counts, join strategies and skew splits from measured sizes.
 DEFAULTS = {
@@ -42,6 +43,13 @@ def shared_folder(spark: SparkSession) -> str:
     return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidewatch-scratch"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, whoever reads them."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package in sessions that were started without it on their path."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

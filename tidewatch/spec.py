@@ -14,7 +14,7 @@ POST_TRAINING = ("DPPL", "DI", "DCA", "DCR", "RD", "DAR", "DRR", "AD", "TE", "CD
 
 PROBLEM_TYPES = ("binary", "multiclass")
 AGGREGATIONS = ("mean_abs", "mean", "max_abs", "median")
-KS_METHODS = ("auto", "exact", "asymptotic")
+KS_METHODS = ("asymptotic", "exact")
 
 
 class SpecError(ValueError):
@@ -55,7 +55,7 @@ class DataQualitySpec(_Spec):
     ks_p_value_threshold: float = 0.05
     psi_threshold: float = 0.2
     severity_threshold: int = 3
-    ks_method: str = "auto"
+    ks_method: str = "asymptotic"
 
     def __post_init__(self) -> None:
         _fraction("completeness_threshold", self.completeness_threshold)
@@ -172,6 +172,7 @@ class ExplainSpec(_Spec):
     agg_method: str = "mean_abs"
     top_k: int = 20
     seed: int = 0
+    method: str = "exact"
     permutations: int = 32
     save_local_shap_values: bool = False
     package_group_name: str = "unknown"
@@ -181,5 +182,6 @@ class ExplainSpec(_Spec):
         _require(0 < self.num_samples <= 10_000, "num_samples must lie in 1..10000")
         _require(0 < self.background_size <= 500, "background_size must lie in 1..500")
         _require(0 < self.top_k <= 500, "top_k must lie in 1..500")
+        _require(self.method in ("exact", "permutation"), "method must be exact or permutation")
         _require(self.permutations > 0, "permutations must be positive")
         _require(self.agg_method in AGGREGATIONS, f"agg_method must be one of {AGGREGATIONS}")

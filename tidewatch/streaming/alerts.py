@@ -22,35 +22,43 @@ def alerts_of(outcomes: DataFrame) -> DataFrame:
 
 
 def unseen(alerts: DataFrame, ledger: DataFrame) -> DataFrame:
-    """First alert per run and analyser that the ledger does not hold."""
-    return alerts.dropDuplicates(KEY).join(ledger.select("dt", *KEY), ["dt", *KEY], "left_anti")
+    """First alert per run and analyser that the ledger does not hold, whenever the run started."""
+    return alerts.dropDuplicates(KEY).join(ledger.select("bucket", *KEY), ["bucket", *KEY], "left_anti")
 
 
 def notify_once(
-    outcomes: DataFrame, ledger: str, checkpoint: str, notify: Callable[[DataFrame, int], None], once: bool = True
+    outcomes: DataFrame,
+    ledger: str,
+    checkpoint: str,
+    notify: Callable[[DataFrame, int], None],
+    once: bool = True,
+    buckets: int = 64,
 ) -> StreamingQuery:
     """Call ``notify(new_alerts, batch_id)`` with alerts never announced before.
 
     New alerts are written to the ledger first and handed to ``notify`` from there. A crash between both
     loses a notification rather than repeating it, a retried batch finds its own rows, and a lost executor
-    cannot change what is announced. The ledger is laid out by day of the run; a batch compares itself only
-    with the days it touches.
+    cannot change what is announced. The ledger is laid out in ``buckets`` folders by a hash of run and analyser,
+    and a batch reads only the buckets of its own alerts; its start time plays no part, so a rerun on another
+    day, or one without a start, is the same run. ``buckets`` must not change while a ledger is in use.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         mark = uuid.uuid4().hex
-        found = alerts_of(batch).withColumn("dt", F.to_date("started_at"))
-        keys = found.select("dt", *KEY)
-        days = [row["dt"] for row in keys.select("dt").distinct().collect()]  # a handful of dates
-        if not days:
+        bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in KEY]), F.lit(buckets)).cast("int")
+        found = alerts_of(batch).withColumn("bucket", bucket)
+        touched = [row["bucket"] for row in found.select("bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
             return
         schema = found.withColumn("mark", F.lit(mark)).schema
-        seen = read_or_empty(spark, ledger, schema).where(F.col("dt").isin(days)).select("dt", *KEY)
+        near = F.col("bucket").isin(touched)
+        seen = read_or_empty(spark, ledger, schema).where(near).select("bucket", *KEY)
         fresh = unseen(found, seen).withColumn("mark", F.lit(mark))
-        fresh.write.mode("append").partitionBy("dt", "mark").parquet(ledger)
-        written = spark.read.schema(schema).parquet(ledger).where(F.col("dt").isin(days) & (F.col("mark") == mark))
-        notify(written.drop("dt", "mark"), batch_id)
+        # One file per bucket and batch, however many tasks the batch had.
+        fresh.repartition(len(touched), "bucket").write.mode("append").partitionBy("bucket").parquet(ledger)
+        written = spark.read.schema(schema).parquet(ledger).where(near & (F.col("mark") == mark))
+        notify(written.drop("bucket", "mark"), batch_id)
 
     return start(outcomes.writeStream.foreachBatch(process), checkpoint, once)
 
