@@ -62,7 +62,7 @@ def counted(rows: DataFrame, make) -> DataFrame:
     def count(batches: Batches) -> Batches:
         for batch in batches:
             texts = texts_of(batch)
-            for begin, end in pieces(texts, 1 << 24):
+            for begin, end in pieces(texts, 1 << 22):
                 h, c = np.unique(make(texts[begin:end]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
