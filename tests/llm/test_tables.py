@@ -248,9 +248,10 @@ def near_copies(seed=0):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_groups_are_those_of_all_pairs(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "ROUNDS", seed)  # also with no round before all pairs
+@pytest.mark.parametrize(("seed", "rounds", "few"), [(0, 0, 8), (1, 2, -1), (2, 4, 8)])
+def test_groups_are_those_of_all_pairs(spark, seed, rounds, few, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)  # also with no round before all pairs, and with all of them
+    monkeypatch.setattr(jaccard, "PAIRS_PER_ENTRY", few)
     rows = near_copies(seed)
     found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)

@@ -3,8 +3,8 @@
 Rows of the matrix are distinct sets of n-grams (documents with one set are one row), columns are n-grams, dealt to
 tasks by hash: the blocks. For a similarity of ``num/den`` a row of size n shares one of its first
 ``n - ceil(n * num / den) + 1`` columns with every row it links to, in any order of columns that all rows keep. The
-order here puts columns that a sample of the rows shows to be frequent last, so that common passages make no pairs;
-the sample decides about speed alone. Products of these leading parts are accumulated per pair of rows, and a pair is
+order here puts columns first that have a word of no other document, which need no entry as they match nothing, and
+columns last that a sample of the rows shows to be frequent; filter and sample decide about speed alone. Products of these leading parts are accumulated per pair of rows, and a pair is
 discarded as soon as its sizes, or its overlap so far plus all that can still come, miss the bound. What is left is
 completed with the rows' whole sets.
 
@@ -23,22 +23,24 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Batches, cut, hits_of, mixed, texts_of
 from tidewatch.llm.components import components
+from tidewatch.llm.langid import pieces
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers, one for each word of an n-gram.
 STEPS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 #: Bits of a filter that is broadcast: 8 MB whatever the input's size; a fuller filter lets more pass, never less.
 FILTER_BITS = 26
 SAMPLE_ROWS, SAMPLE_HITS, MOST_FREQUENT = 8192, 4, 1 << 18
-ROUNDS = 4
+BLOCK_ROWS = 2048
+#: At most so many rounds of one pair per entry; the last one, of all pairs left, begins once they are few.
+ROUNDS, PAIRS_PER_ENTRY = 4, 8
 
 
 class Hashes(dict):
@@ -59,17 +61,20 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(text: str, n: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's n-grams."""
+def shingles(text: str, n: int, seen: Filter | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of a text's n-grams; with a filter of words that more texts have, also whether an
+    n-gram has a word that no other text has."""
     words = word_hashes(text)
-    if not len(words):
-        return words
     size = min(n, len(words))
-    count = len(words) - size + 1
+    count = len(words) - size + 1 if len(words) else 0
     total = np.full(count, size, np.uint64)
     for j in range(size):
         total += words[j : j + count] * STEPS[j]
-    return np.unique(mixed(total))
+    if seen is None:
+        return np.unique(mixed(total))
+    own = np.concatenate([[0], np.cumsum(~seen.may_have(words))])
+    hashes, at = np.unique(mixed(total), return_index=True)
+    return hashes, (own[size:] > own[: len(own) - size])[at] if count else np.zeros(0, bool)
 
 
 def key_of(hashes: np.ndarray) -> bytes:
@@ -130,50 +135,58 @@ class Join:
         top = counts.orderBy(F.desc("k"), "h").limit(MOST_FREQUENT).toArrow()
         return np.sort(top["h"].to_numpy().view(np.uint64))
 
+    def seen_words(self) -> Filter:
+        """A filter of the words that more than one document has."""
+
+        def count(batches: Batches) -> Batches:
+            for batch in batches:
+                texts = texts_of(batch)
+                for begin, end in pieces(texts, 1 << 24):
+                    h, c = np.unique(np.concatenate([np.unique(word_hashes(t)) for t in texts[begin:end]]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+        counts = self.rows.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+        return Filter(counts.where("c > 1"), "h")
+
     def classes(self) -> DataFrame:
-        """Distinct sets: ``cid, key, rep`` (least id), ``tag`` of its document, ``n``, and the leading columns."""
-        shared = self.spark.sparkContext.broadcast(self.frequent())
-        num, den = self.num, self.den
+        """Distinct sets: ``cid, key, rep`` (least id), ``tag`` of its document, ``n``, and the leading columns that
+        another row may have."""
+        shared = self.spark.sparkContext.broadcast((self.frequent(), self.seen_words()))
+        num, den, size = self.num, self.den, self.n
 
-        def make(ids: list, sets: list[np.ndarray]) -> list:
-            keep = [k for k, (i, s) in enumerate(zip(ids, sets, strict=True)) if i is not None and len(s)]
-            late = hits_of(np.concatenate([sets[k] for k in keep]), shared.value)[0] if keep else np.zeros(0, bool)
-            keys, tags, leads, at = [], [], [], 0
-            for k in keep:
-                s = sets[k]
-                own = late[at : at + len(s)]
-                at += len(s)
-                lead = len(s) + len(s) * -num // den + 1  # all but the overlap it needs with any set, and one
-                rare = s[~own][:lead]
-                leads.append(rare if len(rare) == lead else np.concatenate([rare, s[own][: lead - len(rare)]]))
-                keys.append(key_of(s))
-                tags.append(tag_of(keys[-1], ids[k]))
-            sizes = pa.array([len(sets[k]) for k in keep], pa.int64())
-            return [pa.array(keys, pa.binary()), pa.array([ids[k] for k in keep], pa.int64()), pa.array(tags, pa.int64()), sizes, flat(leads)]
-
-        found = self.scan("key binary, doc_id bigint, tag bigint, n bigint, lead array<bigint>", make)
+        def make(batches: Batches) -> Batches:
+            frequent, seen = shared.value
+            for batch in batches:
+                keys, ids, tags, sizes, leads = [], [], [], [], []
+                for i, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+                    hashes, alone = shingles(text, size, seen)
+                    if i is None or not len(hashes):
+                        continue
+                    # All but the overlap it needs with any set, and one; columns of its own come first and match nothing.
+                    lead = len(hashes) + len(hashes) * -num // den + 1 - int(alone.sum())
+                    rest = hashes[~alone] if lead > 0 else hashes[:0]
+                    late = hits_of(rest, frequent)[0]
+                    leads.append(np.concatenate([rest[~late], rest[late]])[: max(lead, 0)])
+                    keys.append(key_of(hashes))
+                    ids.append(i)
+                    tags.append(tag_of(keys[-1], i))
+                    sizes.append(len(hashes))
+                columns = [pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(sizes, pa.int64()), flat(leads)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "tag", "n", "lead"])
+
+        found = self.rows.mapInArrow(make, "key binary, doc_id bigint, tag bigint, n bigint, lead array<bigint>")
         first = F.min(F.struct("doc_id", "tag"))
         one = found.groupBy("key").agg(first.alias("d"), F.first("n").alias("n"), F.first("lead").alias("lead"))
         return cut(one.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("d.doc_id").alias("rep"), F.col("d.tag").alias("tag"), "n", "lead"), "classes")
 
     def postings(self, classes: DataFrame) -> DataFrame:
-        """Entries of the leading columns that more than one row has: ``s, cid, n, shared`` (such columns of the row)."""
+        """Entries of the leading columns that more than one row has: ``s, cid, n``, how many of these the row has
+        (``shared``) and how many rows they have in all (``weight``)."""
         entries = classes.select("cid", "n", F.explode("lead").alias("s"))
-        often = cut(entries.groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("s"), "columns")
-        shared = self.spark.sparkContext.broadcast(Filter(often, "s"))
-
-        def keep(batches: Batches) -> Batches:
-            for batch in batches:
-                lead = batch.column("lead")
-                values, owner = lead.flatten().to_numpy(), np.repeat(np.arange(len(lead)), pc.list_value_length(lead).to_numpy())
-                pick = shared.value.may_have(values)
-                rows = owner[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(values[pick]), batch.column("cid").take(pa.array(rows)), batch.column("n").take(pa.array(rows))], ["s", "cid", "n"])
-
-        likely = classes.select("cid", "n", "lead").mapInArrow(keep, "s bigint, cid bigint, n bigint")
-        found = cut(likely.join(often, "s"), "entries")
-        per_row = found.groupBy("cid").agg(F.count("*").alias("shared"))
-        return cut(found.join(per_row, "cid").select("s", "cid", "n", "shared"), "postings")
+        often = cut(entries.groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") > 1), "columns")
+        found = cut(entries.join(often, "s"), "entries")
+        per_row = found.groupBy("cid").agg(F.count("*").alias("shared"), F.sum("k").alias("weight"))
+        return cut(found.join(per_row, "cid").select("s", "cid", "n", "shared", "weight"), "postings")
 
     def sizes_fit(self) -> Column:
         return F.least("na", "nb") * self.den >= F.greatest("na", "nb") * self.num
@@ -192,29 +205,55 @@ class Join:
         return postings.join(named, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
     def star_pairs(self, entries: DataFrame, turn: int) -> DataFrame:
-        """Each column's rows with the one of least mark in this turn, across components."""
-        mark = F.xxhash64("cid", F.lit(turn)) if turn else F.col("cid")
+        """Each column's rows with one of them, across components: first the row that shares most, then any."""
+        mark = F.xxhash64("cid", F.lit(turn)) if turn else -F.col("weight")
         lead = entries.groupBy("s").agg(F.min(F.struct(mark.alias("mark"), "cid", "n", "shared", "root")).alias("lead"))
         pairs = entries.join(lead, "s").where(F.col("root") != F.col("lead.root"))
         pairs = pairs.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lead.cid").alias("b"), F.col("lead.n").alias("nb"), F.least("shared", "lead.shared").alias("overlap"))
         return pairs.where(self.sizes_fit() & self.can_reach(F.col("overlap"))).select(*ordered()).distinct()
 
+    def few_left(self, entries: DataFrame) -> bool:
+        """Whether the pairs across components are no more than a few for each entry."""
+        own = entries.groupBy("s", "root").agg(F.count("*").alias("c"))
+        open_pairs = own.groupBy("s").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        sums = open_pairs.agg(F.sum("k").alias("entries"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
+        return (sums["pairs"] or 0) <= PAIRS_PER_ENTRY * (sums["entries"] or 0)
+
     def all_pairs(self, entries: DataFrame) -> DataFrame:
-        """All pairs of a column's rows that are still in different components, with accumulated overlaps."""
+        """All pairs of rows with a column in common that are still in different components, by blocks of the product.
+
+        A column's largest component needs no comparing among its own, so only the other rows are multiplied, with
+        all. Rows that share their heaviest column's central row are multiplied together, in blocks of at most about
+        BLOCK_ROWS rows on either side; a block's task accumulates overlaps and emits what its bound leaves.
+        """
         many = entries.groupBy("s").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("s")
         rows = cut(entries.join(many, "s", "left_semi"), "open")
-        other = rows.select("s", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
-        mine = rows.select("s", F.col("cid").alias("a"), F.col("n").alias("na"), "root")
-        pairs = mine.join(other, "s").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & self.sizes_fit())
-        sums = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        return sums.where(self.can_reach(F.col("overlap"))).select("a", "na", "b", "nb")
-
-    def sets_of(self, pairs: DataFrame, classes: DataFrame, known: DataFrame | None) -> DataFrame:
-        """Whole sets ``cid, hashes`` of all rows in pairs, read from their documents once more."""
-        ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-        if known is not None:
-            ends = ends.join(known.select("cid"), "cid", "left_anti")
-        wanted = cut(ends.join(classes.select("cid", "tag"), "cid"), "wanted")
+        largest = rows.groupBy("s", "root").agg(F.count("*").alias("c")).groupBy("s").agg(F.max(F.struct("c", "root")).alias("top"))
+        central = rows.groupBy("s").agg(F.count("*").alias("k"), F.max(F.struct("weight", "cid")).alias("center"))
+        outside = rows.join(largest, "s").where(F.col("root") != F.col("top.root")).join(central, "s")
+        homes = cut(outside.groupBy("cid").agg(F.max(F.struct("k", "center.cid")).alias("h")).select("cid", F.col("h.cid").alias("home")), "homes")
+        total = homes.count()
+        if not total:
+            return self.spark.createDataFrame([], "a bigint, na bigint, b bigint, nb bigint")
+        per_home = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("left_parts"))
+        together = F.when(F.col("left_parts") > 1, F.col("home")).otherwise(-1 - F.pmod(F.xxhash64("home"), F.lit(-(-total // BLOCK_ROWS))))
+        named = homes.join(per_home, "home").select("cid", together.alias("block"), "left_parts")
+        left = rows.join(named, "cid").select("block", "left_parts", "s", "cid", "n", "root")
+        right = rows.join(left.select("block", "s").distinct(), "s").select("block", "s", "cid", "n", "root")
+        parts = right.groupBy("block").agg(F.ceil(F.count_distinct("cid") / BLOCK_ROWS).alias("right_parts"))
+        shape = left.groupBy("block").agg(F.max("left_parts").alias("left_parts")).join(parts, "block")
+        part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("bigint")
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        row = ["block", "i", "j", "s", "cid", "n", "root"]
+        left = cut(left.drop("left_parts").join(shape, "block").withColumn("i", part("left_parts")).withColumn("j", every("right_parts")).select(row), "block-rows")
+        right = cut(right.join(shape, "block").withColumn("j", part("right_parts")).withColumn("i", every("left_parts")).select(row), "block-rows")
+        num, den = self.num, self.den
+        found = left.groupBy("block", "i", "j").cogroup(right.groupBy("block", "i", "j")).applyInArrow(lambda x, y: product(x, y, num, den), "a bigint, na bigint, b bigint, nb bigint")
+        return found.distinct()
+
+    def sets_of(self, postings: DataFrame, classes: DataFrame) -> DataFrame:
+        """Whole sets ``cid, hashes`` of all rows with entries, read from their documents once more."""
+        wanted = cut(postings.select("cid").distinct().join(classes.select("cid", "tag"), "cid"), "wanted")
         shared = self.spark.sparkContext.broadcast(Filter(wanted, "tag"))
 
         def make(ids: list, sets: list[np.ndarray]) -> list:
@@ -223,8 +262,7 @@ class Join:
             return [pa.array(tags[pick]), flat([sets[k] for k in pick])]
 
         found = self.scan("tag bigint, hashes array<bigint>", make).join(wanted, "tag")
-        new = cut(found.groupBy("cid").agg(F.first("hashes").alias("hashes")), "sets")
-        return new if known is None else known.union(new)
+        return cut(found.groupBy("cid").agg(F.first("hashes").alias("hashes")), "sets")
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that link, their overlaps completed from whole sets, as edges."""
@@ -237,10 +275,13 @@ class Join:
     def roots(self, classes: DataFrame) -> DataFrame:
         """``node, root`` for every row that links to another."""
         postings = self.postings(classes)
-        edges = tested = roots = sets = None
+        sets = self.sets_of(postings, classes)
+        edges = tested = roots = None
         turn = 0
         while turn <= ROUNDS:
             entries = self.with_roots(postings, roots)
+            if turn < ROUNDS and self.few_left(entries):
+                turn = ROUNDS
             pairs = self.star_pairs(entries, turn) if turn < ROUNDS else self.all_pairs(entries)
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -249,7 +290,6 @@ class Join:
                 turn = ROUNDS if turn < ROUNDS else turn + 1
                 continue
             turn += 1
-            sets = self.sets_of(pairs, classes, sets)
             found = cut(self.links(pairs, sets), "links")
             edges = found if edges is None else edges.union(found)
             tested = pairs if tested is None else tested.union(pairs)
@@ -275,6 +315,34 @@ class Join:
         return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def product(left: pa.Table, right: pa.Table, num: int, den: int) -> pa.Table:
+    """One block: overlaps of each left row with all right rows, and the pairs that their bound leaves."""
+    if not left.num_rows or not right.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("a", "na", "b", "nb")})
+    ls, lc, rs, rc = (t[c].to_numpy() for t in (left, right) for c in ("s", "cid"))
+    names, first, which = np.unique(rc, return_index=True, return_inverse=True)
+    n, root = right["n"].to_numpy()[first], right["root"].to_numpy()[first]
+    order = np.argsort(rs, kind="stable")
+    columns, which = rs[order], which[order]
+    begin, end = np.searchsorted(columns, ls, "left"), np.searchsorted(columns, ls, "right")
+    by_row = np.argsort(lc, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(lc[by_row])) + 1, len(lc))
+    own_n, own_root, out, at = left["n"].to_numpy(), left["root"].to_numpy(), [], 0
+    for stop in ends:
+        mine = by_row[at:stop]
+        at = stop
+        a, na, ra = lc[mine[0]], own_n[mine[0]], own_root[mine[0]]
+        overlap = np.bincount(np.concatenate([which[begin[k] : end[k]] for k in mine]), minlength=len(names))
+        small, large = np.minimum(n, na), np.maximum(n, na)
+        behind = -(-large * num // den) - 1
+        keep = (overlap > 0) & (root != ra) & (small * den >= large * num) & ((overlap + behind) * (num + den) >= (n + na) * num)
+        for b in np.flatnonzero(keep):
+            x, y = (a, na), (names[b], n[b])
+            out.append((*min(x, y), *max(x, y)))
+    columns = zip(*out, strict=True) if out else ([], [], [], [])
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "na", "b", "nb"), columns, strict=True)})
+
+
 def ordered() -> list[Column]:
     """The pair with its lesser row first."""
     swap = F.col("a") > F.col("b")
