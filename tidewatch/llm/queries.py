@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontam, html, jaccard, langid, lm, packing, pii, quality, records
+from tidewatch.llm import chat, decontam, html, jaccard, langid, lm, oracles, packing, pii, quality, records
 from tidewatch.llm.common import id_crc, table
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = {
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op5_ngram_jaccard": oracles.JACCARD,
+    "op10_quality_rules": oracles.QUALITY,
+}
 
 
 def query(function):
