@@ -122,6 +122,13 @@ def test_constraints_feed_the_next_run(spark):
     assert ModelQuality(stored).compute({"predictions": bad}, config).outcome.first()["violation_count"] == 4
 
 
+def test_a_label_from_before_its_capture_does_not_count(spark):
+    captures = spark.createDataFrame([("a", datetime(2024, 1, 5)), ("b", datetime(2024, 1, 5))], "inference_id string, ts timestamp")
+    labels = [("a", datetime(2024, 1, 4), "old"), ("b", datetime(2024, 1, 4), "old"), ("b", datetime(2024, 1, 6), "new"), ("b", datetime(2023, 1, 6), "far")]
+    joined = truth.join_truth(captures, spark.createDataFrame(labels, "inference_id string, label_ts timestamp, label string"), datetime(2024, 1, 10), "7d")
+    assert {(r["inference_id"], r["label"]) for r in joined.collect()} == {("a", None), ("b", "new")}
+
+
 def test_truth_takes_the_newest_known_label(spark):
     from datetime import datetime
 

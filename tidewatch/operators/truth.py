@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.severity import default_severity
@@ -21,13 +21,14 @@ def interval(lookback: str) -> str:
     return f"INTERVAL {match[1]} {_UNITS[match[2]]}"
 
 
-def latest_labels(labels: DataFrame, as_of: datetime) -> DataFrame:
-    """``(inference_id, label, label_ts)``: the newest label per id known at ``as_of``.
+def latest_labels(labels: DataFrame, as_of: datetime, since: Column | None = None) -> DataFrame:
+    """``(inference_id, label, label_ts)``: the newest label per id known at ``as_of``, of those from ``since`` on.
 
     ``max`` over a struct combines map-side, so an id with very many labels stays cheap, where a
     ranking window would sort all of them in one task. Equal timestamps go to the larger label.
     """
     known = labels.where(F.col("label_ts") <= F.lit(as_of))
+    known = known if since is None else known.where(F.col("label_ts") >= since)
     newest = F.max(F.struct("label_ts", "label"))
     return known.groupBy("inference_id").agg(newest.alias("newest")).select("inference_id", "newest.label", "newest.label_ts")
 
@@ -35,11 +36,14 @@ def latest_labels(labels: DataFrame, as_of: datetime) -> DataFrame:
 def join_truth(captures: DataFrame, labels: DataFrame, as_of: datetime, lookback: str = "7d") -> DataFrame:
     """Captures of the lookback window before ``as_of``, with their newest label or null.
 
-    The time filter reaches the capture scan (partition pruning when captures are laid out by date).
+    A label counts from its capture on, as in the stream: one dated before is of another event. If the newest one is
+    too early, all are. The time filters reach both scans (partition pruning when tables are laid out by date).
     """
     since = F.lit(as_of) - F.expr(interval(lookback))
     window = captures.where((F.col("ts") >= since) & (F.col("ts") <= F.lit(as_of)))
-    return window.join(latest_labels(labels, as_of), "inference_id", "left")
+    joined = window.join(latest_labels(labels, as_of, since), "inference_id", "left")
+    counts = F.col("label_ts") >= F.col("ts")
+    return joined.withColumn("label", F.when(counts, F.col("label"))).withColumn("label_ts", F.when(counts, F.col("label_ts")))
 
 
 def coverage(joined: DataFrame, min_coverage: float = 0.30) -> DataFrame:

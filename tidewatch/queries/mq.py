@@ -236,7 +236,7 @@ WITH cap AS (SELECT o_orderkey AS inference_id, o_orderdate AS ts, o_orderstatus
 lab AS (SELECT l_orderkey, l_shipdate AS label_ts, l_returnflag AS label,
           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_returnflag DESC) AS rn
         FROM lineitem WHERE l_shipdate <= TIMESTAMP '{AS_OF}'),
-joined AS (SELECT inference_id, prediction, label, label_ts FROM cap LEFT JOIN lab ON inference_id = l_orderkey AND rn = 1)
+joined AS (SELECT inference_id, prediction, label, label_ts FROM cap LEFT JOIN lab ON inference_id = l_orderkey AND rn = 1 AND label_ts >= ts)
 """
 
 ORACLES = {

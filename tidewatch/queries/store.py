@@ -49,11 +49,6 @@ def csv_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(read_raw_csv(spark, path, RAW_SCHEMA, ["id", "price", "priority", "label"], "label"), "id", "price", "priority", "label")
 
 
-class _Broken:
-    def compute(self, inputs, config):
-        raise KeyError("label")
-
-
 def _monitors(spark: SparkSession, sf_dir: str) -> list[Monitor]:
     current, baseline = dq.windows(spark, sf_dir)
 
@@ -65,21 +60,16 @@ def _monitors(spark: SparkSession, sf_dir: str) -> list[Monitor]:
         Monitor(DataQuality(), context("dq"), {"current": current, "baseline": baseline}, dq.CONFIG),
         Monitor(ModelQuality(), context("mq"), {"predictions": mq.binary(spark, sf_dir)}, mq.BINARY),
         Monitor(Bias(), context("bias"), {"dataset": bias.dataset(spark, sf_dir)}, bias_config),
-        Monitor(_Broken(), context("shadow"), {}, {}),
+        # asks for a label column that line items do not have
+        Monitor(ModelQuality(), context("shadow"), {"predictions": mq.binary(spark, sf_dir)}, {**mq.BINARY, "label_column": "no_such_label"}),
     ]
 
 
-_STORES: dict[tuple[str, str], MonitorStore] = {}
-
-
 def _stored(spark: SparkSession, sf_dir: str) -> MonitorStore:
-    """The store of one job run; the reports below read the same run."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORES:
-        store = MonitorStore(scratch(spark, "store"))
-        run_all(spark, store, _monitors(spark, sf_dir), parallel=4)
-        _STORES[key] = store
-    return _STORES[key]
+    """The store of one run of the job."""
+    store = MonitorStore(scratch(spark, "store"))
+    run_all(spark, store, _monitors(spark, sf_dir), parallel=4)
+    return store
 
 
 def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,13 +80,13 @@ def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stored(spark, sf_dir).read(spark, "metrics", METRIC_TABLE_SCHEMA)
-    picked = rows.where((F.col("metric_name") != "RunDurationSeconds") & F.col("analyser_type").isin("dq", "shadow"))
+    picked = rows.where(F.col("metric_name") != "RunDurationSeconds")
     return tidy(picked, "analyser_type", "metric_name", "name", "value", "unit")
 
 
 def job_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stored(spark, sf_dir).read(spark, "failures", FAILURE_SCHEMA)
-    return rows.select("analyser_type", "outcome", "exception_class", "message")
+    return rows.select("analyser_type", "outcome", "exception_class", F.col("message").contains("no_such_label").alias("named"))
 
 
 def job_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,14 +161,16 @@ ORACLES = {
         FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0""",
     "job_outcomes": f"""{_ALL} SELECT 'run-' || analyser AS run_id, analyser AS analyser_type, outcome, severity,
         violation_count::BIGINT AS violation_count FROM runs""",
-    "job_metrics": f"""{_ALL}, m AS ({dq.ORACLES['dq_metrics']})
+    "job_metrics": f"""{_ALL}, m AS ({dq.ORACLES['dq_metrics']}), q AS ({mq.ORACLES['mq_metrics_binary']}), b AS ({bias.ORACLES['bias_pretraining']})
         SELECT 'dq' AS analyser_type, 'MetricValue' AS metric_name, name, value, 'None' AS unit FROM m
-        UNION ALL SELECT analyser, 'RunCount', 'RunCount', 1.0, 'Count' FROM runs WHERE analyser IN ('dq', 'shadow')
-        UNION ALL SELECT analyser, 'ViolationCount', 'ViolationCount', violation_count, 'Count' FROM runs WHERE analyser IN ('dq', 'shadow')
+        UNION ALL SELECT 'mq', 'MetricValue', name, value, 'None' FROM q
+        UNION ALL SELECT 'bias', 'MetricValue', concat_ws('/', facet, stage, metric), value, 'None' FROM b WHERE value IS NOT NULL
+        UNION ALL SELECT analyser, 'RunCount', 'RunCount', 1.0, 'Count' FROM runs
+        UNION ALL SELECT analyser, 'ViolationCount', 'ViolationCount', violation_count, 'Count' FROM runs
         UNION ALL SELECT analyser, 'Severity', 'Severity', CASE severity WHEN 'info' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, 'None'
-          FROM runs WHERE analyser IN ('dq', 'shadow')""",
-    "job_failures": """SELECT 'shadow' AS analyser_type, 'failed_unhandled' AS outcome, 'KeyError' AS exception_class, '''label''' AS message
-        FROM (SELECT count(*) AS n FROM orders) WHERE n > 0""",
+          FROM runs""",
+    "job_failures": """SELECT 'shadow' AS analyser_type, 'failed_unhandled' AS outcome, 'PySparkKeyError' AS exception_class, true AS named
+        FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 0""",
     "job_documents": f"""{_ALL} SELECT analyser, outcome, violation_count::BIGINT AS violation_count, '0000000' AS git_sha FROM runs WHERE analyser <> 'shadow'""",
     "outcome_table": f"""{OUTCOMES_SQL} SELECT run_id, analyser_type, CASE WHEN project = 'proj-3' THEN 'succeeded' ELSE outcome END AS outcome FROM outcomes""",
     "metric_table": f"""{OUTCOMES_SQL}, m AS (
