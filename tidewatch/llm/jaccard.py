@@ -23,6 +23,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,7 +185,19 @@ class Join:
         (``shared``) and how many rows they have in all (``weight``)."""
         entries = classes.select("cid", "n", F.explode("lead").alias("s"))
         often = cut(entries.groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") > 1), "columns")
-        found = cut(entries.join(often, "s"), "entries")
+        shared = self.spark.sparkContext.broadcast(Filter(often, "s"))
+
+        def likely(batches: Batches) -> Batches:
+            for batch in batches:
+                lead = batch.column("lead")
+                values, owner = lead.flatten().to_numpy(), np.repeat(np.arange(len(lead)), pc.list_value_length(lead).to_numpy())
+                pick = shared.value.may_have(values)
+                rows = pa.array(owner[pick])
+                yield pa.RecordBatch.from_arrays([batch.column("cid").take(rows), batch.column("n").take(rows), pa.array(values[pick])], ["cid", "n", "s"])
+
+        # Most entries are of columns that no other row has; the filter spares them the shuffle of the join.
+        some = classes.select("cid", "n", "lead").mapInArrow(likely, "cid bigint, n bigint, s bigint")
+        found = cut(some.join(often, "s"), "entries")
         per_row = found.groupBy("cid").agg(F.count("*").alias("shared"), F.sum("k").alias("weight"))
         return cut(found.join(per_row, "cid").select("s", "cid", "n", "shared", "weight"), "postings")
 
@@ -251,9 +264,14 @@ class Join:
         found = left.groupBy("block", "i", "j").cogroup(right.groupBy("block", "i", "j")).applyInArrow(lambda x, y: product(x, y, num, den), "a bigint, na bigint, b bigint, nb bigint")
         return found.distinct()
 
-    def sets_of(self, postings: DataFrame, classes: DataFrame) -> DataFrame:
-        """Whole sets ``cid, hashes`` of all rows with entries, read from their documents once more."""
-        wanted = cut(postings.select("cid").distinct().join(classes.select("cid", "tag"), "cid"), "wanted")
+    def sets_of(self, pairs: DataFrame, classes: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Whole sets ``cid, hashes`` of all rows in pairs; those not known yet are read from their documents."""
+        ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+        if known is not None:
+            ends = ends.join(known.select("cid"), "cid", "left_anti")
+        wanted = cut(ends.join(classes.select("cid", "tag"), "cid"), "wanted")
+        if wanted.isEmpty():
+            return known
         shared = self.spark.sparkContext.broadcast(Filter(wanted, "tag"))
 
         def make(ids: list, sets: list[np.ndarray]) -> list:
@@ -262,7 +280,8 @@ class Join:
             return [pa.array(tags[pick]), flat([sets[k] for k in pick])]
 
         found = self.scan("tag bigint, hashes array<bigint>", make).join(wanted, "tag")
-        return cut(found.groupBy("cid").agg(F.first("hashes").alias("hashes")), "sets")
+        new = cut(found.groupBy("cid").agg(F.first("hashes").alias("hashes")), "sets")
+        return new if known is None else known.union(new)
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that link, their overlaps completed from whole sets, as edges."""
@@ -275,8 +294,7 @@ class Join:
     def roots(self, classes: DataFrame) -> DataFrame:
         """``node, root`` for every row that links to another."""
         postings = self.postings(classes)
-        sets = self.sets_of(postings, classes)
-        edges = tested = roots = None
+        edges = tested = roots = sets = None
         turn = 0
         while turn <= ROUNDS:
             entries = self.with_roots(postings, roots)
@@ -290,6 +308,7 @@ class Join:
                 turn = ROUNDS if turn < ROUNDS else turn + 1
                 continue
             turn += 1
+            sets = self.sets_of(pairs, classes, sets)
             found = cut(self.links(pairs, sets), "links")
             edges = found if edges is None else edges.union(found)
             tested = pairs if tested is None else tested.union(pairs)
