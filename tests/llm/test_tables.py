@@ -317,3 +317,17 @@ def test_the_filter_never_underestimates(spark):
     assert (found.estimate(other) > 0).mean() < 0.03
     small = lm.build(grams, 3000)  # the least count kept rises until the keys fit
     assert small.least > 1 and (small.estimate(h.view(np.uint64))[c >= small.least] > 0).all()
+
+
+def test_every_count_is_used_beyond_one_share(spark, docs, monkeypatch):
+    whole = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score(docs, docs).collect()}
+    monkeypatch.setattr(lm, "BITS_PER_KEY", 1 << 17)  # few words then need more than ``max_bits``
+    shared = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score(docs, docs).collect()}
+    assert shared == pytest.approx(whole, rel=1e-9)
+
+
+def test_shares_are_the_whole_filter(spark):
+    h = np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 2000)
+    written = lm.Written(spark.createDataFrame([(int(x), 1 + k % 5) for k, x in enumerate(h)], "h long, c long"), "test-filter")
+    level = sum(written.share(k, 7).levels(h.view(np.uint64)) for k in range(7))
+    assert (level == written.share(0, 1).levels(h.view(np.uint64))).all() and (level >= 1).all()

@@ -3,15 +3,15 @@
 Counts of words and of word pairs are quantised to powers of two; a filter holds, for an n-gram of level q, the keys
 (n-gram, 1) to (n-gram, q). Looking a count up is asking for level 1, 2, ... until one is missing, so a lookup can
 err upwards only. The filter is split into blocks of 2**16 bits, built by the tasks that own the blocks' n-grams, and
-broadcast; it has ``BITS_PER_KEY`` bits a key, and at most ``max_bits`` in all: if more keys would be needed, the
-least count that is kept is doubled until they fit.
+written; it has ``BITS_PER_KEY`` bits a key and grows with the keys. It is broadcast in shares of about ``max_bits``
+for words and pairs together, one share in each pass over the documents, so every count is used at every size.
 
 A pair's probability is its estimated share of its first word's count, mixed with the word's own smoothed
 probability. A text begins after an end mark and ends with one.
 
-The plain base score needs exact counts of words. Their table (hash and count) is broadcast in blocks of at most
-``block_words`` words; usually that is one block, else the documents are read once for each, and the table of sums is
-written in between.
+The plain base score needs exact counts of words. Their table (hash and count) is broadcast in blocks of about
+``block_words`` words, in the same passes. Usually that is one pass; else the documents are written in between with
+their sums and a byte a token for each filter, its level, and the table before is deleted.
 
 Defined results: a null text is empty: it is its end mark alone; nothing learned gives probability 1; a null id counts
 as empty text where rows are dealt by their ids' checksums; repeated rows count each; other columns are not kept.
@@ -24,10 +24,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Batches, cut, hits_of, mixed, texts_of
+from tidewatch.llm.common import Batches, cut, hits_of, mixed, new_folder, texts_of
 from tidewatch.llm.jaccard import Filter, word_hashes
 from tidewatch.llm.langid import pieces
 
@@ -74,29 +74,39 @@ def level_of(count: Column, least: int) -> Column:
 
 
 class FrequencyFilter:
-    """Quantised counts by n-gram hash. ``least``: the least count of a pair that is kept (words: of a word)."""
+    """Quantised counts by n-gram hash, of the blocks from ``first`` to before ``last``. ``least``: the least count kept."""
 
-    def __init__(self, blocks: int, least: int):
-        self.blocks, self.least = blocks, least
-        self.bits = np.zeros(blocks * (BLOCK_BITS // 64), np.uint64)
+    def __init__(self, blocks: int, least: int, first: int = 0, last: int | None = None):
+        self.blocks, self.least, self.first, self.last = blocks, least, first, blocks if last is None else last
+        self.bits = np.zeros((self.last - first) * (BLOCK_BITS // 64), np.uint64)
 
-    def estimate(self, h: np.ndarray) -> np.ndarray:
-        """Estimated counts, 0 for what the filter lacks."""
-        level, alive, block = np.zeros(len(h), np.int64), np.arange(len(h)), block_of(h, self.blocks)
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels, 0 for what these blocks lack."""
+        level, block = np.zeros(len(h), np.uint8), block_of(h, self.blocks)
+        alive = np.flatnonzero((block >= np.uint64(self.first)) & (block < np.uint64(self.last)))
         q = 1
         while len(alive):
             here = np.ones(len(alive), bool)
+            base = (block[alive] - np.uint64(self.first)) * np.uint64(BLOCK_BITS)
             for at in places(h[alive], q):
-                bit = block[alive] * np.uint64(BLOCK_BITS) + at
+                bit = base + at
                 here &= (self.bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
             alive = alive[here]
             level[alive] = q
             q += 1
             if q > 64:
                 break
-        # The middle of a level, on the scale of logarithms; level 1 of single counts is exact.
-        middle = self.least * 2.0 ** (level - 1) * np.where((level == 1) & (self.least == 1), 1, math.sqrt(2))
-        return np.where(level > 0, middle, 0)
+        return level
+
+    def estimate(self, h: np.ndarray) -> np.ndarray:
+        """Estimated counts, 0 for what the filter lacks."""
+        return middle(self.levels(h), self.least)
+
+
+def middle(level: np.ndarray, least: int = 1) -> np.ndarray:
+    """The middle of a level, on the scale of logarithms; level 1 of single counts is exact."""
+    found = least * 2.0 ** (level.astype(float) - 1) * np.where((level == 1) & (least == 1), 1, math.sqrt(2))
+    return np.where(level > 0, found, 0)
 
 
 def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
@@ -111,27 +121,26 @@ def places(h: np.ndarray, level: int) -> list[np.ndarray]:
     return [(key >> np.uint64(16 * k)) & np.uint64(BLOCK_BITS - 1) for k in range(PROBES)]
 
 
-def build(grams: DataFrame, max_bits: int) -> FrequencyFilter:
-    """The filter of ``h, c`` rows."""
-    spark = grams.sparkSession
-    sizes = {r["q"]: r["n"] for r in grams.groupBy(level_of(F.col("c"), 1).alias("q")).agg(F.count("*").alias("n")).collect()}  # a row per power of two
-    least = 0
-    while True:
-        keys = sum(n * (q - least) for q, n in sizes.items() if q > least)
-        if keys * BITS_PER_KEY <= max_bits or not keys:
-            break
-        least += 1
-    blocks = OWNERS * max(1, -(-keys * BITS_PER_KEY // (BLOCK_BITS * OWNERS)))
-    found = FrequencyFilter(blocks, 1 << least)
-    rows = grams.where(F.col("c") >= found.least).select("h", level_of(F.col("c"), found.least).cast("int").alias("q"))
+def level_counts(grams: DataFrame) -> dict[int, int]:
+    """How many n-grams have each level; a row per power of two."""
+    return {r["q"]: r["n"] for r in grams.groupBy(level_of(F.col("c"), 1).alias("q")).agg(F.count("*").alias("n")).collect()}
+
+
+def blocks_for(keys: int) -> int:
+    return OWNERS * max(1, -(-keys * BITS_PER_KEY // (BLOCK_BITS * OWNERS)))
+
+
+def filled_blocks(grams: DataFrame, blocks: int, least: int) -> DataFrame:
+    """Rows ``block, bits`` of the filter of ``h, c`` rows."""
+    rows = grams.where(F.col("c") >= least).select("h", level_of(F.col("c"), least).cast("int").alias("q"))
     rows = rows.withColumn("owner", F.shiftrightunsigned("h", 52))
 
     def fill(table: pa.Table) -> pa.Table:
         h, q = table["h"].to_numpy().view(np.uint64), table["q"].to_numpy()
-        own, bits = np.unique(block_of(h, blocks)), {}
+        block = block_of(h, blocks)
+        own, bits = np.unique(block), {}
         for b in own:
             bits[b] = np.zeros(BLOCK_BITS, bool)
-        block = block_of(h, blocks)
         order = np.argsort(block, kind="stable")
         h, q, block = h[order], q[order], block[order]
         ends = np.append(np.flatnonzero(np.diff(block)) + 1, len(block))
@@ -145,31 +154,61 @@ def build(grams: DataFrame, max_bits: int) -> FrequencyFilter:
         packed = [np.packbits(bits[b], bitorder="little").tobytes() for b in own]
         return pa.table({"block": pa.array(own.astype(np.int64)), "bits": pa.array(packed, pa.binary())})
 
+    return rows.groupBy("owner").applyInArrow(fill, "block bigint, bits binary")
+
+
+def gathered(filled: DataFrame, found: FrequencyFilter) -> FrequencyFilter:
+    """``found`` with the bits of its blocks."""
     words = BLOCK_BITS // 64
-    done = rows.groupBy("owner").applyInArrow(fill, "block bigint, bits binary").toArrow()  # at most max_bits
-    for block, data in zip(done["block"].to_pylist(), done["bits"].to_pylist(), strict=True):
-        found.bits[block * words : (block + 1) * words] = np.frombuffer(data, np.uint64)
+    done = filled.where(F.col("block").between(found.first, found.last - 1)).toArrow()
+    for block, data in zip(done["block"].to_pylist(), done["bits"], strict=True):
+        begin = (block - found.first) * words
+        found.bits[begin : begin + words] = np.frombuffer(data.as_buffer(), np.uint64)
     return found
 
 
-class Model:
-    """The filter with the totals that smooth it."""
+def build(grams: DataFrame, max_bits: int) -> FrequencyFilter:
+    """One filter of ``h, c`` rows in at most ``max_bits``, the least count raised until they suffice; scores use shares
+    of the whole filter instead."""
+    sizes = level_counts(grams)
+    least = 0
+    while True:
+        keys = sum(n * (q - least) for q, n in sizes.items() if q > least)
+        if keys * BITS_PER_KEY <= max_bits or not keys:
+            break
+        least += 1
+    found = FrequencyFilter(blocks_for(keys), 1 << least)
+    return gathered(filled_blocks(grams, found.blocks, found.least), found)
+
+
+class Written:
+    """The whole filter of ``h, c`` rows, every count in it, in the shared folder; shares of it can be fetched."""
+
+    def __init__(self, grams: DataFrame, name: str):
+        self.blocks = blocks_for(sum(n * q for q, n in level_counts(grams).items()))
+        self.filled = cut(filled_blocks(grams, self.blocks, 1), name)
+
+    def share(self, k: int, of: int) -> FrequencyFilter:
+        return gathered(self.filled, FrequencyFilter(self.blocks, 1, k * self.blocks // of, (k + 1) * self.blocks // of))
+
+
+def log10(word_levels: np.ndarray, pair_levels: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 probability of every token of a stream of whole texts, from its level and that of its pair."""
+    single, pair = middle(word_levels), middle(pair_levels)
+    before = np.roll(single, 1)  # a stream ends with an end mark, as the one that its first token follows
+    own = (single + 1) / (total + distinct + 1)
+    share = np.minimum(1, pair / np.maximum(before, 1))
+    weight = MIX * before / (before + HALF)
+    return np.log10(weight * share + (1 - weight) * own)
 
-    def __init__(self, words: FrequencyFilter, pairs: FrequencyFilter, total: int, distinct: int):
-        self.words, self.pairs, self.total, self.distinct = words, pairs, total, distinct
 
-    def log10(self, stream: np.ndarray, each: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """log10 probability of every token of a stream. each, which: its distinct tokens, and which is where."""
-        single = self.words.estimate(each)[which]
-        before = np.concatenate([self.words.estimate(np.array([END])), single[:-1]])
-        own = (single + 1) / (self.total + self.distinct + 1)
-        pair = self.pairs.estimate(pair_hashes(stream))
-        share = np.minimum(1, pair / np.maximum(before, 1))
-        weight = MIX * before / (before + HALF)
-        return np.log10(weight * share + (1 - weight) * own)
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-SCORES = "doc_id bigint, text string, n_tokens bigint, n_known bigint, base_score double, score double"
+SCORES = "doc_id bigint, text string, n_tokens bigint, n_known bigint, base_score double, score double, word_levels binary, pair_levels binary"
+LEVELS = ("word_levels", "pair_levels")
 
 
 def score(docs: DataFrame, train: DataFrame, max_bits: int = 1 << 29, block_words: int = 8_000_000) -> DataFrame:
@@ -187,21 +226,25 @@ def score(docs: DataFrame, train: DataFrame, max_bits: int = 1 << 29, block_word
         return pair_hashes(stream)[often & np.concatenate([[True], often[:-1]])]
 
     double = cut(counted(train, likely_pairs).where("c > 1"), "pairs")
-    model = spark.sparkContext.broadcast(Model(build(single, max_bits // 2), build(double, max_bits // 2), total, distinct))
-    blocks = max(1, math.ceil(distinct / block_words))
-    out = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *[F.lit(0).cast("bigint").alias(c) for c in ("n_tokens", "n_known")], *[F.lit(0.0).alias(c) for c in ("base_score", "score")])
-    for k in range(blocks):
-        mine = single.where(F.pmod("h", F.lit(blocks)) == k).toArrow()
+    words, pairs = Written(single, "word-filter"), Written(double, "pair-filter")
+    passes = max(1, math.ceil(distinct / block_words), math.ceil((words.blocks + pairs.blocks) * BLOCK_BITS / max_bits))
+    empty = [F.lit(0).cast("bigint").alias(c) for c in ("n_tokens", "n_known")] + [F.lit(0.0).alias(c) for c in ("base_score", "score")]
+    empty += [F.lit(None).cast("binary").alias(c) for c in LEVELS]
+    out, before = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *empty), None
+    for k in range(passes):
+        mine = single.where(F.pmod("h", F.lit(passes)) == k).toArrow()
         h, c = mine["h"].to_numpy().view(np.uint64), mine["c"].to_numpy()
         order = np.argsort(h)
         known = spark.sparkContext.broadcast((h[order], c[order]))
-        last = k == blocks - 1
+        filters = spark.sparkContext.broadcast((words.share(k, passes), pairs.share(k, passes)))
+        last = k == passes - 1
 
-        def add(batches: Batches, known=known, k=k, last=last) -> Batches:
-            hashes, counts = known.value
+        def add(batches: Batches, known=known, filters=filters, k=k, last=last) -> Batches:
+            (hashes, counts), (word_filter, pair_filter) = known.value, filters.value
             for batch in batches:
                 texts = texts_of(batch)
                 sums = {c: batch.column(c).to_numpy().copy() for c in ("n_tokens", "n_known", "base_score", "score")}
+                sofar, levels = [batch.column(c).to_pylist() for c in LEVELS], ([], [])
                 for begin, end in pieces(texts):
                     stream, each_count = token_stream(texts[begin:end])
                     owner = np.repeat(np.arange(begin, end), each_count)
@@ -214,10 +257,27 @@ def score(docs: DataFrame, train: DataFrame, max_bits: int = 1 << 29, block_word
                     sums["base_score"] += np.bincount(owner, weights=plain[which], minlength=len(texts))
                     if k == 0:
                         sums["n_tokens"][begin:end] = each_count
-                        sums["score"] += np.bincount(owner, weights=model.value.log10(stream, each, which), minlength=len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1) if not last else pa.nulls(len(texts), pa.string()), *[pa.array(v) for v in sums.values()]], batch.schema.names)
+                    # An n-gram has its level in the share of its block and 0 in the others.
+                    mine = [word_filter.levels(each)[which], pair_filter.levels(pair_hashes(stream))]
+                    if k:
+                        mine = [m + np.frombuffer(b"".join(s[begin:end]), np.uint8) for m, s in zip(mine, sofar, strict=True)]
+                    if last:
+                        sums["score"] += np.bincount(owner, weights=log10(*mine, total, distinct), minlength=len(texts))
+                        continue
+                    bounds = np.cumsum(each_count)
+                    for own, m in zip(levels, mine, strict=True):
+                        own += [m[b - n : b].tobytes() for b, n in zip(bounds, each_count, strict=True)]
+                kept = [pa.nulls(len(texts), pa.string()), *[pa.nulls(len(texts), pa.binary())] * 2] if last else [batch.column(1), *[pa.array(x, pa.binary()) for x in levels]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), kept[0], *[pa.array(v) for v in sums.values()], *kept[1:]], batch.schema.names)
 
         out = out.mapInArrow(add, SCORES)
         if not last:
-            out = cut(out, "scores")
+            folder = new_folder(spark, "scores")
+            out.write.parquet(folder)
+            out = spark.read.schema(out.schema).parquet(folder)
+            known.unpersist()
+            filters.unpersist()
+            if before:
+                delete(spark, before)
+            before = folder
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
