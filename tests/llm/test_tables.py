@@ -331,3 +331,14 @@ def test_shares_are_the_whole_filter(spark):
     written = lm.Written(spark.createDataFrame([(int(x), 1 + k % 5) for k, x in enumerate(h)], "h long, c long"), "test-filter")
     level = sum(written.share(k, 7).levels(h.view(np.uint64)) for k in range(7))
     assert (level == written.share(0, 1).levels(h.view(np.uint64))).all() and (level >= 1).all()
+
+
+def test_pairs_seen_once_count(spark):
+    train = spark.createDataFrame([(1, "alpha beta gamma alpha delta beta")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta alpha")], "doc_id long, text string")
+    seen, unseen = (r["score"] for r in lm.score(docs, train).orderBy("doc_id").collect())
+    # By hand: tokens 7, words 5; "alpha" begins the text once, "alpha beta" and "beta end" are seen once.
+    chance = lambda pair, before, word: (w := lm.MIX * before / (before + lm.HALF)) * pair / before + (1 - w) * (word + 1) / 13
+    two = 2 * np.sqrt(2)  # the middle of the level of two and three
+    assert seen == pytest.approx(np.log10([chance(1, 1, two), chance(1, two, two), chance(1, two, 1)]).sum(), rel=1e-9)
+    assert unseen == pytest.approx(np.log10([chance(0, 1, two), chance(0, two, two), chance(0, two, 1)]).sum(), rel=1e-9)

@@ -6,7 +6,7 @@ err upwards only. The filter is split into blocks of 2**16 bits, built by the ta
 written; it has ``BITS_PER_KEY`` bits a key and grows with the keys. It is broadcast in shares of about ``max_bits``
 for words and pairs together, one share in each pass over the documents, so every count is used at every size.
 
-A pair's probability is its estimated share of its first word's count, mixed with the word's own smoothed
+All words and all pairs are counted, those seen once too. A pair's probability is its estimated share of its first word's count, mixed with the word's own smoothed
 probability. A text begins after an end mark and ends with one.
 
 The plain base score needs exact counts of words. Their table (hash and count) is broadcast in blocks of about
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Batches, cut, hits_of, mixed, new_folder, texts_of
-from tidewatch.llm.jaccard import Filter, word_hashes
+from tidewatch.llm.jaccard import word_hashes
 from tidewatch.llm.langid import pieces
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -57,7 +57,7 @@ def pair_hashes(stream: np.ndarray) -> np.ndarray:
 
 
 def counted(rows: DataFrame, make) -> DataFrame:
-    """``h, c`` summed over all rows; each piece of a batch sends every hash once."""
+    """``h, c`` summed over all rows; each piece of a batch sends every hash once. A partition has whole owners."""
 
     def count(batches: Batches) -> Batches:
         for batch in batches:
@@ -66,7 +66,9 @@ def counted(rows: DataFrame, make) -> DataFrame:
                 h, c = np.unique(make(texts[begin:end]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-    return rows.select(F.col("text").cast("string")).mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    found = rows.select(F.col("text").cast("string")).mapInArrow(count, "h bigint, c bigint")
+    found = found.withColumn("owner", F.shiftrightunsigned("h", 52)).repartition("owner")
+    return found.groupBy("owner", "h").agg(F.sum("c").alias("c")).select("h", "c")
 
 
 def level_of(count: Column, least: int) -> Column:
@@ -131,30 +133,37 @@ def blocks_for(keys: int) -> int:
 
 
 def filled_blocks(grams: DataFrame, blocks: int, least: int) -> DataFrame:
-    """Rows ``block, bits`` of the filter of ``h, c`` rows."""
+    """Rows ``block, bits`` of the filter of ``h, c`` rows; a block has a row for each task with n-grams of its owner,
+    which are few where files hold whole owners."""
     rows = grams.where(F.col("c") >= least).select("h", level_of(F.col("c"), least).cast("int").alias("q"))
-    rows = rows.withColumn("owner", F.shiftrightunsigned("h", 52))
-
-    def fill(table: pa.Table) -> pa.Table:
-        h, q = table["h"].to_numpy().view(np.uint64), table["q"].to_numpy()
-        block = block_of(h, blocks)
-        own, bits = np.unique(block), {}
-        for b in own:
-            bits[b] = np.zeros(BLOCK_BITS, bool)
-        order = np.argsort(block, kind="stable")
-        h, q, block = h[order], q[order], block[order]
-        ends = np.append(np.flatnonzero(np.diff(block)) + 1, len(block))
-        begin = 0
-        for end in ends:
-            mine = bits[block[begin]]
-            for level in range(1, int(q[begin:end].max()) + 1):
-                for at in places(h[begin:end][q[begin:end] >= level], level):
-                    mine[at] = True
-            begin = end
-        packed = [np.packbits(bits[b], bitorder="little").tobytes() for b in own]
-        return pa.table({"block": pa.array(own.astype(np.int64)), "bits": pa.array(packed, pa.binary())})
-
-    return rows.groupBy("owner").applyInArrow(fill, "block bigint, bits binary")
+
+    def filled(parts: list[tuple[np.ndarray, np.ndarray]]) -> Batches:
+        h, q = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own, at = np.unique(block_of(h, blocks), return_inverse=True)
+        bits = np.zeros(len(own) * (BLOCK_BITS // 64), np.uint64)
+        for level in range(1, int(q.max()) + 1):
+            here = q >= level
+            for place in places(h[here], level):
+                bit = at[here].astype(np.uint64) * np.uint64(BLOCK_BITS) + place
+                np.bitwise_or.at(bits, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+        each = BLOCK_BITS // 64
+        for begin in range(0, len(own), 512):
+            some = [bits[k * each : (k + 1) * each].tobytes() for k in range(begin, min(begin + 512, len(own)))]
+            yield pa.RecordBatch.from_arrays([pa.array(own[begin : begin + 512].astype(np.int64)), pa.array(some, pa.binary())], ["block", "bits"])
+
+    def fill(batches: Batches) -> Batches:
+        parts, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                parts.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+                size += batch.num_rows
+            if size >= 1 << 21:
+                yield from filled(parts)
+                parts, size = [], 0
+        if parts:
+            yield from filled(parts)
+
+    return rows.mapInArrow(fill, "block bigint, bits binary")
 
 
 def gathered(filled: DataFrame, found: FrequencyFilter) -> FrequencyFilter:
@@ -163,7 +172,7 @@ def gathered(filled: DataFrame, found: FrequencyFilter) -> FrequencyFilter:
     done = filled.where(F.col("block").between(found.first, found.last - 1)).toArrow()
     for block, data in zip(done["block"].to_pylist(), done["bits"], strict=True):
         begin = (block - found.first) * words
-        found.bits[begin : begin + words] = np.frombuffer(data.as_buffer(), np.uint64)
+        found.bits[begin : begin + words] |= np.frombuffer(data.as_buffer(), np.uint64)
     return found
 
 
@@ -217,15 +226,7 @@ def score(docs: DataFrame, train: DataFrame, max_bits: int = 1 << 29, block_word
     single = cut(counted(train, lambda texts: token_stream(texts)[0]), "words")
     totals = single.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = totals["n"], totals["v"]
-    twice = spark.sparkContext.broadcast(Filter(single.where("c > 1"), "h"))
-
-    def likely_pairs(texts: list[str]) -> np.ndarray:
-        # A pair is seen twice only if both its words are.
-        stream, _ = token_stream(texts)
-        often = twice.value.may_have(stream)
-        return pair_hashes(stream)[often & np.concatenate([[True], often[:-1]])]
-
-    double = cut(counted(train, likely_pairs).where("c > 1"), "pairs")
+    double = cut(counted(train, lambda texts: pair_hashes(token_stream(texts)[0])), "pairs")
     words, pairs = Written(single, "word-filter"), Written(double, "pair-filter")
     passes = max(1, math.ceil(distinct / block_words), math.ceil((words.blocks + pairs.blocks) * BLOCK_BITS / max_bits))
     empty = [F.lit(0).cast("bigint").alias(c) for c in ("n_tokens", "n_known")] + [F.lit(0.0).alias(c) for c in ("base_score", "score")]
