@@ -342,3 +342,11 @@ def test_pairs_seen_once_count(spark):
     two = 2 * np.sqrt(2)  # the middle of the level of two and three
     assert seen == pytest.approx(np.log10([chance(1, 1, two), chance(1, two, two), chance(1, two, 1)]).sum(), rel=1e-9)
     assert unseen == pytest.approx(np.log10([chance(0, 1, two), chance(0, two, two), chance(0, two, 1)]).sum(), rel=1e-9)
+
+
+def test_main_text_without_content_elements():
+    want = "Head & line\nFirst bold text, with stops. And more.\nSecond one <tag>. Line.\nOk.\nItem one\nItem two"
+    assert html.main_text(PAGE.replace("{tag}", "div")) == want
+    page = """<body><nav><p>Home, of all. And more, of it.</p></nav><div class="post"><h2>Title</h2><p>A long text, with stops. And more of it, so it scores.</p><p>Short.</p>
+<blockquote><p>Said</p></blockquote><table><tr><td>Cell<td>Two</table><ol><li>One</ol></div><div class="bottom"><span>Top</span></div></body>"""
+    assert html.main_text(page) == "Title\nA long text, with stops. And more of it, so it scores.\nShort.\nSaid\nCell\nTwo\nOne"

@@ -4,7 +4,8 @@ A tolerant reader walks a page's tags and gives its text blocks in order, each w
 classes and ids) from the root. Per path, text length, punctuation and number of nodes are summed; their ratios are
 smoothed along the page, fused, and compared with a threshold, so a path is taken or left as a whole and short
 paragraphs stay with the long ones of their kind. Paths through navigation, headers, footers, sidebars, forms,
-notices, adverts and comments score nothing; headings belong to the content they stand in.
+notices, adverts and comments score nothing. On pages with ``article`` or ``main`` only what stands in these counts, and
+all of one in which a path is taken is taken; on others, all below the element that holds the taken paths.
 
 White space inside a block becomes one space, character references are decoded, blocks are joined by newlines.
 Unclosed and misnested tags are closed as browsers do for paragraphs, list items, rows and cells; what never closes
@@ -15,6 +16,7 @@ other columns are not kept.
 from __future__ import annotations
 
 import html
+import os
 import re
 
 import numpy as np
@@ -142,11 +144,11 @@ def smoothed(values: np.ndarray) -> np.ndarray:
 
 
 def part_of(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path down to its content element, or else to its parent."""
+    """The path down to its content element."""
     for k, label in enumerate(path):
         if label.split(".")[0] in CONTENT:
             return path[: k + 1]
-    return path[:-1]
+    return path
 
 
 def main_text(page: str, threshold: float = 0.5) -> str:
@@ -171,11 +173,20 @@ def main_text(page: str, threshold: float = 0.5) -> str:
         fused[~inside] = 0
     limit = min(threshold * fused.std(), fused.max())
     taken = (fused >= limit) & (fused > 0)
-    # What stands in one content part with a path that was taken goes with it: headings, lists, quotations.
-    parts = [part_of(p) for p in index]
-    with_text = {parts[k] for k in np.flatnonzero(taken)}
-    for k in range(len(parts)):
-        taken[k] |= (inside[k] or heading[k]) and (parts[k] in with_text or not with_text)
+    # What stands in one content element with a path that was taken goes with it, and on pages without such elements
+    # what stands below the element that holds all taken paths: headings, lists, quotations, tables.
+    if inside.any():
+        parts = [part_of(p) for p in index]
+        with_text = {parts[k] for k in np.flatnonzero(taken)}
+        for k in range(len(parts)):
+            taken[k] |= inside[k] and (parts[k] in with_text or not with_text)
+    elif taken.any():
+        paths_taken = [p for p, k in index.items() if taken[k]]
+        shared = os.path.commonprefix([p[:-1] for p in paths_taken])
+        for p, k in index.items():
+            taken[k] |= p[: len(shared)] == shared
+    else:
+        taken |= heading
     return "\n".join(b[1] for b, k in zip(clean, which, strict=True) if taken[k])
 
 
