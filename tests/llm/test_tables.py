@@ -350,3 +350,15 @@ def test_main_text_without_content_elements():
     page = """<body><nav><p>Home, of all. And more, of it.</p></nav><div class="post"><h2>Title</h2><p>A long text, with stops. And more of it, so it scores.</p><p>Short.</p>
 <blockquote><p>Said</p></blockquote><table><tr><td>Cell<td>Two</table><ol><li>One</ol></div><div class="bottom"><span>Top</span></div></body>"""
     assert html.main_text(page) == "Title\nA long text, with stops. And more of it, so it scores.\nShort.\nSaid\nCell\nTwo\nOne"
+
+
+def test_main_text_within_noisy_names():
+    text = "A long text, with stops. And more of it."
+    for marks in ("has-sidebar", "no-sidebar", "single-post comments-open", "page sticky-header", "sidebar"):
+        assert html.main_text(f'<body class="{marks}"><div id="page"><article class="post with-comments"><p>{text}</p></article></div></body>') == text
+        assert html.main_text(f'<body><div class="{marks}"><nav>Home</nav><article class="post"><p>{text}</p></article></div></body>') == text
+    page = """<header>Site</header><article><header class="header"><h1>Head</h1></header><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be, here. And more text.</p>
+<figure><figcaption>Caption</figcaption></figure><section class="comment-list"><article class="comment"><p>First, yes.</p></article></section></article>
+<div class="sidebar"><p>Side, bar.</p></div><div class="site-footer"><p>Foot, here.</p></div>"""
+    assert html.main_text(page) == "Head\nLet x=1 be, here. And more text.\nCaption"
+    assert html.main_text(f'<div class="post"><p>{text}</p></div><div class="comments"><article class="comment"><p>First, yes.</p></article></div>') == text

@@ -28,20 +28,24 @@ from tidewatch.llm.common import Batches
 
 # The elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg select annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mpadded semantics".split())
 CLOSED_BY_BLOCK = frozenset(("p",))
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot body html article section main div blockquote aside nav footer header form td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-LEFT_OUT = frozenset("nav header footer aside form button dialog menu figcaption".split())
+LEFT_OUT = frozenset("nav header footer aside form button dialog menu".split())
 CONTENT = frozenset("article main".split())
-#: Words in classes, ids and roles that mark a part as not the main text.
+#: Whole classes, ids and roles that mark a part as not the main text: a word, with words of place before and of form after.
 NOISE = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adverts?|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?|"
-    r"pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_ ])",
+    r"(?:(?:site|page|main|global|primary|secondary|top|bottom|left|right|cookie|cookies|social|post|user|google|text|sub|mobile)[-_])*"
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|"
+    r"pagination|popup|promo(?:s|tions?)?|related|replies|share|sharing|sidebar|social|sponsor(?:s|ed)?|subscribe|toolbar|widget)"
+    r"(?:[-_](?:area|banner|bar|block|box|buttons?|container|content|form|inner|items?|links?|list|main|menu|notice|panel|popup|posts?|section|slot|thread|unit|widgets?|wrap|wrapper|left|right|top|bottom|[0-9]+))*",
     re.I,
 )
+#: Elements whose classes say something about the page or the text, not that it is something else.
+NEVER_NOISE = CONTENT | {"html", "body"}
 TOKEN = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][A-Za-z0-9:-]*))")
 ATTRIBUTES = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
 #: A tag whose quotes do not close within so many characters ends at its first ``>``.
@@ -54,19 +58,23 @@ RAW_END = {name: re.compile(rf"</{name}\s*(?:>|\Z)", re.I) for name in RAW}
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
     """Text blocks in order: path, text, and whether the path is free of parts that are not main text."""
-    found: list[tuple[tuple[str, ...], str, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # name, label, clean so far
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # name, label, clean so far but for noise, noise so far
     texts: list[str] = []
-    owner: tuple[tuple[str, ...], bool] | None = None
+    owner: tuple[tuple[str, ...], bool, tuple[int, ...]] | None = None
+    waiting: list[tuple[tuple[str, ...], str, bool, tuple[int, ...]]] = []
+    # Elements with words of noise are numbered. Those that hold all content elements only wrap the text: as to them,
+    # contents that are themselves noise, as comments often are, and those within other content elements do not count.
+    noisy, wrappers = 0, None
 
-    def place() -> tuple[tuple[str, ...], bool]:
-        return tuple(label for name, label, _ in stack if name not in INLINE), not stack or stack[-1][2]
+    def place() -> tuple[tuple[str, ...], bool, tuple[int, ...]]:
+        path = tuple(label for name, label, *_ in stack if name not in INLINE)
+        return path, not stack or stack[-1][2], stack[-1][3] if stack else ()
 
     def flush() -> None:
         nonlocal owner
         text = SPACE.sub(" ", html.unescape("".join(texts))).strip()
         if text and owner:
-            found.append((owner[0], text, owner[1]))
+            waiting.append((owner[0], text, owner[1], owner[2]))
         texts.clear()
         owner = None
 
@@ -78,7 +86,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             texts.append(text)
 
     def close(depth: int) -> None:
-        if any(name not in INLINE for name, _, _ in stack[depth:]):
+        if any(name not in INLINE for name, *_ in stack[depth:]):
             flush()
         del stack[depth:]
 
@@ -128,12 +136,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                     if stack[depth][0] in SCOPES and stack[depth][0] not in closing:
                         break
         marks = " ".join(a or b or c for a, b, c in MARKS.findall(attributes)) if attributes else ""
-        clean = (not stack or stack[-1][2]) and name not in LEFT_OUT and not (marks and NOISE.search(marks))
+        within = any(x[0] in CONTENT for x in stack)
+        own_header = name == "header" and within
+        noise = bool(marks) and any(map(NOISE.fullmatch, marks.split()))
+        clean, inside = (not stack or stack[-1][2]) and (name not in LEFT_OUT or own_header), stack[-1][3] if stack else ()
+        if name in CONTENT and clean and not noise and not within:
+            wrappers = set(inside) if wrappers is None else wrappers & set(inside)
+        if noise and name not in NEVER_NOISE and not own_header:
+            inside, noisy = (*inside, noisy), noisy + 1
         if not attributes.endswith("/"):
-            stack.append((name, f"{name}.{marks}" if marks and name not in INLINE else name, clean))
+            stack.append((name, f"{name}.{marks}" if marks and name not in INLINE else name, clean, inside))
     add(page[at:] if at < size else "")
     flush()
-    return found
+    return [(path, text, clean and all(x in (wrappers or ()) for x in noise)) for path, text, clean, noise in waiting]
 
 
 def smoothed(values: np.ndarray) -> np.ndarray:
