@@ -362,3 +362,12 @@ def test_main_text_within_noisy_names():
 <div class="sidebar"><p>Side, bar.</p></div><div class="site-footer"><p>Foot, here.</p></div>"""
     assert html.main_text(page) == "Head\nLet x=1 be, here. And more text.\nCaption"
     assert html.main_text(f'<div class="post"><p>{text}</p></div><div class="comments"><article class="comment"><p>First, yes.</p></article></div>') == text
+
+
+def test_ibans_end_before_what_follows():
+    one, two = "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00"
+    for text in (f"on {one} 12 March", f"to {two} BIC COBADEFF now", f"{two} {one}", f"AB12 CD34 EF56 GH78 {two}", f"{one}, {two} 5"):
+        got = [text[s["begin"] : s["end"]] for s in pii.spans_of(text, 0.8) if s["kind"] == "iban"]
+        assert got == sorted((x for x in (one, two) if x in text), key=text.index), text
+        assert not any(x in pii.redacted(text, pii.spans_of(text, 0.8)) for x in (one, two))
+    assert not pii.spans_of(one + "x", 0.8) and not pii.spans_of("GB82WEST12345698765431 12", 0.8)

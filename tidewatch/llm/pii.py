@@ -5,7 +5,8 @@ Luhn) and phone (10 to 15 digits after a plus sign). Three more are proposed and
 ``threshold``: iban (mod 97), local_phone and national_id. A proposal scores 0.4; a passed checksum adds 0.6, a
 fitting word within ``CONTEXT`` characters adds 0.4.
 
-Patterns are matched leftmost and without overlap per kind; each takes time in proportion to the text, also on
+An iban is tried at every end of a word, longest first, as the words behind one look like part of it. The other
+patterns are matched leftmost and without overlap per kind; each takes time in proportion to the text, also on
 texts made to provoke backtracking. Offsets are code points.
 
 Defined results: a null or empty text has no spans; repeated rows are reported each; ``redact`` keeps all columns.
@@ -32,7 +33,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+WORD = re.compile("[A-Za-z0-9]")
+WORD_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 DIGITS = re.compile("[0-9]+")
@@ -64,6 +67,20 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Spans of 15 to 34 characters that start as an IBAN, end with a word and pass mod 97: per start the longest, as
+    words that follow an IBAN look like part of it. A span that fails takes no text from one that starts within it."""
+    found, at = [], 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 1
+        for end in reversed([w.end() for w in WORD_END.finditer(text, m.start(), m.end())]):
+            if (end == len(text) or not WORD.match(text, end)) and mod97(text[m.start() : end]):
+                found.append((m.start(), end))
+                at = end
+                break
+    return found
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """For each ``@``: the run of name characters before it that is still free, and a domain behind it."""
     found, free, at = [], 0, text.find("@")
@@ -109,11 +126,10 @@ def spans_of(text: str, threshold: float) -> list[dict]:
     if DIGITS.search(text):
         taken = [(b, e) for b, _, e in base]
         for k, pattern in ((4, IBAN), (5, LOCAL_PHONE), (6, NATIONAL_ID)):
-            for m in pattern.finditer(text):
-                passed = k == 4 and mod97(m[0])
-                score = 0.4 + 0.6 * passed + 0.4 * near(text, KINDS[k], *m.span())
-                if (k != 4 or passed) and score >= threshold and not any(b < m.end() and m.start() < e for b, e in taken):
-                    found.append((m.start(), k, m.end(), min(1.0, score)))
+            for begin, end in ibans(text) if k == 4 else (m.span() for m in pattern.finditer(text)):
+                score = 0.4 + 0.6 * (k == 4) + 0.4 * near(text, KINDS[k], begin, end)
+                if score >= threshold and not any(b < end and begin < e for b, e in taken):
+                    found.append((begin, k, end, min(1.0, score)))
     return [{"kind": KINDS[k], "begin": b, "end": e, "score": s} for b, k, e, s in sorted(found)]
 
 
