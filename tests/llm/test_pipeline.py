@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = entry.queries()
-    assert all(sum(name.startswith(f"op{n}_") for name in names) == 1 for n in range(1, 11)) and "pipeline" in names
+    assert all(sum(name.startswith(f"op{n}_") for name in names) == 1 for n in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith(("op6_", "op8_"))])

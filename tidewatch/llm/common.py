@@ -53,6 +53,16 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def portions(data: bytes, step: int = 1 << 22) -> Iterator[bytes]:
+    """The bytes in portions of about ``step``, each ending at a space, so a very long text needs no more memory."""
+    begin = 0
+    while begin < len(data):
+        end = data.find(b" ", begin + step)
+        end = len(data) if end < 0 else end
+        yield data[begin:end]
+        begin = end
+
+
 def hits_of(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each value whether the sorted array has it, and where."""
     at = np.searchsorted(known, values)

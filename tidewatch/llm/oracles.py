@@ -63,3 +63,18 @@ tail AS (SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - l
 best AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tail WHERE p <= 0.05 / ({len(quality.GRID)} * (SELECT count(DISTINCT stratum) FROM cell)) GROUP BY ALL),
 bad AS (SELECT DISTINCT doc_id FROM flat JOIN best USING (stratum, rule) WHERE score > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM scored"""
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED = f"""
+WITH item AS (SELECT item_id, {words(_TERM)} AS w FROM benchmark),
+want AS (SELECT item_id, t, count(*)::BIGINT AS q FROM (SELECT item_id, unnest(w) AS t FROM item) GROUP BY ALL),
+doc AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM (SELECT doc_id, {words(_TERM)} AS w FROM documents) WHERE len(w) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM doc),
+has AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM doc) WHERE t IN (SELECT t FROM want) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM has, total GROUP BY t),
+impact AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS worth FROM has JOIN weight USING (t), total),
+scored AS (SELECT item_id, doc_id, sum(q * worth)::BIGINT AS score FROM want JOIN impact USING (t) GROUP BY ALL HAVING sum(q * worth) > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+WHERE rank <= 20"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontam, html, jaccard, langid, lm, oracles, packing, pii, quality, records
+from tidewatch.llm import chat, decontam, html, jaccard, langid, lm, oracles, packing, pii, quality, ranked, records, simhash, spelling
 from tidewatch.llm.common import id_crc, table
 
 QUERIES: dict = {}
@@ -14,6 +14,7 @@ ORACLES: dict = {
     "op3_decontamination": oracles.DECONTAMINATION,
     "op5_ngram_jaccard": oracles.JACCARD,
     "op10_quality_rules": oracles.QUALITY,
+    "op13_ranked_search": oracles.RANKED,
 }
 
 
@@ -121,3 +122,19 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op11_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=3)
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.spelling_variants(table(spark, sf_dir, "documents"), every=97, least_points=5, least_count=3, times=2)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
