@@ -83,7 +83,7 @@ def test_registry_is_insert_only(spark, tmp_path):
     rows = {r["model_version"]: r["status"] for r in store.append_registry(spark, again).collect()}
     assert rows == {"1": "approved", "2": "approved"}
     endpoints = spark.createDataFrame([("e1", "p", "1"), ("e2", "p", "9")], "endpoint string, project string, model_version string")
-    table = store.read(spark, "registry", REGISTRY_SCHEMA)
+    table = store.registry(spark)
     active = {r["endpoint"]: r for r in registry.activation(endpoints, table).collect()}
     assert active["e1"]["activate"] and active["e1"]["analysers"] == {"dq": "ok"} and active["e1"]["reason"] is None
     assert active["e2"]["reason"] == "Model version 9 not found in baseline registry for project p"

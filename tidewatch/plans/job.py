@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import traceback
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -15,6 +16,8 @@ from tidewatch.plans.runs import Analyser, Inputs
 from tidewatch.result import Analysis
 from tidewatch.sources.sinks import MonitorStore
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class RunContext:
@@ -77,9 +80,16 @@ def run_monitor(spark: SparkSession, store: MonitorStore, monitor: Monitor) -> R
         return _record(spark, store, context, monitor.analyser.compute(monitor.inputs, monitor.config), started)
     except Exception as error:  # noqa: BLE001 - the job boundary: siblings must go on
         text = "".join(traceback.format_exception(error))
-        store.write_failure(spark, error, text, context, started)
         result = RunResult(context.run_id, context.analyser_type, "failed_unhandled", "alert", 0)
-        store.append_outcome(spark, result, context, started, datetime.now(UTC), failed=True)
+        writes = (
+            lambda: store.write_failure(spark, error, text, context, started),
+            lambda: store.append_outcome(spark, result, context, started, datetime.now(UTC), failed=True),
+        )
+        for write in writes:
+            try:
+                write()
+            except Exception:  # noqa: BLE001 - a store that cannot be written must not end the siblings either
+                log.exception("run %s of %s: its failure could not be recorded", context.run_id, context.analyser_type)
         return result
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import registry
+from tidewatch.plans.baseline import BaselineWorkflow, GroupedMonitor
 from tidewatch.queries.common import scratch, table
-from tidewatch.sources.sinks import MonitorStore
+from tidewatch.sources.sinks import REGISTRY_SCHEMA, MonitorStore
 
 MONITORS = ("bias", "data_quality", "explainability", "model_quality", "shadow")
 REQUIRED = ["dq", "mq", "bias"]
@@ -154,7 +155,55 @@ def manifest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("id", "problem", "manifest.project", F.element_at("manifest.artifacts", "model").alias("model"))
 
 
+def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as the rows that monitors of their order read."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    joined = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    quantity, part = F.col("l_quantity"), F.col("l_partkey")
+    return joined.select(
+        _project("o_custkey"),
+        F.col("l_orderkey").cast("string").alias("model_version"),
+        F.when(F.col("l_tax") >= 0.01, F.col("l_tax")).alias("tax"),
+        (quantity > 25).alias("label"),
+        (F.pmod(part, F.lit(10)) < F.when(quantity > 25, 8).otherwise(3)).alias("prediction"),
+        (F.col("l_returnflag") == "R").alias("facet"),
+        F.col("l_linestatus").alias("variant"),
+    )
+
+
+def fleet_monitors(spark: SparkSession, sf_dir: str) -> dict[str, GroupedMonitor]:
+    """The five kinds of monitors as aggregates over an order's line items."""
+    rows = _line_items(spark, sf_dir)
+    label, prediction, facet = F.col("label"), F.col("prediction"), F.col("facet")
+    share = lambda where: F.avg(F.when(where, label.cast("int")))
+    return {
+        "data_quality": GroupedMonitor(rows, {"completeness": F.count("tax") / F.count("*")}, {"completeness": lambda m: m < 0.75}),
+        "model_quality": GroupedMonitor(rows, {"accuracy": F.avg((label == prediction).cast("int"))}, {"accuracy": lambda m: m < 0.6}, 2),
+        "bias": GroupedMonitor(rows, {"dpl": share(facet) - share(~facet)}, {"dpl": lambda m: F.abs(m) > 0.9}, 2),
+        "explainability": GroupedMonitor(rows, {"rows": F.count("*")}, {}),
+        "shadow": GroupedMonitor(rows.where("variant = 'F'"), {"agreement": F.avg((label == prediction).cast("int"))}, {"agreement": lambda m: m < 0.5}),
+    }
+
+
+def baseline_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders from their manifests to the registry; a second run finds nothing left to do."""
+    store = MonitorStore(scratch(spark, "baseline"))
+    known = manifests(spark, sf_dir)
+    known = known.withColumn("problem", F.when(F.col("model_version").cast("bigint") % 50 == 3, "not a JSON object"))
+    flow = BaselineWorkflow(store, fleet_monitors(spark, sf_dir), "run-1")
+    flow.run(known, config(spark, sf_dir))
+    BaselineWorkflow(store, fleet_monitors(spark, sf_dir), "run-2").run(known, config(spark, sf_dir))
+    rows = store.inserted(spark, "registry", REGISTRY_SCHEMA).join(flow.decisions(spark).drop("status", "analysers", "baseline_prefix", "manifest_uri"), registry.VERSION)
+    ended = F.transform(F.sort_array(F.map_entries("analysers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.select(
+        "project", "model_version", "status", "message", F.array_join(ended, ",").alias("analysers"),
+        F.array_join("missing", ",").alias("missing"), F.array_join("skipped", ",").alias("skipped"),
+        F.array_join("unplanned", ",").alias("unplanned"), "execution_id",
+    )
+
+
 QUERIES = {
+    "baseline_workflow": baseline_workflow,
     "gate_status": gate_status,
     "required_check": required_check,
     "registry_append": registry_append,
@@ -170,6 +219,33 @@ needs AS (SELECT * FROM (VALUES ('bias', 0, ['training_snapshot', 'evaluation_re
   ('model_quality', 3, ['training_snapshot', 'predictions', 'model']), ('shadow', 4, []::VARCHAR[])) t(monitor, i, needed))"""
 
 ORACLES = {
+    "baseline_workflow": f"""WITH {_NEEDS},
+      man AS (SELECT 'proj-' || o_custkey AS project, o_orderkey AS k, o_orderkey % 50 = 3 AS broken,
+        list_filter([CASE WHEN o_orderkey % 4 <> 0 THEN 'training_snapshot' END, CASE WHEN o_orderkey % 5 <> 0 THEN 'evaluation_results' END,
+          CASE WHEN o_orderkey % 6 <> 0 THEN 'predictions' END, CASE WHEN o_orderkey % 7 <> 0 THEN 'model' END], lambda v: v IS NOT NULL) AS present FROM orders),
+      cfg AS (SELECT 'proj-' || c_custkey AS project, monitor, needed, (c_custkey + i) % 4 = 0 AS required
+        FROM customer, needs WHERE (c_custkey + i) % 6 <> 0),
+      chk AS (SELECT k, broken, monitor, required, NOT list_has_all(present, needed) AS lacks FROM man LEFT JOIN cfg USING (project)),
+      gated AS (SELECT k, any_value(broken) AS broken, coalesce(bool_or(lacks AND required), false) AS failed, count(*) FILTER (lacks) AS n FROM chk GROUP BY k),
+      item AS (SELECT l_orderkey AS k, l_linestatus = 'F' AS serving, (l_tax >= 0.01)::INT AS tax, (l_quantity > 25)::INT AS label, l_returnflag = 'R' AS facet,
+        (l_quantity > 25) = (l_partkey % 10 < CASE WHEN l_quantity > 25 THEN 8 ELSE 3 END) AS hit FROM lineitem),
+      m AS (SELECT k, count(*) AS c, count(*) FILTER (serving) AS s, avg(tax) AS complete, avg(hit::INT) AS accuracy, avg(hit::INT) FILTER (serving) AS agreement,
+        avg(label) FILTER (facet) - avg(label) FILTER (NOT facet) AS dpl FROM item GROUP BY k),
+      ran AS (SELECT chk.k, monitor, CASE
+          WHEN coalesce(c, 0) = 0 OR (monitor = 'shadow' AND s = 0) THEN 'skipped_no_input'
+          WHEN monitor IN ('model_quality', 'bias') AND c < 2 THEN 'skipped_insufficient_data'
+          WHEN coalesce(CASE monitor WHEN 'data_quality' THEN complete < 0.75 WHEN 'model_quality' THEN accuracy < 0.6
+            WHEN 'bias' THEN abs(dpl) > 0.9 WHEN 'shadow' THEN agreement < 0.5 END, false) THEN 'succeeded_with_violations'
+          ELSE 'succeeded' END AS outcome, required
+        FROM chk JOIN gated USING (k) LEFT JOIN m ON m.k = chk.k WHERE NOT failed AND NOT gated.broken AND NOT lacks),
+      ended AS (SELECT k, string_agg(monitor || '=' || outcome, ',' ORDER BY monitor) AS analysers,
+        string_agg(monitor || ' (' || outcome || ')', ', ' ORDER BY monitor) FILTER (required AND outcome <> 'succeeded') AS bad,
+        string_agg(monitor, ',' ORDER BY monitor) FILTER (required AND outcome LIKE 'skipped%') AS skipped FROM ran GROUP BY k)
+      SELECT project, man.k::VARCHAR AS model_version, CASE WHEN man.broken OR failed OR bad IS NOT NULL THEN 'rejected' ELSE 'approved' END AS status,
+        CASE WHEN man.broken THEN 'Gate logic error: not a JSON object' WHEN failed THEN 'Baseline gating failed: ' || n || ' required artifact(s) missing'
+          WHEN bad IS NULL THEN 'All required analysers passed' ELSE 'Required analysers failed: ' || bad END AS message,
+        coalesce(analysers, '') AS analysers, '' AS missing, coalesce(skipped, '') AS skipped, '' AS unplanned, 'run-1' AS execution_id
+      FROM man JOIN gated USING (k) LEFT JOIN ended ON ended.k = man.k""",
     "gate_status": f"""WITH {_NEEDS},
       man AS (SELECT 'proj-' || o_custkey AS project, o_orderkey::VARCHAR AS model_version,
         list_filter([CASE WHEN o_orderkey % 4 <> 0 THEN 'training_snapshot' END, CASE WHEN o_orderkey % 5 <> 0 THEN 'evaluation_results' END,

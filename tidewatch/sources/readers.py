@@ -15,10 +15,10 @@ def read_inputs(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Data
     return {name: spark.read.parquet(path) for name, path in paths.items()}
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A Parquet table, empty while nothing has been written to its folder."""
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str, nested: bool = False) -> DataFrame:
+    """A Parquet table, empty while nothing has been written to its folder. Nested: its files lie in folders of any names."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("recursiveFileLookup", nested).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

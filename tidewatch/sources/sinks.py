@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from datetime import UTC, datetime
+from threading import Lock
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators.registry import new_registry_rows
+from tidewatch.operators.registry import VERSION, new_registry_rows
 from tidewatch.operators.rollup import standard_metrics
 from tidewatch.sources.readers import read_or_empty
 
@@ -34,6 +37,9 @@ FAILURE_SCHEMA = (
     "started_at timestamp, failed_at timestamp"
 )
 
+#: One commit into a folder removes the working folder of any other, so monitors that run side by side take turns.
+_TURNS: dict[str, Lock] = defaultdict(Lock)
+
 
 class MonitorStore:
     """A folder of tables, partitioned by day (and analyser) so that readers prune by time."""
@@ -59,7 +65,8 @@ class MonitorStore:
         }
         keys = [F.lit(v).alias(k) for k, v in place.items()]
         result = documents.select(F.col("document").alias("value"), *keys)
-        result.write.mode("append").partitionBy(*place).text(self.path("results"))
+        with _TURNS[self.path("results")]:
+            result.write.mode("append").partitionBy(*place).text(self.path("results"))
         provenance = documents.select(
             *keys,
             F.lit(context.run_id).alias("run_id"),
@@ -68,7 +75,8 @@ class MonitorStore:
             F.lit(started).alias("started_at"),
             env_snapshot(context).alias("env_snapshot"),
         )
-        provenance.write.mode("append").partitionBy(*place).json(self.path("provenance"))
+        with _TURNS[self.path("provenance")]:
+            provenance.write.mode("append").partitionBy(*place).json(self.path("provenance"))
 
     def append_metrics(self, metrics: DataFrame, context: RunContext, started: datetime) -> None:
         rows = metrics.select(
@@ -140,10 +148,25 @@ class MonitorStore:
         self._append(spark.createDataFrame([row], FAILURE_SCHEMA), "failures", "started_at")
 
     def append_registry(self, spark: SparkSession, candidates: DataFrame) -> DataFrame:
-        """Insert the versions the registry does not hold yet; present rows are never changed."""
-        fresh = new_registry_rows(candidates, self.read(spark, "registry", REGISTRY_SCHEMA))
-        fresh.write.mode("append").parquet(self.path("registry"))
-        return self.read(spark, "registry", REGISTRY_SCHEMA)
+        """Insert the versions the registry does not hold yet; present rows are never changed.
+
+        Two writers that race may both insert a version; reading resolves them alike for everyone.
+        """
+        self.insert(new_registry_rows(candidates, self.registry(spark)), "registry", REGISTRY_SCHEMA)
+        return self.registry(spark)
+
+    def registry(self, spark: SparkSession) -> DataFrame:
+        """One row per version: the earliest evaluation wins, of equal ones that of least execution id."""
+        return first_rows(self.inserted(spark, "registry", REGISTRY_SCHEMA), VERSION, ["evaluated_at", "execution_id", "status"])
+
+    def insert(self, rows: DataFrame, table: str, schema: str) -> None:
+        """Append rows in a folder of their own: appends of several jobs never share a committer's working folder."""
+        names = rows.sparkSession.createDataFrame([], schema).columns
+        rows.select(*names).write.parquet(f"{self.path(table)}/{uuid.uuid4().hex}")
+
+    def inserted(self, spark: SparkSession, table: str, schema: str) -> DataFrame:
+        """All inserted rows of a table."""
+        return read_or_empty(spark, self.path(table), schema, nested=True)
 
     def read(self, spark: SparkSession, table: str, schema: str) -> DataFrame:
         """A table of the store, empty while nothing has been written."""
@@ -155,7 +178,8 @@ class MonitorStore:
 
     def _append(self, rows: DataFrame, table: str, timestamp: str) -> None:
         dated = rows.withColumn("dt", F.date_format(timestamp, "yyyy-MM-dd"))
-        dated.write.mode("append").partitionBy("dt").parquet(self.path(table))
+        with _TURNS[self.path(table)]:
+            dated.write.mode("append").partitionBy("dt").parquet(self.path(table))
 
 
 def latest_rows(df: DataFrame, keys: list[str], by: str) -> DataFrame:
@@ -165,6 +189,13 @@ def latest_rows(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     return df.groupBy(*keys).agg(newest).select(*keys, "row.*").select(*df.columns)
 
 
+def first_rows(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """The first row per key in the order of ``by``."""
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*by)).alias("row")
+    return df.groupBy(*keys).agg(first).select(*keys, "row.*").select(*df.columns)
+
+
 def _snapshot(context: RunContext) -> dict[str, str]:
     return {
         "PROJECT_NAME": context.project,
