@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,34 @@ def test_problem_type_is_checked():
         ModelQualitySpec.from_dict({"problem_type": "ranking", "label_column": "a", "prediction_column": "b"})
     with pytest.raises(SpecError):
         ModelQualitySpec.from_dict({"problem_type": "binary"})
+
+
+def labelled_run(spark, labels, **config):
+    captures = spark.createDataFrame([(f"c{k}", datetime(2024, 1, k + 1), "yn"[k % 2]) for k in range(10)], "inference_id string, ts timestamp, prediction string")
+    rows = spark.createDataFrame(labels, "inference_id string, label string, label_ts timestamp")
+    spec = {"problem_type": "binary", "label_column": "truth", "prediction_column": "prediction", "labels_input": "labels", "lookback": "30d", "as_of": "2024-01-20", **config}
+    return ModelQuality().compute({"predictions": captures, "labels": rows}, spec)
+
+
+def test_a_run_that_joins_late_labels(spark):
+    labels = [(f"c{k}", "y", datetime(2024, 1, 15)) for k in range(4)] + [("c0", "n", datetime(2024, 1, 16)), ("c9", "y", datetime(2024, 2, 1)), ("zz", "y", datetime(2024, 1, 3))]
+    run = labelled_run(spark, labels, baseline_metrics={"accuracy": 0.9}, degradation_thresholds={"accuracy": 0.1})
+    values = {r["name"]: r["value"] for r in run.metrics.collect()}
+    assert (values["mq/captured"], values["mq/matched"], values["mq/coverage"], values["mq/accuracy"]) == (10, 4, 0.4, 0.25)
+    row = run.outcome.first()
+    assert (row["outcome"], row["severity"], row["violation_count"]) == ("succeeded_with_violations", "warn", 1)
+    few = labelled_run(spark, labels, min_coverage=0.5, baseline_metrics={"accuracy": 0.9}, degradation_thresholds={"accuracy": 0.1})
+    row = few.outcome.first()
+    assert (row["outcome"], row["severity"], row["violation_count"]) == ("skipped_insufficient_data", "warn", 0)
+    assert few.violations.count() == 0 and few.details["ground_truth"].first()["matched"] == 4
+
+
+def test_no_captures_in_the_lookback(spark):
+    row = labelled_run(spark, [], as_of="2023-01-01").outcome.first()
+    assert (row["outcome"], row["severity"]) == ("skipped_no_input", "info")
+
+
+@pytest.mark.parametrize("bad", [{"min_coverage": 2.0}, {"lookback": "7"}, {"as_of": "soon"}])
+def test_label_settings_are_checked(bad):
+    with pytest.raises(SpecError):
+        ModelQualitySpec.from_dict({"problem_type": "binary", "label_column": "a", "prediction_column": "b", **bad})

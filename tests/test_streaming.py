@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import dq
+from tidewatch.operators import dq, truth
 from tidewatch.streaming import alerts, windows
 from tidewatch.streaming.sinks import to_table
 
@@ -130,15 +130,37 @@ def test_window_ks_equals_batch_ks(spark, tmp_path):
     assert got[first] == pytest.approx(dq.ks_statistic(batch, baseline, ["value"]).first()["ks_stat"])
 
 
+CAPTURED, LABELLED = "inference_id string, ts timestamp", "inference_id string, label string, label_ts timestamp"
+DAY = timedelta(days=1)
+
+
 def test_late_truth_waits_then_gives_up(spark, tmp_path):
-    capture, label = "inference_id string, ts timestamp", "inference_id string, label string, label_ts timestamp"
-    day = timedelta(days=1)
-    put(spark, tmp_path / "c", [("in", START), ("late", START), ("none", START), ("open", START + 30 * day)], capture)
-    put(spark, tmp_path / "l", [("in", "y", START + 3 * day), ("late", "y", START + 9 * day), ("x", "y", START + 31 * day)], label)
-    joined = windows.late_truth(stream(spark, tmp_path / "c", capture), stream(spark, tmp_path / "l", label), "INTERVAL 7 DAYS")
-    to_table(joined, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    rows = spark.read.schema(joined.schema).parquet(str(tmp_path / "out")).collect()
-    assert {(r["inference_id"], r["label"]) for r in rows} == {("in", "y"), ("late", None), ("none", None)}
+    put(spark, tmp_path / "c", [("in", START), ("late", START), ("none", START), ("open", START + 30 * DAY)], CAPTURED)
+    put(spark, tmp_path / "l", [("in", "y", START + 3 * DAY), ("in", "z", START + 5 * DAY), ("in", "x", START + 4 * DAY), ("late", "y", START + 9 * DAY), ("open", "y", START + 31 * DAY)], LABELLED)
+    rows = windows.late_truth(stream(spark, tmp_path / "c", CAPTURED), stream(spark, tmp_path / "l", LABELLED), "INTERVAL 7 DAYS")
+    to_table(rows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    found = spark.read.schema(rows.schema).parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["inference_id"], r["label"] or "-") for r in found) == [("in", "z"), ("late", "-"), ("none", "-")]
+
+
+def test_label_stream_equals_the_batch_join_and_forgets(spark, tmp_path):
+    """Captures of forty days arrive day by day, with none to three labels each."""
+    captured = [(f"c{d}-{k}", START + d * DAY + timedelta(hours=k)) for d in range(40) for k in range(6)]
+    labelled = [(i, "xyz"[n], t + timedelta(days=2 * n + int(i[-1]), hours=n)) for i, t in captured for n in range(int(i[-1]) % 4)]
+    for d in range(40):
+        now, later = START + d * DAY, START + (d + 1) * DAY
+        put(spark, tmp_path / "c", [c for c in captured if now <= c[1] < later], CAPTURED)
+        put(spark, tmp_path / "l", [x for x in labelled if now <= x[2] < later], LABELLED)
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(str(tmp_path / name))
+    rows = windows.late_truth(read("c", CAPTURED), read("l", LABELLED), "INTERVAL 7 DAYS", "1 day")
+    query = to_table(rows, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    got = spark.read.schema(rows.schema).parquet(str(tmp_path / "out"))
+    sizes = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+    assert max(sizes) < len(captured) + len(labelled) and sizes[-1] < max(sizes)
+    watermark = min(max(t for _, t in captured), max(t for _, _, t in labelled)) - DAY
+    want = truth.settled_truth(spark.createDataFrame(captured, CAPTURED), spark.createDataFrame(labelled, LABELLED), watermark, "7d")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 150
 
 
 def test_agreement_per_window(spark, tmp_path):

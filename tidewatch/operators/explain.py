@@ -7,21 +7,26 @@ features
 
     phi_f = sum over (coalition c, background b) of weight(c, f) * score(mix(c, row, b)) / |B|
 
-By the method asked for, either every coalition is enumerated, or the coalitions are the prefixes of random
-permutations and their reverses.
+By the method asked for, every coalition is enumerated, or the coalitions are the prefixes of random permutations and
+their reverses, or they are a sample whose weights solve the kernel regression. Trees have a way of their own
+(:mod:`tidewatch.operators.trees`).
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
 import random
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.values import quoted
+from tidewatch.operators import trees
 from tidewatch.result import metric_rows
 from tidewatch.session import written
 from tidewatch.spec import ExplainSpec
@@ -69,6 +74,24 @@ class PipelineScorer:
         return scored.select(*df.columns, vector_to_array(F.col(self._column)).alias("probabilities"))
 
 
+class TreeScorer:
+    """A tree ensemble given by its nodes (:data:`tidewatch.operators.trees.NODE_SCHEMA`), for ``method="tree"``.
+
+    Attributions are on the scale of the leaf values: the margin of boosted trees, the probability of forests.
+    """
+
+    def __init__(self, nodes: Sequence[tuple]):
+        self._nodes = list(nodes)
+
+    @classmethod
+    def of_model(cls, model, target: int = 1) -> TreeScorer:
+        """A fitted ``pyspark.ml`` tree model, or a pipeline that ends with one."""
+        return cls(trees.nodes_of(model.stages[-1] if hasattr(model, "stages") else model, target))
+
+    def nodes(self) -> list[tuple]:
+        return self._nodes
+
+
 class VectorisedScorer:
     """Any Python model, called on Arrow batches of feature columns through a pandas UDF.
 
@@ -156,6 +179,73 @@ def _sampled_coalitions(
     return generators, member, weight
 
 
+def kernel_coalitions(m: int, budget: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coalitions (rows of members) and their kernel weights, the empty and the full one left out.
+
+    Sizes are taken from both ends, where the kernel weighs most, as long as all coalitions of a size fit the budget;
+    the rest of the budget is drawn from the other sizes, each draw with its complement. With a budget of two to the
+    number of features every coalition is in.
+    """
+    mass = {s: (m - 1) / (s * (m - s)) for s in range(1, m)}
+    found: dict[tuple[int, ...], float] = {}
+    sizes = [s for s in range(1, m // 2 + 1)]
+    left = budget
+    while sizes:
+        s = sizes[0]
+        both = {s, m - s}
+        if sum(math.comb(m, k) for k in both) > left:
+            break
+        for k in both:
+            for members in itertools.combinations(range(m), k):
+                found[members] = mass[k] / math.comb(m, k)
+        left -= sum(math.comb(m, k) for k in both)
+        sizes.pop(0)
+    if sizes and left >= 2:
+        source, draws = random.Random(seed), left // 2
+        shares = [mass[s] if 2 * s == m else 2 * mass[s] for s in sizes]
+        each = sum(shares) / (2 * draws)
+        for s in source.choices(sizes, shares, k=draws):
+            members = tuple(sorted(source.sample(range(m), s)))
+            for part in (members, tuple(i for i in range(m) if i not in members)):
+                found[part] = found.get(part, 0.0) + each
+    member = np.zeros((len(found), m))
+    for row, members in zip(member, found, strict=True):
+        row[list(members)] = 1.0
+    return member, np.array(list(found.values()))
+
+
+def kernel_weights(member: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each coalition's score counts for each feature, with the empty and the full coalition as first and last row.
+
+    The regression fits ``score = base + sum of phi over the members`` by weighted least squares, with the phi adding
+    up to the full score less the base. Putting the last phi in terms of the others leaves a plain regression of
+    ``score - base - z_m (full - base)`` on ``z - z_m``. Its normal equations have the same matrix for every row, and
+    their solution is linear in the scores: so solving them is summing scores with the weights returned here.
+    """
+    m = member.shape[1]
+    last = member[:, -1:]
+    z = member[:, :-1] - last
+    # Coalitions too few for all features leave the equations open; of the solutions the shortest is taken.
+    solved = np.linalg.pinv(z.T @ (z * weight[:, None])) @ (z * weight[:, None]).T if m > 1 else np.zeros((0, len(member)))
+    full, base = -solved @ last, -solved @ (1.0 - last)
+    rows = np.concatenate([base, solved, full], axis=1)
+    closing = -rows.sum(axis=0, keepdims=True)
+    closing[0, 0] -= 1.0
+    closing[0, -1] += 1.0
+    members = np.concatenate([np.zeros((1, m)), member, np.ones((1, m))])
+    return members, np.concatenate([rows, closing]).T
+
+
+def _kernel_coalitions(features: Sequence[str], budget: int, seed: int) -> tuple[list[tuple[str, Column]], dict[str, Column], dict[str, Column], int]:
+    members, weights = kernel_weights(*kernel_coalitions(len(features), budget, seed))
+    # One literal, folded once, whatever the number of coalitions.
+    table = json.dumps([{"z": z, "w": w} for z, w in zip(members.astype(bool).tolist(), weights.tolist(), strict=True)])
+    parsed = F.from_json(F.lit(table), "array<struct<z:array<boolean>,w:array<double>>>")
+    member = {f: F.col("coalition")["z"][i] for i, f in enumerate(features)}
+    weight = {f: F.col("coalition")["w"][i] for i, f in enumerate(features)}
+    return [("coalition", F.explode(parsed))], member, weight, len(members)
+
+
 def attributions(
     rows: DataFrame,
     background: DataFrame,
@@ -166,6 +256,7 @@ def attributions(
     max_rows: int = 10_000,
     max_background: int = 500,
     method: str = "exact",
+    coalitions: int = 256,
 ) -> DataFrame:
     """``(row_id, class, feature, phi)`` for each row of ``rows`` (``row_id`` plus the features).
 
@@ -173,11 +264,13 @@ def attributions(
     (at most 500 rows). The explained rows are spread by ``row_id`` over a fixed number of tasks, one for every
     ``CELLS_PER_TASK`` mixed rows and at least one for each core; a row's cells never leave their task until they
     are summed, so the final aggregation reuses that partitioning. ``method`` is ``exact`` (two to the number of
-    features coalitions) or ``permutation``.
+    features coalitions), ``permutation``, or ``kernel`` (a regression on up to ``coalitions`` of them).
     """
     if method == "exact":
         generators, member, weight = _exact_coalitions(features)
         coalitions = 2 ** len(features)
+    elif method == "kernel":
+        generators, member, weight, coalitions = _kernel_coalitions(features, coalitions, seed)
     else:
         generators, member, weight = _sampled_coalitions(features, permutations, seed)
         coalitions = 2 * ((permutations + 1) // 2) * (len(features) + 1)
@@ -254,6 +347,9 @@ def explain(df: DataFrame, spec: ExplainSpec, scorer: Scorer, binary: bool) -> t
     """``(local attributions, global importance)`` of the sampled rows."""
     features = feature_columns(df, spec)
     rows, background = sample_pair(df, spec, features)
+    if spec.method == "tree":
+        local = trees.tree_attributions(rows, background, features, scorer.nodes(), spec.background_size)
+        return local, global_importance(local, spec.agg_method)
     phi = attributions(
         rows,
         background,
@@ -264,6 +360,7 @@ def explain(df: DataFrame, spec: ExplainSpec, scorer: Scorer, binary: bool) -> t
         spec.num_samples,
         spec.background_size,
         spec.method,
+        spec.coalitions,
     )
     local = local_attributions(phi, binary)
     return local, global_importance(local, spec.agg_method)

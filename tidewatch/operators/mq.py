@@ -221,6 +221,13 @@ def constraints(metrics: DataFrame, tolerance: float) -> DataFrame:
     )
 
 
+def coverage_metrics(covered: DataFrame) -> DataFrame:
+    """``mq/captured``, ``mq/matched`` and ``mq/coverage`` of a ground-truth join."""
+    entries = [F.struct(F.lit(n).alias("statistic"), F.col(n).cast("double").alias("value")) for n in ("captured", "matched", "coverage")]
+    rows = covered.select(F.inline(F.array(*entries)))
+    return metric_rows(rows, ANALYSER, F.lit("ground_truth"), F.col("statistic"), F.concat(F.lit(PREFIX), "statistic"), F.col("value"))
+
+
 def payload_view(metrics: DataFrame) -> DataFrame:
     """Metrics grouped for the result document: short scalar names, per-class scores under their class."""
     per_class = F.col("name").contains("_per_class/")

@@ -46,6 +46,21 @@ def join_truth(captures: DataFrame, labels: DataFrame, as_of: datetime, lookback
     return joined.withColumn("label", F.when(counts, F.col("label"))).withColumn("label_ts", F.when(counts, F.col("label_ts")))
 
 
+def settled_truth(captures: DataFrame, labels: DataFrame, as_of: datetime, lookback: str = "7d") -> DataFrame:
+    """Captures whose lookback has passed at ``as_of``, with the newest label that came within it, or null.
+
+    What the label stream gives, from stored tables: it does not depend on when it is asked. Labels are reduced per
+    capture by a combining aggregate behind the join, as the bound differs from capture to capture.
+    """
+    span = F.expr(interval(lookback))
+    closed = captures.where(F.col("ts") + span < F.lit(as_of)).dropDuplicates()
+    named = labels.select(F.col("inference_id").alias("__label_id"), "label", "label_ts")
+    within = (F.col("label_ts") >= F.col("ts")) & (F.col("label_ts") <= F.col("ts") + span)
+    joined = closed.join(named, (F.col("inference_id") == F.col("__label_id")) & within, "left")
+    newest = F.max(F.struct("label_ts", "label")).alias("newest")
+    return joined.groupBy(*captures.columns).agg(newest).select(*captures.columns, "newest.label", "newest.label_ts")
+
+
 def coverage(joined: DataFrame, min_coverage: float = 0.30) -> DataFrame:
     """One row: captured, matched, coverage, and the outcome the gate imposes.
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import UTC, datetime
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import bias, dq, explain, mq, shadow
+from tidewatch.functions.severity import default_severity
+from tidewatch.functions.values import quoted
+from tidewatch.operators import bias, dq, explain, mq, shadow, truth
 from tidewatch.result import VIOLATION_SCHEMA, Analysis, count_outcome
+from tidewatch.session import written
 from tidewatch.spec import BiasSpec, DataQualitySpec, ExplainSpec, ModelQualitySpec, ShadowSpec, SpecError
 
 Inputs = Mapping[str, DataFrame]
@@ -53,7 +57,11 @@ class DataQuality:
 
 
 class ModelQuality:
-    """``baseline`` may replace the spec's baseline scores by a table ``(metric, baseline, threshold)``."""
+    """``baseline`` may replace the spec's baseline scores by a table ``(metric, baseline, threshold)``.
+
+    A run on no rows ends ``skipped_no_input``. One that joins late labels itself and finds too few of them ends
+    ``skipped_insufficient_data``: its scores are reported, but violate nothing.
+    """
 
     def __init__(self, baseline: DataFrame | None = None):
         self._baseline = baseline
@@ -61,6 +69,10 @@ class ModelQuality:
     def compute(self, inputs: Inputs, config: Mapping[str, Any]) -> Analysis:
         spec = ModelQualitySpec.from_dict(config)
         df = _input(inputs, spec.predictions_input)
+        covered = None
+        if spec.labels_input is not None:
+            df = self._labelled(df, _input(inputs, spec.labels_input), spec)
+            covered = truth.coverage(df.select("label_ts"), spec.min_coverage)
         metrics = mq.measure(df, spec)
         baseline = self._baseline
         if baseline is None:
@@ -69,16 +81,30 @@ class ModelQuality:
         violations = mq.degradation(deltas)
         cells = mq.confusion_counts(df, spec.label_column, spec.prediction_column)
         nothing = cells.agg((F.count(F.lit(1)) == 0).alias("nothing")).scalar()
-        outcome = count_outcome(violations, mq.ANALYSER, spec.severity_threshold)
+        skipped = F.when(nothing, "skipped_no_input")
+        details = {}
+        if covered is not None:
+            gate = covered.select(F.when(F.col("outcome") != "succeeded", F.col("outcome"))).scalar()
+            skipped = F.coalesce(skipped, gate)
+            violations = violations.where(gate.isNull())
+            metrics = metrics.unionByName(mq.coverage_metrics(covered))
+            details["ground_truth"] = covered
+        outcome = count_outcome(violations, mq.ANALYSER, spec.severity_threshold).withColumn("skipped", skipped)
         return Analysis(
             mq.ANALYSER,
             metrics,
             violations,
-            outcome.withColumn("outcome", F.when(nothing, "skipped_no_input").otherwise(F.col("outcome"))),
+            outcome.select(
+                "analyser",
+                F.coalesce("skipped", "outcome").alias("outcome"),
+                F.coalesce(default_severity(F.col("skipped")), "severity").alias("severity"),
+                "violation_count",
+            ),
             {
                 "metric_view": mq.payload_view(metrics),
                 "confusion_matrix": mq.confusion_matrix(cells),
                 "baseline_delta": deltas,
+                **details,
             },
             {
                 "version": "1.0",
@@ -90,6 +116,14 @@ class ModelQuality:
             (cells, metrics),
         )
 
+    @staticmethod
+    def _labelled(captures: DataFrame, labels: DataFrame, spec: ModelQualitySpec) -> DataFrame:
+        """The captures of the lookback with their labels, written once: several measures read them."""
+        as_of = datetime.fromisoformat(spec.as_of) if spec.as_of else datetime.now(UTC)
+        joined = truth.join_truth(captures.drop("label", "label_ts", spec.label_column), labels, as_of, spec.lookback)
+        used = [F.col("label").alias(spec.label_column), "label_ts", quoted(spec.prediction_column)]
+        return written(joined.select(*used, *map(quoted, spec.probability_columns or [])), "labelled")
+
 
 class Bias:
     def compute(self, inputs: Inputs, config: Mapping[str, Any]) -> Analysis:

@@ -13,6 +13,16 @@ from tidewatch.spec import ExplainSpec
 
 FEATURES = ["size", "price", "brand"]
 PERMUTATIONS = 4
+COALITIONS, KERNEL_SEED = 4, 1
+#: An ensemble of three trees, by node: tree, node, feature, threshold, left, right, value.
+NODES = [
+    (0, 0, 0, 25.0, 1, 2, None), (0, 1, 1, 930.0, 3, 4, None), (0, 2, 0, 40.0, 5, 6, None), (0, 3, None, None, None, None, -1.5),
+    (0, 4, None, None, None, None, 0.25), (0, 5, 2, 30.0, 7, 8, None), (0, 6, None, None, None, None, 2.0),
+    (0, 7, None, None, None, None, 0.5), (0, 8, None, None, None, None, -0.75),
+    (1, 0, 2, 22.0, 1, 2, None), (1, 1, None, None, None, None, 0.3), (1, 2, 1, 960.0, 3, 4, None),
+    (1, 3, None, None, None, None, -0.2), (1, 4, 0, 10.0, 5, 6, None), (1, 5, None, None, None, None, 1.1), (1, 6, None, None, None, None, -0.6),
+    (2, 0, None, None, None, None, 0.125),
+]
 BASE = {"row_key": "part_id", "feature_columns": FEATURES, "num_samples": 100, "background_size": 50}
 
 
@@ -190,7 +200,22 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(scores, "feature", "importance")
 
 
+def kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sample by the regression on two drawn pairs of coalitions, of three."""
+    local, _ = _explained(spark, sf_dir, method="kernel", coalitions=COALITIONS, seed=KERNEL_SEED)
+    return tidy(local, "row_id", "feature", "phi")
+
+
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small ensemble, given by its nodes, explained by its paths."""
+    spec = ExplainSpec.from_dict({**BASE, "method": "tree"})
+    local, _ = explain.explain(parts(spark, sf_dir), spec, explain.TreeScorer(NODES), binary=True)
+    return tidy(local, "row_id", "feature", "phi")
+
+
 QUERIES = {
+    "explain_kernel": kernel,
+    "explain_tree_paths": tree_paths,
     "explain_sample": sample,
     "explain_shapley": shapley,
     "explain_permutation": permutation,
@@ -252,6 +277,38 @@ def _permuted_sql() -> str:
       SELECT id AS row_id, feature, {r('avg(gain)')} AS phi FROM gains GROUP BY id, feature"""
 
 
+def _kernel_sql() -> str:
+    """One row's normal equations of the regression, two unknowns after the sum is taken in, solved by Cramer's rule."""
+    member, weight = explain.kernel_coalitions(len(FEATURES), COALITIONS, KERNEL_SEED)
+    drawn = ", ".join(
+        f"({sum(1 << i for i in range(3) if z[i])}, {z[0] - z[2]:.0f}, {z[1] - z[2]:.0f}, {z[2]:.0f}, {float(w)!r}::DOUBLE)"
+        for z, w in zip(member, weight, strict=True)
+    )
+    return f"""WITH {_PICK.replace("':0'", f"':{KERNEL_SEED}'")}, {_value_sql(0.1, 'p')}, drawn(mask, z1, z2, last, w) AS (VALUES {drawn}),
+      ends AS (SELECT id, max(v) FILTER (mask = 0) AS base, max(v) FILTER (mask = 7) AS full FROM val GROUP BY id),
+      eq AS (SELECT id, any_value(ends."full") AS f, any_value(base) AS e, sum(w * z1 * z1) AS a, sum(w * z1 * z2) AS b, sum(w * z2 * z2) AS c,
+          sum(w * z1 * (v - base - last * (ends."full" - base))) AS y1, sum(w * z2 * (v - base - last * (ends."full" - base))) AS y2
+        FROM val JOIN drawn USING (mask) JOIN ends USING (id) GROUP BY id),
+      sol AS (SELECT id, f - e AS total, (c * y1 - b * y2) / (a * c - b * b) AS p1, (a * y2 - b * y1) / (a * c - b * b) AS p2 FROM eq)
+      SELECT id AS row_id, unnest(['size', 'price', 'brand']) AS feature,
+        unnest([{r('p1')}, {r('p2')}, {r('total - p1 - p2')}]) AS phi FROM sol"""
+
+
+def _tree_sql() -> str:
+    """The ensemble's output for every mix of a row and a background row, and Shapley values by their definition."""
+    mixed = [f"CASE WHEN mask & {1 << i} > 0 THEN x.{f} ELSE b.{f} END" for i, f in enumerate(FEATURES)]
+
+    def output(tree: int, node: int) -> str:
+        feature, threshold, left, right, value = next(n[2:] for n in NODES if n[:2] == (tree, node))
+        if feature is None:
+            return f"{value}::DOUBLE"
+        return f"CASE WHEN {mixed[feature]} <= {threshold} THEN {output(tree, left)} ELSE {output(tree, right)} END"
+
+    total = " + ".join(output(t, 0) for t in sorted({n[0] for n in NODES}))
+    values = f"""val AS (SELECT x.id, mask, avg({total}) AS v FROM x, b, (SELECT unnest(range(0, 8)) AS mask) GROUP BY x.id, mask)"""
+    return f"WITH {_phi_sql().replace(_value_sql(0.1, 'p'), values)} SELECT id AS row_id, feature, {r('phi')} AS phi FROM phi"
+
+
 _CLASS_LINKS = ("p * p", "2 * p * (1 - p)", "(1 - p) * (1 - p)")
 _MULTI = ", ".join(
     f"c{i} AS (WITH {_phi_sql(0.1, link)} SELECT * FROM phi)" for i, link in enumerate(_CLASS_LINKS)
@@ -260,6 +317,8 @@ _IMPORTANCE = "SELECT feature, avg(abs(phi)) AS importance FROM phi GROUP BY fea
 _LOCAL = f"WITH {_phi_sql()} SELECT id AS row_id, feature, {r('phi')} AS phi FROM phi"
 
 ORACLES = {
+    "explain_kernel": _kernel_sql(),
+    "explain_tree_paths": _tree_sql(),
     "explain_sample": f"WITH {_PICK} SELECT id AS row_id, {r('size')} AS size, {r('price')} AS price, {r('brand')} AS brand FROM x",
     "explain_shapley": _LOCAL,
     "explain_permutation": _permuted_sql(),

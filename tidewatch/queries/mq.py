@@ -131,20 +131,26 @@ def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(mq.constraints(metrics_, 0.05), "metric", "baseline", "threshold")
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as captured predictions, line items as labels that arrive on their ship date."""
-    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    captures = orders.select(
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as captured predictions."""
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("inference_id"),
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.col("o_orderstatus").alias("prediction"),
     )
-    labels = items.select(
+
+
+def late_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as labels that arrive on their ship date."""
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("inference_id"),
         F.col("l_shipdate").cast("timestamp").alias("label_ts"),
         F.col("l_returnflag").alias("label"),
     )
-    return truth.join_truth(captures, labels, AS_OF, LOOKBACK)
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth.join_truth(captures(spark, sf_dir), late_labels(spark, sf_dir), AS_OF, LOOKBACK)
 
 
 def gt_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +162,44 @@ def gt_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(truth.coverage(_truth(spark, sf_dir)), "captured", "matched", "coverage", "outcome", "severity")
 
 
+def gt_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's rows from stored tables: orders whose sixty days have passed."""
+    rows = truth.settled_truth(captures(spark, sf_dir), late_labels(spark, sf_dir), AS_OF, "60d")
+    return rows.select("inference_id", "prediction", text_time("ts").alias("ts"), "label", text_time("label_ts").alias("label_ts"))
+
+
+def labelled(spark: SparkSession, sf_dir: str, min_coverage: float) -> ModelQuality:
+    """A run that joins its labels itself; a finished order predicts R, an open one N."""
+    guess = F.when(F.col("prediction") == "F", "R").when(F.col("prediction") == "O", "N").otherwise("A")
+    inputs = {"predictions": captures(spark, sf_dir).withColumn("prediction", guess), "labels": late_labels(spark, sf_dir)}
+    config = {
+        "problem_type": "multiclass", "label_column": "truth", "prediction_column": "prediction", "labels_input": "labels",
+        "lookback": LOOKBACK, "as_of": AS_OF.isoformat(), "min_coverage": min_coverage,
+        "baseline_metrics": {"accuracy": 0.9}, "degradation_thresholds": {"accuracy": 0.05},
+    }
+    return ModelQuality().compute(inputs, config)
+
+
+def _ended(run) -> DataFrame:
+    """A run's outcome as a row beside its metrics."""
+    return run.outcome.select(F.concat_ws("/", F.lit("outcome"), "outcome", "severity").alias("name"), F.col("violation_count").cast("double").alias("value"))
+
+
+def labelled_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = labelled(spark, sf_dir, 0.3)
+    return tidy(run.metrics.where(F.col("subject").isin("all", "ground_truth")).select("name", "value").union(_ended(run)), "name", "value")
+
+
+def insufficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage below the floor: neither pass nor fail, and nothing is violated."""
+    run = labelled(spark, sf_dir, 0.999)
+    return tidy(run.metrics.where("subject = 'ground_truth'").select("name", "value").union(_ended(run)), "name", "value")
+
+
 QUERIES = {
+    "mq_labelled": labelled_metrics,
+    "mq_insufficient": insufficient,
+    "gt_settled": gt_settled,
     "mq_confusion": confusion,
     "mq_scalars": scalars,
     "mq_per_class": per_class,
@@ -239,7 +282,28 @@ lab AS (SELECT l_orderkey, l_shipdate AS label_ts, l_returnflag AS label,
 joined AS (SELECT inference_id, prediction, label, label_ts FROM cap LEFT JOIN lab ON inference_id = l_orderkey AND rn = 1 AND label_ts >= ts)
 """
 
+_LABELLED = f"""{_GT}, pred AS (SELECT label, CASE prediction WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' ELSE 'A' END AS prediction FROM joined), {_SCORES},
+c AS (SELECT count(*)::DOUBLE AS captured, count(label_ts)::DOUBLE AS matched, count(label_ts) / count(*)::DOUBLE AS coverage FROM joined),
+gt AS (SELECT 'mq/captured' AS name, captured AS value FROM c UNION ALL SELECT 'mq/matched', matched FROM c UNION ALL SELECT 'mq/coverage', coverage FROM c)
+"""
+
+
+def _labelled_end(floor: float) -> str:
+    return f"""SELECT CASE WHEN coverage < {floor} THEN 'outcome/skipped_insufficient_data/warn'
+        WHEN value < 0.85 THEN 'outcome/succeeded_with_violations/warn' ELSE 'outcome/succeeded/info' END,
+        CASE WHEN coverage >= {floor} AND value < 0.85 THEN 1.0 ELSE 0.0 END::DOUBLE FROM c, scalars WHERE metric = 'accuracy'"""
+
+
 ORACLES = {
+    "mq_labelled": f"""{_LABELLED} SELECT 'mq/' || metric AS name, {r('value')} AS value FROM scalars UNION ALL SELECT name, {r('value')} FROM gt
+        UNION ALL SELECT 'mq/rows_dropped', (count(*) FILTER (label IS NULL))::DOUBLE FROM pred UNION ALL {_labelled_end(0.3)}""",
+    "mq_insufficient": f"{_LABELLED} SELECT name, {r('value')} AS value FROM gt UNION ALL {_labelled_end(0.999)}",
+    "gt_settled": f"""WITH j AS (SELECT o_orderkey, o_orderstatus, o_orderdate, l_shipdate, l_returnflag,
+            row_number() OVER (PARTITION BY o_orderkey, o_orderstatus, o_orderdate ORDER BY l_shipdate DESC NULLS LAST, l_returnflag DESC) AS place
+          FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY)
+        SELECT o_orderkey AS inference_id, o_orderstatus AS prediction, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts,
+          l_returnflag AS label, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS label_ts
+        FROM j WHERE place = 1 AND o_orderdate + INTERVAL 60 DAY < TIMESTAMP '{AS_OF}'""",
     "mq_confusion": f"""{_MULTI} {_SCORES}
         SELECT a.class AS label, b.class AS prediction, coalesce(n, 0)::BIGINT AS n
         FROM classes a CROSS JOIN classes b LEFT JOIN cells ON cells.label = a.class AND cells.prediction = b.class""",

@@ -109,10 +109,8 @@ def late_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp").alias("label_ts"),
         F.col("l_returnflag").alias("label"),
     )
-    joined = _drained(spark, windows.late_truth(captures, labels, "INTERVAL 60 DAYS", "1 day"), "late_truth")
-    return joined.groupBy("inference_id", "prediction").agg(
-        F.count("label").alias("labels"), text_time(F.max("label_ts")).alias("last_label")
-    )
+    rows = _drained(spark, windows.late_truth(captures, labels, "INTERVAL 60 DAYS", "1 day"), "late_truth")
+    return rows.select("inference_id", "prediction", text_time("ts").alias("ts"), "label", text_time("label_ts").alias("label_ts"))
 
 
 def window_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,11 +175,12 @@ ORACLES = {
             - sum(b) OVER (PARTITION BY f.w ORDER BY v) / (SELECT count(*) FROM base)::DOUBLE AS gap FROM f JOIN ws ON f.w = ws.w)
         SELECT {_W} AS window_start, 'value' AS "column", {r('max(abs(gap))')} AS ks_stat, any_value(n)::BIGINT AS n, any_value(m)::BIGINT AS m FROM g GROUP BY w""",
     "late_truth": """WITH wm AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL 1 DAY AS w),
-        j AS (SELECT o_orderkey, o_orderstatus, o_orderdate, l_shipdate, l_returnflag FROM orders LEFT JOIN lineitem
-          ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY)
-        SELECT o_orderkey AS inference_id, o_orderstatus AS prediction, count(l_returnflag)::BIGINT AS labels,
-          strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') AS last_label FROM j
-        WHERE l_shipdate IS NOT NULL OR o_orderdate + INTERVAL 60 DAY < (SELECT w FROM wm) GROUP BY o_orderkey, o_orderstatus""",
+        j AS (SELECT o_orderkey, o_orderstatus, o_orderdate, l_shipdate, l_returnflag,
+            row_number() OVER (PARTITION BY o_orderkey, o_orderstatus, o_orderdate ORDER BY l_shipdate DESC NULLS LAST, l_returnflag DESC) AS place
+          FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY)
+        SELECT o_orderkey AS inference_id, o_orderstatus AS prediction, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts,
+          l_returnflag AS label, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS label_ts
+        FROM j WHERE place = 1 AND o_orderdate + INTERVAL 60 DAY < (SELECT w FROM wm)""",
     "window_agreement": f"""WITH e AS (SELECT {_SIX} AS w, value > 20 AS a, value + user_id % 5 > 22 AS b FROM events)
         SELECT {_W} AS window_start, count(*)::BIGINT AS pairs, {r('avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS agreement
         FROM e WHERE {_closed('INTERVAL 6 HOUR', 'events', 'ts')} GROUP BY w""",

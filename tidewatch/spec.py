@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
+from datetime import datetime
 from typing import Any, Self
 
 Scalar = str | int | float | bool
@@ -15,6 +17,7 @@ POST_TRAINING = ("DPPL", "DI", "DCA", "DCR", "RD", "DAR", "DRR", "AD", "TE", "CD
 PROBLEM_TYPES = ("binary", "multiclass")
 AGGREGATIONS = ("mean_abs", "mean", "max_abs", "median")
 KS_METHODS = ("asymptotic", "exact")
+EXPLAIN_METHODS = ("exact", "permutation", "kernel", "tree")
 
 
 class SpecError(ValueError):
@@ -67,7 +70,12 @@ class DataQualitySpec(_Spec):
 
 @dataclass(frozen=True)
 class ModelQualitySpec(_Spec):
-    """Classification scores of one prediction table, compared with baseline scores."""
+    """Classification scores of one prediction table, compared with baseline scores.
+
+    With ``labels_input`` the predictions are captures without labels, ``inference_id`` and ``ts`` among their columns;
+    the labels, ``inference_id, label, label_ts``, that came by ``as_of`` (default: now) are joined to those of the
+    lookback, and a coverage below ``min_coverage`` ends the run without a verdict.
+    """
 
     problem_type: str
     label_column: str
@@ -79,9 +87,19 @@ class ModelQualitySpec(_Spec):
     baseline_metrics: dict[str, float] = field(default_factory=dict)
     degradation_thresholds: dict[str, float] = field(default_factory=dict)
     severity_threshold: int = 2
+    labels_input: str | None = None
+    lookback: str = "7d"
+    min_coverage: float = 0.30
+    as_of: str | None = None
 
     def __post_init__(self) -> None:
         _require(self.problem_type in PROBLEM_TYPES, f"problem_type must be one of {PROBLEM_TYPES}")
+        _fraction("min_coverage", self.min_coverage)
+        _require(re.fullmatch(r"\d+[dhmw]", self.lookback) is not None, "lookback must look like '7d' or '12h'")
+        try:
+            datetime.fromisoformat(self.as_of or "2000-01-01")
+        except ValueError:
+            raise SpecError(f"as_of must be an ISO date and time, got {self.as_of!r}") from None
 
 
 @dataclass(frozen=True)
@@ -174,6 +192,7 @@ class ExplainSpec(_Spec):
     seed: int = 0
     method: str = "exact"
     permutations: int = 32
+    coalitions: int = 256
     save_local_shap_values: bool = False
     package_group_name: str = "unknown"
     baseline_version: int = 0
@@ -182,6 +201,7 @@ class ExplainSpec(_Spec):
         _require(0 < self.num_samples <= 10_000, "num_samples must lie in 1..10000")
         _require(0 < self.background_size <= 500, "background_size must lie in 1..500")
         _require(0 < self.top_k <= 500, "top_k must lie in 1..500")
-        _require(self.method in ("exact", "permutation"), "method must be exact or permutation")
+        _require(self.method in EXPLAIN_METHODS, f"method must be one of {EXPLAIN_METHODS}")
+        _require(2 <= self.coalitions <= 1 << 16, "coalitions must lie in 2..65536")
         _require(self.permutations > 0, "permutations must be positive")
         _require(self.agg_method in AGGREGATIONS, f"agg_method must be one of {AGGREGATIONS}")

@@ -154,12 +154,18 @@ def agreement(
 
 
 def late_truth(captures: DataFrame, labels: DataFrame, lookback: str, delay: str = "1 hour") -> DataFrame:
-    """Captures with the labels that arrive within ``lookback``; unmatched ones appear with a null label.
+    """One row per capture: its newest label within ``lookback``, or null, emitted once when its lookback has passed.
 
-    A left outer interval join: a capture stays in state until the watermark passes its lookback, then it
-    is emitted without a label if none came.
+    Captures hold ``inference_id, ts`` and more, labels ``inference_id, label, label_ts``. An outer interval join keeps a
+    capture until the watermark passes its lookback; behind it the rows of a capture, which are grouped by all of its
+    columns, are reduced to the newest label (of equal times the larger one) and closed by the join's own output
+    watermark. So both states lose a capture when it is through, and neither needs Python. Captures equal in all
+    columns are one.
     """
+    columns = captures.columns
     left = captures.withWatermark("ts", delay)
-    right = labels.select(F.col("inference_id").alias("label_id"), "label", "label_ts").withWatermark("label_ts", delay)
+    right = labels.select(F.col("inference_id").alias("__label_id"), "label", "label_ts").withWatermark("label_ts", delay)
     within = (F.col("label_ts") >= F.col("ts")) & (F.col("label_ts") <= F.col("ts") + F.expr(lookback))
-    return left.join(right, (F.col("inference_id") == F.col("label_id")) & within, "left_outer").drop("label_id")
+    joined = left.join(right, (F.col("inference_id") == F.col("__label_id")) & within, "left_outer")
+    newest = F.max(F.struct("label_ts", "label")).alias("newest")
+    return joined.groupBy(*columns).agg(newest).select(*columns, "newest.label", "newest.label_ts")
