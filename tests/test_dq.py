@@ -1,11 +1,12 @@
 import math
 import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.kolmogorov import asymptotic_pvalue, exact_tail_function
-from tidewatch.operators import dq
+from tidewatch.operators import dq, statistics
 from tidewatch.plans.runs import DataQuality
 from tidewatch.spec import DataQualitySpec, SpecError
 
@@ -204,3 +205,81 @@ def test_column_names_need_no_care(spark):
     analysis = run(df, df, numeric_columns=["a.b"], categorical_columns=["odd name"])
     assert analysis.outcome.first()["violation_count"] == 0
     assert metric(analysis, "dq/a.b/ks_stat") == 0
+
+
+def test_a_full_run_reads_each_side_once(spark, tmp_path):
+    """All measures read the counts that one job has written from one scan a side."""
+    for name in ("live", "base"):
+        spark.range(300).select((F.col("id") % 50).cast("double").alias("v"), F.col("id").cast("string").alias("t"), (F.col("id") % 3).cast("string").alias("g")).write.parquet(str(tmp_path / name))
+    live, base = (spark.read.parquet(str(tmp_path / name)) for name in ("live", "base"))
+    spec = DataQualitySpec.from_dict({"numeric_columns": ["v", "t"], "categorical_columns": ["g", "t"]})
+    cells = dq._cells(live, base, ["v", "t"], ["g", "t"])
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange hashpartitioning") == 1
+    metrics = dq.measure(live, base, spec)
+    inputs = " ".join(metrics.inputFiles())
+    assert str(tmp_path / "live") not in inputs and str(tmp_path / "base") not in inputs
+    values = {r["name"]: r["value"] for r in metrics.collect()}
+    assert values == {f"dq/{c}/completeness": 1.0 for c in "vtg"} | {f"dq/{c}/ks_stat": 0.0 for c in "vt"} | {f"dq/{c}/ks_p": 1.0 for c in "vt"} | {f"dq/{c}/psi": 0.0 for c in "gt"}
+
+
+def test_a_full_run_on_no_live_rows(spark):
+    base = spark.createDataFrame([(1.0, "a")], "v double, g string")
+    spec = DataQualitySpec.from_dict({"numeric_columns": ["v", "gone"], "categorical_columns": ["g"]})
+    values = {r["name"]: r["value"] for r in dq.measure(base.limit(0), base.drop("v"), spec).collect()}
+    assert values["dq/v/completeness"] == 0.0 and values["dq/g/completeness"] == 0.0 and "dq/gone/completeness" not in values
+
+
+DAYS = "day date, x double, t string, g string"
+
+
+def days_of(spark, count=30, each=400):
+    rng = random.Random(4)
+    rows = [(date(2024, 1, 1) + timedelta(days=d), None if rng.random() < 0.1 else 1e6 + rng.gauss(d, 3), rng.choice(["1", "2.5", "n/a"]), rng.choice("abc")) for d in range(count) for _ in range(each)]
+    return spark.createDataFrame(rows, DAYS)
+
+
+def test_merged_days_equal_one_pass(spark):
+    rows = days_of(spark)
+    daily = statistics.daily_summaries(rows, F.col("day"), ["x", "t", "g"], ["x", "t"])
+    assert daily.count() == 90 and daily.schema.simpleString() == spark.createDataFrame([], statistics.SUMMARY_SCHEMA).schema.simpleString()
+    found = {r["column"]: r for r in statistics.profile(statistics.merged_summaries(daily)).collect()}
+    want = {r["column"]: r for r in dq.profile(rows, ["x", "t", "g"], exact_distinct=True).collect()}
+    for c in "xtg":
+        assert (found[c]["row_count"], found[c]["null_count"]) == (want[c]["row_count"], want[c]["null_count"])
+        assert found[c]["distinct_count"] == pytest.approx(want[c]["distinct_count"], rel=0.03)
+    for name in ("min", "max", "mean", "stddev"):
+        assert found["x"][name] == pytest.approx(want["x"][name], rel=1e-9)
+    assert found["x"]["median"] == pytest.approx(want["x"]["median"], abs=0.5)
+    assert found["t"]["max"] == 2.5 and found["g"]["mean"] is None
+    halves = [statistics.daily_categories(rows.where(f"day {op} '2024-01-10'"), F.col("day"), ["g"]) for op in ("<", ">=")]
+    merged = {r["category"]: r["count"] for r in statistics.merged_categories(halves[0].union(halves[1])).collect()}
+    assert merged == {r["g"]: r["count"] for r in rows.groupBy("g").count().collect()}
+
+
+@pytest.mark.parametrize("k", [64, 4096])
+def test_ks_bounds_hold_the_statistic(spark, k):
+    rows = days_of(spark)
+    merged = statistics.merged_summaries(statistics.daily_summaries(rows, F.col("day"), ["x", "t"], ["x", "t"], k))
+    for shift in (0.0, 2.0, 40.0):
+        live = rows.where("day >= '2024-01-20'").select((F.col("x") + shift).alias("x"), "t")
+        exact = {r["column"]: r["ks_stat"] for r in dq.ks_statistic(live, rows, ["x", "t"]).collect()}
+        for r in statistics.ks_from_summaries(live, merged, ["x", "t", "none"]).collect():
+            assert r["ks_low"] <= exact[r["column"]] <= r["ks_high"] and r["ks_high"] - r["ks_low"] <= 2 * (2.446 / k**0.9433 + 1 / statistics.STEPS)
+
+
+def test_a_run_without_baseline_rows(spark):
+    rows = days_of(spark, 10, 200)
+    live = rows.where("day >= '2024-01-08'").select((F.col("x") + 50).alias("x"), F.lit("z").alias("g"))
+    inputs = {
+        "current": live,
+        "s": statistics.daily_summaries(rows, F.col("day"), ["x", "t", "g"], ["x"]),
+        "c": statistics.daily_categories(rows, F.col("day"), ["g"]),
+    }
+    config = {"numeric_columns": ["x"], "categorical_columns": ["g"], "completeness_threshold": 0.5, "summaries_input": "s", "categories_input": "c"}
+    run = DataQuality().compute(inputs, config)
+    names = {r["name"] for r in run.metrics.collect()}
+    assert names == {f"dq/x/{m}" for m in ("completeness", "ks_stat", "ks_low", "ks_high", "ks_p")} | {"dq/g/completeness", "dq/g/psi"}
+    assert {(r["type"], r["subject"]) for r in run.violations.collect()} == {("schema_missing", "t"), ("numeric_drift", "x"), ("categorical_drift", "g")}
+    with pytest.raises(SpecError):
+        DataQualitySpec.from_dict({"summaries_input": "s"})

@@ -13,6 +13,7 @@ from tidewatch.functions.kolmogorov import asymptotic_pvalue, exact_pvalue
 from tidewatch.functions.values import as_category, as_number, data_type, is_numeric, quoted, ratio, tally, without_nan
 from tidewatch.operators.slices import SLICE, sliced
 from tidewatch.result import METRIC_SCHEMA, metric_rows, violation_rows
+from tidewatch.session import written
 from tidewatch.spec import DataQualitySpec
 
 ANALYSER = "dq"
@@ -221,25 +222,85 @@ def profile(df: DataFrame, columns: Sequence[str], exact_distinct: bool = False)
 
 
 def measure(current: DataFrame, baseline: DataFrame, spec: DataQualitySpec) -> DataFrame:
-    """All data-quality metrics as tidy rows ``dq/<column>/<statistic>``."""
-    columns = [*spec.numeric_columns, *spec.categorical_columns]
-    parts = []
-    scored = [c for c in dict.fromkeys(columns) if c in current.columns]
-    if scored:
-        parts.append(completeness(current, scored))
-    if shared_columns(current, baseline, spec.numeric_columns):
-        numeric = ks_pvalue(ks_statistic(current, baseline, spec.numeric_columns), spec.ks_method)
-        parts.append(numeric.select("column", "ks_stat", "ks_p"))
-    if shared_columns(current, baseline, spec.categorical_columns):
-        parts.append(population_stability(current, baseline, spec.categorical_columns))
+    """All data-quality metrics as tidy rows ``dq/<column>/<statistic>``.
+
+    Either side is read once: every row gives a cell for each configured column, cells are counted by column and value,
+    and completeness, KS and PSI all read these counts, which are written once. They hold each value of a column once.
+    """
+    numeric, categorical = (
+        list(dict.fromkeys(c for c in columns if c in current.columns)) for columns in (spec.numeric_columns, spec.categorical_columns)
+    )
+    if not numeric and not categorical:
+        return current.sparkSession.createDataFrame([], METRIC_SCHEMA)
+    cells = written(_cells(current, baseline, numeric, categorical), "dq-cells")
+    names = current.sparkSession.createDataFrame([(c,) for c in dict.fromkeys([*numeric, *categorical])], "column string")
+    parts = [_completeness_of(cells, names)]
+    if shared_columns(current, baseline, numeric):
+        numbers = cells.where("numeric AND number IS NOT NULL").select("column", "number", "n_current", "n_baseline")
+        parts.append(ks_pvalue(ks_of(numbers, ["column"]), spec.ks_method).select("column", "ks_stat", "ks_p"))
+    shared = shared_columns(current, baseline, categorical)
+    if shared:
+        parts.append(psi_of(cells.where(~F.col("numeric") & F.col("column").isin(shared))))
+    return metrics_of(parts)
+
+
+def _cells(current: DataFrame, baseline: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """Counts per column and value of both sides: ``column, numeric, number, category, n_current, n_baseline, n_present``.
+
+    ``n_present`` counts the present values of the current side; a column in both lists has cells of either kind.
+    """
+    # A cell goes by the number of its column, short to compare and to send; names come back on the counts.
+    slots = [(c, kind) for kind, columns in ((True, numeric), (False, categorical)) for c in columns]
+    sides = []
+    for df, live in ((current, True), (baseline, False)):
+        cells = [
+            F.struct(
+                F.lit(i).alias("slot"),
+                (as_number(df, c) if kind else F.lit(None)).cast("double").alias("number"),
+                (F.lit(None) if kind else as_category(df, c)).cast("string").alias("category"),
+                (without_nan(df, c).isNotNull() if live else F.lit(False)).cast("bigint").alias("present"),
+            )
+            for i, (c, kind) in enumerate(slots)
+            if c in df.columns
+        ]
+        if cells:
+            side = F.lit(int(live)).cast("bigint").alias("live")
+            sides.append(df.select(F.inline(F.array(*cells)), side))
+    melted = reduce(DataFrame.unionByName, sides)
+    counts = melted.groupBy("slot", "number", "category").agg(
+        F.sum("live").alias("n_current"), F.sum(1 - F.col("live")).alias("n_baseline"), F.sum("present").alias("n_present")
+    )
+    name = F.get(F.array(*[F.lit(c) for c, _ in slots]), F.col("slot"))
+    kind = F.get(F.array(*[F.lit(k) for _, k in slots]), F.col("slot"))
+    return counts.select(name.alias("column"), kind.alias("numeric"), "number", "category", "n_current", "n_baseline", "n_present")
+
+
+def _completeness_of(cells: DataFrame, names: DataFrame) -> DataFrame:
+    """Share of present values per column, 0 over no rows; a column in both lists is counted in both, which leaves the share."""
+    share = ratio(F.sum("n_present"), F.sum("n_current"), empty=0.0).alias("completeness")
+    found = cells.groupBy("column").agg(share)
+    return names.join(found, "column", "left").select("column", F.coalesce("completeness", F.lit(0.0)).alias("completeness"))
+
+
+def measure_against_statistics(current: DataFrame, summaries: DataFrame, categories: DataFrame, spec: DataQualitySpec) -> DataFrame:
+    """The metrics of :func:`measure` against stored statistics, KS with its bounds as ``ks_low`` and ``ks_high``."""
+    from tidewatch.operators import statistics
+
+    scored = [c for c in dict.fromkeys([*spec.numeric_columns, *spec.categorical_columns]) if c in current.columns]
+    if not scored:
+        return current.sparkSession.createDataFrame([], METRIC_SCHEMA)
+    bounded = statistics.ks_from_summaries(current, statistics.merged_summaries(summaries), spec.numeric_columns)
+    psi = psi_from_histogram(current, statistics.merged_categories(categories), spec.categorical_columns)
+    return metrics_of([completeness(current, scored), bounded.drop("n", "m"), psi])
+
+
+def metrics_of(parts: Sequence[DataFrame]) -> DataFrame:
+    """Tables of statistics by column, as tidy rows."""
     rows = []
     for part in parts:
-        statistics = [c for c in part.columns if c != "column"]
-        tidy = part.unpivot(["column"], statistics, "statistic", "value")
+        tidy = part.unpivot(["column"], [c for c in part.columns if c != "column"], "statistic", "value")
         name = F.concat_ws("/", F.lit("dq"), "column", "statistic")
         rows.append(metric_rows(tidy, ANALYSER, F.col("column"), F.col("statistic"), name, F.col("value")))
-    if not rows:
-        return current.sparkSession.createDataFrame([], METRIC_SCHEMA)
     return reduce(DataFrame.unionByName, rows)
 
 

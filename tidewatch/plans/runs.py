@@ -34,9 +34,18 @@ def _input(inputs: Inputs, name: str) -> DataFrame:
 class DataQuality:
     def compute(self, inputs: Inputs, config: Mapping[str, Any]) -> Analysis:
         spec = DataQualitySpec.from_dict(config)
-        current, baseline = _input(inputs, spec.current_input), _input(inputs, spec.baseline_input)
-        difference = dq.schema_difference(current.sparkSession, current, baseline)
-        metrics = dq.measure(current, baseline, spec)
+        current = _input(inputs, spec.current_input)
+        if spec.summaries_input is not None:
+            summaries, categories = _input(inputs, spec.summaries_input), _input(inputs, spec.categories_input)
+            # what the statistics know of the baseline's columns: one name per stored column
+            stored = [r["column"] for r in summaries.select("column").distinct().collect()]
+            lost = [("missing", c) for c in sorted(set(stored) - set(current.columns))]
+            difference = current.sparkSession.createDataFrame(lost, "kind string, column string")
+            metrics = dq.measure_against_statistics(current, summaries, categories, spec)
+        else:
+            baseline = _input(inputs, spec.baseline_input)
+            difference = dq.schema_difference(current.sparkSession, current, baseline)
+            metrics = dq.measure(current, baseline, spec)
         violations = dq.judge(metrics, difference, spec)
         return Analysis(
             dq.ANALYSER,

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import dq, rollup
+from tidewatch.operators import dq, rollup, statistics
 from tidewatch.plans.runs import DataQuality
 from tidewatch.queries.common import r, rounded, table, tidy
+from tidewatch.session import written
 
 NUMERIC = ["price", "quantity", "discount_text"]
 CATEGORICAL = ["flag", "status"]
@@ -115,6 +116,49 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(table_.withColumn("stddev", rounded("stddev", 4)), *columns)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The baseline's statistics by ship day: summaries and categories, written as a store would hold them."""
+    before = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp_ntz"))
+    rows = before.select(
+        F.col("l_shipdate").alias("day"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_quantity").alias("quantity"),
+        F.round(F.col("l_discount") * 100).cast("bigint").cast("string").alias("discount_text"),
+        F.col("l_returnflag").alias("flag"),
+        F.col("l_linestatus").alias("status"),
+    )
+    summaries = statistics.daily_summaries(rows, F.col("day"), NUMERIC + CATEGORICAL, NUMERIC)
+    return written(summaries, "summaries"), written(statistics.daily_categories(rows, F.col("day"), CATEGORICAL), "categories")
+
+
+def from_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run against stored statistics: exact where they are exact, KS bounds that hold the statistic of the rows."""
+    current, baseline = windows(spark, sf_dir)
+    summaries, categories = stored(spark, sf_dir)
+    config = {**CONFIG, "summaries_input": "summaries", "categories_input": "categories"}
+    run = DataQuality().compute({"current": current, "summaries": summaries, "categories": categories}, config).metrics
+    exact = dq.ks_statistic(current, baseline, NUMERIC).select(F.col("column").alias("subject"), F.col("ks_stat").alias("exact"))
+    of = lambda name: F.max(F.when(F.col("statistic") == name, F.col("value"))).alias(name)
+    bounds = run.groupBy("subject").agg(of("ks_low"), of("ks_high")).join(exact, "subject")
+    held = ((F.col("exact") >= F.col("ks_low")) & (F.col("exact") <= F.col("ks_high"))).cast("double")
+    rows = run.where("statistic IN ('completeness', 'psi')").select("name", "value")
+    rows = rows.union(bounds.select(F.concat_ws("/", F.lit("dq"), "subject", F.lit("ks_held")), held))
+    return tidy(rows.union(bounds.select(F.concat_ws("/", F.lit("dq"), "subject", F.lit("ks_exact")), "exact")), "name", "value")
+
+
+def merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of all days merged: exact parts as they are, estimates by whether they are near the exact ones."""
+    _, baseline = windows(spark, sf_dir)
+    summaries, _ = stored(spark, sf_dir)
+    found = statistics.profile(statistics.merged_summaries(summaries))
+    exact = dq.profile(baseline, NUMERIC + CATEGORICAL, exact_distinct=True).select("column", F.col("distinct_count").alias("exact_distinct"))
+    near = F.abs(F.col("distinct_count") - F.col("exact_distinct")) <= F.col("exact_distinct") * 0.05
+    middle = baseline.agg(F.avg((F.col("price") <= found.where("column = 'price'").select("median").scalar()).cast("int"))).scalar()
+    held = F.when(F.col("column") == "price", F.abs(middle - 0.5) <= 0.01)
+    rows = found.join(exact, "column").withColumn("distinct_near", near).withColumn("median_near", held)
+    return tidy(rows.withColumn("stddev", rounded("stddev", 4)), "column", "row_count", "null_count", "min", "max", "mean", "stddev", "exact_distinct", "distinct_near", "median_near")
+
+
 def drift_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(rollup.drift_matrix(analysis(spark, sf_dir).metrics), "column", "ks_stat", "ks_p", "psi")
 
@@ -132,6 +176,8 @@ QUERIES = {
     "dq_violations": violations,
     "dq_outcome": outcome,
     "dq_profile": profile,
+    "dq_from_statistics": from_statistics,
+    "dq_profile_merged": merged_profile,
     "drift_matrix": drift_matrix,
 }
 
@@ -237,7 +283,21 @@ _PROFILE = " UNION ALL ".join(
     for c in CATEGORICAL
 )
 
+_MERGED = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*)::BIGINT AS row_count, (count(*) - count({c}))::BIGINT AS null_count,
+    {r(f'min({c}::DOUBLE)')} AS min, {r(f'max({c}::DOUBLE)')} AS max, {r(f'avg({c}::DOUBLE)')} AS mean, {r(f'stddev_samp({c}::DOUBLE)', 4)} AS stddev,
+    count(DISTINCT {c})::BIGINT AS exact_distinct, true AS distinct_near, {'true' if c == 'price' else 'NULL::BOOLEAN'} AS median_near FROM base"""
+    for c in NUMERIC
+) + "".join(
+    f""" UNION ALL SELECT '{c}', count(*)::BIGINT, (count(*) - count({c}))::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE,
+    count(DISTINCT {c})::BIGINT, true, NULL::BOOLEAN FROM base"""
+    for c in CATEGORICAL
+)
+
 ORACLES = {
+    "dq_from_statistics": f"""{_METRICS} SELECT 'dq/' || subject || '/' || statistic AS name, {r('value')} AS value FROM metrics WHERE statistic IN ('completeness', 'psi')
+        UNION ALL SELECT 'dq/' || col || '/ks_held', 1.0::DOUBLE FROM ks UNION ALL SELECT 'dq/' || col || '/ks_exact', {r('d')} FROM ks""",
+    "dq_profile_merged": f"{_WINDOWS} {_MERGED}",
     "dq_schema_diff": _SCHEMA,
     "dq_completeness": f'{_WINDOWS}, {_COMPLETENESS} SELECT "column", {r("completeness")} AS completeness FROM compl',
     "dq_ks_stat": f'{_WINDOWS}, {_KS} SELECT col AS "column", {r("d")} AS ks_stat, n::BIGINT AS n, m::BIGINT AS m FROM ks',

@@ -47,7 +47,10 @@ class _Spec:
 
 @dataclass(frozen=True)
 class DataQualitySpec(_Spec):
-    """Completeness, KS and PSI checks of a current window against a baseline."""
+    """Completeness, KS and PSI checks of a current window against a baseline.
+
+    With ``summaries_input`` and ``categories_input`` the baseline is its stored statistics, and no baseline rows are read.
+    """
 
     schema_version: str = "1.0"
     current_input: str = "current"
@@ -59,6 +62,8 @@ class DataQualitySpec(_Spec):
     psi_threshold: float = 0.2
     severity_threshold: int = 3
     ks_method: str = "asymptotic"
+    summaries_input: str | None = None
+    categories_input: str | None = None
 
     def __post_init__(self) -> None:
         _fraction("completeness_threshold", self.completeness_threshold)
@@ -66,6 +71,9 @@ class DataQualitySpec(_Spec):
         _require(self.psi_threshold >= 0, "psi_threshold must not be negative")
         _require(self.severity_threshold >= 1, "severity_threshold must be at least 1")
         _require(self.ks_method in KS_METHODS, f"ks_method must be one of {KS_METHODS}")
+        both = (self.summaries_input is None) == (self.categories_input is None)
+        _require(both, "summaries_input and categories_input belong together")
+        _require(self.summaries_input is None or self.ks_method == "asymptotic", "stored statistics have asymptotic p-values only")
 
 
 @dataclass(frozen=True)
