@@ -1,5 +1,7 @@
 """Streams against batch results: files arrive one by one, then everything is drained."""
 
+import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -134,6 +136,34 @@ CAPTURED, LABELLED = "inference_id string, ts timestamp", "inference_id string,
 DAY = timedelta(days=1)
 
 
+def test_many_windows_read_the_baseline_once(spark):
+    """Rows behind the merge are as many as live values and baseline values, whatever the number of windows."""
+    rng = random.Random(2)
+    live = [(START + timedelta(hours=h), c, float(v), rng.randint(1, 5)) for h in range(40) for c in "xy" for v in rng.sample(range(60), 8)]
+    base = [(c, float(v) + 0.5 * (v % 2), rng.randint(1, 9)) for c in "xyz" for v in range(-5, 70)]
+    frames = spark.createDataFrame(live, "window_start timestamp, column string, number double, n bigint"), spark.createDataFrame(base, "column string, number double, m bigint")
+    got = {(r["window_start"], r["column"]): r for r in windows.window_ks(*frames).collect()}
+    assert len(got) == 80
+    for (w, c), r in got.items():
+        mine, theirs = [(v, n) for a, b, v, n in live if (a, b) == (w, c)], [(v, m) for b, v, m in base if b == c]
+        n, m = sum(k for _, k in mine), sum(k for _, k in theirs)
+        gap = max(abs(sum(k for v, k in mine if v <= x) / n - sum(k for v, k in theirs if v <= x) / m) for x in [v for v, _ in mine + theirs])
+        assert (r["ks_stat"], r["n"], r["m"]) == (pytest.approx(gap, abs=1e-12), n, m)
+
+
+def test_stability_of_windows_with_new_lost_and_null_categories(spark):
+    live = [(START, "g", "a", 3), (START, "g", None, 1), (START, "g", "new", 2), (START + timedelta(hours=1), "g", "b", 5), (START, "other", "a", 1)]
+    base = [("g", "a", 6), ("g", "b", 3), ("g", None, 1), ("h", "a", 2)]
+    found = windows.window_stability(spark.createDataFrame(live, "window_start timestamp, column string, category string, n bigint"), spark.createDataFrame(base, "column string, category string, count bigint"))
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+    got = {r["window_start"]: r["psi"] for r in found.collect()}
+    for w in (START, START + timedelta(hours=1)):
+        mine, theirs = {g: n for a, c, g, n in live if a == w and c == "g"}, {g: n for c, g, n in base if c == "g"}
+        pairs = [(max(mine.get(g, 0) / sum(mine.values()), 1e-6), max(theirs.get(g, 0) / 10, 1e-6)) for g in {*mine, *theirs}]
+        assert got[w] == pytest.approx(sum((p - q) * math.log(p / q) for p, q in pairs))
+    assert len(got) == 2
+
+
 def test_late_truth_waits_then_gives_up(spark, tmp_path):
     put(spark, tmp_path / "c", [("in", START), ("late", START), ("none", START), ("open", START + 30 * DAY)], CAPTURED)
     put(spark, tmp_path / "l", [("in", "y", START + 3 * DAY), ("in", "z", START + 5 * DAY), ("in", "x", START + 4 * DAY), ("late", "y", START + 9 * DAY), ("open", "y", START + 31 * DAY)], LABELLED)

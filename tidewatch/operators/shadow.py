@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.divergence import js_bits, normalised_probabilities
 from tidewatch.functions.values import quoted, without_nan
-from tidewatch.operators.slices import SLICE, SLICES_PER_PARTITION, with_slice
+from tidewatch.operators.slices import ranked
 from tidewatch.result import metric_rows, violation_rows
 from tidewatch.spec import ShadowSpec
 
@@ -56,36 +56,18 @@ def align_by_key(serving: DataFrame, shadow: DataFrame, spec: ShadowSpec) -> Dat
     return _flat(left.join(right, "key"))
 
 
-def ranked(df: DataFrame, order_by: str, slices: int | None = None) -> DataFrame:
-    """Adds ``position``, the 1-based rank of each row by ``order_by``, without a global sort task.
-
-    Rows are numbered within slices of the ordering and shifted by the sizes of the earlier slices.
-    """
-    if slices is None:
-        slices = SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = with_slice(df, order_by, slices)
-    before = Window.partitionBy(F.lit(1)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(SLICE)
-        .agg(F.count(F.lit(1)).alias("size"))
-        .select(SLICE, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    )
-    local = F.row_number().over(Window.partitionBy(SLICE).orderBy(F.col(quoted(order_by))))
-    return (
-        cut.withColumn("__local", local)
-        .join(F.broadcast(offsets), SLICE)  # at most one row per slice
-        .withColumn("position", F.col("__local") + F.col("offset"))
-        .drop(SLICE, "__local", "offset")
-    )
-
-
 def align_by_rank(serving: DataFrame, shadow: DataFrame, spec: ShadowSpec) -> DataFrame:
     """Pairs the i-th rows by ``order_by``; unequal row counts fail the job.
 
     Tables have no row order, so position is the rank of an explicit, unique ordering column.
     """
-    left = _side(ranked(serving, spec.order_by), spec, "position", "serving")
-    right = _side(ranked(shadow, spec.order_by), spec, "position", "shadow")
+    used = [c for c in dict.fromkeys([spec.order_by, spec.prediction_column, *spec.probability_columns])]
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        narrow = df.select(*[F.col(quoted(c)) for c in used if c in df.columns])
+        return _side(ranked(narrow, quoted(spec.order_by)), spec, "position", tag)
+
+    left, right = side(serving, "serving"), side(shadow, "shadow")
     message = F.lit("serving and shadow row counts differ; supply join_key")
 
     def present(tag: str, df: DataFrame) -> Column:

@@ -1,4 +1,4 @@
-"""Running totals over one ordered column without putting the column on one task.
+"""Running totals and ranks over one ordered column without putting the column on one task.
 
 A rank statistic (KS, AUC) needs cumulative counts in value order. ``Window.partitionBy(column)`` would
 move a whole column to one task, so the value histogram is range-partitioned first, each range is
@@ -7,18 +7,15 @@ accumulated on its own, and only one summary row per range goes through the fina
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewatch.functions.values import quoted
+from tidewatch.session import written
 
 SLICE = "__slice"
-# Slices of a ranking per shuffle partition: slices are hashed to tasks, and many small ones even out.
-SLICES_PER_PARTITION = 4
 
 
-def sliced(histogram: DataFrame, *ordering: str) -> DataFrame:
+def sliced(histogram: DataFrame, *ordering: str, slices: int | None = None) -> DataFrame:
     """Range-partition a pre-aggregated histogram, tag each row with its range, one range per task.
 
     The histogram holds each value once, so a hot value is one row. The range bounds are drawn once,
@@ -26,60 +23,34 @@ def sliced(histogram: DataFrame, *ordering: str) -> DataFrame:
     the row is sent to next, which windows and aggregates by tag then find in place; hashing the tags
     instead would leave some tasks with several ranges and others with none.
     """
-    partitions = int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = histogram.repartitionByRange(*ordering).withColumn(SLICE, F.spark_partition_id())
-    return tagged.repartitionById(partitions, F.col(SLICE))
+    partitions = slices or int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = histogram.repartitionByRange(slices, *ordering) if slices else histogram.repartitionByRange(*ordering)
+    return ranges.withColumn(SLICE, F.spark_partition_id()).repartitionById(partitions, F.col(SLICE))
 
 
-def _position(df: DataFrame, column: str) -> Column | None:
-    """A double that orders like the column, or null for types without one."""
-    dtype = df.schema[column].dataType
-    if isinstance(dtype, T.NumericType):
-        return F.col(quoted(column)).cast("double")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(quoted(column)).cast("timestamp")).cast("double")
-    return None
+def ranked(df: DataFrame, *ordering: str, slices: int | None = None) -> DataFrame:
+    """Adds ``position``, the 1-based rank of each row by ``ordering``, columns of any sortable types.
 
-
-def with_slice(df: DataFrame, column: str, slices: int) -> DataFrame:
-    """Tags each row with a slice that orders like ``column``, about equally many rows in each.
-
-    The cut points are drawn once, on the driver, and become constants, so a row's slice depends on its
-    value alone: a retried task or a second branch of the plan tags the rows the same way. Numbers and
-    times are cut at approximate quantiles and bucketed by binary search; other types are cut at the
-    starts of a range partitioning and searched by a CASE tree, which is kept to 256 leaves.
+    Rows are numbered within their range and shifted by the sizes of the earlier ranges. The numbered rows are written
+    once and both read from there: a second range exchange could draw other bounds.
     """
-    position = _position(df, column)
-    if position is None:
-        return df.withColumn(SLICE, _leaf(F.col(quoted(column)), _starts(df, column, min(slices, 256))))
-    steps = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(position, steps, max(10_000, 20 * slices)).alias("cuts")).first()["cuts"] if steps else []
-    splits = sorted(set(cuts or []))
-    if not splits:
-        return df.withColumn(SLICE, F.lit(0))
-    from pyspark.ml.feature import Bucketizer
-
-    bucketizer = Bucketizer(
-        splits=[float("-inf"), *splits, float("inf")], inputCol="__position", outputCol=SLICE, handleInvalid="keep"
-    )
-    return bucketizer.transform(df.withColumn("__position", position)).drop("__position")
-
-
-def _starts(df: DataFrame, column: str, slices: int) -> list[object]:
-    """First value of each range of a range partitioning, but for the lowest: at most ``slices - 1`` values."""
-    name = quoted(column)
-    ranges = df.select(F.col(name).alias("v")).where("v IS NOT NULL").repartitionByRange(slices, "v")
-    lows = ranges.groupBy(F.spark_partition_id()).agg(F.min("v").alias("low")).collect()
-    return sorted(row["low"] for row in lows)[1:]
-
-
-def _leaf(column: Column, bounds: list[object]) -> Column:
-    """Number of bounds at or below the value, as a balanced CASE tree."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(column < F.lit(bounds[middle]), search(low, middle)).otherwise(search(middle + 1, high))
-
-    return search(0, len(bounds))
+    local = F.row_number().over(Window.partitionBy(SLICE).orderBy(*ordering))
+    rows = written(sliced(df, *ordering, slices=slices).withColumn("__local", local), "ranked")
+    # one row per range
+    before = Window.partitionBy(F.lit(1)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(SLICE).agg(F.count(F.lit(1)).alias("size"))
+    offsets = sizes.select(SLICE, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    shifted = rows.join(F.broadcast(offsets), SLICE).withColumn("position", F.col("__local") + F.col("offset"))
+    return shifted.drop(SLICE, "__local", "offset")
+
+
+def cumulated(histogram: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
+    """``(*keys, value, count, upto)``: counts of a histogram added up in value order within ``keys``."""
+    upto = Window.partitionBy(SLICE, *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = written(sliced(histogram, *keys, value).withColumn("__upto", F.sum(count).over(upto)), "cumulated")
+    # one row per range and key in it
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(SLICE, *keys).agg(F.sum(count).alias("__sum"))
+    offsets = sums.select(SLICE, *keys, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    joined = rows.join(offsets, [SLICE, *keys])
+    return joined.select(*keys, value, count, (F.col("__upto") + F.col("__offset")).alias("upto"))

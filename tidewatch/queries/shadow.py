@@ -81,6 +81,15 @@ def align_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("key", "serving_prediction", "shadow_prediction")
 
 
+def align_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired by the rank of a text: order numbers as words, which sort in another order than as numbers."""
+    serving, _ = variants(spark, sf_dir)
+    named = serving.withColumn("row_id", F.concat(F.lit("order-"), F.col("row_id").cast("string")))
+    candidate = named.withColumn("row_id", F.concat(F.lit("retry-"), "row_id"))
+    pairs = shadow.align(named, candidate, ShadowSpec.from_dict(BY_RANK))
+    return pairs.select("key", "serving_prediction", "shadow_prediction")
+
+
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(shadow.summary(_cells(spark, sf_dir)), "row_count", "agreement")
 
@@ -119,6 +128,7 @@ def disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "shadow_align": align,
     "shadow_align_ordered": align_ordered,
+    "shadow_align_text": align_text,
     "shadow_agreement": agreement,
     "shadow_js": js,
     "shadow_js_multiclass": js_three,
@@ -170,6 +180,9 @@ ORACLES = {
     "shadow_align_ordered": """WITH s AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS key,
         CASE WHEN 1 / (1 + exp(-(o_totalprice / 100000.0::DOUBLE - 2.5::DOUBLE))) > 0.5 THEN 'yes' ELSE 'no' END AS p FROM orders)
         SELECT key, p AS serving_prediction, p AS shadow_prediction FROM s""",
+    "shadow_align_text": """WITH s AS (SELECT row_number() OVER (ORDER BY o_orderkey::VARCHAR) AS key,
+        CASE WHEN 1 / (1 + exp(-(o_totalprice / 100000.0::DOUBLE - 2.5::DOUBLE))) > 0.5 THEN 'yes' ELSE 'no' END AS p FROM orders)
+        SELECT key, p AS serving_prediction, p AS shadow_prediction FROM s""",
     "shadow_agreement": f"{_PAIRS} SELECT count(*)::BIGINT AS row_count, {r(_AGREE)} AS agreement FROM pairs",
     "shadow_js": f"{_PAIRS} SELECT {r(f'avg({_js_sql(2)})')} AS js_divergence FROM pairs",
     "shadow_js_multiclass": f"""{_THREE} SELECT count(*)::BIGINT AS row_count, {r(_AGREE)} AS agreement,

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.functions.divergence import psi_term
 from tidewatch.functions.severity import resolved_severity
 from tidewatch.functions.values import as_category, as_number, quoted, ratio, tally
-from tidewatch.operators.dq import ks_of
+from tidewatch.operators.slices import SLICE, cumulated, sliced
 from tidewatch.streaming.sinks import start
 
 
@@ -40,26 +40,22 @@ def live_histogram(
 def window_stability(live: DataFrame, baseline: DataFrame) -> DataFrame:
     """PSI per window and column against a stored histogram ``(column, category, count)``.
 
-    A batch operator for the callback below and for replays. Categories that occur only in the baseline
-    are completed per window from the baseline's category list, so each window sees the full union.
+    A batch operator for the callback below and for replays. A window in which nothing occurs has, from the baseline's
+    categories, a sum of its own per column; every category a window does see replaces its term in that sum. So the baseline
+    is read once, whatever the number of windows, and rows are as many as the windows' own categories.
     """
-    size = baseline.groupBy("column").agg(F.greatest(F.sum("count"), F.lit(1)).alias("total_baseline"))
-    known = baseline.join(F.broadcast(size), "column")  # one row per configured column
-    # one row per closed window and configured column; a shuffle by column would gather whole columns
-    totals = F.broadcast(live.groupBy("window_start", "column").agg(F.greatest(F.sum("n"), F.lit(1)).alias("total")))
-    zero = F.lit(0).cast("bigint")
-    expected = known.join(totals, "column").select(
-        "window_start", "column", "category", "total", "total_baseline", zero.alias("n"), F.col("count").alias("n_baseline")
-    )
-    observed = live.join(totals, ["window_start", "column"]).join(F.broadcast(size), "column").select(
-        "window_start", "column", "category", "total", "total_baseline", "n", zero.alias("n_baseline")
-    )
-    keys = ["window_start", "column"]
-    merged = expected.unionByName(observed).groupBy(*keys, "category", "total", "total_baseline").agg(
-        F.sum("n").alias("n"), F.sum("n_baseline").alias("n_baseline")
-    )
-    term = psi_term(F.col("n") / F.col("total"), F.col("n_baseline") / F.col("total_baseline"))
-    return merged.groupBy(*keys).agg(F.sum(term).alias("psi"))
+    size = baseline.groupBy("column").agg(F.greatest(F.sum("count"), F.lit(1)).alias("total"))
+    nothing = F.lit(0.0)
+    shares = baseline.join(size, "column").select("column", "category", (F.col("count") / F.col("total")).alias("q"))
+    unseen = shares.groupBy("column").agg(F.sum(psi_term(nothing, F.col("q"))).alias("unseen"))
+    totals = live.groupBy("window_start", "column").agg(F.greatest(F.sum("n"), F.lit(1)).alias("total"))
+    observed = live.join(totals, ["window_start", "column"]).select("window_start", "column", "category", (F.col("n") / F.col("total")).alias("p"))
+    known = shares.select(F.col("column").alias("__column"), F.col("category").alias("__category"), "q")
+    same = (F.col("column") == F.col("__column")) & F.col("category").eqNullSafe(F.col("__category"))
+    q = F.coalesce("q", nothing)
+    replaced = F.when(F.col("q").isNotNull(), psi_term(nothing, q)).otherwise(nothing)
+    gained = observed.join(known, same, "left").groupBy("window_start", "column").agg(F.sum(psi_term(F.col("p"), q) - replaced).alias("gained"))
+    return gained.join(unseen, "column").select("window_start", "column", (F.col("unseen") + F.col("gained")).alias("psi"))
 
 
 def monitor_windows(
@@ -114,20 +110,40 @@ def live_numbers(
 def window_ks(live: DataFrame, baseline: DataFrame) -> DataFrame:
     """KS statistic per closed window and column: ``(window_start, column, ks_stat, n, m)``.
 
-    ``live`` holds ``(window_start, column, number, n)``, ``baseline`` ``(column, number, m)``. As on any
-    monitoring tick, each window is compared with the whole baseline histogram.
+    ``live`` holds ``(window_start, column, number, n)``, ``baseline`` ``(column, number, m)``. Between two values of a
+    window its distribution stands still, so the gap is widest at a value or just before one: what is needed of the
+    baseline is its count up to and below every live value. Live values and baseline are merged once and added up in
+    order; each window then looks its values up. No baseline row is repeated for a window.
     """
     zero = F.lit(0).cast("bigint")
-    observed = live.select("window_start", "column", "number", F.col("n").alias("n_current"), zero.alias("n_baseline"))
-    windows = F.broadcast(live.select("window_start", "column").distinct())  # closed windows by configured columns
-    expected = baseline.join(windows, "column").select(
-        "window_start", "column", "number", zero.alias("n_current"), F.col("m").alias("n_baseline")
-    )
+    both = baseline.select("column", "number", "m").unionByName(live.select("column", "number", zero.alias("m")))
+    merged = both.groupBy("column", "number").agg(F.sum("m").alias("m"))
+    ranks = cumulated(merged, ["column"], "number", "m").select("column", "number", "upto", (F.col("upto") - F.col("m")).alias("below"))
+    size = baseline.groupBy("column").agg(F.sum("m").alias("m")).where("m > 0")
+    totals = live.groupBy("window_start", "column").agg(F.sum("n").alias("total")).where("total > 0")
     keys = ["window_start", "column"]
-    merged = observed.unionByName(expected).groupBy(*keys, "number").agg(
-        F.sum("n_current").alias("n_current"), F.sum("n_baseline").alias("n_baseline")
+    placed = live.join(ranks, ["column", "number"]).select(*keys, "number", "n", "upto", "below").join(totals, keys).join(size, "column")
+    inside = Window.partitionBy(SLICE, *keys).orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum("n").over(inside)
+    here, short = own / F.col("total") - F.col("upto") / F.col("m"), (own - F.col("n")) / F.col("total") - F.col("below") / F.col("m")
+    per_slice = (
+        sliced(placed, *keys, "number")
+        .withColumn("here", here)
+        .withColumn("short", short)
+        .groupBy(SLICE, *keys, "total", "m")
+        .agg(
+            F.min("number").alias("start"),
+            F.greatest(F.max("here"), F.max("short")).alias("high"),
+            F.least(F.min("here"), F.min("short")).alias("low"),
+            (F.sum("n") / F.col("total")).alias("change"),
+        )
+    )
+    before = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("change").over(before), F.lit(0.0))
+    shifted = per_slice.withColumn("high", F.col("high") + offset).withColumn("low", F.col("low") + offset)
+    return shifted.groupBy(*keys).agg(
+        F.max(F.greatest(F.abs("high"), F.abs("low"))).alias("ks_stat"), F.first("total").alias("n"), F.first("m").alias("m")
     )
-    return ks_of(merged, keys)
 
 
 def agreement(
