@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import dq, truth
 from tidewatch.streaming import alerts, windows
 from tidewatch.streaming.sinks import to_table
+from tidewatch.streaming.ticks import HourlyTicks
 
 OUTCOME = "run_id string, analyser_type string, outcome string, severity string, violation_count bigint, started_at timestamp"
 START = datetime(2024, 1, 1)
@@ -221,3 +222,51 @@ def test_hourly_tick_counts(spark, tmp_path):
     to_table(tick, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     rows = spark.read.schema(tick.schema).parquet(str(tmp_path / "out")).orderBy("window_start").collect()
     assert [(r["runs"], r["alerts"]) for r in rows] == [(6, 6)] * 3
+
+
+ARRIVED = "run_id string, analyser_type string, outcome string, severity string, violation_count bigint, started_at timestamp, duration_seconds double, dt string, hour int"
+
+
+def arrivals(spark, path, rows):
+    """(event hour, arrival hour, violations) as archived outcomes."""
+    made = []
+    for k, (event, arrival, n) in enumerate(rows):
+        at = START + timedelta(hours=arrival)
+        made.append((f"r{k}", "dq", "succeeded", "alert" if n > 3 else None, n, START + timedelta(hours=event, minutes=5), 1.5, at.strftime("%Y-%m-%d"), at.hour))
+    spark.createDataFrame(made, ARRIVED).write.mode("append").partitionBy("dt", "hour").parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_ticks_read_new_hours_only_and_count_late_events(spark, tmp_path):
+    source = arrivals(spark, tmp_path / "in", [(0, 0, 1), (1, 1, 2), (1, 3, 5), (22, 26, 4), (26, 26, 1)])
+    counted = HourlyTicks(str(tmp_path / "state"))
+    hour = lambda h: START + timedelta(hours=h)
+    by_hour = lambda unit="hour": {r["period"]: (r["runs"], r["violations"], r["alerts"], r["seconds"]) for r in counted.rollup(spark, unit).collect()}
+    counted.tick(source, hour(2))
+    assert by_hour() == {hour(0): (1, 1, 0, 1.5), hour(1): (1, 2, 0, 1.5)} and counted.mark(spark) == hour(2)
+    plan = counted.due(source, hour(4))._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    assert plan.collectLeaves().head().metrics().apply("numFiles").value() == 1  # of five
+    counted.tick(source, hour(4))
+    assert by_hour()[hour(1)] == (2, 7, 1, 3.0)
+    counted.tick(source, hour(27))
+    assert by_hour() == {hour(0): (1, 1, 0, 1.5), hour(1): (2, 7, 1, 3.0), hour(22): (1, 4, 1, 1.5), hour(26): (1, 1, 0, 1.5)}
+    assert by_hour("day") == {hour(0): (4, 12, 2, 6.0), hour(24): (1, 1, 0, 1.5)}
+    assert [r["runs"] for r in counted.lookback(spark, hour(26), "5h").collect()] == [1]
+    counted.tick(source, hour(27))  # nothing is due
+    before = sorted(map(str, counted.partials(spark).inputFiles()))
+    amended = arrivals(spark, tmp_path / "in", [(3, 3, 9)])
+    counted.recompute(amended, [hour(3)])
+    assert by_hour()[hour(3)] == (1, 9, 1, 1.5) and by_hour()[hour(1)] == (2, 7, 1, 3.0)
+    changed = set(before) ^ set(counted.partials(spark).inputFiles())
+    assert changed and all("dt=2024-01-01/hour=3" in f for f in changed)
+
+
+def test_a_tick_that_died_before_its_mark_counts_once(spark, tmp_path):
+    source = arrivals(spark, tmp_path / "in", [(0, 0, 1), (1, 1, 2)])
+    counted = HourlyTicks(str(tmp_path / "state"))
+    counted._write(counted.due(source, START + timedelta(hours=2)))
+    counted.tick(source, START + timedelta(hours=2))
+    assert counted.rollup(spark, "day").first()["runs"] == 2
+    with pytest.raises(ValueError, match="full hour"):
+        counted.tick(source, START + timedelta(hours=2, minutes=3))

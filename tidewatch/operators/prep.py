@@ -11,7 +11,9 @@ from tidewatch.functions.values import quoted
 
 
 def _bucket(key: str, seed: int, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(quoted(key)), F.lit(seed)), F.lit(buckets))
+    """A bucket from the first 32 bits of the md5 of key and seed, which any engine can repeat."""
+    digest = F.md5(F.concat_ws(":", F.col(quoted(key)).cast("string"), F.lit(str(seed))))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
 
 
 def split(df: DataFrame, key: str, seed: int = 0, share: float = 0.5) -> tuple[DataFrame, DataFrame]:

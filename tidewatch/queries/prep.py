@@ -11,29 +11,16 @@ from tidewatch.spec import ShadowSpec
 
 
 def split_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order lands in exactly one half; both halves are about equal."""
+    """The half every order lands in."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     first, second = prep.split(orders, "o_orderkey", seed=7)
-    sides = first.withColumn("side", F.lit(1)).unionByName(second.withColumn("side", F.lit(2)))
-    per_key = sides.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("side").alias("side"))
-    return per_key.agg(
-        F.count(F.lit(1)).alias("orders"),
-        F.count_if(F.col("n") > 1).alias("in_both"),
-        F.avg((F.col("side") == 1).cast("double")).between(0.45, 0.55).alias("balanced"),
-    )
+    return first.withColumn("side", F.lit(1)).unionByName(second.withColumn("side", F.lit(2)))
 
 
 def inject_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shifts of 3 to 11 that never leave [1, 50]."""
-    items = table(spark, sf_dir, "lineitem").withColumn("original", F.col("l_quantity"))
-    drifted = prep.inject_drift(items, "l_extendedprice", "l_quantity", 3, 12, 1.0, 50.0, seed=1)
-    shift = F.when(F.col("l_quantity") < 50, F.col("l_quantity") - F.col("original"))
-    return drifted.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min(shift).alias("low"),
-        F.max(shift).alias("high"),
-        F.max("l_quantity").alias("top"),
-    )
+    """Every order's price in thousands, shifted by 3 to 11 and kept within 20 to 400."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 1000).alias("thousands"))
+    return tidy(prep.inject_drift(orders, "o_orderkey", "thousands", 3, 12, 20.0, 400.0, seed=1), "o_orderkey", "thousands")
 
 
 def interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +57,14 @@ QUERIES = {
     "ml_fit_score": ml_fit_score,
 }
 
+
+
+def _bucket_sql(key: str, seed: int, buckets: int) -> str:
+    return f"(('0x' || substr(md5({key}::VARCHAR || ':{seed}'), 1, 8))::BIGINT % {buckets})"
+
+
 ORACLES = {
-    "split_baseline": "SELECT count(DISTINCT o_orderkey)::BIGINT AS orders, 0::BIGINT AS in_both, true AS balanced FROM orders",
-    "inject_drift": "SELECT count(*)::BIGINT AS rows, 3.0::DOUBLE AS low, 11.0::DOUBLE AS high, 50.0::DOUBLE AS top FROM lineitem",
+    "split_baseline": f"SELECT o_orderkey, CASE WHEN {_bucket_sql('o_orderkey', 7, 10_000)} < 5000 THEN 1 ELSE 2 END::INT AS side FROM orders",
+    "inject_drift": f"""SELECT o_orderkey, {r(f"least(greatest(round(o_totalprice / 1000) + 3 + {_bucket_sql('o_orderkey', 1, 9)}, 20.0), 400.0)::DOUBLE")} AS thousands FROM orders""",
     "interaction": f"SELECT o_orderkey, {r('o_custkey::DOUBLE * o_totalprice')} AS product FROM orders",
 }

@@ -6,15 +6,20 @@ closed windows only.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import dq
+from tidewatch.operators.rollup import with_duration
 from tidewatch.queries.common import OUTCOMES_SQL, as_outcomes, r, scratch, table, text_time, tidy
 from tidewatch.streaming import alerts, windows
 from tidewatch.streaming.sinks import to_table
+from tidewatch.streaming.ticks import HourlyTicks
 
 COLUMNS = ["event_type"]
+_ARRIVALS = 6 * 3600
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +66,27 @@ def hourly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("window_start", text_time("window_start"))
 
 
+def hourly_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes that arrive four times a day, up to six hours late, counted by three ticks; a day is amended and recomputed."""
+    path = scratch(spark, "ticks")
+    events = table(spark, sf_dir, "events")
+    rows = with_duration(as_outcomes(events))
+    arrival = F.timestamp_seconds(F.ceil(F.unix_timestamp(F.col("ts").cast("timestamp")) / _ARRIVALS) * _ARRIVALS)
+    arrived = events.select(F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"), arrival.alias("at"))
+    placed = rows.join(arrived, "run_id").withColumn("dt", F.date_format("at", "yyyy-MM-dd")).withColumn("hour", F.hour("at"))
+    placed.repartition("dt").write.partitionBy("dt", "hour").parquet(f"{path}/archive")
+    archive = spark.read.parquet(f"{path}/archive")
+    first, last = (m.replace(minute=0, second=0, microsecond=0) for m in archive.agg(F.min("at"), F.max("at")).first())
+    counted = HourlyTicks(f"{path}/state")
+    step = (last - first) // 3
+    for end in (first + step, first + 2 * step, last + timedelta(hours=1)):
+        counted.tick(archive, end.replace(minute=0, second=0))
+    counted.recompute(archive, [first + timedelta(hours=h) for h in range(24)])
+    days = counted.rollup(spark, "day").withColumn("period", F.date_format("period", "yyyy-MM-dd"))
+    week = counted.lookback(spark, last, "7d").withColumn("period", F.lit("last 7 days"))
+    return tidy(days.unionByName(week), "period", "analyser_type", "runs", "violations", "alerts", "seconds")
+
+
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -130,6 +156,7 @@ QUERIES = {
     "alert_once": alert_once,
     "archive_partitions": archive_partitions,
     "hourly_metrics": hourly_metrics,
+    "hourly_incremental": hourly_incremental,
     "window_psi": window_psi,
     "window_completeness": window_completeness,
     "window_ks": window_ks,
@@ -152,6 +179,12 @@ ORACLES = {
         SELECT {_W} AS window_start, analyser_type, count(*)::BIGINT AS runs, sum(violation_count)::BIGINT AS violations,
           count(*) FILTER (severity = 'alert')::BIGINT AS alerts FROM h
         WHERE {_closed('INTERVAL 1 HOUR', 'outcomes', 'started_at')} GROUP BY w, analyser_type""",
+    "hourly_incremental": f"""{OUTCOMES_SQL}, h AS (SELECT date_trunc('hour', started_at) AS w, * FROM outcomes),
+        top AS (SELECT make_timestamp((ceil(epoch(max(ts))::BIGINT / {_ARRIVALS}) * {_ARRIVALS} * 1000000)::BIGINT) AS t FROM events),
+        p AS (SELECT strftime(w, '%Y-%m-%d') AS period, * FROM h
+          UNION ALL SELECT 'last 7 days', h.* FROM h, top WHERE w >= t - INTERVAL 7 DAY AND w < t)
+        SELECT period, analyser_type, count(*)::BIGINT AS runs, sum(violation_count)::BIGINT AS violations,
+          count(*) FILTER (severity = 'alert')::BIGINT AS alerts, {r('sum(duration_seconds)')} AS seconds FROM p GROUP BY period, analyser_type""",
     "window_psi": f"""WITH e AS (SELECT {_SIX} AS w, event_type AS g FROM events WHERE true),
         live AS (SELECT w, g, count(*) AS n FROM e WHERE {_closed('INTERVAL 6 HOUR', 'events', 'ts')} GROUP BY w, g),
         base AS (SELECT CASE WHEN event_type = 'view' AND value > 60 THEN 'preview' ELSE event_type END AS g, count(*) AS m FROM events WHERE value > 20 GROUP BY 1),
