@@ -32,6 +32,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def drop(df: DataFrame | None) -> None:
+    """Delete a table that :func:`cut` has written, once its last reader has been written itself."""
+    files = df.inputFiles() if df is not None else []
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    for folder in folders:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column."""
     return docs.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut
+from tidewatch.llm.common import cut, drop
 
 
 def stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` (its component's least node) for every node that an edge ``u, v`` has."""
     state, mark = cut(edges.select("u", "v").where(F.col("u") != F.col("v")), "edges"), None
     while True:
-        state = cut(stars(stars(state, large=True), large=False), "edges")
+        before, state = state, cut(stars(stars(state, large=True), large=False), "edges")
+        drop(before)
         now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             break

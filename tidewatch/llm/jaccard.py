@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Batches, cut, hits_of, mixed, texts_of
+from tidewatch.llm.common import Batches, cut, drop, hits_of, mixed, texts_of
 from tidewatch.llm.components import components
 from tidewatch.llm.langid import pieces
 
@@ -149,40 +149,41 @@ class Join:
         counts = self.rows.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
         return Filter(counts.where("c > 1"), "h")
 
-    def classes(self) -> DataFrame:
-        """Distinct sets: ``cid, key, rep`` (least id), ``tag`` of its document, ``n``, and the leading columns that
-        another row may have."""
+    def marked(self) -> DataFrame:
+        """Every document's set: ``doc_id, n`` (its size), ``key`` (null: an empty set or no id), ``tag``, and the leading
+        columns that another row may have."""
         shared = self.spark.sparkContext.broadcast((self.frequent(), self.seen_words()))
         num, den, size = self.num, self.den, self.n
 
         def make(batches: Batches) -> Batches:
             frequent, seen = shared.value
             for batch in batches:
-                keys, ids, tags, sizes, leads = [], [], [], [], []
-                for i, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+                ids, keys, tags, sizes, leads = batch.column(0), [], [], [], []
+                for i, text in zip(ids.to_pylist(), texts_of(batch), strict=True):
                     hashes, alone = shingles(text, size, seen)
-                    if i is None or not len(hashes):
-                        continue
+                    named = i is not None and len(hashes) > 0
                     # All but the overlap it needs with any set, and one; columns of its own come first and match nothing.
-                    lead = len(hashes) + len(hashes) * -num // den + 1 - int(alone.sum())
+                    lead = len(hashes) + len(hashes) * -num // den + 1 - int(alone.sum()) if named else 0
                     rest = hashes[~alone] if lead > 0 else hashes[:0]
                     late = hits_of(rest, frequent)[0]
                     leads.append(np.concatenate([rest[~late], rest[late]])[: max(lead, 0)])
-                    keys.append(key_of(hashes))
-                    ids.append(i)
-                    tags.append(tag_of(keys[-1], i))
+                    keys.append(key_of(hashes) if named else None)
+                    tags.append(tag_of(keys[-1], i) if named else 0)
                     sizes.append(len(hashes))
-                columns = [pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(sizes, pa.int64()), flat(leads)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "tag", "n", "lead"])
+                columns = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tags, pa.int64()), flat(leads)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "tag", "lead"])
 
-        found = self.rows.mapInArrow(make, "key binary, doc_id bigint, tag bigint, n bigint, lead array<bigint>")
+        return cut(self.rows.mapInArrow(make, "doc_id bigint, n bigint, key binary, tag bigint, lead array<bigint>"), "marked")
+
+    def classes(self, marked: DataFrame) -> DataFrame:
+        """Distinct sets: ``cid, key, rep`` (least id), ``tag`` of its document, ``n``, and their leading columns."""
         first = F.min(F.struct("doc_id", "tag"))
-        one = found.groupBy("key").agg(first.alias("d"), F.first("n").alias("n"), F.first("lead").alias("lead"))
+        one = marked.where("key is not null").groupBy("key").agg(first.alias("d"), F.first("n").alias("n"), F.first("lead").alias("lead"))
         return cut(one.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("d.doc_id").alias("rep"), F.col("d.tag").alias("tag"), "n", "lead"), "classes")
 
     def postings(self, classes: DataFrame) -> DataFrame:
-        """Entries of the leading columns that more than one row has: ``s, cid, n``, how many of these the row has
-        (``shared``) and how many rows they have in all (``weight``)."""
+        """Rows with their leading columns that more than one row has: ``cid, n, lead``, how many these are (``shared``)
+        and how many rows they have in all (``weight``)."""
         entries = classes.select("cid", "n", F.explode("lead").alias("s"))
         often = cut(entries.groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") > 1), "columns")
         shared = self.spark.sparkContext.broadcast(Filter(often, "s"))
@@ -197,9 +198,10 @@ class Join:
 
         # Most entries are of columns that no other row has; the filter spares them the shuffle of the join.
         some = classes.select("cid", "n", "lead").mapInArrow(likely, "cid bigint, n bigint, s bigint")
-        found = cut(some.join(often, "s"), "entries")
-        per_row = found.groupBy("cid").agg(F.count("*").alias("shared"), F.sum("k").alias("weight"))
-        return cut(found.join(per_row, "cid").select("s", "cid", "n", "shared", "weight"), "postings")
+        per_row = some.join(often, "s").groupBy("cid").agg(F.first("n").alias("n"), F.collect_list("s").alias("lead"), F.count("*").alias("shared"), F.sum("k").alias("weight"))
+        postings = cut(per_row, "postings")
+        drop(often)
+        return postings
 
     def sizes_fit(self) -> Column:
         return F.least("na", "nb") * self.den >= F.greatest("na", "nb") * self.num
@@ -211,11 +213,15 @@ class Join:
         # overlap >= num / den * union, with union = na + nb - overlap
         return (overlap + behind) * (self.num + self.den) >= (F.col("na") + F.col("nb")) * self.num
 
-    def with_roots(self, postings: DataFrame, roots: DataFrame | None) -> DataFrame:
+    def with_roots(self, rows: DataFrame, roots: DataFrame | None) -> DataFrame:
         if roots is None:
-            return postings.withColumn("root", F.col("cid"))
+            return rows.withColumn("root", F.col("cid"))
         named = roots.select(F.col("node").alias("cid"), "root")
-        return postings.join(named, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        return rows.join(named, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+    def entries(self, postings: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """A row for each column of a row, its root joined once a row."""
+        return self.with_roots(postings, roots).select("cid", "n", "shared", "weight", "root", F.explode("lead").alias("s"))
 
     def star_pairs(self, entries: DataFrame, turn: int) -> DataFrame:
         """Each column's rows with one of them, across components: first the row that shares most, then any."""
@@ -256,30 +262,42 @@ class Join:
         parts = right.groupBy("block").agg(F.ceil(F.count_distinct("cid") / BLOCK_ROWS).alias("right_parts"))
         shape = left.groupBy("block").agg(F.max("left_parts").alias("left_parts")).join(parts, "block")
         part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("bigint")
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        zero = F.lit(0).cast("bigint")
         row = ["block", "i", "j", "s", "cid", "n", "root"]
-        left = cut(left.drop("left_parts").join(shape, "block").withColumn("i", part("left_parts")).withColumn("j", every("right_parts")).select(row), "block-rows")
-        right = cut(right.join(shape, "block").withColumn("j", part("right_parts")).withColumn("i", every("left_parts")).select(row), "block-rows")
+        left = cut(left.drop("left_parts").join(shape, "block").withColumn("i", part("left_parts")), "block-rows")
+        right = cut(right.join(shape, "block").withColumn("j", part("right_parts")), "block-rows")
+        # An entry goes to those parts of the other side that have its column; to the only one there is without a look.
+        at_right, at_left = right.where("right_parts > 1").select("block", "s", "j").distinct(), left.where("left_parts > 1").select("block", "s", "i").distinct()
+        left_rows = left.where("right_parts = 1").withColumn("j", zero).select(row).union(left.where("right_parts > 1").join(at_right, ["block", "s"]).select(row))
+        right_rows = right.where("left_parts = 1").withColumn("i", zero).select(row).union(right.where("left_parts > 1").join(at_left, ["block", "s"]).select(row))
         num, den = self.num, self.den
-        found = left.groupBy("block", "i", "j").cogroup(right.groupBy("block", "i", "j")).applyInArrow(lambda x, y: product(x, y, num, den), "a bigint, na bigint, b bigint, nb bigint")
-        return found.distinct()
+        keys = ["block", "i", "j"]
+        found = left_rows.groupBy(*keys).cogroup(right_rows.groupBy(*keys)).applyInArrow(lambda x, y: product(x, y, num, den), "a bigint, na bigint, b bigint, nb bigint")
+        pairs = cut(found.distinct(), "pairs")
+        for table in (rows, homes, left, right):
+            drop(table)
+        return pairs
 
     def sets_of(self, pairs: DataFrame, classes: DataFrame, known: DataFrame | None) -> DataFrame:
         """Whole sets ``cid, hashes`` of all rows in pairs; those not known yet are read from their documents."""
         ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
         if known is not None:
             ends = ends.join(known.select("cid"), "cid", "left_anti")
-        wanted = cut(ends.join(classes.select("cid", "tag"), "cid"), "wanted")
+        wanted = cut(ends.join(classes.select("cid", "tag", "rep"), "cid"), "wanted")
         if wanted.isEmpty():
             return known
-        shared = self.spark.sparkContext.broadcast(Filter(wanted, "tag"))
+        shared, n = self.spark.sparkContext.broadcast(Filter(wanted, "rep")), self.n
 
-        def make(ids: list, sets: list[np.ndarray]) -> list:
-            tags = np.array([0 if i is None else tag_of(key_of(s), i) for i, s in zip(ids, sets, strict=True)], np.int64)
-            pick = np.flatnonzero(shared.value.may_have(tags) & np.array([i is not None for i in ids], bool))
-            return [pa.array(tags[pick]), flat([sets[k] for k in pick])]
-
-        found = self.scan("tag bigint, hashes array<bigint>", make).join(wanted, "tag")
+        def make(batches: Batches) -> Batches:
+            for batch in batches:
+                ids = np.array([0 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
+                pick = np.flatnonzero(shared.value.may_have(ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+                texts = batch.column(1)
+                sets = [shingles(texts[k].as_py() or "", n) for k in pick.tolist()]
+                tags = np.array([tag_of(key_of(s), i) for s, i in zip(sets, ids[pick].tolist(), strict=True)], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tags), flat(sets)], ["tag", "hashes"])
+
+        found = self.rows.mapInArrow(make, "tag bigint, hashes array<bigint>").join(wanted.drop("rep"), "tag")
         new = cut(found.groupBy("cid").agg(F.first("hashes").alias("hashes")), "sets")
         return new if known is None else known.union(new)
 
@@ -297,7 +315,7 @@ class Join:
         edges = tested = roots = sets = None
         turn = 0
         while turn <= ROUNDS:
-            entries = self.with_roots(postings, roots)
+            entries = self.entries(postings, roots)
             if turn < ROUNDS and self.few_left(entries):
                 turn = ROUNDS
             pairs = self.star_pairs(entries, turn) if turn < ROUNDS else self.all_pairs(entries)
@@ -315,22 +333,14 @@ class Join:
             roots = components(edges)
         return self.spark.createDataFrame([], "node bigint, root bigint") if roots is None else roots
 
-    def keyed(self) -> DataFrame:
-        """Every document's set size and key (null: an empty set or no id)."""
-
-        def make(ids: list, sets: list[np.ndarray]) -> list:
-            keys = [key_of(s) if len(s) and i is not None else None for i, s in zip(ids, sets, strict=True)]
-            return [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())]
-
-        return self.scan("doc_id bigint, n_shingles bigint, key binary", make)
-
     def run(self) -> DataFrame:
-        classes = self.classes()
+        marked = self.marked()
+        classes = self.classes(marked)
         roots = self.roots(classes)
         rooted = self.with_roots(classes.select("cid", "key", "rep"), roots)
         least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
         names = rooted.join(least, "root").select("key", "component_id")
-        joined = self.keyed().join(names, "key", "left")
+        joined = marked.select("doc_id", F.col("n").alias("n_shingles"), "key").join(names, "key", "left")
         return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
