@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewatch.llm import decontam, html, jaccard, langid, lm, packing, pii, records
-from tidewatch.llm.tokens import encoder
+from tidewatch.llm.tokens import LONGEST_KEPT, Encoder, encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"word{k % 700}" for k in range(40_000))
@@ -371,3 +371,16 @@ def test_ibans_end_before_what_follows():
         assert got == sorted((x for x in (one, two) if x in text), key=text.index), text
         assert not any(x in pii.redacted(text, pii.spans_of(text, 0.8)) for x in (one, two))
     assert not pii.spans_of(one + "x", 0.8) and not pii.spans_of("GB82WEST12345698765431 12", 0.8)
+
+
+@pytest.mark.parametrize(("path", "kind"), [(BYTE, "led"), (WORD, "bare")])
+def test_ids_stay_exact_when_words_fall_out_of_the_cache(path, kind):
+    random = np.random.default_rng(3)
+    signs = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "a", "B", "é", "中", "12", "'s", "Ġ", ".", "<|endoftext|>", "​", "foo"]
+    texts = ["".join(random.choice(signs, random.integers(0, 30))) for _ in range(2000)] + ["x" * 3000 + " " + "y " * 50, ""]
+    encode, want = Encoder(path, kind), exact(path)
+    encode.words.most = 50
+    for _ in range(2):
+        got = encode.many(texts, 400)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want(t) for t in texts]
+        assert all(len(w) <= LONGEST_KEPT for w in encode.words)

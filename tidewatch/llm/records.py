@@ -76,9 +76,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, voc
     end = np.array([end_id], "<u4").tobytes()
 
     def frames(batches: Batches) -> Batches:
-        encode = encoder(tokenizer, kind).ids
+        encode = encoder(tokenizer, kind).many
         for batch in batches:
-            out = [frame(i, encode(t) + end, width) for i, t in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True)]
+            out = [frame(i, ids + end, width) for i, ids in zip(batch.column(0).to_pylist(), encode(texts_of(batch)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
