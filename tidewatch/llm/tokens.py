@@ -24,6 +24,10 @@ LOOSE = re.compile(r" (?!\S)")
 WORD_START = re.compile(r" (?=\S)")
 #: Words in one generation of a cache, and code points of the longest word that is kept.
 MOST_WORDS, LONGEST_KEPT = 250_000, 256
+#: Words encoded as one string; longer strings take longer a word.
+TOGETHER = 256
+#: Words encoded as one string; longer strings take longer a word.
+TOGETHER = 256
 
 
 def byte_letters() -> dict[int, str]:
@@ -116,8 +120,8 @@ class LedWords(Recent):
         alone = [w for w in missing if len(w) > LONGEST_KEPT or not w or " " in w]
         self.update(zip(alone, self.encode([" " + w for w in alone]), strict=True))
         joined = [w for w in missing if len(w) <= LONGEST_KEPT and w and " " not in w]
-        for begin in range(0, len(joined), 4096):
-            some = joined[begin : begin + 4096]
+        for begin in range(0, len(joined), TOGETHER):
+            some = joined[begin : begin + TOGETHER]
             ids = np.frombuffer(self.encode([" " + " ".join(some)])[0], "<u4")
             first = np.flatnonzero(self.led[ids])
             if len(first) == len(some) and first[0] == 0:
@@ -159,11 +163,10 @@ class Encoder:
                 size += len(texts[end])
                 end += 1
             parts = [WORD_START.split(t) if LOOSE.search(t) else t.split(" ") for t in texts[begin:end]]
-            firsts = list({p[0] for p in parts})
-            first = dict(zip(firsts, self.words.encode(firsts), strict=True))
-            words = set().union(*(p[1:] for p in parts))
+            firsts = [p.pop(0) for p in parts]  # the only word without a space before it
+            words = set().union(*parts)
             self.words.fill(words)
-            out += [first[p[0]] + b"".join(map(self.words.__getitem__, p[1:])) for p in parts]
+            out += [f + b"".join(map(self.words.__getitem__, p)) for f, p in zip(self.words.encode(firsts), parts, strict=True)]
             self.words.forget(words)
             begin = end
         return out
