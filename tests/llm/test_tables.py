@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -384,3 +385,56 @@ def test_ids_stay_exact_when_words_fall_out_of_the_cache(path, kind):
         got = encode.many(texts, 400)
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want(t) for t in texts]
         assert all(len(w) <= LONGEST_KEPT for w in encode.words)
+
+
+LONG = "The river rose in the night, and by morning it had reached the mill. Nobody had expected it, but all were ready."
+PARAGRAPHS = "".join(f"<p>{k}. {LONG}</p>" for k in range(6))
+TEXT = "\n".join(f"{k}. {LONG}" for k in range(6))
+LINKS = "".join(f'<div><a href="/{k}">Other story {k}</a></div>' for k in range(12))
+LINK_TEXT = "\n".join(f"Other story {k}" for k in range(12))
+
+LAYOUTS = {
+    "links after the text in main": (f"<main><h1>Head</h1>{PARAGRAPHS}<div>{LINKS}</div></main>", f"Head\n{TEXT}"),
+    "links before the text in main": (f"<main><div>{LINKS}</div>{PARAGRAPHS}</main>", TEXT),
+    "links between paragraphs": (f"<main>{PARAGRAPHS}<ul><li><a>See also</a></li></ul><p>{LONG}</p></main>", f"{TEXT}\nSee also\n{LONG}"),
+    "a paragraph that is one link": (f'<main>{PARAGRAPHS}<p><a href="/x">All of it is here.</a></p></main>', f"{TEXT}\nAll of it is here."),
+    "several articles": (f"<article>{PARAGRAPHS}</article><aside>Ad</aside><article><h2>Two</h2><p>{LONG}</p></article>", f"{TEXT}\nTwo\n{LONG}"),
+    "divs only": (f"<div id=top>Home</div><div class=post><h1>Head</h1>{PARAGRAPHS}<ul><li>One</li></ul></div><footer>End</footer>", f"Head\n{TEXT}\nOne"),
+    "divs and a list of links": (f"<div class=post>{PARAGRAPHS}</div><div>{LINKS}</div>", TEXT),
+    "a table": (f"<article>{PARAGRAPHS}<table><tr><td>A</td><td>1</td></tr></table></article>", f"{TEXT}\nA\n1"),
+    "a quotation": (f"<article>{PARAGRAPHS}<blockquote>Said so</blockquote></article>", f"{TEXT}\nSaid so"),
+    "a list that ends the text": (f"<article>{PARAGRAPHS}<ul><li>Flour</li><li>Salt</li></ul></article>", f"{TEXT}\nFlour\nSalt"),
+    "a related section of text": (f'<article>{PARAGRAPHS}<section class="related"><p>{LONG}</p></section></article>', f"{TEXT}\n{LONG}"),
+    "a related section of links": (f'<article>{PARAGRAPHS}<section class="related">{LINKS}</section></article>', TEXT),
+    "a banner between paragraphs": (f'<article>{PARAGRAPHS}<p class="banner">Flood of the year</p><p>{LONG}</p></article>', f"{TEXT}\nFlood of the year\n{LONG}"),
+    "comments": (f'<article>{PARAGRAPHS}</article><section class="comments"><p>{LONG}</p></section>', TEXT),
+    "notices and adverts": (f'<main><div class="notice">{LONG}</div>{PARAGRAPHS}<div class="ad-slot">{LONG}</div></main>', TEXT),
+    "links only": (f"<main>{LINKS}</main>", LINK_TEXT),
+    "long attributes": (f'<main><p data-x="{"a" * 20_000}> {"a" * 2000}">{LONG}</p></main>', LONG),
+    "an unclosed quote": (f'<main><p title="x>{LONG}</p></main>', LONG),
+    "a sign in quotes": (f"""<main><p title='a > "b"'>{LONG}</p></main>""", LONG),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_main_text_of_layouts(name):
+    page, want = LAYOUTS[name]
+    assert html.main_text(f"<html><body><nav>Home</nav>{page}</body></html>") == want
+
+
+def test_pages_of_unclosed_quotes_are_read_in_linear_time():
+    for sign in ('<img "x>" ', "<img 'x", '<img "', "<img '\">"):
+        small, large = sign * 10_000 + '"', sign * 40_000 + '"'
+        begin = time.process_time()
+        html.blocks(small)
+        middle = time.process_time()
+        html.blocks(large)
+        assert time.process_time() - middle < 12 * (middle - begin) + 1
+
+
+def test_main_text_with_other_columns_and_ties(spark):
+    rows = [(1, "u", f"<main><p>{LONG}</p><div>{LONG}</div></main>", "text", 7), (1, "u", None, None, None), (2, None, "", "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    out = html.extract(pages).collect()
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in out) == [(1, "", 0), (1, f"{LONG}\n{LONG}", 2 * len(LONG) + 1), (2, "", 0)]
+    assert html.extract(pages.limit(0)).count() == 0

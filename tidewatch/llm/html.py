@@ -3,9 +3,11 @@
 A tolerant reader walks a page's tags and gives its text blocks in order, each with the path of tags (and of their
 classes and ids) from the root. Per path, text length, punctuation and number of nodes are summed; their ratios are
 smoothed along the page, fused, and compared with a threshold, so a path is taken or left as a whole and short
-paragraphs stay with the long ones of their kind. Paths through navigation, headers, footers, sidebars, forms,
-notices, adverts and comments score nothing. On pages with ``article`` or ``main`` only what stands in these counts, and
-all of one in which a path is taken is taken; on others, all below the element that holds the taken paths.
+paragraphs stay with the long ones of their kind; text in links counts nothing. Paths through navigation, headers,
+footers, sidebars, forms, notices, adverts and comments are left out. On pages with ``article`` or ``main`` only what
+stands in these counts. Beside taken paths, in their content element (on other pages: below the element that holds them
+all), short blocks go along. Paths that are mostly links, or are named as promotion or related matter, do so only
+between taken blocks; else their score decides.
 
 White space inside a block becomes one space, character references are decoded, blocks are joined by newlines.
 Unclosed and misnested tags are closed as browsers do for paragraphs, list items, rows and cells; what never closes
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html
 import os
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,54 +39,92 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot body html article section m
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEFT_OUT = frozenset("nav header footer aside form button dialog menu".split())
 CONTENT = frozenset("article main".split())
-#: Whole classes, ids and roles that mark a part as not the main text: a word, with words of place before and of form after.
+BEFORE = r"(?:(?:site|page|main|global|primary|secondary|top|bottom|left|right|cookie|cookies|social|post|user|google|text|sub|mobile)[-_])*"
+AFTER = (
+    r"(?:[-_](?:area|banner|bar|block|box|buttons?|container|content|form|inner|items?|links?|list|main|menu|notice|panel|popup|posts?|section|slot|thread|unit|"
+    r"widgets?|wrap|wrapper|left|right|top|bottom|[0-9]+))*"
+)
+BEFORE = r"(?:(?:site|page|main|global|primary|secondary|top|bottom|left|right|cookie|cookies|social|post|user|google|text|sub|mobile)[-_])*"
+AFTER = (
+    r"(?:[-_](?:area|banner|bar|block|box|buttons?|container|content|form|inner|items?|links?|list|main|menu|notice|panel|popup|posts?|section|slot|thread|unit|"
+    r"widgets?|wrap|wrapper|left|right|top|bottom|[0-9]+))*"
+)
+#: Whole classes, ids and roles of menus, headers, footers, sidebars, notices, adverts and reader comments: a word, with
+#: words of place before and of form after.
 NOISE = re.compile(
-    r"(?:(?:site|page|main|global|primary|secondary|top|bottom|left|right|cookie|cookies|social|post|user|google|text|sub|mobile)[-_])*"
-    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|"
-    r"pagination|popup|promo(?:s|tions?)?|related|replies|share|sharing|sidebar|social|sponsor(?:s|ed)?|subscribe|toolbar|widget)"
-    r"(?:[-_](?:area|banner|bar|block|box|buttons?|container|content|form|inner|items?|links?|list|main|menu|notice|panel|popup|posts?|section|slot|thread|unit|widgets?|wrap|wrapper|left|right|top|bottom|[0-9]+))*",
+    BEFORE + r"(?:ads?|advert\w*|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|nav(?:bar|igation)?|notices?|"
+    r"pagination|replies|sidebar|sponsor(?:s|ed)?|toolbar)" + AFTER,
     re.I,
 )
+#: Those of parts that may be main text or not: their paths score half, and have to be taken or enclosed to stay.
+DOUBTFUL = re.compile(BEFORE + r"(?:banner|modal|newsletter|popup|promo(?:s|tions?)?|related|share|sharing|social|subscribe|widget)" + AFTER, re.I)
 #: Elements whose classes say something about the page or the text, not that it is something else.
 NEVER_NOISE = CONTENT | {"html", "body"}
 TOKEN = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][A-Za-z0-9:-]*))")
-ATTRIBUTES = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
-#: A tag whose quotes do not close within so many characters ends at its first ``>``.
-LONGEST_TAG = 1 << 14
+DELIMITER = re.compile("[>\"']")
 MARKS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、？！؟،¿¡]")
 RAW_END = {name: re.compile(rf"</{name}\s*(?:>|\Z)", re.I) for name in RAW}
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
-    """Text blocks in order: path, text, and whether the path is free of parts that are not main text."""
-    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # name, label, clean so far but for noise, noise so far
+def tag_end(page: str, at: int, unclosed: set[int]) -> int:
+    """The end of a tag, whose quoted values may hold ``>``; 0 if a quote never closes or the tag does not end.
+
+    ``unclosed`` keeps the quotes from which no end is reached, so a page is not searched from them again.
+    """
+    opened = []
+    while m := DELIMITER.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        opened.append(m.start())
+        at = 0 if m.start() in unclosed else page.find(m[0], m.end()) + 1
+        if not at:
+            break
+    unclosed.update(opened)
+    return 0
+
+
+class Block(NamedTuple):
+    path: tuple[str, ...]
+    text: str
+    clean: bool  # the path is free of parts that are not main text
+    linked: int  # characters in links, as written
+    doubtful: bool
+
+
+def blocks(page: str) -> list[Block]:
+    """Text blocks in order."""
+    # Name, label; of it and what holds it: clean but for noise, noise, doubtful, in a content element, in a link.
+    stack: list[tuple[str, str, bool, tuple[int, ...], bool, bool, bool]] = []
     texts: list[str] = []
-    owner: tuple[tuple[str, ...], bool, tuple[int, ...]] | None = None
-    waiting: list[tuple[tuple[str, ...], str, bool, tuple[int, ...]]] = []
+    links, unclosed = 0, set()
+    owner: tuple[tuple[str, ...], bool, tuple[int, ...], bool] | None = None
+    waiting: list[tuple[tuple[str, ...], str, bool, tuple[int, ...], int, bool]] = []
     # Elements with words of noise are numbered. Those that hold all content elements only wrap the text: as to them,
     # contents that are themselves noise, as comments often are, and those within other content elements do not count.
     noisy, wrappers = 0, None
 
-    def place() -> tuple[tuple[str, ...], bool, tuple[int, ...]]:
+    def place() -> tuple[tuple[str, ...], bool, tuple[int, ...], bool]:
         path = tuple(label for name, label, *_ in stack if name not in INLINE)
-        return path, not stack or stack[-1][2], stack[-1][3] if stack else ()
+        return path, *(stack[-1][2:5] if stack else (True, (), False))
 
     def flush() -> None:
-        nonlocal owner
+        nonlocal owner, links
         text = SPACE.sub(" ", html.unescape("".join(texts))).strip()
         if text and owner:
-            waiting.append((owner[0], text, owner[1], owner[2]))
+            waiting.append((owner[0], text, owner[1], owner[2], links, owner[3]))
         texts.clear()
-        owner = None
+        owner, links = None, 0
 
     def add(text: str) -> None:
-        nonlocal owner
+        nonlocal owner, links
         if text:
             if owner is None and text.strip():
                 owner = place()
             texts.append(text)
+            if stack and stack[-1][6]:
+                links += len(text.strip())
 
     def close(depth: int) -> None:
         if any(name not in INLINE for name, *_ in stack[depth:]):
@@ -100,8 +141,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             end = page.find("-->", m.end())
             at = size if end < 0 else end + 3
             continue
-        tag = ATTRIBUTES.match(page, m.end(), m.end() + LONGEST_TAG) if m[4] else None
-        end = tag.end() if tag else page.find(">", m.end()) + 1
+        end = (tag_end(page, m.end(), unclosed) if m[4] else 0) or page.find(">", m.end()) + 1
         at = end or size
         if not m[4]:
             continue
@@ -136,7 +176,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                     if stack[depth][0] in SCOPES and stack[depth][0] not in closing:
                         break
         marks = " ".join(a or b or c for a, b, c in MARKS.findall(attributes)) if attributes else ""
-        within = any(x[0] in CONTENT for x in stack)
+        within, link = stack[-1][5:] if stack else (False, False)
         own_header = name == "header" and within
         noise = bool(marks) and any(map(NOISE.fullmatch, marks.split()))
         clean, inside = (not stack or stack[-1][2]) and (name not in LEFT_OUT or own_header), stack[-1][3] if stack else ()
@@ -144,11 +184,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             wrappers = set(inside) if wrappers is None else wrappers & set(inside)
         if noise and name not in NEVER_NOISE and not own_header:
             inside, noisy = (*inside, noisy), noisy + 1
+        doubtful = name not in NEVER_NOISE and (bool(stack) and stack[-1][4] or bool(marks) and any(map(DOUBTFUL.fullmatch, marks.split())))
         if not attributes.endswith("/"):
-            stack.append((name, f"{name}.{marks}" if marks and name not in INLINE else name, clean, inside))
+            stack.append((name, f"{name}.{marks}" if marks and name not in INLINE else name, clean, inside, doubtful, within or name in CONTENT, link or name == "a"))
     add(page[at:] if at < size else "")
     flush()
-    return [(path, text, clean and all(x in (wrappers or ()) for x in noise)) for path, text, clean, noise in waiting]
+    return [
+        Block(path, text, clean and all(x in (wrappers or ()) for x in noise), links, doubtful)
+        for path, text, clean, noise, links, doubtful in waiting
+    ]
 
 
 def smoothed(values: np.ndarray) -> np.ndarray:
@@ -167,42 +211,45 @@ def part_of(path: tuple[str, ...]) -> tuple[str, ...]:
 
 
 def main_text(page: str, threshold: float = 0.5) -> str:
-    """The text of the blocks whose paths score at least ``threshold`` standard deviations."""
-    found = blocks(page)
-    clean = [b for b in found if b[2]]
+    """The text of the blocks whose paths score at least ``threshold`` standard deviations, and what goes with them."""
+    clean = [b for b in blocks(page) if b.clean]
     if not clean:
         return ""
-    paths = [b[0] for b in clean]
-    index = {p: k for k, p in enumerate(dict.fromkeys(paths))}
-    which = np.array([index[p] for p in paths])
+    index = {p: k for k, p in enumerate(dict.fromkeys(b.path for b in clean))}
+    which = np.array([index[b.path] for b in clean])
     nodes = np.bincount(which).astype(float)
-    length = np.bincount(which, weights=[len(b[1]) for b in clean])
-    marks = np.bincount(which, weights=[len(PUNCTUATION.findall(b[1])) for b in clean])
+    length = np.bincount(which, weights=[len(b.text) for b in clean])
+    links = np.bincount(which, weights=[min(b.linked, len(b.text)) for b in clean])
+    marks = np.bincount(which, weights=[len(PUNCTUATION.findall(b.text)) for b in clean])
+    doubtful = np.bincount(which, weights=[b.doubtful for b in clean]) > 0
     heading = np.array([p[-1].split(".")[0] in HEADINGS if p else False for p in index])
     inside = np.array([any(x.split(".")[0] in CONTENT for x in p) for p in index])
-    # Text and punctuation per node of a path, each smoothed along the page and fused by their product.
-    text_ratio, mark_ratio = smoothed((length / nodes)[which]), smoothed((marks / nodes)[which])
-    fused = np.bincount(which, weights=text_ratio * (1 + mark_ratio)) / nodes * np.log1p(length)
+    plain = length - links if (length > links).any() else length
+    # Text outside links and punctuation per node of a path, each smoothed along the page and fused by their product.
+    text_ratio, mark_ratio = smoothed((plain / nodes)[which]), smoothed((marks / nodes)[which])
+    fused = np.bincount(which, weights=text_ratio * (1 + mark_ratio)) / nodes * np.log1p(plain) * np.where(doubtful, 0.5, 1)
     fused[heading] = 0
     if inside.any():
         fused[~inside] = 0
     limit = min(threshold * fused.std(), fused.max())
     taken = (fused >= limit) & (fused > 0)
-    # What stands in one content element with a path that was taken goes with it, and on pages without such elements
-    # what stands below the element that holds all taken paths: headings, lists, quotations, tables.
+    if not taken.any():
+        taken = inside if inside.any() else heading
+    # What may go with the taken paths: what stands in a content element with one of them, and on pages without such
+    # elements what stands below the element that holds them all.
     if inside.any():
         parts = [part_of(p) for p in index]
-        with_text = {parts[k] for k in np.flatnonzero(taken)}
-        for k in range(len(parts)):
-            taken[k] |= inside[k] and (parts[k] in with_text or not with_text)
-    elif taken.any():
-        paths_taken = [p for p, k in index.items() if taken[k]]
-        shared = os.path.commonprefix([p[:-1] for p in paths_taken])
-        for p, k in index.items():
-            taken[k] |= p[: len(shared)] == shared
+        chosen = {parts[k] for k in np.flatnonzero(taken)}
+        near = np.array([part in chosen for part in parts])
     else:
-        taken |= heading
-    return "\n".join(b[1] for b, k in zip(clean, which, strict=True) if taken[k])
+        shared = os.path.commonprefix([p[:-1] for p, k in index.items() if taken[k]])
+        near = np.array([p[: len(shared)] == shared for p in index])
+    # Headings, lists, quotations and tables go; lists of links and doubtful parts only where the text goes on after them.
+    apart = (2 * links > length) | doubtful
+    at = np.flatnonzero(taken[which])
+    enclosed = (np.arange(len(which)) >= at[0]) & (np.arange(len(which)) <= at[-1]) if len(at) else np.zeros(len(which), bool)
+    kept = taken[which] | near[which] & (~apart[which] | enclosed)
+    return "\n".join(b.text for b, k in zip(clean, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
