@@ -5,6 +5,7 @@ import itertools
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -310,23 +311,42 @@ def test_the_filter_never_underestimates(spark):
     h = random.integers(-(1 << 63), (1 << 63) - 1, 3000)
     c = np.maximum(1, random.pareto(1, 3000).astype(int))
     grams = spark.createDataFrame([(int(a), int(b)) for a, b in zip(h, c, strict=True)], "h long, c long")
-    found = lm.build(grams, 1 << 28)
-    estimate = found.estimate(h.view(np.uint64))
+    found = lm.Written(grams, "test-filter").share(0, 1)
+    estimate = lm.MIDDLE[found.levels(h.view(np.uint64))]
     level = np.floor(np.log2(c)).astype(int)
     assert (estimate >= 2.0**level).all() and (estimate == np.where(level == 0, 1, 2.0**level * np.sqrt(2))).mean() > 0.97
     other = random.integers(-(1 << 63), (1 << 63) - 1, 3000).view(np.uint64)
-    assert (found.estimate(other) > 0).mean() < 0.03
-    small = lm.build(grams, 3000)  # the least count kept rises until the keys fit
-    assert small.least > 1 and (small.estimate(h.view(np.uint64))[c >= small.least] > 0).all()
+    assert (found.levels(other) > 0).mean() < 0.03
 
 
 def test_every_count_is_used_beyond_one_share(spark, docs, monkeypatch):
     whole = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score(docs, docs).collect()}
     monkeypatch.setattr(lm, "BITS_PER_KEY", 1 << 17)  # few words then need more than ``max_bits``
-    shared = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score(docs, docs).collect()}
+    shared = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score(docs, docs, max_bits=1 << 27).collect()}
     assert shared == pytest.approx(whole, rel=1e-9)
 
 
+@pytest.mark.parametrize("max_bits", [1 << 29, 1 << 24])
+def test_scores_equal_those_of_exact_counts_by_level(spark, max_bits):
+    random = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(80)]
+    lines = [" ".join(vocabulary[int(x) % 80] for x in random.pareto(0.7, random.integers(0, 60)) * 5) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in lm.score(docs, docs.where("doc_id % 3 > 0"), max_bits=max_bits).collect()}
+    tokens = [[*t.split(), None] for t in lines]
+    train = [(b, w) for k, t in enumerate(tokens) if k % 3 for b, w in zip([None, *t], t, strict=False)]
+    single, pair = Counter(w for _, w in train), Counter(train)
+    level = lambda c: c if c < 2 else 2 ** (int(c).bit_length() - 1) * np.sqrt(2)
+    for k, t in enumerate(tokens):
+        total = 0
+        for b, w in zip([None, *t], t, strict=False):
+            before, both = level(single[b]), level(pair[b, w])
+            weight = lm.MIX * before / (before + lm.HALF)
+            own = (level(single[w]) + 1) / (len(train) + len(single) + 1)
+            total += np.log10(weight * min(1, both / max(before, 1)) + (1 - weight) * own)
+        assert found[k] == pytest.approx(total, rel=1e-9)
+
+
 def test_shares_are_the_whole_filter(spark):
     h = np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 2000)
     written = lm.Written(spark.createDataFrame([(int(x), 1 + k % 5) for k, x in enumerate(h)], "h long, c long"), "test-filter")

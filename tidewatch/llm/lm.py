@@ -2,16 +2,17 @@
 
 Counts of words and of word pairs are quantised to powers of two; a filter holds, for an n-gram of level q, the keys
 (n-gram, 1) to (n-gram, q). Looking a count up is asking for level 1, 2, ... until one is missing, so a lookup can
-err upwards only. The filter is split into blocks of 2**16 bits, built by the tasks that own the blocks' n-grams, and
+err upwards only. The filter is split into blocks of 2**13 bits, built by the tasks that own the blocks' n-grams, and
 written; it has ``BITS_PER_KEY`` bits a key and grows with the keys. It is broadcast in shares of about ``max_bits``
 for words and pairs together, one share in each pass over the documents, so every count is used at every size.
 
-All words and all pairs are counted, those seen once too. A pair's probability is its estimated share of its first word's count, mixed with the word's own smoothed
-probability. A text begins after an end mark and ends with one.
+All words and all pairs are counted in one scan, those seen once too. A pair's probability is its estimated share of its
+first word's count, mixed with the word's own smoothed probability. A text begins after an end mark and ends with one.
 
 The plain base score needs exact counts of words. Their table (hash and count) is broadcast in blocks of about
-``block_words`` words, in the same passes. Usually that is one pass; else the documents are written in between with
-their sums and a byte a token for each filter, its level, and the table before is deleted.
+``block_words`` words, in the same passes. Usually that is one pass; else a table is written in between with the
+documents' sums, eight bytes a token for its hash and a byte a token for its level in each filter; later passes read it
+instead of the texts, and the table before is deleted.
 
 Defined results: a null text is empty: it is its end mark alone; nothing learned gives probability 1; a null id counts
 as empty text where rows are dealt by their ids' checksums; repeated rows count each; other columns are not kept.
@@ -24,17 +25,17 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Batches, cut, hits_of, mixed, new_folder, texts_of
+from tidewatch.llm.common import Batches, cut, drop, hits_of, mixed, texts_of
 from tidewatch.llm.jaccard import word_hashes
 from tidewatch.llm.langid import pieces
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 LEVEL = 0x9E3779B97F4A7C15
-BLOCK_BITS, PROBES, BITS_PER_KEY = 1 << 16, 4, 12
+BLOCK_BITS, PROBES, BITS_PER_KEY = 1 << 13, 4, 12
 OWNERS = 4096  # groups of blocks; the filter has a multiple of so many blocks
 #: Weight of the pair's share where its first word is frequent, and the count at which it has half of that.
 MIX, HALF = 0.4, 10
@@ -56,30 +57,33 @@ def pair_hashes(stream: np.ndarray) -> np.ndarray:
     return mixed(before * PAIR + stream)
 
 
-def counted(rows: DataFrame, make) -> DataFrame:
-    """``h, c`` summed over all rows; each piece of a batch sends every hash once. A partition has whole owners."""
+def counted(rows: DataFrame) -> DataFrame:
+    """``pair, h, c`` of all words and pairs, summed over all rows; each piece of a batch sends every hash once. A
+    partition has whole owners."""
 
     def count(batches: Batches) -> Batches:
         for batch in batches:
             texts = texts_of(batch)
             for begin, end in pieces(texts, 1 << 22):
-                h, c = np.unique(make(texts[begin:end]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+                stream, _ = token_stream(texts[begin:end])
+                for pair, grams in ((False, stream), (True, pair_hashes(stream))):
+                    h, c = np.unique(grams, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), pair)), pa.array(h.view(np.int64)), pa.array(c)], ["pair", "h", "c"])
 
-    found = rows.select(F.col("text").cast("string")).mapInArrow(count, "h bigint, c bigint")
+    found = rows.select(F.col("text").cast("string")).mapInArrow(count, "pair boolean, h bigint, c bigint")
     found = found.withColumn("owner", F.shiftrightunsigned("h", 52)).repartition("owner")
-    return found.groupBy("owner", "h").agg(F.sum("c").alias("c")).select("h", "c")
+    return found.groupBy("owner", "pair", "h").agg(F.sum("c").alias("c")).select("pair", "h", "c")
 
 
-def level_of(count: Column, least: int) -> Column:
-    return F.floor(F.log2(count / F.lit(least)) + F.lit(1e-9)) + 1
+def level_of(count: Column) -> Column:
+    return F.floor(F.log2(count) + F.lit(1e-9)) + 1
 
 
 class FrequencyFilter:
-    """Quantised counts by n-gram hash, of the blocks from ``first`` to before ``last``. ``least``: the least count kept."""
+    """Quantised counts by n-gram hash, of the blocks from ``first`` to before ``last``."""
 
-    def __init__(self, blocks: int, least: int, first: int = 0, last: int | None = None):
-        self.blocks, self.least, self.first, self.last = blocks, least, first, blocks if last is None else last
+    def __init__(self, blocks: int, first: int, last: int):
+        self.blocks, self.first, self.last = blocks, first, last
         self.bits = np.zeros((self.last - first) * (BLOCK_BITS // 64), np.uint64)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
@@ -100,15 +104,9 @@ class FrequencyFilter:
                 break
         return level
 
-    def estimate(self, h: np.ndarray) -> np.ndarray:
-        """Estimated counts, 0 for what the filter lacks."""
-        return middle(self.levels(h), self.least)
 
-
-def middle(level: np.ndarray, least: int = 1) -> np.ndarray:
-    """The middle of a level, on the scale of logarithms; level 1 of single counts is exact."""
-    found = least * 2.0 ** (level.astype(float) - 1) * np.where((level == 1) & (least == 1), 1, math.sqrt(2))
-    return np.where(level > 0, found, 0)
+#: The middle of each level, on the scale of logarithms; level 1 of single counts is exact, level 0 is no count.
+MIDDLE = np.array([0.0, 1.0] + [2.0 ** (level - 1) * math.sqrt(2) for level in range(2, 66)])
 
 
 def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
@@ -125,17 +123,17 @@ def places(h: np.ndarray, level: int) -> list[np.ndarray]:
 
 def level_counts(grams: DataFrame) -> dict[int, int]:
     """How many n-grams have each level; a row per power of two."""
-    return {r["q"]: r["n"] for r in grams.groupBy(level_of(F.col("c"), 1).alias("q")).agg(F.count("*").alias("n")).collect()}
+    return {r["q"]: r["n"] for r in grams.groupBy(level_of(F.col("c")).alias("q")).agg(F.count("*").alias("n")).collect()}
 
 
 def blocks_for(keys: int) -> int:
     return OWNERS * max(1, -(-keys * BITS_PER_KEY // (BLOCK_BITS * OWNERS)))
 
 
-def filled_blocks(grams: DataFrame, blocks: int, least: int) -> DataFrame:
+def filled_blocks(grams: DataFrame, blocks: int) -> DataFrame:
     """Rows ``block, bits`` of the filter of ``h, c`` rows; a block has a row for each task with n-grams of its owner,
     which are few where files hold whole owners."""
-    rows = grams.where(F.col("c") >= least).select("h", level_of(F.col("c"), least).cast("int").alias("q"))
+    rows = grams.select("h", level_of(F.col("c")).cast("int").alias("q"))
 
     def filled(parts: list[tuple[np.ndarray, np.ndarray]]) -> Batches:
         h, q = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -147,9 +145,10 @@ def filled_blocks(grams: DataFrame, blocks: int, least: int) -> DataFrame:
                 bit = at[here].astype(np.uint64) * np.uint64(BLOCK_BITS) + place
                 np.bitwise_or.at(bits, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
         each = BLOCK_BITS // 64
-        for begin in range(0, len(own), 512):
-            some = [bits[k * each : (k + 1) * each].tobytes() for k in range(begin, min(begin + 512, len(own)))]
-            yield pa.RecordBatch.from_arrays([pa.array(own[begin : begin + 512].astype(np.int64)), pa.array(some, pa.binary())], ["block", "bits"])
+        for begin in range(0, len(own), 4096):
+            some = [bits[k * each : (k + 1) * each].tobytes() for k in range(begin, min(begin + 4096, len(own)))]
+            ids = pa.array(own[begin : begin + 4096].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(some, pa.binary())], ["block", "bits"])
 
     def fill(batches: Batches) -> Batches:
         parts, size = [], 0
@@ -157,7 +156,7 @@ def filled_blocks(grams: DataFrame, blocks: int, least: int) -> DataFrame:
             if batch.num_rows:
                 parts.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
                 size += batch.num_rows
-            if size >= 1 << 21:
+            if size >= 1 << 19:
                 yield from filled(parts)
                 parts, size = [], 0
         if parts:
@@ -176,34 +175,20 @@ def gathered(filled: DataFrame, found: FrequencyFilter) -> FrequencyFilter:
     return found
 
 
-def build(grams: DataFrame, max_bits: int) -> FrequencyFilter:
-    """One filter of ``h, c`` rows in at most ``max_bits``, the least count raised until they suffice; scores use shares
-    of the whole filter instead."""
-    sizes = level_counts(grams)
-    least = 0
-    while True:
-        keys = sum(n * (q - least) for q, n in sizes.items() if q > least)
-        if keys * BITS_PER_KEY <= max_bits or not keys:
-            break
-        least += 1
-    found = FrequencyFilter(blocks_for(keys), 1 << least)
-    return gathered(filled_blocks(grams, found.blocks, found.least), found)
-
-
 class Written:
     """The whole filter of ``h, c`` rows, every count in it, in the shared folder; shares of it can be fetched."""
 
     def __init__(self, grams: DataFrame, name: str):
         self.blocks = blocks_for(sum(n * q for q, n in level_counts(grams).items()))
-        self.filled = cut(filled_blocks(grams, self.blocks, 1), name)
+        self.filled = cut(filled_blocks(grams, self.blocks), name)
 
     def share(self, k: int, of: int) -> FrequencyFilter:
-        return gathered(self.filled, FrequencyFilter(self.blocks, 1, k * self.blocks // of, (k + 1) * self.blocks // of))
+        return gathered(self.filled, FrequencyFilter(self.blocks, k * self.blocks // of, (k + 1) * self.blocks // of))
 
 
 def log10(word_levels: np.ndarray, pair_levels: np.ndarray, total: int, distinct: int) -> np.ndarray:
     """log10 probability of every token of a stream of whole texts, from its level and that of its pair."""
-    single, pair = middle(word_levels), middle(pair_levels)
+    single, pair = MIDDLE[word_levels], MIDDLE[pair_levels]
     before = np.roll(single, 1)  # a stream ends with an end mark, as the one that its first token follows
     own = (single + 1) / (total + distinct + 1)
     share = np.minimum(1, pair / np.maximum(before, 1))
@@ -211,26 +196,28 @@ def log10(word_levels: np.ndarray, pair_levels: np.ndarray, total: int, distinct
     return np.log10(weight * share + (1 - weight) * own)
 
 
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+SUMS = ("n_tokens", "n_known", "base_score", "score")
+PER_TOKEN = ("tokens", "word_levels", "pair_levels")
+SCORES = "doc_id bigint, text string, n_tokens bigint, n_known bigint, base_score double, score double"
+SCORES += ", tokens binary, word_levels binary, pair_levels binary"
 
 
-SCORES = "doc_id bigint, text string, n_tokens bigint, n_known bigint, base_score double, score double, word_levels binary, pair_levels binary"
-LEVELS = ("word_levels", "pair_levels")
+def joined(parts: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), kind)
 
 
 def score(docs: DataFrame, train: DataFrame, max_bits: int = 1 << 29, block_words: int = 8_000_000) -> DataFrame:
     """Per document ``doc_id, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = docs.sparkSession
-    single = cut(counted(train, lambda texts: token_stream(texts)[0]), "words")
+    both = cut(counted(train), "counts")
+    single = cut(both.where(~F.col("pair")).select("h", "c"), "words")
     totals = single.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = totals["n"], totals["v"]
-    double = cut(counted(train, lambda texts: pair_hashes(token_stream(texts)[0])), "pairs")
-    words, pairs = Written(single, "word-filter"), Written(double, "pair-filter")
+    words, pairs = Written(single, "word-filter"), Written(both.where("pair").select("h", "c"), "pair-filter")
+    drop(both)
     passes = max(1, math.ceil(distinct / block_words), math.ceil((words.blocks + pairs.blocks) * BLOCK_BITS / max_bits))
-    empty = [F.lit(0).cast("bigint").alias(c) for c in ("n_tokens", "n_known")] + [F.lit(0.0).alias(c) for c in ("base_score", "score")]
-    empty += [F.lit(None).cast("binary").alias(c) for c in LEVELS]
+    empty = [F.lit(0).cast(f"{'double' if c.endswith('score') else 'bigint'}").alias(c) for c in SUMS]
+    empty += [F.lit(None).cast("binary").alias(c) for c in PER_TOKEN]
     out, before = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *empty), None
     for k in range(passes):
         mine = single.where(F.pmod("h", F.lit(passes)) == k).toArrow()
@@ -238,47 +225,51 @@ def score(docs: DataFrame, train: DataFrame, max_bits: int = 1 << 29, block_word
         order = np.argsort(h)
         known = spark.sparkContext.broadcast((h[order], c[order]))
         filters = spark.sparkContext.broadcast((words.share(k, passes), pairs.share(k, passes)))
+        del mine, h, c, order
         last = k == passes - 1
 
         def add(batches: Batches, known=known, filters=filters, k=k, last=last) -> Batches:
             (hashes, counts), (word_filter, pair_filter) = known.value, filters.value
             for batch in batches:
-                texts = texts_of(batch)
-                sums = {c: batch.column(c).to_numpy().copy() for c in ("n_tokens", "n_known", "base_score", "score")}
-                sofar, levels = [batch.column(c).to_pylist() for c in LEVELS], ([], [])
-                for begin, end in pieces(texts):
-                    stream, each_count = token_stream(texts[begin:end])
-                    owner = np.repeat(np.arange(begin, end), each_count)
+                sums = {c: batch.column(c).to_numpy().copy() for c in SUMS}
+                sofar, kept = [batch.column(c).to_pylist() for c in PER_TOKEN], [[] for _ in PER_TOKEN]
+                texts = texts_of(batch) if k == 0 else None
+                for begin, end in pieces(texts if k == 0 else sofar[0]):
+                    if k == 0:
+                        stream, each_count = token_stream(texts[begin:end])
+                        sums["n_tokens"][begin:end] = each_count
+                    else:
+                        stream, each_count = joined(sofar[0][begin:end], np.uint64), sums["n_tokens"][begin:end]
+                    owner = np.repeat(np.arange(end - begin), each_count)
                     each, which = np.unique(stream, return_inverse=True)
                     has, at = hits_of(each, hashes)
                     seen = np.where(has, counts[at], 0) if len(counts) else np.zeros(len(each), np.int64)
                     # A word of another block adds there what it has over a count of zero.
                     plain = np.log10(seen + 1.0) - (math.log10(total + distinct + 1) if k == 0 else 0)
-                    sums["n_known"] += np.bincount(owner, weights=(seen > 0)[which], minlength=len(texts)).astype(np.int64)
-                    sums["base_score"] += np.bincount(owner, weights=plain[which], minlength=len(texts))
-                    if k == 0:
-                        sums["n_tokens"][begin:end] = each_count
+                    sums["n_known"][begin:end] += np.bincount(owner, (seen > 0)[which], end - begin).astype(np.int64)
+                    sums["base_score"][begin:end] += np.bincount(owner, plain[which], end - begin)
                     # An n-gram has its level in the share of its block and 0 in the others.
                     mine = [word_filter.levels(each)[which], pair_filter.levels(pair_hashes(stream))]
                     if k:
-                        mine = [m + np.frombuffer(b"".join(s[begin:end]), np.uint8) for m, s in zip(mine, sofar, strict=True)]
+                        mine = [m + joined(s[begin:end], np.uint8) for m, s in zip(mine, sofar[1:], strict=True)]
                     if last:
-                        sums["score"] += np.bincount(owner, weights=log10(*mine, total, distinct), minlength=len(texts))
+                        sums["score"][begin:end] += np.bincount(owner, log10(*mine, total, distinct), end - begin)
                         continue
                     bounds = np.cumsum(each_count)
-                    for own, m in zip(levels, mine, strict=True):
+                    for own, m in zip(kept, [stream, *mine], strict=True):
                         own += [m[b - n : b].tobytes() for b, n in zip(bounds, each_count, strict=True)]
-                kept = [pa.nulls(len(texts), pa.string()), *[pa.nulls(len(texts), pa.binary())] * 2] if last else [batch.column(1), *[pa.array(x, pa.binary()) for x in levels]]
-                yield pa.RecordBatch.from_arrays([batch.column(0), kept[0], *[pa.array(v) for v in sums.values()], *kept[1:]], batch.schema.names)
+                rows = batch.num_rows
+                per_token = [pa.nulls(rows, pa.binary())] * 3 if last else [pa.array(x, pa.binary()) for x in kept]
+                columns = [batch.column(0), pa.nulls(rows, pa.string()), *[pa.array(v) for v in sums.values()], *per_token]
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
         out = out.mapInArrow(add, SCORES)
         if not last:
-            folder = new_folder(spark, "scores")
-            out.write.parquet(folder)
-            out = spark.read.schema(out.schema).parquet(folder)
+            out = cut(out, "scores")
             known.unpersist()
             filters.unpersist()
-            if before:
-                delete(spark, before)
-            before = folder
+            drop(before)
+            before = out
+    for done in (single, words.filled, pairs.filled):
+        drop(done)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
