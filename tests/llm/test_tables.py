@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewatch.llm import decontam, html, jaccard, langid, lm, packing, pii, records
+from tidewatch.llm import common, decontam, html, jaccard, langid, lm, packing, pii, records
 from tidewatch.llm.tokens import LONGEST_KEPT, Encoder, encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -270,6 +270,21 @@ def test_groups_of_odd_tables(spark, docs, none):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 1, 2, 4, 5, 6, 7, 8] and kept.where("doc_id is null").count() == 1
 
 
+def test_the_join_leaves_only_tables_that_are_still_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    rows = near_copies(1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda: {f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir()}
+    found = jaccard.near_duplicates(docs)
+    assert left() == {"marked", "classes", "edges"}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute_components(rows)
+    again = tmp_path / "again"
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(again))
+    kept = jaccard.keep_one(docs)
+    assert {f.name.rsplit("-", 1)[0] for f in again.iterdir()} == {"kept"}
+    assert kept.count() == len({c for _, c in brute_components(rows).values()})
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><a href="/">Home</a></nav>
 <div class="cookie-notice">We use cookies, as all do.</div><{tag}><h1>Head &amp; line</h1><p>First <b>bold</b>
  text, with stops. And   more.<p>Second&nbsp;one &lt;tag&gt;.<br>Line.</p><p>Ok.</p><ul><li>Item one<li>Item two</ul></{tag}>

@@ -116,6 +116,19 @@ class Join:
         self.n, self.num, self.den = n, num, den
         self.spark = docs.sparkSession
         self.rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+        self.written: list[DataFrame] = []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """A written table that :meth:`clear` deletes."""
+        self.written.append(cut(df, name))
+        return self.written[-1]
+
+    def clear(self, *still_read: DataFrame) -> None:
+        """Delete the join's tables but those that are still to be read."""
+        for done in self.written:
+            if all(done is not df for df in still_read):
+                drop(done)
+        self.written = [df for df in self.written if any(df is other for other in still_read)]
 
     def scan(self, schema: str, make: Callable[[list, list[np.ndarray]], list], rows: DataFrame | None = None) -> DataFrame:
         n, names = self.n, [c.split()[0] for c in schema.split(", ")]
@@ -173,13 +186,13 @@ class Join:
                 columns = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tags, pa.int64()), flat(leads)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "tag", "lead"])
 
-        return cut(self.rows.mapInArrow(make, "doc_id bigint, n bigint, key binary, tag bigint, lead array<bigint>"), "marked")
+        return self.cut(self.rows.mapInArrow(make, "doc_id bigint, n bigint, key binary, tag bigint, lead array<bigint>"), "marked")
 
     def classes(self, marked: DataFrame) -> DataFrame:
         """Distinct sets: ``cid, key, rep`` (least id), ``tag`` of its document, ``n``, and their leading columns."""
         first = F.min(F.struct("doc_id", "tag"))
         one = marked.where("key is not null").groupBy("key").agg(first.alias("d"), F.first("n").alias("n"), F.first("lead").alias("lead"))
-        return cut(one.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("d.doc_id").alias("rep"), F.col("d.tag").alias("tag"), "n", "lead"), "classes")
+        return self.cut(one.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("d.doc_id").alias("rep"), F.col("d.tag").alias("tag"), "n", "lead"), "classes")
 
     def postings(self, classes: DataFrame) -> DataFrame:
         """Rows with their leading columns that more than one row has: ``cid, n, lead``, how many these are (``shared``)
@@ -199,7 +212,7 @@ class Join:
         # Most entries are of columns that no other row has; the filter spares them the shuffle of the join.
         some = classes.select("cid", "n", "lead").mapInArrow(likely, "cid bigint, n bigint, s bigint")
         per_row = some.join(often, "s").groupBy("cid").agg(F.first("n").alias("n"), F.collect_list("s").alias("lead"), F.count("*").alias("shared"), F.sum("k").alias("weight"))
-        postings = cut(per_row, "postings")
+        postings = self.cut(per_row, "postings")
         drop(often)
         return postings
 
@@ -273,7 +286,7 @@ class Join:
         num, den = self.num, self.den
         keys = ["block", "i", "j"]
         found = left_rows.groupBy(*keys).cogroup(right_rows.groupBy(*keys)).applyInArrow(lambda x, y: product(x, y, num, den), "a bigint, na bigint, b bigint, nb bigint")
-        pairs = cut(found.distinct(), "pairs")
+        pairs = self.cut(found.distinct(), "pairs")
         for table in (rows, homes, left, right):
             drop(table)
         return pairs
@@ -283,7 +296,7 @@ class Join:
         ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
         if known is not None:
             ends = ends.join(known.select("cid"), "cid", "left_anti")
-        wanted = cut(ends.join(classes.select("cid", "tag", "rep"), "cid"), "wanted")
+        wanted = self.cut(ends.join(classes.select("cid", "tag", "rep"), "cid"), "wanted")
         if wanted.isEmpty():
             return known
         shared, n = self.spark.sparkContext.broadcast(Filter(wanted, "rep")), self.n
@@ -298,7 +311,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(tags), flat(sets)], ["tag", "hashes"])
 
         found = self.rows.mapInArrow(make, "tag bigint, hashes array<bigint>").join(wanted.drop("rep"), "tag")
-        new = cut(found.groupBy("cid").agg(F.first("hashes").alias("hashes")), "sets")
+        new = self.cut(found.groupBy("cid").agg(F.first("hashes").alias("hashes")), "sets")
         return new if known is None else known.union(new)
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -321,22 +334,24 @@ class Join:
             pairs = self.star_pairs(entries, turn) if turn < ROUNDS else self.all_pairs(entries)
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            pairs = cut(pairs, "pairs")
+            pairs = self.cut(pairs, "pairs")
             if pairs.isEmpty():
                 turn = ROUNDS if turn < ROUNDS else turn + 1
                 continue
             turn += 1
             sets = self.sets_of(pairs, classes, sets)
-            found = cut(self.links(pairs, sets), "links")
+            found = self.cut(self.links(pairs, sets), "links")
             edges = found if edges is None else edges.union(found)
             tested = pairs if tested is None else tested.union(pairs)
             roots = components(edges)
+            self.written.append(roots)
         return self.spark.createDataFrame([], "node bigint, root bigint") if roots is None else roots
 
     def run(self) -> DataFrame:
         marked = self.marked()
         classes = self.classes(marked)
         roots = self.roots(classes)
+        self.clear(marked, classes, roots)
         rooted = self.with_roots(classes.select("cid", "key", "rep"), roots)
         least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
         names = rooted.join(least, "root").select("key", "component_id")
@@ -388,6 +403,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each group, the one of least id, with all columns. Documents without an id all stay."""
-    found = cut(near_duplicates(docs, n, num, den).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    join = Join(docs, n, num, den)
+    first = join.run().where(F.col("doc_id") == F.col("component_id"))
+    found = cut(first.select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    join.clear()
     named = docs.where(F.col("doc_id").isNotNull()).join(found, F.col("doc_id") == F.col("__kept"), "left_semi")
     return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull()))
