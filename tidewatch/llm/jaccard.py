@@ -4,7 +4,9 @@ Rows of the matrix are distinct sets of n-grams (documents with one set are one
 tasks by hash: the blocks. For a similarity of ``num/den`` a row of size n shares one of its first
 ``n - ceil(n * num / den) + 1`` columns with every row it links to, in any order of columns that all rows keep. The
 order here puts columns first that have a word of no other document, which need no entry as they match nothing, and
-columns last that a sample of the rows shows to be frequent; filter and sample decide about speed alone. Products of these leading parts are accumulated per pair of rows, and a pair is
+columns last that a sample of the rows shows to be frequent, the most frequent at the very end. The sample is a fixed
+share of the rows, so a column counts as frequent from about the same number of rows on at every size; filters and
+sample decide about speed alone. Products of these leading parts are accumulated per pair of rows, and a pair is
 discarded as soon as its sizes, or its overlap so far plus all that can still come, miss the bound. What is left is
 completed with the rows' whole sets.
 
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Batches, cut, drop, hits_of, mixed, texts_of
+from tidewatch.llm.common import Batches, cut, drop, mixed, texts_of
 from tidewatch.llm.components import components
 from tidewatch.llm.langid import pieces
 
@@ -38,7 +40,8 @@ STEPS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 MOST_WORDS = 200_000
 #: Bits of a filter that is broadcast: 8 MB whatever the input's size; a fuller filter lets more pass, never less.
 FILTER_BITS = 26
-SAMPLE_ROWS, SAMPLE_HITS, MOST_FREQUENT = 8192, 4, 1 << 18
+#: The share of rows in the sample, and the hits in it from which a column is frequent, or very frequent.
+SAMPLE, SAMPLE_HITS = 1 / 16, (3, 64)
 BLOCK_ROWS = 2048
 #: At most so many rounds of one pair per entry; the last one, of all pairs left, begins once they are few.
 ROUNDS, PAIRS_PER_ENTRY = 4, 8
@@ -140,14 +143,14 @@ class Join:
 
         return (self.rows if rows is None else rows).mapInArrow(run, schema)
 
-    def frequent(self) -> np.ndarray:
-        """Sorted hashes that are frequent in a sample of at most about SAMPLE_ROWS documents."""
-        total = self.rows.count()
-        rows = self.rows.sample(min(1.0, SAMPLE_ROWS / max(total, 1)), seed=7)
-        found = self.scan("h array<bigint>", lambda ids, sets: [flat(sets)], rows).select(F.explode("h").alias("h"))
-        counts = found.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= SAMPLE_HITS)
-        top = counts.orderBy(F.desc("k"), "h").limit(MOST_FREQUENT).toArrow()
-        return np.sort(top["h"].to_numpy().view(np.uint64))
+    def frequent(self) -> list[Filter]:
+        """Filters of the columns that are frequent and very frequent in a sample of the documents."""
+        found = self.scan("h array<bigint>", lambda ids, sets: [flat(sets)], self.rows.sample(SAMPLE, seed=7))
+        counts = found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("k"))
+        often = cut(counts.where(F.col("k") >= SAMPLE_HITS[0]), "frequent")
+        filters = [Filter(often.where(F.col("k") >= hits), "h") for hits in SAMPLE_HITS]
+        drop(often)
+        return filters
 
     def seen_words(self) -> Filter:
         """A filter of the words that more than one document has."""
@@ -178,8 +181,8 @@ class Join:
                     # All but the overlap it needs with any set, and one; columns of its own come first and match nothing.
                     lead = len(hashes) + len(hashes) * -num // den + 1 - int(alone.sum()) if named else 0
                     rest = hashes[~alone] if lead > 0 else hashes[:0]
-                    late = hits_of(rest, frequent)[0]
-                    leads.append(np.concatenate([rest[~late], rest[late]])[: max(lead, 0)])
+                    late = sum(level.may_have(rest).astype(np.int8) for level in frequent)
+                    leads.append(rest[np.argsort(late, kind="stable")[: max(lead, 0)]])
                     keys.append(key_of(hashes) if named else None)
                     tags.append(tag_of(keys[-1], i) if named else 0)
                     sizes.append(len(hashes))

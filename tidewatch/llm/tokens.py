@@ -26,8 +26,6 @@ WORD_START = re.compile(r" (?=\S)")
 MOST_WORDS, LONGEST_KEPT = 250_000, 256
 #: Words encoded as one string; longer strings take longer a word.
 TOGETHER = 256
-#: Words encoded as one string; longer strings take longer a word.
-TOGETHER = 256
 
 
 def byte_letters() -> dict[int, str]:
