@@ -3,10 +3,9 @@
 Rows of the matrix are distinct sets of n-grams (documents with one set are one row), columns are n-grams, dealt to
 tasks by hash: the blocks. For a similarity of ``num/den`` a row of size n shares one of its first
 ``n - ceil(n * num / den) + 1`` columns with every row it links to, in any order of columns that all rows keep. The
-order here puts columns first that have a word of no other document, which need no entry as they match nothing, and
-columns last that a sample of the rows shows to be frequent, the most frequent at the very end. The sample is a fixed
-share of the rows, so a column counts as frequent from about the same number of rows on at every size; filters and
-sample decide about speed alone. Products of these leading parts are accumulated per pair of rows, and a pair is
+order here puts columns last that a sample of the rows shows to be frequent, the most frequent at the very end. The
+sample is a fixed share of the rows, so a column counts as frequent from about the same number of rows on at every
+size; it decides about speed alone. Products of these leading parts are accumulated per pair of rows, and a pair is
 discarded as soon as its sizes, or its overlap so far plus all that can still come, miss the bound. What is left is
 completed with the rows' whole sets.
 
@@ -32,7 +31,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Batches, cut, drop, mixed, texts_of
 from tidewatch.llm.components import components
-from tidewatch.llm.langid import pieces
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers, one for each word of an n-gram.
@@ -65,20 +63,15 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(text: str, n: int, seen: Filter | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct hashes of a text's n-grams; with a filter of words that more texts have, also whether an
-    n-gram has a word that no other text has."""
+def shingles(text: str, n: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's n-grams."""
     words = word_hashes(text)
     size = min(n, len(words))
     count = len(words) - size + 1 if len(words) else 0
     total = np.full(count, size, np.uint64)
     for j in range(size):
         total += words[j : j + count] * STEPS[j]
-    if seen is None:
-        return np.unique(mixed(total))
-    own = np.concatenate([[0], np.cumsum(~seen.may_have(words))])
-    hashes, at = np.unique(mixed(total), return_index=True)
-    return hashes, (own[size:] > own[: len(own) - size])[at] if count else np.zeros(0, bool)
+    return np.unique(mixed(total))
 
 
 def key_of(hashes: np.ndarray) -> bytes:
@@ -152,37 +145,23 @@ class Join:
         drop(often)
         return filters
 
-    def seen_words(self) -> Filter:
-        """A filter of the words that more than one document has."""
-
-        def count(batches: Batches) -> Batches:
-            for batch in batches:
-                texts = texts_of(batch)
-                for begin, end in pieces(texts, 1 << 24):
-                    h, c = np.unique(np.concatenate([np.unique(word_hashes(t)) for t in texts[begin:end]]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
-
-        counts = self.rows.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-        return Filter(counts.where("c > 1"), "h")
-
     def marked(self) -> DataFrame:
-        """Every document's set: ``doc_id, n`` (its size), ``key`` (null: an empty set or no id), ``tag``, and the leading
-        columns that another row may have."""
-        shared = self.spark.sparkContext.broadcast((self.frequent(), self.seen_words()))
+        """Every document's set: ``doc_id, n`` (its size), ``key`` (null: an empty set or no id), ``tag``, and its
+        leading columns."""
+        shared = self.spark.sparkContext.broadcast(self.frequent())
         num, den, size = self.num, self.den, self.n
 
         def make(batches: Batches) -> Batches:
-            frequent, seen = shared.value
+            frequent = shared.value
             for batch in batches:
                 ids, keys, tags, sizes, leads = batch.column(0), [], [], [], []
                 for i, text in zip(ids.to_pylist(), texts_of(batch), strict=True):
-                    hashes, alone = shingles(text, size, seen)
+                    hashes = shingles(text, size)
                     named = i is not None and len(hashes) > 0
-                    # All but the overlap it needs with any set, and one; columns of its own come first and match nothing.
-                    lead = len(hashes) + len(hashes) * -num // den + 1 - int(alone.sum()) if named else 0
-                    rest = hashes[~alone] if lead > 0 else hashes[:0]
-                    late = sum(level.may_have(rest).astype(np.int8) for level in frequent)
-                    leads.append(rest[np.argsort(late, kind="stable")[: max(lead, 0)]])
+                    # All but the overlap it needs with any set, and one.
+                    lead = len(hashes) + len(hashes) * -num // den + 1 if named else 0
+                    late = sum(level.may_have(hashes).astype(np.int8) for level in frequent)
+                    leads.append(hashes[np.argsort(late, kind="stable")[:lead]])
                     keys.append(key_of(hashes) if named else None)
                     tags.append(tag_of(keys[-1], i) if named else 0)
                     sizes.append(len(hashes))
