@@ -112,6 +112,44 @@ def test_a_rerun_goes_on_where_the_job_died(spark, fleet, tmp_path):
     assert third.asked == [[], []] and sorted(map(str, store.registry(spark).collect())) == before
 
 
+def test_a_run_with_nothing_due_reads_no_rows(spark, fleet, tmp_path):
+    manifests, config, rows = fleet
+    store = MonitorStore(str(tmp_path))
+    BaselineWorkflow(store, {"data_quality": high(rows), "shadow": high(rows)}, "e1").run(manifests, config)
+
+    class Planned:
+        def __init__(self):
+            self.plans = []
+
+        def evaluate(self, versions):
+            found = high(rows).evaluate(versions)
+            self.plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+            return found
+
+    idle = Planned()
+    BaselineWorkflow(store, {"data_quality": idle, "shadow": idle}, "e2").run(manifests, config)
+    assert len(idle.plans) == 2 and all(p.startswith("LocalRelation <empty>") for p in idle.plans)
+
+
+def test_the_newest_of_repeated_results_decides(spark, fleet, tmp_path, monkeypatch):
+    manifests, config, rows = fleet
+    store = MonitorStore(str(tmp_path))
+    low = GroupedMonitor(rows, {"largest": F.max("x")}, {"largest": lambda m: m > -1})
+    mark = BaselineWorkflow._mark
+
+    def dies(self, versions, step):
+        if step.startswith("monitor:"):
+            raise Died
+        mark(self, versions, step)
+
+    monkeypatch.setattr(BaselineWorkflow, "_mark", dies)
+    with pytest.raises(Died):
+        BaselineWorkflow(store, {"data_quality": low}, "e1").run(manifests, config)
+    monkeypatch.undo()
+    table = by_version(BaselineWorkflow(store, {"data_quality": high(rows)}, "e2").run(manifests, config))
+    assert table["p", "1"]["status"] == "approved" and table["p", "1"]["analysers"] == {"data_quality": "succeeded"}
+
+
 def test_rows_without_a_marker_are_written_anew(spark, fleet, tmp_path, monkeypatch):
     manifests, config, rows = fleet
     store = MonitorStore(str(tmp_path))

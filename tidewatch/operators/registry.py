@@ -41,13 +41,14 @@ def _names(monitor: str) -> list[str]:
     return [monitor] + [alias for alias, target in ALIASES.items() if target == monitor]
 
 
-def gate(manifests: DataFrame, config: DataFrame) -> DataFrame:
+def gate(manifests: DataFrame, config: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Gate every ``(project, model_version)`` manifest against its project's monitor settings.
 
     Returns status, message, warnings and the monitors to run. ``config`` holds one row
     ``(project, monitor, enabled, required)`` per monitor; a project's monitors are folded into one
     short array, so a manifest meets one config row. Which kinds of monitor lack artifacts depends on the
-    manifest alone and is worked out once per manifest. An unknown monitor needs nothing and passes.
+    manifest alone and is worked out once per manifest. An unknown monitor needs nothing and passes. ``keep`` names
+    further columns of the manifests that the rows keep.
     """
     bit = F.lit(0)  # each kind of monitor is one bit, unknown kinds are none
     mask = F.lit(0)
@@ -68,6 +69,7 @@ def gate(manifests: DataFrame, config: DataFrame) -> DataFrame:
     lacks = F.col("lacking")
     split = joined.select(
         *VERSION,
+        *keep,
         "present",
         F.filter("monitors", lambda m: m["bit"].bitwiseAND(lacks) != 0).alias("missing"),
         F.filter("monitors", lambda m: m["bit"].bitwiseAND(lacks) == 0).alias("runnable"),
@@ -99,6 +101,7 @@ def gate(manifests: DataFrame, config: DataFrame) -> DataFrame:
         F.when(F.col("failed"), F.format_string(GATE_FAILED, count)).otherwise(GATE_PASSED).alias("message"),
         warnings.alias("warnings"),
         F.when(F.col("failed"), _texts([])).otherwise(F.col("runnable.monitor")).alias("monitors_to_run"),
+        *keep,
     )
 
 

@@ -22,6 +22,8 @@ import logging
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,9 +130,10 @@ class BaselineWorkflow:
         """
         spark = manifests.sparkSession
         self._gate(spark, manifests, config)
+        ready = self._ready(spark)
         with ThreadPoolExecutor(max(1, len(self.monitors))) as pool:
-            list(pool.map(lambda item: self._monitor(spark, *item), self.monitors.items()))
-        self._decide(spark)
+            waiting = list(pool.map(lambda item: self._monitor(ready, *item), self.monitors.items()))
+        self._decide(spark, ready, waiting)
         return self._register(spark)
 
     def gates(self, spark: SparkSession) -> DataFrame:
@@ -144,8 +147,12 @@ class BaselineWorkflow:
 
     def marked(self, spark: SparkSession, step: str) -> DataFrame:
         """Versions that are through with a step."""
+        return self._through(spark, step).distinct()
+
+    def _through(self, spark: SparkSession, step: str) -> DataFrame:
+        """The versions of :meth:`marked`, one with several markers several times: for semi and anti joins."""
         markers = self.store.inserted(spark, "baseline_markers", MARKER_SCHEMA)
-        return markers.where(F.col("step") == step).select(*VERSION).distinct()
+        return markers.where(F.col("step") == step).select(*VERSION)
 
     def _write(self, rows: DataFrame, table: str, schema: str) -> None:
         self.store.insert(rows.withColumn("at", F.current_timestamp()), table, schema)
@@ -155,15 +162,16 @@ class BaselineWorkflow:
         self._write(rows, "baseline_markers", MARKER_SCHEMA)
 
     def _gate(self, spark: SparkSession, manifests: DataFrame, config: DataFrame) -> None:
-        due = manifests.join(self.marked(spark, "gate"), VERSION, "left_anti")
+        due = manifests.join(self._through(spark, "gate"), VERSION, "left_anti")
         for name, value in (("problem", F.lit(None)), ("baseline_prefix", F.lit(None)), ("manifest_uri", F.lit(None))):
             due = due if name in due.columns else due.withColumn(name, value.cast("string"))
         problem = F.coalesce("problem", F.when(F.col("artifacts").isNull(), "manifest has no artifacts"))
-        due = written(due.withColumn("problem", problem), "baseline-due")
-        usable = due.where("problem IS NULL")
+        due = _due(due.withColumn("problem", problem), "baseline-due")
+        usable = due.where(F.col("problem").isNull() & F.col(VERSION[0]).isNotNull() & F.col(VERSION[1]).isNotNull())
         required = config.where("enabled AND required").groupBy("project").agg(F.sort_array(F.collect_set("monitor")).alias("required"))
         none = F.array().cast("array<string>")
-        gated = gate(usable.select(*VERSION, "artifacts"), config).join(usable.select(*VERSION, "baseline_prefix", "manifest_uri"), VERSION)
+        place = ("baseline_prefix", "manifest_uri")
+        gated = gate(usable.select(*VERSION, "artifacts", *place), config, place)
         broken = due.where("problem IS NOT NULL").select(
             *VERSION,
             F.lit("rejected").alias("status"),
@@ -177,17 +185,35 @@ class BaselineWorkflow:
         self._write(rows, "baseline_gate", GATE_SCHEMA)
         self._mark(due, "gate")
 
-    def _planned(self, spark: SparkSession, name: str) -> DataFrame:
-        ready = self.gates(spark).join(self.marked(spark, "gate"), VERSION, "left_semi")
-        return ready.where(F.array_contains("monitors_to_run", name)).select(*VERSION)
-
-    def _monitor(self, spark: SparkSession, name: str, monitor: FleetMonitor) -> None:
+    def _progress(self, spark: SparkSession, steps: Mapping[str, str]) -> DataFrame:
+        """Per marked version a flag for each of these steps, named by the mapping's keys."""
+        markers = self.store.inserted(spark, "baseline_markers", MARKER_SCHEMA).where(F.col("step").isin(*steps.values()))
+        return markers.groupBy(*VERSION).agg(*[F.bool_or(F.col("step") == step).alias(name) for name, step in steps.items()])
+
+    def _ready(self, spark: SparkSession) -> DataFrame:
+        """Gated versions that are undecided or wait for a monitor, with ``decided`` and the monitors that have ``ran``:
+        worked out once a run, for its monitors and its decision."""
+        steps = {f"__{i}": f"monitor:{name}" for i, name in enumerate(self.monitors)}
+        done = self._progress(spark, {"gated": "gate", "decided": "decision", **steps}).where("gated")
+        ran = F.array_compact(F.array(*[F.when(F.col(f"__{i}"), name) for i, name in enumerate(self.monitors)]).cast("array<string>"))
+        done = done.select(*VERSION, "decided", ran.alias("ran"))
+        # Joined before they are resolved: one exchange and one sort do for both.
+        rows = latest_rows(self.store.inserted(spark, "baseline_gate", GATE_SCHEMA).join(done, VERSION), VERSION, "at")
+        still = [self._waits(name) for name in self.monitors]
+        return _due(rows.where(reduce(or_, still, ~F.col("decided"))), "baseline-ready")
+
+    def _waits(self, name: str) -> Column:
+        """Whether a version's gate planned a monitor that has not run."""
+        return F.coalesce(F.array_contains("monitors_to_run", name) & ~F.array_contains("ran", name), F.lit(False))
+
+    def _monitor(self, ready: DataFrame, name: str, monitor: FleetMonitor) -> Column:
+        """Run a monitor for all versions that wait for it; returns which of them wait on."""
         step = f"monitor:{name}"
-        due = written(self._planned(spark, name).join(self.marked(spark, step), VERSION, "left_anti"), "baseline-planned")
+        due = ready.where(self._waits(name)).select(*VERSION)
         parts, failures = [(0, 1)], 0
         while parts and failures < self.failures:
             residue, modulus = parts.pop()
-            part = due.where(F.pmod(F.xxhash64(*VERSION), F.lit(modulus)) == residue)
+            part = due.where(_falls(residue, modulus))
             try:
                 self._write(_complete(part, monitor.evaluate(part), name), "baseline_results", RESULT_SCHEMA)
             except Exception as error:  # noqa: BLE001 - one version's error must not end another's run
@@ -203,19 +229,28 @@ class BaselineWorkflow:
         if parts:
             log.warning("monitor %s: stopped after %d errors, %d parts are left for another run", name, failures, len(parts))
 
-    def _decide(self, spark: SparkSession) -> None:
-        gates = self.gates(spark).join(self.marked(spark, "gate"), VERSION, "left_semi")
-        due = gates.join(self.marked(spark, "decision"), VERSION, "left_anti")
-        for name in self.monitors:  # versions that wait for a planned monitor are decided by a later run
-            waiting = self._planned(spark, name).join(self.marked(spark, f"monitor:{name}"), VERSION, "left_anti")
-            due = due.join(waiting, VERSION, "left_anti")
-        due = written(due, "baseline-undecided")
-        self._write(decide(due, self.results(spark)), "baseline_decisions", DECISION_SCHEMA)
-        self._mark(due, "decision")
+        return self._waits(name) & reduce(or_, [_falls(*p) for p in parts], F.lit(False))
+
+    def _decide(self, spark: SparkSession, ready: DataFrame, waiting: Sequence[Column]) -> None:
+        # versions that wait for a planned monitor are decided by a later run
+        due = ready.where(~F.col("decided") & ~reduce(or_, waiting, F.lit(False)))
+        self._write(decide(due, self._outcomes(spark)), "baseline_decisions", DECISION_SCHEMA)
+        self._mark(due.select(*VERSION), "decision")
+
+    def _outcomes(self, spark: SparkSession) -> DataFrame:
+        """How each version's monitors ended, as ``analysers``; of repeated results of one monitor the newest counts."""
+        rows = self.store.inserted(spark, "baseline_results", RESULT_SCHEMA)
+        entries = rows.groupBy(*VERSION).agg(F.sort_array(F.collect_list(F.struct("analyser", "at", "outcome"))).alias("e"))
+        following = lambda i: F.get("e", i + 1)["analyser"]
+        newest = F.filter("e", lambda x, i: F.coalesce(following(i) != x["analyser"], F.lit(True)))
+        ended = F.map_from_entries(F.transform(newest, lambda x: F.struct(x["analyser"], x["outcome"])))
+        return entries.select(*VERSION, ended.alias("analysers"))
 
     def _register(self, spark: SparkSession) -> DataFrame:
-        decided = self.decisions(spark).join(self.marked(spark, "decision"), VERSION, "left_semi")
-        due = written(decided.join(self.marked(spark, "registry"), VERSION, "left_anti"), "baseline-decided")
+        progress = self._progress(spark, {"decided": "decision", "registered": "registry"})
+        todo = progress.where("decided AND NOT registered").select(*VERSION)
+        decided = self.store.inserted(spark, "baseline_decisions", DECISION_SCHEMA).join(todo, VERSION, "left_semi")
+        due = _due(latest_rows(decided, VERSION, "at"), "baseline-decided")
         rows = due.select(
             *VERSION, "status", "baseline_prefix", "analysers", "manifest_uri", F.col("at").alias("evaluated_at"), F.lit(self.execution_id).alias("execution_id")
         )
@@ -224,14 +259,13 @@ class BaselineWorkflow:
         return table
 
 
-def decide(gates: DataFrame, results: DataFrame) -> DataFrame:
+def decide(gates: DataFrame, reported: DataFrame) -> DataFrame:
     """Approve each version that its gate passed and whose required monitors all ended ``ok`` or ``succeeded``.
 
+    ``reported`` has a version's outcomes by monitor, as ``analysers``.
     Besides the status the row tells apart required monitors that were planned and never reported (``missing``), that
     reported to have skipped (``skipped``), and that the gate did not plan (``unplanned``).
     """
-    entry = F.struct("analyser", "outcome")
-    reported = results.groupBy(*VERSION).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("analysers"))
     none = F.create_map().cast("map<string,string>")
     joined = gates.join(reported, VERSION, "left").withColumn("analysers", F.coalesce("analysers", none))
     outcome = lambda name: F.try_element_at("analysers", name)
@@ -261,3 +295,13 @@ def _complete(part: DataFrame, found: DataFrame, name: str) -> DataFrame:
     rows = found.join(part.select(*VERSION), VERSION, "left_semi")
     return rows.withColumn("analyser", F.lit(name))
 
+
+def _falls(residue: int, modulus: int) -> Column:
+    """Whether a version is in this part of all."""
+    return F.pmod(F.xxhash64(*VERSION), F.lit(modulus)) == residue
+
+
+def _due(rows: DataFrame, name: str) -> DataFrame:
+    """Rows that a step is due for, as a table; if there are none, a frame that plans fold away with all joined to it."""
+    table = written(rows, name)
+    return table.limit(0) if table.isEmpty() else table

@@ -22,7 +22,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str, ne
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).limit(0)  # known to be empty when a plan is made
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
