@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import explain, trees
+from tidewatch.operators import explain, prep, trees
 from tidewatch.plans.runs import Explain
 from tidewatch.spec import ExplainSpec
 
@@ -256,3 +256,10 @@ def test_nodes_of_fitted_models(spark, table, kind):
     spec = ExplainSpec.from_dict({"row_key": "id", "feature_columns": FEATURES, "num_samples": 5, "background_size": 8, "method": "tree"})
     local, importance = explain.explain(table, spec, explain.TreeScorer(nodes), binary=True)
     assert local.count() == 15 and importance.count() == 3
+
+
+def test_rows_of_a_fit_are_dealt_evenly_whatever_their_file(spark):
+    alike = spark.range(0, 2500, 1, 1).select(F.lit(1.0).alias("x"))
+    sizes = [len(p) for p in prep.dealt(alike, 1000).rdd.glom().collect()]
+    assert sorted(sizes) == [833, 833, 834]
+    assert prep.dealt(alike, 2500).rdd.getNumPartitions() == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.values import quoted
 
+#: Training rows of one task of a fit.
+ROWS_PER_TASK = 100_000
+
 
 def _bucket(key: str, seed: int, buckets: int) -> Column:
     """A bucket from the first 32 bits of the md5 of key and seed, which any engine can repeat."""
@@ -39,6 +43,15 @@ def interaction(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
     return df.withColumn(name, product)
 
 
+def dealt(df: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows of a fit, which keeps them in memory, over one task for every ``rows``; fewer stay as they lie.
+
+    A Parquet file of one row group is one task's work however long it is, and would stay one task's in every iteration.
+    """
+    tasks = math.ceil(df.count() / rows)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str, positive: object, max_iter: int = 100):
     """A logistic regression pipeline on the given features; standardised, unregularised."""
     from pyspark.ml import Pipeline
@@ -53,7 +66,7 @@ def fit_logistic(df: DataFrame, features: Sequence[str], label: str, positive: o
         VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip"),
         LogisticRegression(featuresCol="__features", labelCol="__label", maxIter=max_iter),
     ]
-    return Pipeline(stages=stages).fit(labelled)
+    return Pipeline(stages=stages).fit(dealt(labelled))
 
 
 def predict(model, df: DataFrame, positive: object, negative: object) -> DataFrame:

@@ -194,7 +194,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
             VectorAssembler(inputCols=FEATURES, outputCol="assembled"),
             GBTClassifier(featuresCol="assembled", labelCol="target", maxIter=5, maxDepth=3, seed=0),
         ]
-    ).fit(df)
+    ).fit(prep.dealt(df.select(*FEATURES, "target")))
     spec = ExplainSpec.from_dict({**BASE, "num_samples": 50, "background_size": 20})
     _, scores = explain.explain(df, spec, explain.PipelineScorer(model), binary=True)
     return tidy(scores, "feature", "importance")
