@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -380,6 +381,16 @@ def test_pairs_seen_once_count(spark):
     assert unseen == pytest.approx(np.log10([chance(0, 1, two), chance(0, two, two), chance(0, two, 1)]).sum(), rel=1e-9)
 
 
+def test_a_pass_over_the_documents_holds_a_portion_of_a_batch_at_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 700, None, "b" * 700, "", "c" * 5000, "d"])], ["doc_id", "text"])
+    parts = list(lm.portions_of(iter([batch, batch.slice(0, 0)]), "text", step=1000))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2, 3], [4, 5]]
+    values = np.arange(5, dtype=np.uint64)
+    kept = lm.binaries(values, np.array([2, 0, 3]))
+    assert [len(x) for x in kept.to_pylist()] == [16, 0, 24]
+    assert lm.flat_values(kept.slice(1), np.uint64).tolist() == [2, 3, 4]
+
+
 def test_main_text_without_content_elements():
     want = "Head & line\nFirst bold text, with stops. And more.\nSecond one <tag>. Line.\nOk.\nItem one\nItem two"
     assert html.main_text(PAGE.replace("{tag}", "div")) == want

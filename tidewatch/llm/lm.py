@@ -20,10 +20,12 @@ as empty text where rows are dealt by their ids' checksums; repeated rows count
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,8 +204,24 @@ SCORES = "doc_id bigint, text string, n_tokens bigint, n_known bigint, base_scor
 SCORES += ", tokens binary, word_levels binary, pair_levels binary"
 
 
-def joined(parts: list[bytes], kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), kind)
+def portions_of(batches: Batches, column: str, step: int = 1 << 20) -> Batches:
+    """The batches in portions of rows with about ``step`` bytes of a column, so that a task holds no more at once."""
+    for batch in batches:
+        group = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)) // step
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(begin, end - begin) for begin, end in zip(bounds, bounds[1:]) if end > begin)
+
+
+def flat_values(column: pa.BinaryArray, kind: type) -> np.ndarray:
+    """All values of a column of binaries, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The values as a column of binaries, as many in each as counted."""
+    ends = values.itemsize * np.concatenate([[0], np.cumsum(counts)])
+    data = values.tobytes()
+    return pa.array([data[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
 
 
 def score(docs: DataFrame, train: DataFrame, max_bits: int = 1 << 29, block_words: int = 8_000_000) -> DataFrame:
@@ -222,44 +240,43 @@ def score(docs: DataFrame, train: DataFrame, max_bits: int = 1 << 29, block_word
     for k in range(passes):
         mine = single.where(F.pmod("h", F.lit(passes)) == k).toArrow()
         h, c = mine["h"].to_numpy().view(np.uint64), mine["c"].to_numpy()
+        del mine
+        # Half the bytes for counts that need no more: each worker has a copy.
+        c = c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c
         order = np.argsort(h)
         known = spark.sparkContext.broadcast((h[order], c[order]))
         filters = spark.sparkContext.broadcast((words.share(k, passes), pairs.share(k, passes)))
-        del mine, h, c, order
+        del h, c, order
         last = k == passes - 1
 
         def add(batches: Batches, known=known, filters=filters, k=k, last=last) -> Batches:
+            gc.collect()  # a worker that is used again lets go of the pass before, and only then loads this one
             (hashes, counts), (word_filter, pair_filter) = known.value, filters.value
-            for batch in batches:
+            for batch in portions_of(batches, "text" if k == 0 else "tokens"):
                 sums = {c: batch.column(c).to_numpy().copy() for c in SUMS}
-                sofar, kept = [batch.column(c).to_pylist() for c in PER_TOKEN], [[] for _ in PER_TOKEN]
-                texts = texts_of(batch) if k == 0 else None
-                for begin, end in pieces(texts if k == 0 else sofar[0]):
-                    if k == 0:
-                        stream, each_count = token_stream(texts[begin:end])
-                        sums["n_tokens"][begin:end] = each_count
-                    else:
-                        stream, each_count = joined(sofar[0][begin:end], np.uint64), sums["n_tokens"][begin:end]
-                    owner = np.repeat(np.arange(end - begin), each_count)
-                    each, which = np.unique(stream, return_inverse=True)
-                    has, at = hits_of(each, hashes)
-                    seen = np.where(has, counts[at], 0) if len(counts) else np.zeros(len(each), np.int64)
-                    # A word of another block adds there what it has over a count of zero.
-                    plain = np.log10(seen + 1.0) - (math.log10(total + distinct + 1) if k == 0 else 0)
-                    sums["n_known"][begin:end] += np.bincount(owner, (seen > 0)[which], end - begin).astype(np.int64)
-                    sums["base_score"][begin:end] += np.bincount(owner, plain[which], end - begin)
-                    # An n-gram has its level in the share of its block and 0 in the others.
-                    mine = [word_filter.levels(each)[which], pair_filter.levels(pair_hashes(stream))]
-                    if k:
-                        mine = [m + joined(s[begin:end], np.uint8) for m, s in zip(mine, sofar[1:], strict=True)]
-                    if last:
-                        sums["score"][begin:end] += np.bincount(owner, log10(*mine, total, distinct), end - begin)
-                        continue
-                    bounds = np.cumsum(each_count)
-                    for own, m in zip(kept, [stream, *mine], strict=True):
-                        own += [m[b - n : b].tobytes() for b, n in zip(bounds, each_count, strict=True)]
                 rows = batch.num_rows
-                per_token = [pa.nulls(rows, pa.binary())] * 3 if last else [pa.array(x, pa.binary()) for x in kept]
+                if k == 0:
+                    stream, sums["n_tokens"] = token_stream(texts_of(batch))
+                else:
+                    stream = flat_values(batch.column("tokens"), np.uint64)
+                each_count = sums["n_tokens"]
+                owner = np.repeat(np.arange(rows), each_count)
+                each, which = np.unique(stream, return_inverse=True)
+                has, at = hits_of(each, hashes)
+                seen = np.where(has, counts[at], 0).astype(np.int64) if len(counts) else np.zeros(len(each), np.int64)
+                # A word of another block adds there what it has over a count of zero.
+                plain = np.log10(seen + 1.0) - (math.log10(total + distinct + 1) if k == 0 else 0)
+                sums["n_known"] += np.bincount(owner, (seen > 0)[which], rows).astype(np.int64)
+                sums["base_score"] += np.bincount(owner, plain[which], rows)
+                # An n-gram has its level in the share of its block and 0 in the others.
+                mine = [word_filter.levels(each)[which], pair_filter.levels(pair_hashes(stream))]
+                if k:
+                    mine = [m + flat_values(batch.column(c), np.uint8) for m, c in zip(mine, PER_TOKEN[1:], strict=True)]
+                if last:
+                    sums["score"] += np.bincount(owner, log10(*mine, total, distinct), rows)
+                    per_token = [pa.nulls(rows, pa.binary())] * 3
+                else:
+                    per_token = [binaries(m, each_count) for m in (stream, *mine)]
                 columns = [batch.column(0), pa.nulls(rows, pa.string()), *[pa.array(v) for v in sums.values()], *per_token]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
