@@ -381,6 +381,22 @@ def test_pairs_seen_once_count(spark):
     assert unseen == pytest.approx(np.log10([chance(0, 1, two), chance(0, two, two), chance(0, two, 1)]).sum(), rel=1e-9)
 
 
+def test_sketches_bound_what_sets_differ_by_and_spare_pairs_their_whole_sets(spark):
+    draw = np.random.default_rng(5)
+    pool = draw.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    for size, shared in ((1, 0), (40, 40), (200, 150), (300, 299), (600, 500), (2000, 1000)):
+        one, other = pool[:size], pool[size - shared : 2 * size - shared + size // 7]
+        differ = len(np.setxor1d(one, other))
+        assert 0 <= jaccard.apart(jaccard.sketch_of(one), jaccard.sketch_of(other)) <= differ
+        assert jaccard.apart(jaccard.sketch_of(one), jaccard.sketch_of(one)) == 0
+    sets = [pool[:400], pool[20:400], pool[150:550]]  # the second links with the first, the third with neither
+    rows = spark.createDataFrame([(k, bytearray(jaccard.sketch_of(x))) for k, x in enumerate(sets)], "cid long, sketch binary")
+    pairs = spark.createDataFrame([(0, 400, 1, 380), (0, 400, 2, 400), (1, 380, 2, 400)], "a long, na long, b long, nb long")
+    join = jaccard.Join(spark.createDataFrame([], "doc_id long, text string"), 5, 80, 100)
+    assert [tuple(r) for r in join.likely(pairs, rows).collect()] == [(0, 400, 1, 380)]
+    join.clear()
+
+
 def test_a_pass_over_the_documents_holds_a_portion_of_a_batch_at_once():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 700, None, "b" * 700, "", "c" * 5000, "d"])], ["doc_id", "text"])
     parts = list(lm.portions_of(iter([batch, batch.slice(0, 0)]), "text", step=1000))

@@ -7,8 +7,9 @@ order here puts columns first that have a word of no other document, which need
 columns last that a sample of the rows shows to be frequent, the most frequent at the very end. The sample is a fixed
 share of the rows, so a column counts as frequent from about the same number of rows on at every size; filters and
 sample decide about speed alone. Products of these leading parts are accumulated per pair of rows, and a pair is
-discarded as soon as its sizes, or its overlap so far plus all that can still come, miss the bound. What is left is
-completed with the rows' whole sets.
+discarded as soon as its sizes, or its overlap so far plus all that can still come, miss the bound. A sketch of each
+set, a bit for whether an odd number of its n-grams have a value, then bounds what two sets differ by from below: where
+sketches differ, so do the sets. Only pairs that this leaves are completed with the rows' whole sets.
 
 A group of k near copies never makes k * k pairs: in rounds, each column's rows are paired with one of them, found
 links join rows to components, and only pairs across components go on. Pairs that no round has joined are all
@@ -85,6 +86,22 @@ def key_of(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """A bit for each value of the hashes modulo a power of two above their number: whether an odd number have it."""
+    bits = max(256, 1 << len(hashes).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """The least number of hashes that are in one of two sets only, by their sketches."""
+    while len(a) != len(b):  # the halves of a sketch, taken together, are the sketch of half its size
+        a, b = sorted((a, b), key=len)
+        half = len(b) // 2
+        b = (int.from_bytes(b[:half], "little") ^ int.from_bytes(b[half:], "little")).to_bytes(half, "little")
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+
+
 def tag_of(key: bytes, doc_id: int) -> int:
     """A signed 64-bit mark of one document's set."""
     return xxhash.xxh3_64_intdigest(key + doc_id.to_bytes(8, "little", signed=True)) - (1 << 63)
@@ -166,15 +183,15 @@ class Join:
         return Filter(counts.where("c > 1"), "h")
 
     def marked(self) -> DataFrame:
-        """Every document's set: ``doc_id, n`` (its size), ``key`` (null: an empty set or no id), ``tag``, and the leading
-        columns that another row may have."""
+        """Every document's set: ``doc_id, n`` (its size), ``key`` (null: an empty set or no id), ``tag``, ``sketch``, and the
+        leading columns that another row may have."""
         shared = self.spark.sparkContext.broadcast((self.frequent(), self.seen_words()))
         num, den, size = self.num, self.den, self.n
 
         def make(batches: Batches) -> Batches:
             frequent, seen = shared.value
             for batch in batches:
-                ids, keys, tags, sizes, leads = batch.column(0), [], [], [], []
+                ids, keys, tags, sizes, leads, sketches = batch.column(0), [], [], [], [], []
                 for i, text in zip(ids.to_pylist(), texts_of(batch), strict=True):
                     hashes, alone = shingles(text, size, seen)
                     named = i is not None and len(hashes) > 0
@@ -186,16 +203,18 @@ class Join:
                     keys.append(key_of(hashes) if named else None)
                     tags.append(tag_of(keys[-1], i) if named else 0)
                     sizes.append(len(hashes))
-                columns = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tags, pa.int64()), flat(leads)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "tag", "lead"])
+                    sketches.append(sketch_of(hashes) if named else None)
+                columns = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tags, pa.int64()), pa.array(sketches, pa.binary()), flat(leads)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "tag", "sketch", "lead"])
 
-        return self.cut(self.rows.mapInArrow(make, "doc_id bigint, n bigint, key binary, tag bigint, lead array<bigint>"), "marked")
+        return self.cut(self.rows.mapInArrow(make, "doc_id bigint, n bigint, key binary, tag bigint, sketch binary, lead array<bigint>"), "marked")
 
     def classes(self, marked: DataFrame) -> DataFrame:
-        """Distinct sets: ``cid, key, rep`` (least id), ``tag`` of its document, ``n``, and their leading columns."""
+        """Distinct sets: ``cid, key, rep`` (least id), ``tag`` of its document, ``n``, ``sketch``, and their leading columns."""
         first = F.min(F.struct("doc_id", "tag"))
-        one = marked.where("key is not null").groupBy("key").agg(first.alias("d"), F.first("n").alias("n"), F.first("lead").alias("lead"))
-        return self.cut(one.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("d.doc_id").alias("rep"), F.col("d.tag").alias("tag"), "n", "lead"), "classes")
+        one = marked.where("key is not null").groupBy("key").agg(first.alias("d"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("lead").alias("lead"))
+        named = F.monotonically_increasing_id().alias("cid"), "key", F.col("d.doc_id").alias("rep"), F.col("d.tag").alias("tag")
+        return self.cut(one.select(*named, "n", "sketch", "lead"), "classes")
 
     def postings(self, classes: DataFrame) -> DataFrame:
         """Rows with their leading columns that more than one row has: ``cid, n, lead``, how many these are (``shared``)
@@ -294,12 +313,30 @@ class Join:
             drop(table)
         return pairs
 
-    def sets_of(self, pairs: DataFrame, classes: DataFrame, known: DataFrame | None) -> DataFrame:
+    def ends(self, pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+
+    def likely(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """The pairs whose sketches leave it open whether they link; any that does link is among them."""
+        num, den = self.num, self.den
+
+        def keep(batches: Batches) -> Batches:
+            for batch in batches:
+                differ = np.array([apart(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
+                both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+                # The overlap is at most half of what both have less what they differ by.
+                yield batch.select(["a", "na", "b", "nb"]).filter(pa.array((both - differ) * (num + den) >= 2 * both * num))
+
+        mine, other = rows.select(F.col("cid").alias("a"), F.col("sketch").alias("sa")), rows.select(F.col("cid").alias("b"), F.col("sketch").alias("sb"))
+        both = pairs.join(mine, "a").join(other, "b").select("a", "na", "b", "nb", "sa", "sb")
+        return self.cut(both.mapInArrow(keep, "a bigint, na bigint, b bigint, nb bigint"), "likely")
+
+    def sets_of(self, pairs: DataFrame, rows: DataFrame, known: DataFrame | None) -> DataFrame | None:
         """Whole sets ``cid, hashes`` of all rows in pairs; those not known yet are read from their documents."""
-        ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+        ends = self.ends(pairs)
         if known is not None:
             ends = ends.join(known.select("cid"), "cid", "left_anti")
-        wanted = self.cut(ends.join(classes.select("cid", "tag", "rep"), "cid"), "wanted")
+        wanted = self.cut(ends.join(rows.select("cid", "tag", "rep"), "cid"), "wanted")
         if wanted.isEmpty():
             return known
         shared, n = self.spark.sparkContext.broadcast(Filter(wanted, "rep")), self.n
@@ -342,10 +379,14 @@ class Join:
                 turn = ROUNDS if turn < ROUNDS else turn + 1
                 continue
             turn += 1
-            sets = self.sets_of(pairs, classes, sets)
-            found = self.cut(self.links(pairs, sets), "links")
-            edges = found if edges is None else edges.union(found)
             tested = pairs if tested is None else tested.union(pairs)
+            rows = self.cut(self.ends(pairs).join(classes.select("cid", "tag", "rep", "sketch"), "cid"), "ends")
+            likely = self.likely(pairs, rows)
+            sets = self.sets_of(likely, rows, sets)
+            if sets is None:  # no pair so far may link
+                continue
+            found = self.cut(self.links(likely, sets), "links")
+            edges = found if edges is None else edges.union(found)
             roots = components(edges)
             self.written.append(roots)
         return self.spark.createDataFrame([], "node bigint, root bigint") if roots is None else roots
