@@ -260,6 +260,32 @@ def test_groups_are_those_of_all_pairs(spark, seed, rounds, few, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
 
 
+@pytest.mark.parametrize(("seed", "more", "few"), [(3, 0, True), (4, 3, True), (5, 1000, True), (6, 3, False)])
+def test_few_pairs_come_straight_from_columns(spark, seed, more, few, monkeypatch):
+    monkeypatch.setattr(jaccard, "MORE_IN_COMMON", more)
+    if not few:
+        monkeypatch.setattr(jaccard, "FEW_PAIRS", 0)
+        monkeypatch.setattr(jaccard, "PAIRS_PER_ENTRY", -1)
+    monkeypatch.setattr(jaccard.Join, "all_pairs" if few else "column_pairs", None)
+    rows = near_copies(seed)
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+
+
+def test_word_hashes_of_many_texts(monkeypatch):
+    long = "x" * 1000
+    texts = ["", " ", "a", "A b\tB a", "\ud800 x", "É é    b", f"{long} {long}y {long[1:]}", "a\x1cb c\x85d", "\x0b\x0c\ta", "ab" * 4, "ab" * 4 + "c", "a b c d e a b c d e f", "\x00 \x00\x00"]
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode("utf-8", "surrogatepass")).split() for t in texts]
+    hashes, ends = jaccard.word_hashes(texts)
+    assert ends.tolist() == np.cumsum([len(w) for w in words]).tolist()
+    flat = [w for some in words for w in some]
+    assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+    whole = [h.tolist() for h, _ in jaccard.shingles(texts, 3)]
+    assert [len(h) for h in whole] == [len({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}) if w else 0 for w in words]
+    monkeypatch.setattr(jaccard, "TEXT_STEP", 1)  # each text by itself
+    assert whole == [h.tolist() for h, _ in jaccard.shingles(texts, 3)]
+
+
 def test_groups_of_odd_tables(spark, docs, none):
     found = jaccard.near_duplicates(docs).collect()
     assert len(found) == docs.count()

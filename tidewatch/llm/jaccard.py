@@ -22,7 +22,7 @@ and are kept by ``keep_one``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,55 +31,88 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Batches, cut, drop, mixed, texts_of
+from tidewatch.llm.common import Batches, cut, drop, mixed, ranges, texts_of
 from tidewatch.llm.components import components
 from tidewatch.llm.langid import pieces
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers, one for each word of an n-gram.
 STEPS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-MOST_WORDS = 200_000
+#: An odd multiplier of a word's portions of eight bytes, and masks of the bytes that its last one has.
+PORTION = np.uint64(0x9FB21C651E98DF25)
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of words that are hashed all at once; longer ones are hashed one by one.
+LONG_WORD = 256
+#: Characters of whole texts that are taken apart at once.
+TEXT_STEP = 1 << 20
 #: Bits of a filter that is broadcast: 8 MB whatever the input's size; a fuller filter lets more pass, never less.
 FILTER_BITS = 26
 #: The share of rows in the sample, and the hits in it from which a column is frequent, or very frequent.
 SAMPLE, SAMPLE_HITS = 1 / 16, (3, 64)
 BLOCK_ROWS = 2048
-#: At most so many rounds of one pair per entry; the last one, of all pairs left, begins once they are few.
-ROUNDS, PAIRS_PER_ENTRY = 4, 8
+#: At most so many rounds of one pair per entry; the last one, of all pairs left, begins once they are few: so many for
+#: each entry, or so many in all, which take less time than another round.
+ROUNDS, PAIRS_PER_ENTRY, FEW_PAIRS = 4, 8, 1 << 23
+#: Columns besides one that a pair has to share among those first in both rows, where their sizes allow it: more of them
+#: leave fewer pairs that do not link, and take longer leading parts.
+MORE_IN_COMMON = 3
 
 
-class Hashes(dict):
-    """64-bit hashes by word; emptied when full."""
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of all texts, one after the other, and where each text's words end.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = Hashes()
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(text: str, n: int, seen: Filter | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct hashes of a text's n-grams; with a filter of words that more texts have, also whether an
-    n-gram has a word that no other text has."""
-    words = word_hashes(text)
-    size = min(n, len(words))
-    count = len(words) - size + 1 if len(words) else 0
-    total = np.full(count, size, np.uint64)
-    for j in range(size):
-        total += words[j : j + count] * STEPS[j]
-    if seen is None:
-        return np.unique(mixed(total))
-    own = np.concatenate([[0], np.cumsum(~seen.may_have(words))])
-    hashes, at = np.unique(mixed(total), return_index=True)
-    return hashes, (own[size:] > own[: len(own) - size])[at] if count else np.zeros(0, bool)
+    A word's bytes are taken eight at a time, for all words together; words of up to eight bytes have no hash in common.
+    """
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer((b" " + b" ".join(parts) + b" " * 9).lower(), np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    hashes = mixed(size.astype(np.uint64))
+    left = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(left):
+        some = eights[begin[left] + at] & MASKS[np.minimum(size[left] - at, 8)]
+        hashes[left] = mixed(hashes[left] + some * PORTION)
+        at += 8
+        left = left[size[left] > at]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(data[begin[k] : begin[k] + size[k]])
+    ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
+    return hashes, np.searchsorted(begin, ends + 1)
+
+
+def distinct(values: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and the marks that they have."""
+    order = np.argsort(values)
+    values = values[order]
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first], mark[order][first]
+
+
+def shingles(texts: list[str], n: int, seen: Filter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the sorted distinct hashes of its n-grams; with a filter of words that more texts have, also whether
+    an n-gram has a word that no other text has."""
+    for first, last in pieces(texts, TEXT_STEP):
+        words, ends = word_hashes(texts[first:last])
+        own = np.concatenate([[0], np.cumsum(~seen.may_have(words))]) if seen else np.zeros(len(words) + 1, np.int64)
+        many = max(len(words) - n + 1, 0)
+        total = np.full(many, n, np.uint64)
+        for j in range(n):
+            total += words[j : j + many] * STEPS[j]
+        total, alone = mixed(total), own[n:] > own[: len(own) - n] if many else np.zeros(0, bool)
+        begin = 0
+        for end in ends.tolist():
+            size = end - begin
+            if size >= n:
+                yield distinct(total[begin : end - n + 1], alone[begin : end - n + 1])
+            elif size:
+                whole = np.uint64(size) + (words[begin:end] * STEPS[:size]).sum(dtype=np.uint64)
+                yield mixed(np.array([whole])), np.array([own[end] > own[begin]])
+            else:
+                yield np.zeros(0, np.uint64), np.zeros(0, bool)
+            begin = end
 
 
 def key_of(hashes: np.ndarray) -> bytes:
@@ -155,7 +188,7 @@ class Join:
 
         def run(batches: Batches) -> Batches:
             for batch in batches:
-                sets = [shingles(t, n) for t in texts_of(batch)]
+                sets = [h for h, _ in shingles(texts_of(batch), n)]
                 yield pa.RecordBatch.from_arrays(make(batch.column("doc_id").to_pylist(), sets), names)
 
         return (self.rows if rows is None else rows).mapInArrow(run, schema)
@@ -176,7 +209,11 @@ class Join:
             for batch in batches:
                 texts = texts_of(batch)
                 for begin, end in pieces(texts, 1 << 24):
-                    h, c = np.unique(np.concatenate([np.unique(word_hashes(t)) for t in texts[begin:end]]), return_counts=True)
+                    own = []
+                    for first, last in pieces(texts[begin:end], TEXT_STEP):
+                        words, ends = word_hashes(texts[begin + first : begin + last])
+                        own += map(np.unique, np.split(words, ends[:-1]))
+                    h, c = np.unique(np.concatenate(own), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
         counts = self.rows.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
@@ -184,16 +221,15 @@ class Join:
 
     def marked(self) -> DataFrame:
         """Every document's set: ``doc_id, n`` (its size), ``key`` (null: an empty set or no id), ``tag``, ``sketch``, and the
-        leading columns that another row may have."""
+        leading columns that another row may have, behind ``own`` ones that none has."""
         shared = self.spark.sparkContext.broadcast((self.frequent(), self.seen_words()))
         num, den, size = self.num, self.den, self.n
 
         def make(batches: Batches) -> Batches:
             frequent, seen = shared.value
             for batch in batches:
-                ids, keys, tags, sizes, leads, sketches = batch.column(0), [], [], [], [], []
-                for i, text in zip(ids.to_pylist(), texts_of(batch), strict=True):
-                    hashes, alone = shingles(text, size, seen)
+                ids, keys, tags, sizes, owns, leads, sketches = batch.column(0), [], [], [], [], [], []
+                for i, (hashes, alone) in zip(ids.to_pylist(), shingles(texts_of(batch), size, seen), strict=True):
                     named = i is not None and len(hashes) > 0
                     # All but the overlap it needs with any set, and one; columns of its own come first and match nothing.
                     lead = len(hashes) + len(hashes) * -num // den + 1 - int(alone.sum()) if named else 0
@@ -203,40 +239,48 @@ class Join:
                     keys.append(key_of(hashes) if named else None)
                     tags.append(tag_of(keys[-1], i) if named else 0)
                     sizes.append(len(hashes))
+                    owns.append(int(alone.sum()))
                     sketches.append(sketch_of(hashes) if named else None)
-                columns = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tags, pa.int64()), pa.array(sketches, pa.binary()), flat(leads)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "tag", "sketch", "lead"])
+                columns = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tags, pa.int64()), pa.array(sketches, pa.binary()), pa.array(owns, pa.int32()), flat(leads)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "tag", "sketch", "own", "lead"])
 
-        return self.cut(self.rows.mapInArrow(make, "doc_id bigint, n bigint, key binary, tag bigint, sketch binary, lead array<bigint>"), "marked")
+        return self.cut(self.rows.mapInArrow(make, "doc_id bigint, n bigint, key binary, tag bigint, sketch binary, own int, lead array<bigint>"), "marked")
 
     def classes(self, marked: DataFrame) -> DataFrame:
-        """Distinct sets: ``cid, key, rep`` (least id), ``tag`` of its document, ``n``, ``sketch``, and their leading columns."""
+        """Distinct sets: ``cid, key, rep`` (least id), ``tag`` of its document, ``n``, ``sketch``, ``own``, and their leading columns."""
         first = F.min(F.struct("doc_id", "tag"))
-        one = marked.where("key is not null").groupBy("key").agg(first.alias("d"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("lead").alias("lead"))
+        one = marked.where("key is not null").groupBy("key").agg(first.alias("d"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("own").alias("own"), F.first("lead").alias("lead"))
         named = F.monotonically_increasing_id().alias("cid"), "key", F.col("d.doc_id").alias("rep"), F.col("d.tag").alias("tag")
-        return self.cut(one.select(*named, "n", "sketch", "lead"), "classes")
+        return self.cut(one.select(*named, "n", "sketch", "own", "lead"), "classes")
 
-    def postings(self, classes: DataFrame) -> DataFrame:
-        """Rows with their leading columns that more than one row has: ``cid, n, lead``, how many these are (``shared``)
-        and how many rows they have in all (``weight``)."""
-        entries = classes.select("cid", "n", F.explode("lead").alias("s"))
-        often = cut(entries.groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") > 1), "columns")
+    def columns(self, classes: DataFrame) -> DataFrame:
+        """Leading columns that more than one row has: ``s``, and how many rows have it (``k``)."""
+        entries = classes.select(F.explode("lead").alias("s"))
+        return self.cut(entries.groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") > 1), "columns")
+
+    def shared_entries(self, classes: DataFrame, often: DataFrame) -> DataFrame:
+        """``cid, n, s`` for the leading columns of rows that more than one row has, and for few others; ``at`` is a
+        column's place among those of the row."""
         shared = self.spark.sparkContext.broadcast(Filter(often, "s"))
 
         def likely(batches: Batches) -> Batches:
             for batch in batches:
                 lead = batch.column("lead")
-                values, owner = lead.flatten().to_numpy(), np.repeat(np.arange(len(lead)), pc.list_value_length(lead).to_numpy())
+                counts = pc.list_value_length(lead).to_numpy()
+                values, owner = lead.flatten().to_numpy(), np.repeat(np.arange(len(lead)), counts)
+                at = (ranges(counts) + batch.column("own").to_numpy()[owner]).astype(np.int32)
                 pick = shared.value.may_have(values)
                 rows = pa.array(owner[pick])
-                yield pa.RecordBatch.from_arrays([batch.column("cid").take(rows), batch.column("n").take(rows), pa.array(values[pick])], ["cid", "n", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column("cid").take(rows), batch.column("n").take(rows), pa.array(values[pick]), pa.array(at[pick])], ["cid", "n", "s", "at"])
 
-        # Most entries are of columns that no other row has; the filter spares them the shuffle of the join.
-        some = classes.select("cid", "n", "lead").mapInArrow(likely, "cid bigint, n bigint, s bigint")
-        per_row = some.join(often, "s").groupBy("cid").agg(F.first("n").alias("n"), F.collect_list("s").alias("lead"), F.count("*").alias("shared"), F.sum("k").alias("weight"))
-        postings = self.cut(per_row, "postings")
-        drop(often)
-        return postings
+        # Most entries are of columns that no other row has; the filter spares them the shuffle of the joins.
+        return classes.select("cid", "n", "own", "lead").mapInArrow(likely, "cid bigint, n bigint, s bigint, at int")
+
+    def postings(self, some: DataFrame, often: DataFrame) -> DataFrame:
+        """Rows with their leading columns that more than one row has: ``cid, n, lead``, how many these are (``shared``)
+        and how many rows they have in all (``weight``)."""
+        per_row = some.join(often, "s").groupBy("cid").agg(F.first("n").alias("n"), F.collect_list(F.struct("s", "at")).alias("lead"), F.count("*").alias("shared"), F.sum("k").alias("weight"))
+        return self.cut(per_row, "postings")
 
     def sizes_fit(self) -> Column:
         return F.least("na", "nb") * self.den >= F.greatest("na", "nb") * self.num
@@ -256,7 +300,7 @@ class Join:
 
     def entries(self, postings: DataFrame, roots: DataFrame | None) -> DataFrame:
         """A row for each column of a row, its root joined once a row."""
-        return self.with_roots(postings, roots).select("cid", "n", "shared", "weight", "root", F.explode("lead").alias("s"))
+        return self.with_roots(postings, roots).select("cid", "n", "shared", "weight", "root", F.inline("lead"))
 
     def star_pairs(self, entries: DataFrame, turn: int) -> DataFrame:
         """Each column's rows with one of them, across components: first the row that shares most, then any."""
@@ -270,8 +314,29 @@ class Join:
         """Whether the pairs across components are no more than a few for each entry."""
         own = entries.groupBy("s", "root").agg(F.count("*").alias("c"))
         open_pairs = own.groupBy("s").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        sums = open_pairs.agg(F.sum("k").alias("entries"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
-        return (sums["pairs"] or 0) <= PAIRS_PER_ENTRY * (sums["entries"] or 0)
+        return self.few(open_pairs.agg(F.sum("k").alias("entries"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")))
+
+    def few(self, sums: DataFrame) -> bool:
+        """Whether so many ``pairs`` are no more than a few for each of the ``entries``, or few at any size."""
+        found = sums.first()
+        return (found["pairs"] or 0) <= max(FEW_PAIRS, PAIRS_PER_ENTRY * (found["entries"] or 0))
+
+    def column_pairs(self, entries: DataFrame) -> DataFrame:
+        """All pairs of rows with enough columns in common that are in different components, each column's rows with each
+        other: for columns whose pairs are few.
+
+        Rows of sizes na and nb link with ``need`` columns in common. Behind the first ``more + 1`` of these are the others
+        in both rows, so these have places up to ``na - need + more`` and ``nb - need + more``, which are leading ones.
+        """
+        one, other = ([F.col(c).alias(x) for c, x in (("cid", i), ("n", "n" + i), ("root", "r" + i), ("at", "at" + i))] for i in "ab")
+        ceiled = lambda x, by: F.floor((x + (by - 1)) / by)
+        need = ceiled((F.col("na") + F.col("nb")) * self.num, self.num + self.den)
+        more = F.least(F.lit(MORE_IN_COMMON), need - ceiled(F.greatest("na", "nb") * self.num, self.den))
+        leading = (F.col("ata") <= F.col("na") - need + more) & (F.col("atb") <= F.col("nb") - need + more)
+        both = entries.select("s", *one).join(entries.select("s", *other), "s")
+        both = both.where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & self.sizes_fit() & leading)
+        overlaps = both.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("overlap"))
+        return overlaps.where(F.col("overlap") > more).select("a", "na", "b", "nb")
 
     def all_pairs(self, entries: DataFrame) -> DataFrame:
         """All pairs of rows with a column in common that are still in different components, by blocks of the product.
@@ -280,6 +345,7 @@ class Join:
         all. Rows that share their heaviest column's central row are multiplied together, in blocks of at most about
         BLOCK_ROWS rows on either side; a block's task accumulates overlaps and emits what its bound leaves.
         """
+        entries = entries.drop("at")
         many = entries.groupBy("s").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("s")
         rows = cut(entries.join(many, "s", "left_semi"), "open")
         largest = rows.groupBy("s", "root").agg(F.count("*").alias("c")).groupBy("s").agg(F.max(F.struct("c", "root")).alias("top"))
@@ -346,7 +412,7 @@ class Join:
                 ids = np.array([0 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
                 pick = np.flatnonzero(shared.value.may_have(ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
                 texts = batch.column(1)
-                sets = [shingles(texts[k].as_py() or "", n) for k in pick.tolist()]
+                sets = [h for h, _ in shingles([texts[k].as_py() or "" for k in pick.tolist()], n)]
                 tags = np.array([tag_of(key_of(s), i) for s, i in zip(sets, ids[pick].tolist(), strict=True)], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tags), flat(sets)], ["tag", "hashes"])
 
@@ -364,14 +430,18 @@ class Join:
 
     def roots(self, classes: DataFrame) -> DataFrame:
         """``node, root`` for every row that links to another."""
-        postings = self.postings(classes)
+        often = self.columns(classes)
+        some = self.shared_entries(classes, often)
+        k = F.col("k")
+        few = self.few(often.agg(F.sum("k").alias("entries"), F.sum(k * (k - 1) / 2).alias("pairs")))
+        postings = None if few else self.postings(some, often)
         edges = tested = roots = sets = None
-        turn = 0
+        turn = ROUNDS if few else 0
         while turn <= ROUNDS:
-            entries = self.entries(postings, roots)
-            if turn < ROUNDS and self.few_left(entries):
-                turn = ROUNDS
-            pairs = self.star_pairs(entries, turn) if turn < ROUNDS else self.all_pairs(entries)
+            entries = some.withColumn("root", F.col("cid")) if postings is None else self.entries(postings, roots)
+            if 0 < turn < ROUNDS and self.few_left(entries):
+                few, turn = True, ROUNDS
+            pairs = self.star_pairs(entries, turn) if turn < ROUNDS else self.column_pairs(entries) if few else self.all_pairs(entries)
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
             pairs = self.cut(pairs, "pairs")

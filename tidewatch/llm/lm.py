@@ -31,9 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Batches, cut, drop, hits_of, mixed, texts_of
-from tidewatch.llm.jaccard import word_hashes
 from tidewatch.llm.langid import pieces
 
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+MOST_WORDS = 200_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 LEVEL = 0x9E3779B97F4A7C15
@@ -43,6 +44,24 @@ OWNERS = 4096  # groups of blocks; the filter has a multiple of so many blocks
 MIX, HALF = 0.4, 10
 
 
+class Hashes(dict):
+    """64-bit hashes by word; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+HASHES = Hashes()
+
+
+def word_hashes(text: str) -> np.ndarray:
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+
+
 def token_stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text followed by the end mark, and the number of tokens of each."""
     parts, counts = [], np.empty(len(texts), np.int64)
