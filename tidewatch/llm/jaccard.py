@@ -13,7 +13,8 @@ sketches differ, so do the sets. Only pairs that this leaves are completed with
 
 A group of k near copies never makes k * k pairs: in rounds, each column's rows are paired with one of them, found
 links join rows to components, and only pairs across components go on. Pairs that no round has joined are all
-compared in the last one, so no link that changes a component is lost.
+compared in the last one, so no link that changes a component is lost. Where few pairs have a column in common, they come
+straight from the columns, without rounds and blocks.
 
 Defined results: null and empty texts have an empty set and are linked with nothing, as are rows without an id; a
 text of fewer words is one n-gram; rows with one id and one text are one document; other columns are not needed,
