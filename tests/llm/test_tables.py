@@ -272,6 +272,26 @@ def test_few_pairs_come_straight_from_columns(spark, seed, more, few, monkeypatc
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
 
 
+def test_a_group_of_copies_is_not_paired_column_by_column(spark, monkeypatch):
+    words = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join([*words[: 5 * i], f"x{i}", *words[5 * i + 1 :]] if i else words)) for i in range(30)]
+    seen, pairs = [], jaccard.Join.column_pairs
+    monkeypatch.setattr(jaccard.Join, "column_pairs", lambda self, entries: seen.append(pairs(self, entries).count()) or pairs(self, entries))
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+    assert sum(seen) < len(rows)
+
+
+def test_one_of_a_group_is_kept_without_dealing_out_texts(spark):
+    rows = [(i, f"{i // 2} " + " ".join(f"w{i // 2}x{k}" for k in range(30))) for i in range(10)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "hashpartitioning(doc_id" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6, 8]
+    again = [*rows, rows[0], (0, "other words"), (1, "more of these"), (None, "a b"), (None, "a b"), (None, None)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(spark.createDataFrame(again, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([*[rows[i] for i in (0, 2, 4, 6, 8)], (0, "other words"), (1, rows[1][1]), (1, "more of these"), (None, "a b"), (None, "a b"), (None, None)], key=str)
+
+
 def test_word_hashes_of_many_texts(monkeypatch):
     long = "x" * 1000
     texts = ["", " ", "a", "A b\tB a", "\ud800 x", "É é    b", f"{long} {long}y {long[1:]}", "a\x1cb c\x85d", "\x0b\x0c\ta", "ab" * 4, "ab" * 4 + "c", "a b c d e a b c d e f", "\x00 \x00\x00"]

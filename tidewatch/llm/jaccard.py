@@ -14,7 +14,7 @@ sketches differ, so do the sets. Only pairs that this leaves are completed with
 A group of k near copies never makes k * k pairs: in rounds, each column's rows are paired with one of them, found
 links join rows to components, and only pairs across components go on. Pairs that no round has joined are all
 compared in the last one, so no link that changes a component is lost. Where few pairs have a column in common, they come
-straight from the columns, without rounds and blocks.
+straight from the columns, without blocks, behind one round on the first columns of each row.
 
 Defined results: null and empty texts have an empty set and are linked with nothing, as are rows without an id; a
 text of fewer words is one n-gram; rows with one id and one text are one document; other columns are not needed,
@@ -56,6 +56,8 @@ ROUNDS, PAIRS_PER_ENTRY, FEW_PAIRS = 4, 8, 1 << 23
 #: Columns besides one that a pair has to share among those first in both rows, where their sizes allow it: more of them
 #: leave fewer pairs that do not link, and take longer leading parts.
 MORE_IN_COMMON = 3
+#: Columns of a row that the round before pairs straight from the columns looks at.
+FIRST_COLUMNS = 16
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +263,7 @@ class Join:
 
     def shared_entries(self, classes: DataFrame, often: DataFrame) -> DataFrame:
         """``cid, n, s`` for the leading columns of rows that more than one row has, and for few others; ``at`` is a
-        column's place among those of the row."""
+        column's place among those of the row, ``turn`` its place among these leading ones, of which there are ``shared``."""
         shared = self.spark.sparkContext.broadcast(Filter(often, "s"))
 
         def likely(batches: Batches) -> Batches:
@@ -271,11 +273,13 @@ class Join:
                 values, owner = lead.flatten().to_numpy(), np.repeat(np.arange(len(lead)), counts)
                 at = (ranges(counts) + batch.column("own").to_numpy()[owner]).astype(np.int32)
                 pick = shared.value.may_have(values)
-                rows = pa.array(owner[pick])
-                yield pa.RecordBatch.from_arrays([batch.column("cid").take(rows), batch.column("n").take(rows), pa.array(values[pick]), pa.array(at[pick])], ["cid", "n", "s", "at"])
+                rows, mine = pa.array(owner[pick]), np.bincount(owner[pick], minlength=len(lead))
+                columns = [batch.column("cid").take(rows), batch.column("n").take(rows), pa.array(values[pick]), pa.array(at[pick])]
+                columns += [pa.array(x.astype(np.int32)) for x in (ranges(mine), np.repeat(mine, mine))]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "n", "s", "at", "turn", "shared"])
 
         # Most entries are of columns that no other row has; the filter spares them the shuffle of the joins.
-        return classes.select("cid", "n", "own", "lead").mapInArrow(likely, "cid bigint, n bigint, s bigint, at int")
+        return classes.select("cid", "n", "own", "lead").mapInArrow(likely, "cid bigint, n bigint, s bigint, at int, turn int, shared int")
 
     def postings(self, some: DataFrame, often: DataFrame) -> DataFrame:
         """Rows with their leading columns that more than one row has: ``cid, n, lead``, how many these are (``shared``)
@@ -311,16 +315,27 @@ class Join:
         pairs = pairs.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lead.cid").alias("b"), F.col("lead.n").alias("nb"), F.least("shared", "lead.shared").alias("overlap"))
         return pairs.where(self.sizes_fit() & self.can_reach(F.col("overlap"))).select(*ordered()).distinct()
 
+    def first_pairs(self, some: DataFrame) -> DataFrame:
+        """Each column's rows with the one of them that shares most, by the first columns of every row.
+
+        Copies have most of these in common, so nearly all of a group are linked here by a pair or a few a row; what
+        is not, the pairs of all columns find."""
+        first = some.where(F.col("turn") < FIRST_COLUMNS).select("s", "cid", "n", "shared")
+        lead = first.groupBy("s").agg(F.max(F.struct("shared", "cid", "n")).alias("lead"))
+        pairs = first.join(lead, "s").where(F.col("cid") != F.col("lead.cid"))
+        pairs = pairs.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lead.cid").alias("b"), F.col("lead.n").alias("nb"))
+        return pairs.where(self.sizes_fit()).select(*ordered()).distinct()
+
     def few_left(self, entries: DataFrame) -> bool:
         """Whether the pairs across components are no more than a few for each entry."""
         own = entries.groupBy("s", "root").agg(F.count("*").alias("c"))
         open_pairs = own.groupBy("s").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        return self.few(open_pairs.agg(F.sum("k").alias("entries"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")))
+        sums = open_pairs.agg(F.sum("k").alias("entries"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
+        return self.few(sums["pairs"] or 0, sums["entries"] or 0)
 
-    def few(self, sums: DataFrame) -> bool:
-        """Whether so many ``pairs`` are no more than a few for each of the ``entries``, or few at any size."""
-        found = sums.first()
-        return (found["pairs"] or 0) <= max(FEW_PAIRS, PAIRS_PER_ENTRY * (found["entries"] or 0))
+    def few(self, pairs: float, entries: int) -> bool:
+        """Whether so many pairs are no more than a few for each of the entries, or few at any size."""
+        return pairs <= max(FEW_PAIRS, PAIRS_PER_ENTRY * entries)
 
     def column_pairs(self, entries: DataFrame) -> DataFrame:
         """All pairs of rows with enough columns in common that are in different components, each column's rows with each
@@ -423,6 +438,7 @@ class Join:
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that link, their overlaps completed from whole sets, as edges."""
+        sets = sets.join(self.ends(pairs), "cid", "left_semi")
         mine, other = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
         overlap = F.size(F.array_intersect("ha", "hb"))
         both = pairs.join(mine, "a").join(other, "b")
@@ -434,15 +450,20 @@ class Join:
         often = self.columns(classes)
         some = self.shared_entries(classes, often)
         k = F.col("k")
-        few = self.few(often.agg(F.sum("k").alias("entries"), F.sum(k * (k - 1) / 2).alias("pairs")))
+        sums = often.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("entries"), F.coalesce(F.sum(k * (k - 1) / 2), F.lit(0)).alias("pairs")).first()
+        few = self.few(sums["pairs"], sums["entries"])
         postings = None if few else self.postings(some, often)
         edges = tested = roots = sets = None
-        turn = ROUNDS if few else 0
+        # Where hardly a column has more than two rows, a round would only repeat the pairs.
+        turn = 0 if not few else max(0, ROUNDS - 1) if sums["pairs"] > sums["entries"] else ROUNDS
         while turn <= ROUNDS:
-            entries = some.withColumn("root", F.col("cid")) if postings is None else self.entries(postings, roots)
-            if 0 < turn < ROUNDS and self.few_left(entries):
+            entries = self.with_roots(some, roots) if postings is None else self.entries(postings, roots)
+            if postings is not None and 0 < turn < ROUNDS and self.few_left(entries):
                 few, turn = True, ROUNDS
-            pairs = self.star_pairs(entries, turn) if turn < ROUNDS else self.column_pairs(entries) if few else self.all_pairs(entries)
+            if turn == ROUNDS:
+                pairs = self.column_pairs(entries) if few else self.all_pairs(entries)
+            else:
+                pairs = self.star_pairs(entries, turn) if postings is not None else self.first_pairs(some)
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
             pairs = self.cut(pairs, "pairs")
@@ -519,8 +540,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each group, the one of least id, with all columns. Documents without an id all stay."""
     join = Join(docs, n, num, den)
-    first = join.run().where(F.col("doc_id") == F.col("component_id"))
-    found = cut(first.select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    per_id = join.run().groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("__stays"), F.count("*").alias("__rows"))
+    # Only ids that go, and the few that more rows have, are joined: the texts of all others stay where they are.
+    others = per_id.where("doc_id IS NOT NULL AND (NOT __stays OR __rows > 1)").select(F.col("doc_id").alias("__kept"), "__stays")
+    others = cut(others, "kept")
     join.clear()
-    named = docs.where(F.col("doc_id").isNotNull()).join(found, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    named, same = docs.where(F.col("doc_id").isNotNull()), F.col("doc_id") == F.col("__kept")
+    kept = named.join(others, same, "left_anti").unionByName(docs.where(F.col("doc_id").isNull()))
+    repeated = others.where("__stays")
+    return kept if repeated.isEmpty() else kept.unionByName(named.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
