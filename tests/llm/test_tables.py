@@ -546,3 +546,19 @@ def test_main_text_with_other_columns_and_ties(spark):
     out = html.extract(pages).collect()
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in out) == [(1, "", 0), (1, f"{LONG}\n{LONG}", 2 * len(LONG) + 1), (2, "", 0)]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_words_met_again_after_as_many_others_are_not_encoded_again():
+    words, many = Encoder(BYTE, "led").words, 260_000
+    for kind in "ab":
+        words.fill({f"{kind}{k}" for k in range(0, many, 2)})
+        words.fill({f"{kind}{k}" for k in range(1, many, 2)})
+    calls, words.encode = [], lambda texts: calls.extend(texts) or []
+    assert words.fill({f"a{k}" for k in range(many)}) == [] and not calls
+
+
+def test_long_words_are_not_kept():
+    words, long = Encoder(BYTE, "led").words, "y" * (LONGEST_KEPT + 1)
+    assert words.fill({"x", long}) == [long] and set(words) == {"x", long}
+    words.forget([long])
+    assert set(words) == {"x"}

@@ -99,7 +99,7 @@ class LedWords(Recent):
     """
 
     def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
+        super().__init__(2 * MOST_WORDS)
         self.tokenizer = tokenizer
         vocabulary = tokenizer.get_vocab()
         self.led = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -109,8 +109,8 @@ class LedWords(Recent):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def fill(self, words: set[str]) -> None:
-        """Have all these words, until the next call."""
+    def fill(self, words: set[str]) -> list[str]:
+        """Have all these words, until the next call; those too long to be kept are returned, for ``forget``."""
         self.turn()
         missing = list(filterfalse(self.__contains__, words))
         self.update((w, self.old[w]) for w in missing if w in self.old)
@@ -127,10 +127,10 @@ class LedWords(Recent):
                 self.update((w, data[a:b]) for w, a, b in zip(some, bounds, bounds[1:]))
             else:
                 self.update(zip(some, self.encode([" " + w for w in some]), strict=True))
+        return [w for w in alone if len(w) > LONGEST_KEPT]
 
-    def forget(self, words: set[str]) -> None:
-        """Drop the words of a batch that are too long to be kept."""
-        for word in [w for w in words if len(w) > LONGEST_KEPT]:
+    def forget(self, words: list[str]) -> None:
+        for word in words:
             self.pop(word, None)
 
 
@@ -162,10 +162,9 @@ class Encoder:
                 end += 1
             parts = [WORD_START.split(t) if LOOSE.search(t) else t.split(" ") for t in texts[begin:end]]
             firsts = [p.pop(0) for p in parts]  # the only word without a space before it
-            words = set().union(*parts)
-            self.words.fill(words)
+            long = self.words.fill(set().union(*parts))
             out += [f + b"".join(map(self.words.__getitem__, p)) for f, p in zip(self.words.encode(firsts), parts, strict=True)]
-            self.words.forget(words)
+            self.words.forget(long)
             begin = end
         return out
 
