@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -416,6 +417,23 @@ def test_shares_are_the_whole_filter(spark):
     assert (level == written.share(0, 1).levels(h.view(np.uint64))).all() and (level >= 1).all()
 
 
+def test_the_driver_takes_shares_in_portions_and_keeps_none(spark, monkeypatch):
+    h = np.random.default_rng(4).integers(-(1 << 63), (1 << 63) - 1, 4000)
+    grams = spark.createDataFrame([(int(x), 1 + k % 3) for k, x in enumerate(h)], "h long, c long")
+    written = lm.Written(grams.repartition(8, "h"), "test-filter")
+    whole, sizes, kind = written.share(0, 1).bits, [], type(grams)
+    take = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: sizes.append(take(self).nbytes) or take(self))
+    monkeypatch.setattr(lm, "PORTION", 1 << 19, raising=False)
+    assert (written.share(0, 1).bits == whole).all()
+    assert len(sizes) >= 8 and max(sizes) < sum(sizes) / 4
+    kept, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: kept.append(send(value)) or kept[-1])
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, None)], "doc_id long, text string")
+    assert lm.score(docs, docs).count() == 2
+    assert len(kept) == 2 and not any(Path(b._path).exists() for b in kept)
+
+
 def test_pairs_seen_once_count(spark):
     train = spark.createDataFrame([(1, "alpha beta gamma alpha delta beta")], "doc_id long, text string")
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta alpha")], "doc_id long, text string")

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import gc
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ BLOCK_BITS, PROBES, BITS_PER_KEY = 1 << 13, 4, 12
 OWNERS = 4096  # groups of blocks; the filter has a multiple of so many blocks
 #: Weight of the pair's share where its first word is frequent, and the count at which it has half of that.
 MIX, HALF = 0.4, 10
+#: Bytes of a share that the driver takes at once.
+PORTION = 8 << 20
 
 
 class Hashes(dict):
@@ -186,13 +189,24 @@ def filled_blocks(grams: DataFrame, blocks: int) -> DataFrame:
     return rows.mapInArrow(fill, "block bigint, bits binary")
 
 
+def fetched(written: DataFrame, wanted: Column, size: int) -> Iterator[pa.Table]:
+    """The wanted rows of a written table, ``size`` bytes in all, from a few of its files at a time: the driver holds
+    about ``PORTION`` bytes of them at once."""
+    files = sorted(written.inputFiles())
+    times = max(1, min(len(files), math.ceil(size / PORTION)))
+    for k in range(times if files else 0):
+        yield written.sparkSession.read.schema(written.schema).parquet(*files[k::times]).where(wanted).toArrow()
+        pa.default_memory_pool().release_unused()
+
+
 def gathered(filled: DataFrame, found: FrequencyFilter) -> FrequencyFilter:
     """``found`` with the bits of its blocks."""
     words = BLOCK_BITS // 64
-    done = filled.where(F.col("block").between(found.first, found.last - 1)).toArrow()
-    for block, data in zip(done["block"].to_pylist(), done["bits"], strict=True):
-        begin = (block - found.first) * words
-        found.bits[begin : begin + words] |= np.frombuffer(data.as_buffer(), np.uint64)
+    for some in fetched(filled, F.col("block").between(found.first, found.last - 1), found.bits.nbytes):
+        for block, data in zip(some["block"].to_pylist(), some["bits"], strict=True):
+            begin = (block - found.first) * words
+            found.bits[begin : begin + words] |= np.frombuffer(data.as_buffer(), np.uint64)
+        some = data = None
     return found
 
 
@@ -257,9 +271,12 @@ def score(docs: DataFrame, train: DataFrame, max_bits: int = 1 << 29, block_word
     empty += [F.lit(None).cast("binary").alias(c) for c in PER_TOKEN]
     out, before = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *empty), None
     for k in range(passes):
-        mine = single.where(F.pmod("h", F.lit(passes)) == k).toArrow()
-        h, c = mine["h"].to_numpy().view(np.uint64), mine["c"].to_numpy()
-        del mine
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for mine in fetched(single, F.pmod("h", F.lit(passes)) == k, 16 * distinct // passes):
+            parts.append((mine["h"].to_numpy().view(np.uint64).copy(), mine["c"].to_numpy().copy()))
+            del mine
+        h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         # Half the bytes for counts that need no more: each worker has a copy.
         c = c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c
         order = np.argsort(h)
@@ -300,12 +317,12 @@ def score(docs: DataFrame, train: DataFrame, max_bits: int = 1 << 29, block_word
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
         out = out.mapInArrow(add, SCORES)
-        if not last:
-            out = cut(out, "scores")
-            known.unpersist()
-            filters.unpersist()
-            drop(before)
-            before = out
+        out = cut(out.select("doc_id", *SUMS) if last else out, "scores")
+        # The table is written, so nobody reads a share again, and the driver need not keep its blocks.
+        known.destroy()
+        filters.destroy()
+        drop(before)
+        before = out
     for done in (single, words.filled, pairs.filled):
         drop(done)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
