@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import Batches, cut, drop, mixed, ranges, texts_of
 from tidewatch.llm.components import components
 from tidewatch.llm.langid import pieces
+from tidewatch.llm.lm import portions_of
 
 #: Odd multipliers, one for each word of an n-gram.
 STEPS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -190,7 +191,7 @@ class Join:
         n, names = self.n, [c.split()[0] for c in schema.split(", ")]
 
         def run(batches: Batches) -> Batches:
-            for batch in batches:
+            for batch in portions_of(batches, "text"):
                 sets = [h for h, _ in shingles(texts_of(batch), n)]
                 yield pa.RecordBatch.from_arrays(make(batch.column("doc_id").to_pylist(), sets), names)
 
@@ -230,7 +231,7 @@ class Join:
 
         def make(batches: Batches) -> Batches:
             frequent, seen = shared.value
-            for batch in batches:
+            for batch in portions_of(batches, "text"):
                 ids, keys, tags, sizes, owns, leads, sketches = batch.column(0), [], [], [], [], [], []
                 for i, (hashes, alone) in zip(ids.to_pylist(), shingles(texts_of(batch), size, seen), strict=True):
                     named = i is not None and len(hashes) > 0
@@ -424,7 +425,7 @@ class Join:
         shared, n = self.spark.sparkContext.broadcast(Filter(wanted, "rep")), self.n
 
         def make(batches: Batches) -> Batches:
-            for batch in batches:
+            for batch in portions_of(batches, "text"):
                 ids = np.array([0 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
                 pick = np.flatnonzero(shared.value.may_have(ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
                 texts = batch.column(1)
